@@ -62,7 +62,7 @@ variable_lookups AS (
   SELECT event_id AS lookup_id,
     CAST(user_id AS VARCHAR) AS project_id,
     'prj.p' || CAST(event_id % 5 + 1 AS VARCHAR) AS name,
-    CAST(ts - INTERVAL 26 YEAR AS TIMESTAMP) AS at
+    CAST(ts - INTERVAL 26 YEAR AS TIMESTAMP) AS "at"
   FROM events)"""
 
 INSTANCE_EVENTS = """
@@ -157,3 +157,168 @@ FROM transformed WHERE target_rn = 1
 ORACLES: dict[str, str] = {
     "company_dim": COMPANY_DIM,
 }
+
+SCRIPTS = r"""
+scripts AS (
+  SELECT event_id AS script_id, CAST(user_id AS VARCHAR) AS project_id,
+    CAST(ts - INTERVAL 26 YEAR AS TIMESTAMP) AS "at",
+    strftime(ts, '%Y%m%d') AS biz_date,
+    CASE WHEN event_id % 13 = 0 THEN NULL ELSE strftime(ts, '%H') END AS biz_hour,
+    event_id, event_type, ts, CAST(ts AS DATE) AS dd,
+    CAST(event_id % 40 AS INTEGER) AS k40, CAST(event_id % 7 AS INTEGER) AS k7,
+    CAST(event_id % 5 + 1 AS VARCHAR) AS k5,
+    'INSERT OVERWRITE TABLE t_' || event_type || ' PARTITION (dt=''${dt}'', hr=''${hr}'') SELECT '
+      || CAST(event_id AS VARCHAR) || ' AS id, ''${dt-' || CAST(event_id % 40 AS VARCHAR)
+      || '}'' AS prev_dt, ''${date-' || CAST(event_id % 7 AS VARCHAR)
+      || '}'' AS d2, ''${month}'' AS m, ''${date}'' AS biz, ''${prj.p' || CAST(event_id % 5 + 1 AS VARCHAR)
+      || '}'' AS v FROM staging WHERE dt = ''${dt}''' || tail AS text,
+    tail
+  FROM (SELECT *, CASE WHEN event_id % 9 = 0 THEN ' -- ${dt-0' || CAST(event_id % 3 AS VARCHAR) || '}'
+                       WHEN event_id % 11 = 0 THEN ' /* ${unknown_' || event_type || '} */'
+                       ELSE '' END AS tail FROM events) e)"""
+
+SCAN_RE = r"\$\{[A-Za-z_][A-Za-z0-9_.\-]*\}"
+
+DISTINCT_PH = """
+ph AS (
+  SELECT script_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS d
+  FROM (SELECT script_id, regexp_extract_all(text, '""" + SCAN_RE + """') AS a FROM scripts) s)"""
+
+AS_OF_SCRIPT = """
+look AS (
+  SELECT s.script_id, v.value, v.version,
+    row_number() OVER (PARTITION BY s.script_id
+      ORDER BY v.effective_at DESC NULLS LAST, v.seq ASC NULLS LAST) AS rn
+  FROM scripts s LEFT JOIN project_variables v
+    ON v.project_id = s.project_id AND v.name = 'prj.p' || s.k5 AND v.effective_at <= s."at")"""
+
+ORACLES.update({
+    "dedup_latest": with_(COMPANY_MAPPING) + """
+SELECT v2_company_id, dwi_company_id, update_time, insert_time FROM (
+  SELECT m.*, row_number() OVER (PARTITION BY v2_company_id
+    ORDER BY update_time DESC NULLS LAST, insert_time DESC NULLS LAST,
+             dwi_company_id DESC NULLS LAST) AS rn
+  FROM company_mapping m
+  WHERE dwi_company_id IS NOT NULL AND dwi_company_id <> ''
+    AND v2_company_id IS NOT NULL AND v2_company_id <> '') t
+WHERE rn = 1""",
+
+    "change_flag": with_(COMPANY_BASE) + """
+SELECT company_id,
+  CASE WHEN is_del = '1' THEN '-1'
+       WHEN CAST(insert_time AS DATE) = CAST(update_time AS DATE) THEN '1' ELSE '0' END AS isadd
+FROM company_base""",
+
+    "biz_date_cols": """
+SELECT event_id, strftime(ts, '%Y%m%d') AS dt, strftime(ts, '%Y-%m-%d') AS date,
+  strftime(ts, '%Y%m') AS month,
+  strftime(CAST(ts AS DATE) - 1, '%Y%m%d') AS dt_1,
+  strftime(CAST(ts AS DATE) - 7, '%Y%m%d') AS dt_7,
+  strftime(CAST(ts AS DATE) - 365, '%Y%m%d') AS dt_365,
+  strftime(CAST(ts AS DATE) - 1, '%Y-%m-%d') AS date_1,
+  strftime(CAST(ts AS DATE) - 30, '%Y-%m-%d') AS date_30,
+  CASE WHEN regexp_full_match(hr_text, '([01][0-9]|2[0-3])') THEN hr_text END AS hr
+FROM (SELECT *, CASE WHEN event_id % 17 = 0 THEN '24' ELSE strftime(ts, '%H') END AS hr_text
+      FROM events) e""",
+
+    "dated_query": """
+SELECT event_type, '20240115' AS biz_dt, '20240114' AS prev_dt, '2024-01-15' AS biz_date,
+  '03' AS biz_hr, count(*) AS n_events,
+  count(CASE WHEN strftime(ts, '%Y%m%d') = '20240115' THEN 1 END) AS n_on_day,
+  count(CASE WHEN strftime(ts, '%Y%m%d') = '20240114' THEN 1 END) AS n_prev_day
+FROM events GROUP BY event_type""",
+
+    "backfill_dates": """
+SELECT task_id, strftime(s + CAST(k AS INTEGER), '%Y%m%d') AS biz_date, version_choice
+FROM (
+  SELECT CAST(c_custkey AS VARCHAR) AS task_id,
+    DATE '2026-06-01' + CAST(c_custkey % 5 AS INTEGER) AS s,
+    CASE WHEN c_acctbal < 0 THEN 'v' || CAST(c_custkey AS VARCHAR) END AS version_choice,
+    unnest(range(0, c_nationkey % 7 + 1)) AS k
+  FROM customer) c""",
+
+    "variable_as_of": with_(PROJECT_VARIABLES, VARIABLE_LOOKUPS) + """
+SELECT lookup_id, project_id, name, "at", value, version, matched_effective_at FROM (
+  SELECT l.lookup_id, l.project_id, l.name, l."at", v.value, v.version,
+    v.effective_at AS matched_effective_at,
+    row_number() OVER (PARTITION BY l.lookup_id
+      ORDER BY v.effective_at DESC NULLS LAST, v.seq ASC NULLS LAST) AS rn
+  FROM variable_lookups l LEFT JOIN project_variables v
+    ON v.project_id = l.project_id AND v.name = l.name AND v.effective_at <= l."at") t
+WHERE rn = 1""",
+
+    "version_lock": with_(TASK_VERSIONS, """
+inst AS (
+  SELECT event_id AS attempt_id,
+    CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS instance_id,
+    CAST(user_id AS VARCHAR) AS task_id,
+    ts - INTERVAL 26 YEAR AS created_at,
+    CASE WHEN event_type = 'purchase' THEN event_id END AS explicit_version
+  FROM events),
+firsts AS (
+  SELECT * FROM (SELECT i.*, row_number() OVER (PARTITION BY instance_id
+    ORDER BY created_at, attempt_id) AS rn FROM inst i) t WHERE rn = 1),
+look AS (
+  SELECT f.instance_id, f.explicit_version, p.version_id,
+    row_number() OVER (PARTITION BY f.instance_id
+      ORDER BY p.baked_at DESC NULLS LAST, p.version_id ASC NULLS LAST) AS rn
+  FROM firsts f LEFT JOIN (SELECT * FROM task_versions WHERE status = 'published') p
+    ON p.task_id = f.task_id AND p.baked_at <= f.created_at)""") + """
+SELECT i.instance_id, i.attempt_id, i.task_id, i.created_at, i.explicit_version,
+  coalesce(l.explicit_version, l.version_id) AS locked_version,
+  CASE WHEN l.explicit_version IS NOT NULL THEN 'explicit'
+       WHEN l.version_id IS NOT NULL THEN 'published' ELSE 'none' END AS lock_source
+FROM inst i LEFT JOIN look l ON l.instance_id = i.instance_id AND l.rn = 1""",
+
+    "placeholder_scan": with_(SCRIPTS, DISTINCT_PH) + """
+SELECT script_id, array_to_string(d, ' ') AS placeholders, CAST(len(d) AS BIGINT) AS n_placeholders
+FROM ph""",
+
+    "pattern_match": with_(SCRIPTS, DISTINCT_PH) + r"""
+SELECT script_id, CAST(i - 1 AS BIGINT) AS pos, p AS placeholder,
+  CASE WHEN regexp_full_match(p, '\$\{dt\}') THEN 'dt'
+       WHEN regexp_full_match(p, '\$\{date\}') THEN 'date'
+       WHEN regexp_full_match(p, '\$\{month\}') THEN 'month'
+       WHEN regexp_full_match(p, '\$\{dt-([1-9][0-9]*|0)\}') THEN 'dt-N'
+       WHEN regexp_full_match(p, '\$\{date-([1-9][0-9]*|0)\}') THEN 'date-N'
+       WHEN regexp_full_match(p, '\$\{hr\}') THEN 'hr' END AS variable
+FROM (SELECT script_id, unnest(d) AS p, unnest(range(1, len(d) + 1)) AS i FROM ph) t""",
+
+    "render_templates": with_(SCRIPTS) + """
+SELECT script_id,
+  CASE WHEN biz_hour IS NULL THEN NULL ELSE
+    replace(replace(replace(replace(replace(replace(text,
+      '${dt}', strftime(dd, '%Y%m%d')),
+      '${hr}', biz_hour),
+      '${dt-' || CAST(k40 AS VARCHAR) || '}', strftime(dd - k40, '%Y%m%d')),
+      '${date-' || CAST(k7 AS VARCHAR) || '}', strftime(dd - k7, '%Y-%m-%d')),
+      '${month}', strftime(dd, '%Y%m')),
+      '${date}', strftime(dd, '%Y-%m-%d')) END AS rendered,
+  CASE WHEN event_id % 9 = 0 THEN '${dt-0' || CAST(event_id % 3 AS VARCHAR) || '}, ${prj.p' || k5 || '}'
+       WHEN event_id % 11 = 0 THEN '${prj.p' || k5 || '}, ${unknown_' || event_type || '}'
+       ELSE '${prj.p' || k5 || '}' END AS unresolved,
+  CASE WHEN biz_hour IS NULL THEN 'variable ${hr} requires --biz-hour' END AS error
+FROM scripts""",
+
+    "bake_templates": with_(PROJECT_VARIABLES, SCRIPTS, AS_OF_SCRIPT) + """
+SELECT s.script_id,
+  CASE WHEN l.value IS NULL OR s.tail <> '' THEN NULL
+       ELSE replace(s.text, '${prj.p' || s.k5 || '}', l.value) END AS baked,
+  CASE WHEN l.value IS NULL THEN '' ELSE 'prj.p' || s.k5 || '=' || CAST(l.version AS VARCHAR) END AS var_versions,
+  array_to_string(list_sort(list_filter([
+      CASE WHEN s.event_id % 9 = 0 THEN '${dt-0' || CAST(s.event_id % 3 AS VARCHAR) || '}' END,
+      CASE WHEN l.value IS NULL THEN '${prj.p' || s.k5 || '}' END,
+      CASE WHEN s.event_id % 9 <> 0 AND s.event_id % 11 = 0 THEN '${unknown_' || s.event_type || '}' END],
+    lambda x: x IS NOT NULL)), ', ') AS unresolved
+FROM scripts s JOIN look l ON l.script_id = s.script_id AND l.rn = 1""",
+
+    "unresolved_vars": with_(PROJECT_VARIABLES, SCRIPTS, AS_OF_SCRIPT) + """
+SELECT script_id, '${dt-0' || CAST(event_id % 3 AS VARCHAR) || '}' AS placeholder
+FROM scripts WHERE event_id % 9 = 0
+UNION ALL
+SELECT script_id, '${unknown_' || event_type || '}' FROM scripts
+WHERE event_id % 9 <> 0 AND event_id % 11 = 0
+UNION ALL
+SELECT s.script_id, '${prj.p' || s.k5 || '}' FROM scripts s
+JOIN look l ON l.script_id = s.script_id AND l.rn = 1 WHERE l.value IS NULL""",
+})

@@ -27,3 +27,127 @@ def register(name: str):
 @register("company_dim")
 def q_company_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _company_dim.company_dim(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- dedup, flags
+from pyspark.sql import functions as F  # noqa: E402
+
+from batchwright.functions import bizdate as BD  # noqa: E402
+from batchwright.functions import templates as TM  # noqa: E402
+from batchwright.functions.columns import change_flag  # noqa: E402
+from batchwright.operators.asof import as_of_join, lock_versions  # noqa: E402
+from batchwright.plans import standins as S  # noqa: E402
+from batchwright.sources.tables import load  # noqa: E402
+
+
+@register("dedup_latest")
+def q_dedup_latest(spark, sf_dir):
+    return _company_dim.dedup_mapping(S.company_mapping(load(spark, sf_dir, "lineitem")))
+
+
+@register("change_flag")
+def q_change_flag(spark, sf_dir):
+    base = S.company_base(load(spark, sf_dir, "orders"))
+    return base.select("company_id", change_flag("is_del", "insert_time", "update_time").alias("isadd"))
+
+
+# ---------------------------------------------------------------- business dates
+@register("biz_date_cols")
+def q_biz_date_cols(spark, sf_dir):
+    ev = load(spark, sf_dir, "events")
+    hr_text = F.when(F.col("event_id") % 17 == 0, F.lit("24")).otherwise(F.date_format("ts", "HH"))
+    return ev.select("event_id", *BD.biz_cols(F.to_date("ts"), lags=(1, 7, 365),
+                                              date_lags=(1, 30), hour=hr_text))
+
+
+DATED_SQL = """
+SELECT event_type, '${dt}' AS biz_dt, '${dt-1}' AS prev_dt, '${date}' AS biz_date,
+  '${hr}' AS biz_hr, count(*) AS n_events,
+  count(CASE WHEN date_format(ts, 'yyyyMMdd') = '${dt}' THEN 1 END) AS n_on_day,
+  count(CASE WHEN date_format(ts, 'yyyyMMdd') = '${dt-1}' THEN 1 END) AS n_prev_day
+FROM events GROUP BY event_type
+"""
+
+
+@register("dated_query")
+def q_dated_query(spark, sf_dir):
+    load(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return BD.run_query(spark, DATED_SQL, "20240115", "03")
+
+
+@register("backfill_dates")
+def q_backfill_dates(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    start = F.date_add(F.lit("2026-06-01").cast("date"), (F.col("c_custkey") % 5).cast("int"))
+    end = F.date_add(start, (F.col("c_nationkey") % 7).cast("int"))
+    version = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("v"), F.col("c_custkey").cast("string")))
+    df = c.select(F.col("c_custkey").cast("string").alias("task_id"),
+                  start.alias("s"), end.alias("e"), version.alias("v"))
+    return BD.backfill(df, F.col("s"), F.col("e"), F.col("v")).select("task_id", "biz_date", "version_choice")
+
+
+# ---------------------------------------------------------------- as-of lookups
+@register("variable_as_of")
+def q_variable_as_of(spark, sf_dir):
+    lookups = S.variable_lookups(load(spark, sf_dir, "events"))
+    variables = S.project_variables(load(spark, sf_dir, "orders"))
+    return as_of_join(lookups, variables, keys=["project_id", "name"], left_ts="at",
+                      right_ts="effective_at", right_cols=["value", "version"], tie="seq")
+
+
+def _attempts(events):
+    return events.select(
+        F.col("event_id").alias("attempt_id"),
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("instance_id"),
+        F.col("user_id").cast("string").alias("task_id"),
+        (F.col("ts") - F.expr("INTERVAL 26 YEARS")).alias("created_at"),
+        F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("explicit_version"))
+
+
+@register("version_lock")
+def q_version_lock(spark, sf_dir):
+    return lock_versions(_attempts(load(spark, sf_dir, "events")),
+                         S.task_versions(load(spark, sf_dir, "orders")))
+
+
+# ---------------------------------------------------------------- templates
+def _scripts(spark, sf_dir):
+    return S.scripts(load(spark, sf_dir, "events"))
+
+
+@register("placeholder_scan")
+def q_placeholder_scan(spark, sf_dir):
+    sc = _scripts(spark, sf_dir)
+    ph = TM.placeholders("text")
+    return sc.select("script_id", F.array_join(ph, " ").alias("placeholders"),
+                     F.size(ph).cast("bigint").alias("n_placeholders"))
+
+
+@register("pattern_match")
+def q_pattern_match(spark, sf_dir):
+    return (TM.scan(_scripts(spark, sf_dir), "script_id", "text")
+            .select("script_id", F.col("pos").cast("bigint").alias("pos"), "placeholder", "variable"))
+
+
+@register("render_templates")
+def q_render_templates(spark, sf_dir):
+    sc = _scripts(spark, sf_dir)
+    r = TM.render("text", "biz_date", "biz_hour")
+    return (sc.select("script_id", r.alias("r"))
+              .select("script_id", F.col("r.text").alias("rendered"),
+                      TM.failures(F.col("r.unresolved")).alias("unresolved"),
+                      F.col("r.error").alias("error")))
+
+
+@register("bake_templates")
+def q_bake_templates(spark, sf_dir):
+    sc = _scripts(spark, sf_dir).select("script_id", "project_id", "at", "text")
+    variables = S.project_variables(load(spark, sf_dir, "orders"))
+    return TM.bake(sc, variables).select("script_id", "baked", "var_versions", "unresolved")
+
+
+@register("unresolved_vars")
+def q_unresolved_vars(spark, sf_dir):
+    baked = q_bake_templates(spark, sf_dir)
+    return (baked.filter(F.col("unresolved") != "")
+            .select("script_id", F.explode(F.split("unresolved", ", ")).alias("placeholder")))

@@ -106,7 +106,7 @@ def variable_lookups(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("lookup_id"),
         F.col("user_id").cast("string").alias("project_id"),
         F.concat(F.lit("prj.p"), ((F.col("event_id") % 5) + 1).cast("string")).alias("name"),
-        F.add_months(F.col("ts"), -26 * 12).cast("timestamp_ntz").alias("at"),
+        (F.col("ts") - F.expr("INTERVAL 26 YEARS")).cast("timestamp_ntz").alias("at"),
     )
 
 
@@ -156,3 +156,32 @@ def task_versions(orders: DataFrame) -> DataFrame:
 
 def load_all(spark, sf_dir: str, *names: str) -> list[DataFrame]:
     return [load(spark, sf_dir, n) for n in names]
+
+
+def scripts(events: DataFrame) -> DataFrame:
+    """SQL templates, one per event: runtime placeholders (``${dt}``, ``${hr}``,
+    ``${dt-K}`` with K = event_id mod 40, ``${date-K}``, ``${month}``,
+    ``${date}``), one project variable ``${prj.pK}`` and, for some rows, an
+    undeclared placeholder in a comment.  project = user_id, at = ts moved back
+    26 years, biz_date/hour from ts; biz_hour is missing for every 13th id."""
+    eid = F.col("event_id")
+    s = lambda c: c.cast("string")
+    text = F.concat(
+        F.lit("INSERT OVERWRITE TABLE t_"), F.col("event_type"),
+        F.lit(" PARTITION (dt='${dt}', hr='${hr}') SELECT "), s(eid),
+        F.lit(" AS id, '${dt-"), s(eid % 40), F.lit("}' AS prev_dt, '${date-"), s(eid % 7),
+        F.lit("}' AS d2, '${month}' AS m, '${date}' AS biz, '${prj.p"), s(eid % 5 + 1),
+        F.lit("}' AS v FROM staging WHERE dt = '${dt}'"),
+        F.when(eid % 9 == 0, F.concat(F.lit(" -- ${dt-0"), s(eid % 3), F.lit("}")))
+         .when(eid % 11 == 0, F.concat(F.lit(" /* ${unknown_"), F.col("event_type"), F.lit("} */")))
+         .otherwise(F.lit("")),
+    )
+    return events.select(
+        eid.alias("script_id"),
+        s(F.col("user_id")).alias("project_id"),
+        (F.col("ts") - F.expr("INTERVAL 26 YEARS")).cast("timestamp_ntz").alias("at"),
+        F.date_format("ts", "yyyyMMdd").alias("biz_date"),
+        F.when(eid % 13 == 0, F.lit(None).cast("string"))
+         .otherwise(F.date_format("ts", "HH")).alias("biz_hour"),
+        text.alias("text"),
+    )
