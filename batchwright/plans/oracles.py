@@ -322,3 +322,117 @@ UNION ALL
 SELECT s.script_id, '${prj.p' || s.k5 || '}' FROM scripts s
 JOIN look l ON l.script_id = s.script_id AND l.rn = 1 WHERE l.value IS NULL""",
 })
+
+from batchwright.plans.standins import CONF_KEYS as _CONF_KEYS  # noqa: E402  (input data, not logic)
+
+_CONF_LIST = "[" + ", ".join(f"'{k}'" for k in _CONF_KEYS) + "]"
+
+LOG_LINES = """
+log_lines AS (
+  SELECT event_id, ts, CAST(user_id AS VARCHAR) AS instance_id,
+    concat_ws(' ', '[driver] run statement',
+      'trace_id=trace-' || CAST(user_id AS VARCHAR),
+      'instance_id=' || CAST(user_id AS VARCHAR),
+      'version_id=v' || CAST(event_id % 7 AS VARCHAR),
+      'task_id=task-' || CAST(user_id % 10 AS VARCHAR),
+      'biz_date=' || strftime(ts, '%Y%m%d'),
+      'biz_hour=' || strftime(ts, '%H'),
+      'timezone=Asia/Shanghai',
+      CASE WHEN event_type <> 'signup' THEN 'application_id=application_'
+        || CAST(event_id AS VARCHAR) || '_' || CAST(user_id AS VARCHAR) END,
+      'stmt=' || CAST(event_id % 5 + 1 AS VARCHAR) || '/5',
+      CASE WHEN event_type = 'error' THEN '--keytab /etc/security/keytabs/u'
+        || CAST(user_id AS VARCHAR) || '.keytab' END) AS line,
+    event_type, user_id
+  FROM events)"""
+
+ORACLES.update({
+    "policy_check": """
+SELECT task_id, key, value,
+  CASE WHEN key IN ('spark.driver.extraJavaOptions', 'spark.executor.extraJavaOptions',
+                    'spark.driver.extraClassPath', 'spark.driver.extraLibraryPath',
+                    'spark.executor.extraClassPath', 'spark.executor.extraLibraryPath',
+                    'spark.yarn.principal', 'spark.yarn.keytab')
+         OR starts_with(key, 'spark.yarn.dist.') OR starts_with(key, 'spark.kerberos.')
+         OR starts_with(key, 'spark.security.credentials.') THEN 'blacklisted'
+       WHEN key IN ('spark.executor.cores', 'spark.driver.cores')
+         OR starts_with(key, 'spark.sql.') OR starts_with(key, 'spark.shuffle.')
+         OR starts_with(key, 'spark.dynamicAllocation.') OR starts_with(key, 'spark.executor.memory')
+         OR starts_with(key, 'spark.driver.memory') OR starts_with(key, 'spark.yarn.appMasterEnv.')
+         OR starts_with(key, 'spark.executorEnv.')
+         OR starts_with(key, 'spark.hadoop.hive.exec.dynamic.partition') THEN 'accepted'
+       ELSE 'not in whitelist' END AS verdict
+FROM (SELECT p_brand AS task_id, """ + _CONF_LIST + """[p_partkey % 24 + 1] AS key,
+        p_name AS value FROM part) c""",
+
+    "log_parse": with_(LOG_LINES) + """
+SELECT event_id, '[driver] run statement' AS prefix,
+  'trace-' || CAST(user_id AS VARCHAR) AS trace_id,
+  CAST(user_id AS VARCHAR) AS instance_id,
+  'v' || CAST(event_id % 7 AS VARCHAR) AS version_id,
+  'task-' || CAST(user_id % 10 AS VARCHAR) AS task_id,
+  strftime(ts, '%Y%m%d') AS biz_date, strftime(ts, '%H') AS biz_hour,
+  'Asia/Shanghai' AS timezone,
+  CASE WHEN event_type <> 'signup' THEN 'application_' || CAST(event_id AS VARCHAR) || '_'
+    || CAST(user_id AS VARCHAR) END AS application_id,
+  CAST(event_id % 5 + 1 AS INTEGER) AS stmt_index, 5 AS stmt_total
+FROM log_lines""",
+
+    "first_app_id": with_(LOG_LINES) + """
+SELECT instance_id, coalesce(max(CASE WHEN rn = 1 AND app <> '' THEN app END), '') AS application_id
+FROM (SELECT instance_id, regexp_extract(line, 'application_[0-9]+_[0-9]+') AS app,
+        row_number() OVER (PARTITION BY instance_id ORDER BY
+          CASE WHEN regexp_extract(line, 'application_[0-9]+_[0-9]+') <> '' THEN 0 ELSE 1 END,
+          ts, event_id) AS rn
+      FROM log_lines) t
+GROUP BY instance_id""",
+
+    "redact_paths": with_(LOG_LINES) + """
+SELECT event_id, regexp_replace(line, '[^ =''"]+\\.keytab', '***', 'g') AS line FROM log_lines""",
+
+    "content_digest": """
+SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS byte_size
+FROM documents""",
+
+    "snapshot_roundtrip": """
+SELECT doc_id, lang, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS byte_size
+FROM documents""",
+
+    "manifest_read": """
+SELECT 'prod' AS env, 'documents' AS task_id, 'v1' AS version_id, 'r1' AS draft_revision_id,
+  'batch' AS baked_by, count(*) AS n_rows,
+  CAST(sum(octet_length(encode(text))) AS BIGINT) AS byte_size, 'ok' AS status,
+  3 AS prj_p1_version
+FROM documents""",
+
+    "valid_segments": """
+SELECT page_id, segment,
+  regexp_full_match(segment, '[A-Za-z0-9._-]+') AND NOT regexp_full_match(segment, '\\.+') AS ok
+FROM (SELECT page_id, regexp_extract(url, '[^/]*$') AS segment FROM pages) p""",
+
+    "table_overwrite": """
+SELECT o_orderkey, o_custkey, 'X' AS o_orderstatus, upper(o_orderpriority) AS o_orderpriority
+FROM orders""",
+
+    "partition_overwrite": """
+SELECT event_id,
+  CASE WHEN dt = '20240115' AND hr = '03' THEN upper(event_type) ELSE event_type END AS event_type,
+  CASE WHEN dt = '20240115' AND hr = '03' THEN value * 2 ELSE value END AS value, dt, hr
+FROM (SELECT event_id, event_type, value, strftime(ts, '%Y%m%d') AS dt, strftime(ts, '%H') AS hr
+      FROM events) e""",
+
+    "partition_append": """
+SELECT dt, m, count(*) + CASE WHEN dt = '20240115' THEN count(*) ELSE 0 END AS n_rows,
+  count(DISTINCT event_id) AS n_ids
+FROM (SELECT event_id, strftime(ts, '%Y%m%d') AS dt, strftime(ts, '%Y%m') AS m FROM events) e
+GROUP BY dt, m""",
+
+    "rows_append": """
+SELECT event_id, strftime(ts, '%H') AS hr FROM events
+UNION ALL SELECT -1 AS event_id, '03' AS hr""",
+
+    "month_archive": """
+SELECT strftime(o_orderdate, '%Y%m') AS m, count(*) AS n_rows,
+  count(CASE WHEN o_orderdate < TIMESTAMP '2001-01-01 00:00:00' - INTERVAL 365 DAY THEN 1 END) AS n_expired
+FROM orders GROUP BY 1""",
+})

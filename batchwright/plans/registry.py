@@ -151,3 +151,140 @@ def q_unresolved_vars(spark, sf_dir):
     baked = q_bake_templates(spark, sf_dir)
     return (baked.filter(F.col("unresolved") != "")
             .select("script_id", F.explode(F.split("unresolved", ", ")).alias("placeholder")))
+
+
+# ---------------------------------------------------------------- policy, logs
+from batchwright.functions import logs as LG  # noqa: E402
+from batchwright.operators.policy import policy_check  # noqa: E402
+
+
+@register("policy_check")
+def q_policy_check(spark, sf_dir):
+    return policy_check(S.conf_rows(load(spark, sf_dir, "part")))
+
+
+@register("log_parse")
+def q_log_parse(spark, sf_dir):
+    lines = S.log_lines(load(spark, sf_dir, "events")).select("event_id", "line")
+    return LG.parse_log(lines).drop("line")
+
+
+@register("first_app_id")
+def q_first_app_id(spark, sf_dir):
+    return LG.first_match(S.log_lines(load(spark, sf_dir, "events")), "instance_id", ["ts", "event_id"])
+
+
+@register("redact_paths")
+def q_redact_paths(spark, sf_dir):
+    lines = S.log_lines(load(spark, sf_dir, "events"))
+    return lines.select("event_id", LG.redact("line").alias("line"))
+
+
+# ---------------------------------------------------------------- sinks
+from batchwright.session import scratch_path  # noqa: E402
+from batchwright.sources import snapshots as SN  # noqa: E402
+from batchwright.sources import writers as W  # noqa: E402
+
+
+@register("content_digest")
+def q_content_digest(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return SN.content_digest(docs).select("doc_id", "sha256", "byte_size")
+
+
+def _write_documents(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    root = scratch_path(spark, "snapshots")
+    SN.write_version(docs, root, "prod", "documents", "v1",
+                     meta={"draft_revision_id": "r1", "baked_by": "batch",
+                           "baked_at": "2026-06-13T00:00:00", "project_var_versions": {"prj.p1": 3}},
+                     text_col="text")
+    return root
+
+
+@register("snapshot_roundtrip")
+def q_snapshot_roundtrip(spark, sf_dir):
+    root = _write_documents(spark, sf_dir)
+    back = SN.read_version(spark, root, "prod", "documents", "v1")
+    return SN.content_digest(back).select("doc_id", "lang", "sha256", "byte_size")
+
+
+@register("manifest_read")
+def q_manifest_read(spark, sf_dir):
+    root = _write_documents(spark, sf_dir)
+    m = SN.read_manifest(spark, root, "prod", "documents", "v1")
+    return m.select("env", "task_id", "version_id", "draft_revision_id", "baked_by", "n_rows",
+                    "byte_size", "status",
+                    F.col("project_var_versions")["prj.p1"].alias("prj_p1_version"))
+
+
+@register("valid_segments")
+def q_valid_segments(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages")
+    seg = F.regexp_extract("url", "[^/]*$", 0)
+    return pages.select("page_id", seg.alias("segment"), SN.valid_segment(seg).alias("ok"))
+
+
+@register("table_overwrite")
+def q_table_overwrite(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders")
+    path = scratch_path(spark, "table_overwrite")
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    W.overwrite_table(orders, path, cols)
+    second = orders.select("o_orderkey", "o_custkey", F.lit("X").alias("o_orderstatus"),
+                           F.upper("o_orderpriority").alias("o_orderpriority"))
+    W.overwrite_table(second, path, cols)
+    return spark.read.parquet(path)
+
+
+def _events_dt_hr(spark, sf_dir):
+    ev = load(spark, sf_dir, "events")
+    return ev.select("event_id", "event_type", "value",
+                     F.date_format("ts", "yyyyMMdd").alias("dt"), F.date_format("ts", "HH").alias("hr"))
+
+
+@register("partition_overwrite")
+def q_partition_overwrite(spark, sf_dir):
+    ev = _events_dt_hr(spark, sf_dir)
+    path = scratch_path(spark, "partition_overwrite")
+    W.overwrite_partition(ev, path, partition_cols=["dt", "hr"])
+    slot = BD.for_date(ev, "20240115").filter(F.col("hr") == "03")
+    replacement = slot.select("event_id", F.upper("event_type").alias("event_type"),
+                              (F.col("value") * 2).alias("value"))
+    W.overwrite_partition(replacement, path, {"dt": "20240115", "hr": "03"})
+    return W.read_table(spark, path, partition_cols=["dt", "hr"])
+
+
+@register("partition_append")
+def q_partition_append(spark, sf_dir):
+    ev = load(spark, sf_dir, "events")
+    staging = ev.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyyMMdd").alias("dt"),
+                        F.date_format("ts", "yyyy-MM-dd").alias("biz"), F.date_format("ts", "yyyyMM").alias("m"))
+    path = scratch_path(spark, "partition_append")
+    W.append_partition(staging, path, {}, ["dt", "m"])
+    day = BD.for_date(staging, "20240115").select("id", "biz")
+    W.append_partition(day, path, {"dt": "20240115", "m": "202401"})
+    t = W.read_table(spark, path, partition_cols=["dt", "m"])
+    return t.groupBy("dt", "m").agg(F.count(F.lit(1)).alias("n_rows"),
+                                    F.countDistinct("id").alias("n_ids"))
+
+
+@register("rows_append")
+def q_rows_append(spark, sf_dir):
+    ev = load(spark, sf_dir, "events").select("event_id", F.date_format("ts", "HH").alias("hr"))
+    path = scratch_path(spark, "rows_append")
+    W.append_rows(ev, path, ["hr"])
+    literal = spark.createDataFrame([(-1, "03")], "event_id long, hr string")
+    W.append_rows(literal, path, ["hr"])
+    return W.read_table(spark, path, partition_cols=["hr"])
+
+
+@register("month_archive")
+def q_month_archive(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    path = scratch_path(spark, "month_archive")
+    W.archive_by_month(orders, "o_orderdate", path)
+    t = W.read_table(spark, path, partition_cols=["m"])
+    return t.groupBy("m").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.when(W.is_expired("o_orderdate", 365, "2001-01-01 00:00:00"), 1)).alias("n_expired"))

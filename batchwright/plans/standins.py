@@ -185,3 +185,53 @@ def scripts(events: DataFrame) -> DataFrame:
          .otherwise(F.date_format("ts", "HH")).alias("biz_hour"),
         text.alias("text"),
     )
+
+
+# Conf keys the conf-row stand-in picks from (allow, deny, unknown).
+CONF_KEYS = [
+    "spark.sql.shuffle.partitions", "spark.shuffle.compress",
+    "spark.dynamicAllocation.maxExecutors", "spark.executor.memory",
+    "spark.executor.memoryOverhead", "spark.driver.memory",
+    "spark.yarn.appMasterEnv.PYSPARK_PYTHON", "spark.executorEnv.TZ",
+    "spark.hadoop.hive.exec.dynamic.partition", "spark.hadoop.hive.exec.dynamic.partition.mode",
+    "spark.executor.cores", "spark.driver.cores",
+    "spark.driver.extraJavaOptions", "spark.executor.extraJavaOptions",
+    "spark.driver.extraClassPath", "spark.yarn.keytab", "spark.yarn.principal",
+    "spark.yarn.dist.files", "spark.kerberos.principal",
+    "spark.security.credentials.hive.enabled",
+    "spark.master", "spark.app.name", "spark.executor.instances", "spark.jars",
+]
+
+
+def conf_rows(part: DataFrame) -> DataFrame:
+    """Conf rows (task_id, key, value): key by p_partkey mod 24, value p_name."""
+    keys = F.array(*[F.lit(k) for k in CONF_KEYS])
+    return part.select(
+        F.col("p_brand").alias("task_id"),
+        F.element_at(keys, (F.col("p_partkey") % len(CONF_KEYS) + 1).cast("int")).alias("key"),
+        F.col("p_name").alias("value"),
+    )
+
+
+def log_lines(events: DataFrame) -> DataFrame:
+    """Driver log lines, one per event, in the structured ``k=v`` format;
+    signup lines carry no application id, error lines a keytab path."""
+    u = F.col("user_id").cast("string")
+    e = F.col("event_id")
+    line = F.concat_ws(
+        " ",
+        F.lit("[driver] run statement"),
+        F.concat(F.lit("trace_id=trace-"), u),
+        F.concat(F.lit("instance_id="), u),
+        F.concat(F.lit("version_id=v"), (e % 7).cast("string")),
+        F.concat(F.lit("task_id=task-"), (F.col("user_id") % 10).cast("string")),
+        F.concat(F.lit("biz_date="), F.date_format("ts", "yyyyMMdd")),
+        F.concat(F.lit("biz_hour="), F.date_format("ts", "HH")),
+        F.lit("timezone=Asia/Shanghai"),
+        F.when(F.col("event_type") != "signup",
+               F.concat(F.lit("application_id=application_"), e.cast("string"), F.lit("_"), u)),
+        F.concat(F.lit("stmt="), (e % 5 + 1).cast("string"), F.lit("/5")),
+        F.when(F.col("event_type") == "error",
+               F.concat(F.lit("--keytab /etc/security/keytabs/u"), u, F.lit(".keytab"))),
+    )
+    return events.select("event_id", "ts", u.alias("instance_id"), line.alias("line"))
