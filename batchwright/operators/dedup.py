@@ -63,3 +63,12 @@ def current_state(events: DataFrame, key: str = "instance_id", state: str = "sta
     return (events.groupBy(key)
             .agg(F.max_by(F.col(state), F.struct(*[F.col(c) for c in order])).alias("current_state"),
                  F.count(F.lit(1)).alias("n_events")))
+
+
+def first_result(df: DataFrame, keys: Sequence[str], ts: str, value: str,
+                 out: str = "first_result") -> DataFrame:
+    """Idempotent publish: per (task, revision, idempotency key) the result
+    of the earliest request (ties by value), plus how many requests repeated it."""
+    return (df.groupBy(*keys)
+            .agg(F.min_by(F.col(value), F.struct(F.col(ts), F.col(value))).alias(out),
+                 F.count(F.lit(1)).alias("n_requests")))

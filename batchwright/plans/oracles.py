@@ -436,3 +436,190 @@ SELECT strftime(o_orderdate, '%Y%m') AS m, count(*) AS n_rows,
   count(CASE WHEN o_orderdate < TIMESTAMP '2001-01-01 00:00:00' - INTERVAL 365 DAY THEN 1 END) AS n_expired
 FROM orders GROUP BY 1""",
 })
+
+TRIGGERS = """
+triggers AS (
+  SELECT event_id AS instance_id, 'task-' || CAST(user_id % 20 AS VARCHAR) AS task_id,
+    strftime(ts, '%Y%m%d') AS biz_date,
+    CASE WHEN event_type = 'signup' THEN 'backfill' ELSE 'schedule' END AS trigger_source,
+    date_trunc('hour', ts) AS scheduled_at, ts AS created_at,
+    CAST(user_id % 10 AS VARCHAR) AS tenant_id
+  FROM events)"""
+
+_LEGAL = """(prev_state, state) IN (
+  ('start', 'pending'), ('pending', 'waiting_dependency'), ('pending', 'submitting'),
+  ('waiting_dependency', 'submitting'), ('waiting_dependency', 'killed'),
+  ('submitting', 'submit_failed'), ('submitting', 'running'), ('running', 'succeeded'),
+  ('running', 'failed'), ('running', 'killed'), ('submit_failed', 'submitting'),
+  ('failed', 'submitting'))"""
+
+
+ORACLES.update({
+    "transition_audit": with_(INSTANCE_EVENTS) + """
+SELECT prev_state, state, """ + _LEGAL + """ AS legal, count(*) AS n
+FROM (SELECT coalesce(lag(state) OVER (PARTITION BY instance_id ORDER BY ts, event_id), 'start') AS prev_state,
+        state FROM instance_events) t
+GROUP BY 1, 2, 3""",
+
+    "current_state": with_(INSTANCE_EVENTS) + """
+SELECT instance_id, arg_max(state, (ts, event_id)) AS current_state, count(*) AS n_events
+FROM instance_events GROUP BY instance_id""",
+
+    "published_pointer": with_(TASK_VERSIONS) + """
+SELECT task_id, version_id, baked_at, status,
+  last_value(CASE WHEN status IN ('published', 'rolled_back') THEN version_id END IGNORE NULLS)
+    OVER (PARTITION BY task_id ORDER BY baked_at, version_id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pointer
+FROM task_versions""",
+
+    "peak_running": with_(RUNS) + """
+SELECT tenant_id, CAST(max(running) AS BIGINT) AS peak_running FROM (
+  SELECT tenant_id, sum(d) OVER (PARTITION BY tenant_id ORDER BY t, d, event_id
+                                 ROWS UNBOUNDED PRECEDING) AS running
+  FROM (SELECT tenant_id, started_at AS t, 1 AS d, event_id FROM runs
+        UNION ALL
+        SELECT tenant_id, ended_at AS t, -1 AS d, event_id FROM runs WHERE ended_at IS NOT NULL) x) y
+GROUP BY tenant_id""",
+
+    "sla_breaches": with_(RUNS) + """
+SELECT event_id, instance_id, run_s, ended_at IS NULL AS still_running FROM (
+  SELECT *, (epoch_us(coalesce(ended_at, TIMESTAMP '2024-02-01 00:00:00'))
+             - epoch_us(started_at)) // 1000000 AS run_s FROM runs) r
+WHERE run_s > 1800""",
+
+    "trigger_dedupe": with_(TRIGGERS) + """
+SELECT instance_id, task_id, biz_date, trigger_source, first_instance_id,
+  instance_id <> first_instance_id AS is_duplicate
+FROM (SELECT *, first_value(instance_id) OVER (PARTITION BY task_id, biz_date, trigger_source, scheduled_at
+        ORDER BY created_at, instance_id) AS first_instance_id FROM triggers) t""",
+
+    "instance_filter": with_(TRIGGERS) + """
+SELECT instance_id, task_id, tenant_id, created_at FROM triggers
+WHERE trigger_source = 'backfill' AND tenant_id IN ('1', '2')
+  AND created_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'""",
+
+    "dependency_ready": """
+WITH inst AS (
+  SELECT user_id AS task_id, CAST(ts AS DATE) AS biz_date, bool_or(event_type = 'purchase') AS ok
+  FROM events GROUP BY 1, 2),
+tasks AS (SELECT DISTINCT user_id AS task_id FROM events),
+deps AS (
+  SELECT task_id, task_id - 1 AS upstream_id, CAST(task_id % 3 AS INTEGER) AS off FROM tasks WHERE task_id >= 1
+  UNION ALL
+  SELECT task_id, task_id - 2, CAST(task_id % 3 AS INTEGER) FROM tasks WHERE task_id >= 2),
+need AS (
+  SELECT i.task_id, i.biz_date, d.upstream_id, i.biz_date - d.off AS uday
+  FROM inst i LEFT JOIN deps d ON d.task_id = i.task_id)
+SELECT n.task_id, n.biz_date, count(n.upstream_id) AS n_deps,
+  coalesce(bool_and(CASE WHEN n.upstream_id IS NOT NULL THEN coalesce(u.ok, false) END), true) AS ready,
+  CASE WHEN coalesce(bool_and(CASE WHEN n.upstream_id IS NOT NULL THEN coalesce(u.ok, false) END), true)
+       THEN 'submitting' ELSE 'waiting_dependency' END AS state
+FROM need n LEFT JOIN inst u ON u.task_id = n.upstream_id AND u.biz_date = n.uday
+GROUP BY n.task_id, n.biz_date""",
+
+    "registry_reconcile": """
+WITH a AS (SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey % 7 <> 0),
+b AS (SELECT DISTINCT CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 100000 ELSE o_custkey END AS key
+      FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT coalesce(a.key, b.key) AS key,
+  CASE WHEN a.key IS NOT NULL AND b.key IS NOT NULL THEN 'both'
+       WHEN a.key IS NOT NULL THEN 'unsynced' ELSE 'orphan' END AS status
+FROM a FULL OUTER JOIN b ON a.key = b.key""",
+
+    "run_compare": """
+WITH a AS (SELECT l_orderkey, sum(l_quantity) AS qty, count(*) AS n FROM lineitem GROUP BY 1),
+b AS (SELECT l_orderkey, CASE WHEN l_orderkey % 10 = 0 THEN qty + 1 ELSE qty END AS qty, n
+      FROM a WHERE l_orderkey % 17 <> 0
+      UNION ALL SELECT l_orderkey + 1000000, qty, n FROM a WHERE l_orderkey % 23 = 0)
+SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey,
+  CASE WHEN a.l_orderkey IS NULL THEN 'only_new' WHEN b.l_orderkey IS NULL THEN 'only_old'
+       WHEN a.qty IS DISTINCT FROM b.qty OR a.n IS DISTINCT FROM b.n THEN 'changed' ELSE 'same' END AS status,
+  CASE WHEN a.l_orderkey IS NOT NULL AND b.l_orderkey IS NOT NULL
+         AND (a.qty IS DISTINCT FROM b.qty OR a.n IS DISTINCT FROM b.n)
+       THEN concat_ws(',', CASE WHEN a.n IS DISTINCT FROM b.n THEN 'n' END,
+                           CASE WHEN a.qty IS DISTINCT FROM b.qty THEN 'qty' END)
+       ELSE '' END AS changed_cols
+FROM a FULL OUTER JOIN b ON a.l_orderkey = b.l_orderkey""",
+
+    "lineage_walk": """
+SELECT e.event_id, e.event_id AS version_id, 'r' || CAST(o.o_orderkey AS VARCHAR) AS draft_revision_id,
+  o.o_custkey AS task_id, c.c_nationkey AS project_id, n.n_name AS project_name
+FROM events e LEFT JOIN orders o ON o.o_orderkey = e.event_id
+LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey""",
+
+    "trace_rows": with_(LOG_LINES, RUNS) + """
+SELECT 'trace-' || instance_id AS trace_id, ts, 'driver' AS layer, line AS detail FROM log_lines
+UNION ALL SELECT trace_id, ts, 'instance', state FROM instance_events
+UNION ALL SELECT trace_id, ended_at, 'run', 'ended ' || state FROM runs WHERE ended_at IS NOT NULL""",
+
+    "run_metrics": with_(RUNS) + """,
+hist AS (SELECT tenant_id, duration_s, count(*) AS c FROM runs GROUP BY 1, 2),
+cum AS (SELECT *, sum(c) OVER (PARTITION BY tenant_id ORDER BY duration_s ROWS UNBOUNDED PRECEDING) AS cm,
+          sum(c) OVER (PARTITION BY tenant_id) AS n FROM hist),
+pct AS (SELECT tenant_id,
+          min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.5) THEN duration_s END) AS p50_s,
+          min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.95) THEN duration_s END) AS p95_s,
+          min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.99) THEN duration_s END) AS p99_s
+        FROM cum GROUP BY tenant_id),
+base AS (SELECT tenant_id, count(*) AS n_runs,
+           count(CASE WHEN state = 'succeeded' THEN 1 END) AS n_succeeded FROM runs GROUP BY 1)
+SELECT base.tenant_id, n_runs, n_succeeded, n_succeeded / n_runs AS success_rate, p50_s, p95_s, p99_s
+FROM base LEFT JOIN pct ON pct.tenant_id = base.tenant_id""",
+
+    "retry_stats": with_(INSTANCE_EVENTS) + """
+SELECT instance_id, n_attempts, n_failures, succeeded,
+  greatest(n_attempts - 1, 0) AS retries,
+  greatest(n_attempts - 1, 0) >= 2 AND NOT succeeded AS exhausted,
+  n_failures > 0 AND succeeded AS recovered
+FROM (SELECT instance_id, count(CASE WHEN state = 'submitting' THEN 1 END) AS n_attempts,
+        count(CASE WHEN state IN ('failed', 'submit_failed') THEN 1 END) AS n_failures,
+        coalesce(bool_or(state = 'succeeded'), false) AS succeeded
+      FROM instance_events GROUP BY instance_id) t""",
+
+    "trace_coverage": with_(LOG_LINES) + """
+SELECT 'task-' || CAST(user_id % 10 AS VARCHAR) AS task_id, count(*) AS n_rows,
+  count(CASE WHEN event_type <> 'signup' THEN 1 END) AS n_present,
+  count(CASE WHEN event_type <> 'signup' THEN 1 END) / count(*) AS coverage
+FROM log_lines GROUP BY 1""",
+
+    "daily_counts": with_(INSTANCE_EVENTS) + """
+SELECT tenant_id, CAST(ts AS DATE) AS day, count(DISTINCT instance_id) AS n_instances, count(*) AS n_events
+FROM instance_events GROUP BY 1, 2""",
+
+    "first_publish": """
+SELECT o_custkey AS task_id, o_orderstatus AS revision, o_orderpriority AS idem_key,
+  arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_result, count(*) AS n_requests
+FROM orders GROUP BY 1, 2, 3""",
+
+    "audit_diff": """
+SELECT event_id AS id, 'k' AS field, json_extract_string(props, '$.k') AS before,
+  CASE WHEN event_id % 6 = 0 THEN NULL
+       ELSE CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) + 1 AS VARCHAR) END AS after,
+  CASE WHEN event_id % 6 = 0 THEN 'removed' ELSE 'changed' END AS change
+FROM events WHERE event_id % 6 = 0 OR event_id % 4 = 0
+UNION ALL
+SELECT event_id, 't', NULL, event_type, 'added' FROM events""",
+})
+
+ORACLES["lint_report"] = with_(PROJECT_VARIABLES, SCRIPTS, AS_OF_SCRIPT) + """,
+unresolved AS (
+  SELECT script_id, '${dt-0' || CAST(event_id % 3 AS VARCHAR) || '}' AS placeholder
+  FROM scripts WHERE event_id % 9 = 0
+  UNION ALL
+  SELECT script_id, '${unknown_' || event_type || '}' FROM scripts
+  WHERE event_id % 9 <> 0 AND event_id % 11 = 0
+  UNION ALL
+  SELECT s.script_id, '${prj.p' || s.k5 || '}' FROM scripts s
+  JOIN look l ON l.script_id = s.script_id AND l.rn = 1 WHERE l.value IS NULL),
+policy AS (""" + ORACLES["policy_check"] + """),
+segs AS (""" + ORACLES["valid_segments"] + """)
+SELECT 'script' AS subject_type, CAST(script_id AS VARCHAR) AS subject_id,
+  'unresolved_variable' AS rule, placeholder AS detail FROM unresolved
+UNION ALL
+SELECT 'script', CAST(script_id AS VARCHAR), 'render_error', 'variable ${hr} requires --biz-hour'
+FROM scripts WHERE biz_hour IS NULL
+UNION ALL
+SELECT 'task', task_id, 'conf_rejected', key || ': ' || verdict FROM policy WHERE verdict <> 'accepted'
+UNION ALL
+SELECT 'page', CAST(page_id AS VARCHAR), 'bad_segment', segment FROM segs WHERE NOT ok"""

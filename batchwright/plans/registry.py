@@ -288,3 +288,181 @@ def q_month_archive(spark, sf_dir):
     return t.groupBy("m").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(F.when(W.is_expired("o_orderdate", 365, "2001-01-01 00:00:00"), 1)).alias("n_expired"))
+
+
+# ---------------------------------------------------------------- task metadata audits
+from batchwright.operators import lifecycle as LC  # noqa: E402
+from batchwright.operators.dedup import current_state, dedupe_triggers, first_result  # noqa: E402
+
+
+def _ievents(spark, sf_dir):
+    return S.instance_events(load(spark, sf_dir, "events"))
+
+
+def _runs(spark, sf_dir):
+    return S.runs(load(spark, sf_dir, "events"))
+
+
+@register("transition_audit")
+def q_transition_audit(spark, sf_dir):
+    return LC.transition_counts(_ievents(spark, sf_dir))
+
+
+@register("current_state")
+def q_current_state(spark, sf_dir):
+    return current_state(_ievents(spark, sf_dir))
+
+
+@register("published_pointer")
+def q_published_pointer(spark, sf_dir):
+    return LC.published_pointer(S.task_versions(load(spark, sf_dir, "orders")))
+
+
+@register("peak_running")
+def q_peak_running(spark, sf_dir):
+    return LC.peak_running(_runs(spark, sf_dir))
+
+
+@register("sla_breaches")
+def q_sla_breaches(spark, sf_dir):
+    return (LC.sla_breaches(_runs(spark, sf_dir), 1800, "2024-02-01 00:00:00")
+            .select("event_id", "instance_id", "run_s", "still_running"))
+
+
+@register("trigger_dedupe")
+def q_trigger_dedupe(spark, sf_dir):
+    t = S.triggers(load(spark, sf_dir, "events"))
+    return dedupe_triggers(t).select("instance_id", "task_id", "biz_date", "trigger_source",
+                                     "first_instance_id", "is_duplicate")
+
+
+@register("instance_filter")
+def q_instance_filter(spark, sf_dir):
+    t = S.triggers(load(spark, sf_dir, "events"))
+    return (LC.instances(t, source="backfill", tenants=["1", "2"],
+                         between=("2024-01-05 00:00:00", "2024-01-20 00:00:00"))
+            .select("instance_id", "task_id", "tenant_id", "created_at"))
+
+
+def _day_instances(spark, sf_dir):
+    ev = load(spark, sf_dir, "events")
+    return (ev.groupBy(F.col("user_id").alias("task_id"), F.to_date("ts").alias("biz_date"))
+              .agg(F.bool_or(F.col("event_type") == "purchase").alias("ok")))
+
+
+@register("dependency_ready")
+def q_dependency_ready(spark, sf_dir):
+    inst = _day_instances(spark, sf_dir)
+    tasks = load(spark, sf_dir, "events").select(F.col("user_id").alias("task_id")).distinct()
+    deps = (tasks.select("task_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("_k"))
+                 .select("task_id", (F.col("task_id") - F.col("_k")).alias("upstream_id"),
+                         (F.col("task_id") % 3).cast("int").alias("offset"))
+                 .filter(F.col("upstream_id") >= 0))
+    return LC.ready(inst, deps)
+
+
+@register("registry_reconcile")
+def q_registry_reconcile(spark, sf_dir):
+    a = load(spark, sf_dir, "customer").filter(F.col("c_custkey") % 7 != 0).select(F.col("c_custkey").alias("key"))
+    o = load(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    b = o.select(F.when(F.col("o_orderkey") % 11 == 0, F.col("o_custkey") + 100000)
+                  .otherwise(F.col("o_custkey")).alias("key"))
+    return LC.reconcile(a, b, ["key"])
+
+
+@register("run_compare")
+def q_run_compare(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem")
+    a = li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n"))
+    b = (a.filter(F.col("l_orderkey") % 17 != 0)
+          .withColumn("qty", F.when(F.col("l_orderkey") % 10 == 0, F.col("qty") + 1).otherwise(F.col("qty"))))
+    new = a.filter(F.col("l_orderkey") % 23 == 0).withColumn("l_orderkey", F.col("l_orderkey") + 1000000)
+    return LC.compare_runs(a, b.unionByName(new), ["l_orderkey"], ["qty", "n"])
+
+
+@register("lineage_walk")
+def q_lineage_walk(spark, sf_dir):
+    inst = load(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("version_id"))
+    versions = load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("task_id"),
+        F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("draft_revision_id"))
+    tasks = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"),
+                                                   F.col("c_nationkey").alias("project_id"))
+    projects = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project_id"),
+                                                    F.col("n_name").alias("project_name"))
+    return LC.lineage(inst, versions, tasks, projects).select(
+        "event_id", "version_id", "draft_revision_id", "task_id", "project_id", "project_name")
+
+
+@register("trace_rows")
+def q_trace_rows(spark, sf_dir):
+    ev = load(spark, sf_dir, "events")
+    logs = S.log_lines(ev).select(F.concat(F.lit("trace-"), F.col("instance_id")).alias("trace_id"), "ts",
+                                  F.lit("driver").alias("layer"), F.col("line").alias("detail"))
+    inst = S.instance_events(ev).select("trace_id", "ts", F.lit("instance").alias("layer"),
+                                        F.col("state").alias("detail"))
+    runs = (S.runs(ev).filter(F.col("ended_at").isNotNull())
+            .select("trace_id", F.col("ended_at").alias("ts"), F.lit("run").alias("layer"),
+                    F.concat(F.lit("ended "), F.col("state")).alias("detail")))
+    return LC.trace([logs, inst, runs])
+
+
+@register("run_metrics")
+def q_run_metrics(spark, sf_dir):
+    return LC.run_metrics(_runs(spark, sf_dir))
+
+
+@register("retry_stats")
+def q_retry_stats(spark, sf_dir):
+    return LC.retry_stats(_ievents(spark, sf_dir))
+
+
+@register("trace_coverage")
+def q_trace_coverage(spark, sf_dir):
+    parsed = LG.parse_log(S.log_lines(load(spark, sf_dir, "events")).select("line"))
+    return LC.coverage(parsed, "application_id", by="task_id")
+
+
+@register("daily_counts")
+def q_daily_counts(spark, sf_dir):
+    return LC.daily_counts(_ievents(spark, sf_dir))
+
+
+@register("first_publish")
+def q_first_publish(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("task_id"), F.col("o_orderstatus").alias("revision"),
+        F.col("o_orderpriority").alias("idem_key"), F.col("o_orderkey").alias("result"),
+        F.col("o_orderdate").alias("requested_at"))
+    return first_result(o, ["task_id", "revision", "idem_key"], "requested_at", "result")
+
+
+@register("audit_diff")
+def q_audit_diff(spark, sf_dir):
+    ev = load(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    t = F.concat(F.lit('"t": "'), F.col("event_type"), F.lit('"}'))
+    after = (F.when(F.col("event_id") % 6 == 0, F.concat(F.lit("{"), t))
+              .when(F.col("event_id") % 4 == 0,
+                    F.concat(F.lit('{"k": '), (k.cast("int") + 1).cast("string"), F.lit(", "), t))
+              .otherwise(F.concat(F.lit('{"k": '), k, F.lit(", "), t)))
+    audit = ev.select(F.col("event_id").alias("id"), F.col("props").alias("before_json"),
+                      after.alias("after_json"))
+    return LC.audit_diff(audit)
+
+
+@register("lint_report")
+def q_lint_report(spark, sf_dir):
+    unresolved = q_unresolved_vars(spark, sf_dir).select(
+        F.lit("script").alias("subject_type"), F.col("script_id").cast("string").alias("subject_id"),
+        F.lit("unresolved_variable").alias("rule"), F.col("placeholder").alias("detail"))
+    rendered = q_render_templates(spark, sf_dir).filter(F.col("error").isNotNull()).select(
+        F.lit("script").alias("subject_type"), F.col("script_id").cast("string").alias("subject_id"),
+        F.lit("render_error").alias("rule"), F.col("error").alias("detail"))
+    conf = q_policy_check(spark, sf_dir).filter(F.col("verdict") != "accepted").select(
+        F.lit("task").alias("subject_type"), F.col("task_id").alias("subject_id"),
+        F.lit("conf_rejected").alias("rule"), F.concat(F.col("key"), F.lit(": "), F.col("verdict")).alias("detail"))
+    segs = q_valid_segments(spark, sf_dir).filter(~F.col("ok")).select(
+        F.lit("page").alias("subject_type"), F.col("page_id").cast("string").alias("subject_id"),
+        F.lit("bad_segment").alias("rule"), F.col("segment").alias("detail"))
+    return unresolved.unionByName(rendered).unionByName(conf).unionByName(segs)

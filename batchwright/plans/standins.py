@@ -235,3 +235,19 @@ def log_lines(events: DataFrame) -> DataFrame:
                F.concat(F.lit("--keytab /etc/security/keytabs/u"), u, F.lit(".keytab"))),
     )
     return events.select("event_id", "ts", u.alias("instance_id"), line.alias("line"))
+
+
+def triggers(events: DataFrame) -> DataFrame:
+    """Trigger/instance rows: task by user_id mod 20, source backfill for
+    signups else schedule, scheduled at the hour of ts, one instance per event."""
+    u = F.col("user_id")
+    return events.select(
+        F.col("event_id").alias("instance_id"),
+        F.concat(F.lit("task-"), (u % 20).cast("string")).alias("task_id"),
+        F.date_format("ts", "yyyyMMdd").alias("biz_date"),
+        F.when(F.col("event_type") == "signup", F.lit("backfill")).otherwise(F.lit("schedule")).alias("trigger_source"),
+        F.date_trunc("HOUR", F.col("ts")).alias("scheduled_at"),
+        F.col("ts").alias("created_at"),
+        (u % 10).cast("string").alias("tenant_id"),
+        F.concat(F.lit("application_"), F.col("event_id").cast("string"), F.lit("_"), u.cast("string")).alias("application_id"),
+    )
