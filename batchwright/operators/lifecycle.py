@@ -254,3 +254,15 @@ def audit_diff(df: DataFrame, before: str = "before_json", after: str = "after_j
                      F.when(F.col("v.before").isNull(), F.lit("added"))
                       .when(F.col("v.after").isNull(), F.lit("removed"))
                       .otherwise(F.lit("changed")).alias("change")))
+
+
+def trigger_latency(triggers: DataFrame, by: str = "tenant_id", scheduled: str = "scheduled_at",
+                    created: str = "created_at") -> DataFrame:
+    """Trigger latency (created - scheduled, whole seconds): count and
+    exact P50/P95/P99 per group."""
+    lat = ((F.unix_micros(F.col(created).cast("timestamp"))
+            - F.unix_micros(F.col(scheduled).cast("timestamp"))) / 1_000_000).cast("long")
+    t = triggers.withColumn("latency_s", lat)
+    n = t.groupBy(by).agg(F.count(F.lit(1)).alias("n_triggers"))
+    pct = exact_percentiles(t, [by], "latency_s", [0.5, 0.95, 0.99], ["p50_s", "p95_s", "p99_s"])
+    return n.join(pct, by, "left")

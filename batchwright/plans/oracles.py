@@ -623,3 +623,22 @@ UNION ALL
 SELECT 'task', task_id, 'conf_rejected', key || ': ' || verdict FROM policy WHERE verdict <> 'accepted'
 UNION ALL
 SELECT 'page', CAST(page_id AS VARCHAR), 'bad_segment', segment FROM segs WHERE NOT ok"""
+
+ORACLES["trigger_latency"] = with_(TRIGGERS) + """,
+lat AS (SELECT tenant_id, (epoch_us(created_at) - epoch_us(scheduled_at)) // 1000000 AS latency_s
+        FROM triggers),
+hist AS (SELECT tenant_id, latency_s, count(*) AS c FROM lat GROUP BY 1, 2),
+cum AS (SELECT *, sum(c) OVER (PARTITION BY tenant_id ORDER BY latency_s ROWS UNBOUNDED PRECEDING) AS cm,
+          sum(c) OVER (PARTITION BY tenant_id) AS n FROM hist)
+SELECT tenant_id, CAST(max(n) AS BIGINT) AS n_triggers,
+  min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.5) THEN latency_s END) AS p50_s,
+  min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.95) THEN latency_s END) AS p95_s,
+  min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.99) THEN latency_s END) AS p99_s
+FROM cum GROUP BY tenant_id"""
+
+ORACLES["run_histogram"] = with_(RUNS) + """
+SELECT tenant_id,
+  CAST(CASE WHEN duration_s < 0 THEN 0 WHEN duration_s >= 3600 THEN 13
+            ELSE floor(duration_s / 300) + 1 END AS BIGINT) AS bucket,
+  count(*) AS n_runs
+FROM runs GROUP BY 1, 2"""

@@ -466,3 +466,13 @@ def q_lint_report(spark, sf_dir):
         F.lit("page").alias("subject_type"), F.col("page_id").cast("string").alias("subject_id"),
         F.lit("bad_segment").alias("rule"), F.col("segment").alias("detail"))
     return unresolved.unionByName(rendered).unionByName(conf).unionByName(segs)
+
+
+@register("trigger_latency")
+def q_trigger_latency(spark, sf_dir):
+    return LC.trigger_latency(S.triggers(load(spark, sf_dir, "events")))
+
+
+@register("run_histogram")
+def q_run_histogram(spark, sf_dir):
+    return LC.duration_histogram(_runs(spark, sf_dir))
