@@ -11,8 +11,8 @@ Plan, chosen so a hot key does not land in one task:
    carries the last right value forward to each left row with
    ``last_value(ignore nulls)``: one shuffle, no row multiplication;
 2. for matches in earlier buckets, the last right value of each (keys,
-   bucket) is aggregated (partial aggregation, map-side) and carried across
-   buckets with a window per key over those few per-bucket rows;
+   bucket) comes from the same window; one summary row per (keys, bucket)
+   is carried across buckets with a window per key over those few rows;
 3. the carried value fills left rows that found nothing in their own bucket.
 
 A key with a third of all rows spreads over its buckets; only one (key,
@@ -56,27 +56,28 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts:
     r = r.withColumn("_left", F.lit(None).cast(l_.schema["_left"].dataType))
     both = r.unionByName(l_).withColumn("_b", _bucket(F.col("_t"), bucket))
 
-    # 1. within (keys, bucket)
-    w = (Window.partitionBy(*keys, "_b")
-         .orderBy(F.col("_t").asc(), F.col("_kind").asc(), F.col("_tie").desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    in_bucket = (both.withColumn("_hit", F.last("_val", ignorenulls=True).over(w))
-                 .filter(F.col("_kind") == 1)
-                 .select(*keys, "_b", "_left", "_hit"))
-
-    # 2. last right value of each (keys, bucket), carried to later buckets
-    last_per_bucket = (r.withColumn("_b", _bucket(F.col("_t"), bucket))
-                       .groupBy(*keys, "_b")
-                       .agg(F.max_by("_val", F.struct(F.col("_t"), -F.col("_tie"))).alias("_val"))
-                       .withColumn("_kind", F.lit(1)))
-    left_buckets = (l_.select(*keys, _bucket(F.col("_t"), bucket).alias("_b")).distinct()
-                    .withColumn("_kind", F.lit(0))
-                    .withColumn("_val", F.lit(None).cast(r.schema["_val"].dataType)))
-    wb = (Window.partitionBy(*keys).orderBy(F.col("_b").asc(), F.col("_kind").asc())
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    carry = (last_per_bucket.unionByName(left_buckets)
-             .withColumn("_carry", F.last("_val", ignorenulls=True).over(wb))
-             .filter(F.col("_kind") == 0)
+    # 1. within (keys, bucket): the running last right value for each row,
+    #    and the bucket's final right value, from one window operator (one
+    #    shuffle of left and right; each input is read once).
+    spec = Window.partitionBy(*keys, "_b").orderBy(
+        F.col("_t").asc(), F.col("_kind").asc(), F.col("_tie").desc())
+    running = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    windowed = (both
+                .withColumn("_hit", F.last("_val", ignorenulls=True).over(running))
+                .withColumn("_blast", F.last("_val", ignorenulls=True).over(whole)))
+    in_bucket = windowed.filter(F.col("_kind") == 1).select(*keys, "_b", "_left", "_hit")
+
+    # 2. one row per (keys, bucket) -- grouped on the window's partitioning, so
+    #    no further shuffle -- then carried across buckets per key: only these
+    #    summary rows (at most one per key and bucket) meet in one window.
+    summary = (windowed.groupBy(*keys, "_b")
+               .agg(F.first("_blast", ignorenulls=True).alias("_blast"),
+                    F.max(F.when((F.col("_kind") == 1) & F.col("_hit").isNull(), True)).alias("_need")))
+    wb = (Window.partitionBy(*keys).orderBy("_b")
+          .rowsBetween(Window.unboundedPreceding, -1))
+    carry = (summary.withColumn("_carry", F.last("_blast", ignorenulls=True).over(wb))
+             .filter(F.col("_need") & F.col("_carry").isNotNull())
              .select(*keys, "_b", "_carry"))
 
     # 3. fill from earlier buckets
