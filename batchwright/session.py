@@ -15,6 +15,30 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings for a large cluster (100 TB inputs, ~1000 executors).  Shuffle
+# partitions start high and AQE coalesces them to ~256 MB each at run time;
+# scans split files into 256 MB partitions; skewed join partitions are split.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.sources.partitionOverwriteMode": "static",
+}
+
+
+def apply_cluster_conf(spark: SparkSession, overrides: dict | None = None) -> SparkSession:
+    """Apply ``CLUSTER_CONF`` (plus overrides) to a running session, e.g. one
+    created by spark-submit on the cluster."""
+    for k, v in {**CLUSTER_CONF, **(overrides or {})}.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "batchwright", extra: dict | None = None) -> SparkSession:
     """Session with the settings the library assumes.

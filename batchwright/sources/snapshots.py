@@ -6,9 +6,10 @@ existing version is a conflict and is never overwritten.
 
 The content digest is order independent: row count, the sum of
 ``xxhash64`` over all columns (as a 38-digit decimal, no overflow) and the
-xor of the same hashes.  It is computed by a distributed aggregation on the
-frame that was sent and on the frame read back, so it is stable under any
-repartitioning and never moves data to the driver.
+xor of the same hashes.  The digest of the frame sent is observed during the
+write (``DataFrame.observe``, no second pass over the source); the digest of
+the files read back is a distributed aggregation.  Both are stable under any
+repartitioning and move no data to the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,16 +68,20 @@ def version_path(root: str, env: str, name: str, version: str) -> str:
     return f"{root.rstrip('/')}/{env}/{name}/{version}"
 
 
+def _digest_exprs(df: DataFrame, text_col: str | None = None) -> list[Column]:
+    h = F.xxhash64(*[F.col(c) for c in df.columns])
+    size = F.sum(F.octet_length(text_col)).cast("long") if text_col else F.lit(0).cast("long")
+    return [F.count(F.lit(1)).alias("n_rows"),
+            F.coalesce(size, F.lit(0).cast("long")).alias("byte_size"),
+            F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+             .cast("string").alias("hash_sum"),
+            F.coalesce(F.bit_xor(h), F.lit(0).cast("long")).alias("hash_xor")]
+
+
 def digest(df: DataFrame, text_col: str | None = None) -> DataFrame:
     """One row (n_rows, byte_size, hash_sum, hash_xor); ``byte_size`` is the
     UTF-8 size of ``text_col`` when given."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
-    size = F.sum(F.octet_length(text_col)).cast("long") if text_col else F.lit(0).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.coalesce(size, F.lit(0).cast("long")).alias("byte_size"),
-                  F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
-                   .cast("string").alias("hash_sum"),
-                  F.coalesce(F.bit_xor(h), F.lit(0).cast("long")).alias("hash_xor"))
+    return df.agg(*_digest_exprs(df, text_col))
 
 
 def content_digest(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -110,8 +115,12 @@ def write_version(df: DataFrame, root: str, env: str, name: str, version: str,
     path = version_path(root, env, name, version)
     if _exists(spark, path):
         raise VersionConflict(f"version exists: {path}")
-    df.write.mode("errorifexists").parquet(f"{path}/data")
-    sent = digest(df, text_col).first().asDict()
+    # The digest of what is sent is observed during the write itself (one
+    # pass over the source); the digest of what landed is a second,
+    # independent aggregation over the files read back.
+    obs = Observation("sent")
+    df.observe(obs, *_digest_exprs(df, text_col)).write.mode("errorifexists").parquet(f"{path}/data")
+    sent = {k: (str(v) if k == "hash_sum" else v) for k, v in obs.get.items()}
     got = digest(spark.read.parquet(f"{path}/data"), text_col).first().asDict()
     info = dict(meta or {})
     info.update(env=env, task_id=name, version_id=version, **got)
