@@ -88,14 +88,13 @@ def run_query(spark: SparkSession, sql: str, biz_date: str, biz_hour_text: str |
     hand it to ``spark.sql``.
 
     The text is rendered by the same column function that renders whole
-    template tables (``templates.render``), on a one-row frame, so a previewed
+    template tables (``templates.render``), on a one-row literal frame, so a previewed
     table of scripts and a run of one script produce the same text.
     """
     from batchwright.functions.templates import render
 
-    one = spark.createDataFrame([(sql, biz_date, biz_hour_text)],
-                                "text string, biz_date string, biz_hour string")
-    row = one.select(render("text", "biz_date", "biz_hour").alias("r")).first()["r"]
+    hour = F.lit(biz_hour_text).cast("string")
+    row = spark.range(1).select(render(F.lit(sql), F.lit(biz_date), hour).alias("r")).first()["r"]
     if row["error"]:
         raise ValueError(row["error"])
     if strict and row["unresolved"]:

@@ -642,3 +642,8 @@ SELECT tenant_id,
             ELSE floor(duration_s / 300) + 1 END AS BIGINT) AS bucket,
   count(*) AS n_runs
 FROM runs GROUP BY 1, 2"""
+
+ORACLES["insert_overwrite_partition"] = """
+SELECT event_id AS id,
+  CASE WHEN dt = '20240115' AND hr = '03' THEN '20240114' ELSE 'init' END AS prev_dt, dt, hr
+FROM (SELECT event_id, strftime(ts, '%Y%m%d') AS dt, strftime(ts, '%H') AS hr FROM events) e"""

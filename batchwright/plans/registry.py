@@ -247,7 +247,7 @@ def _events_dt_hr(spark, sf_dir):
 def q_partition_overwrite(spark, sf_dir):
     ev = _events_dt_hr(spark, sf_dir)
     path = scratch_path(spark, "partition_overwrite")
-    W.overwrite_partition(ev, path, partition_cols=["dt", "hr"])
+    W.overwrite_table(ev, path, partition_cols=["dt", "hr"])
     slot = BD.for_date(ev, "20240115").filter(F.col("hr") == "03")
     replacement = slot.select("event_id", F.upper("event_type").alias("event_type"),
                               (F.col("value") * 2).alias("value"))
@@ -476,3 +476,27 @@ def q_trigger_latency(spark, sf_dir):
 @register("run_histogram")
 def q_run_histogram(spark, sf_dir):
     return LC.duration_histogram(_runs(spark, sf_dir))
+
+
+INSERT_PARTITION_SQL = (
+    "INSERT OVERWRITE TABLE {table} PARTITION (dt='${{dt}}', hr='${{hr}}') "
+    "SELECT id, '${{dt-1}}' AS prev_dt FROM staging WHERE dt='${{dt}}' AND hr='${{hr}}'")
+
+
+@register("insert_overwrite_partition")
+def q_insert_overwrite_partition(spark, sf_dir):
+    """A4 + U2 through SQL text: a catalog table partitioned by (dt, hr) is
+    loaded from the whole staging table, then one static partition is
+    replaced by a rendered INSERT OVERWRITE ... PARTITION statement."""
+    import uuid
+    ev = load(spark, sf_dir, "events")
+    staging = ev.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyyMMdd").alias("dt"),
+                        F.date_format("ts", "HH").alias("hr"))
+    staging.createOrReplaceTempView("staging")
+    table = f"bw_demo_{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, table)
+    spark.sql(f"CREATE TABLE {table} (id BIGINT, prev_dt STRING, dt STRING, hr STRING) "
+              f"USING parquet PARTITIONED BY (dt, hr) LOCATION '{path}'")
+    W.insert_into(staging.select("id", F.lit("init").alias("prev_dt"), "dt", "hr"), table, overwrite=True)
+    BD.run_query(spark, INSERT_PARTITION_SQL.format(table=table), "20240115", "03")
+    return spark.table(table)

@@ -38,10 +38,15 @@ def _with_spec(df: DataFrame, spec: Mapping[str, str]) -> DataFrame:
     return df
 
 
-def overwrite_table(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
-    """A3: replace the whole table with ``df`` (columns in ``columns`` order)."""
+def overwrite_table(df: DataFrame, path: str, columns: Sequence[str] | None = None,
+                    partition_cols: Sequence[str] = ()) -> None:
+    """A3: replace the whole table with ``df`` (columns in ``columns`` order),
+    optionally laid out in partitions."""
     out = df.select(*columns) if columns else df
-    out.write.mode("overwrite").parquet(path)
+    w = _clustered(out, list(partition_cols)).write.mode("overwrite")
+    if partition_cols:
+        w = w.option("partitionOverwriteMode", "static").partitionBy(*partition_cols)
+    w.parquet(path)
 
 
 def overwrite_partition(df: DataFrame, path: str, spec: Mapping[str, str] | None = None,
@@ -100,3 +105,10 @@ def is_expired(ts: str, days: int, as_of: str) -> Column:
 def expired(df: DataFrame, ts: str, days: int, as_of: str) -> DataFrame:
     """Rows older than ``days`` before ``as_of`` (retention candidates)."""
     return df.filter(is_expired(ts, days, as_of))
+
+
+def insert_into(df: DataFrame, table: str, overwrite: bool = False) -> None:
+    """A3/A5 on a catalog table: ``INSERT [OVERWRITE] INTO table`` semantics,
+    columns matched by position (``insertInto``), so the select order is the
+    contract."""
+    df.write.insertInto(table, overwrite=overwrite)
