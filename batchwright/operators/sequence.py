@@ -35,15 +35,18 @@ def previous_value(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value:
     keys = list(keys)
     b = df.withColumn("_b", bucket_of(ts, bucket))
     w = Window.partitionBy(*keys, "_b").orderBy(F.col(ts), F.col(tie))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # one window: in-bucket lag, first-row flag, and the bucket's last value
     local = (b.withColumn("_rn", F.row_number().over(w))
-              .withColumn("_lag", F.lag(value).over(w)))
-    last = (b.groupBy(*keys, "_b")
-             .agg(F.max_by(F.col(value), F.struct(F.col(ts), F.col(tie))).alias("_last")))
+              .withColumn("_lag", F.lag(value).over(w))
+              .withColumn("_blast", F.last(value).over(whole)))
+    # one row per (key, bucket), grouped on the window's partitioning
+    summary = local.groupBy(*keys, "_b").agg(F.first("_blast").alias("_blast"))
     wk = Window.partitionBy(*keys).orderBy("_b")
-    carry = last.withColumn("_carry", F.lag("_last").over(wk)).select(*keys, "_b", "_carry")
+    carry = summary.withColumn("_carry", F.lag("_blast").over(wk)).select(*keys, "_b", "_carry")
     return (local.join(carry, [*keys, "_b"], "left")
                  .withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag")))
-                 .drop("_b", "_rn", "_lag", "_carry"))
+                 .drop("_b", "_rn", "_lag", "_carry", "_blast"))
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str,
@@ -51,19 +54,19 @@ def forward_fill(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: s
     """Adds ``out`` = last non-NULL ``value`` at or before the current row."""
     keys = list(keys)
     b = df.withColumn("_b", bucket_of(ts, bucket))
-    w = (Window.partitionBy(*keys, "_b").orderBy(F.col(ts), F.col(tie))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = b.withColumn("_local", F.last(value, ignorenulls=True).over(w))
-    last = (b.filter(F.col(value).isNotNull()).groupBy(*keys, "_b")
-             .agg(F.max_by(F.col(value), F.struct(F.col(ts), F.col(tie))).alias("_last")))
+    w = Window.partitionBy(*keys, "_b").orderBy(F.col(ts), F.col(tie))
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    local = (b.withColumn("_local", F.last(value, ignorenulls=True).over(running))
+              .withColumn("_blast", F.last(value, ignorenulls=True).over(whole)))
+    summary = local.groupBy(*keys, "_b").agg(F.first("_blast", ignorenulls=True).alias("_blast"))
     wk = (Window.partitionBy(*keys).orderBy("_b")
           .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (b.select(*keys, "_b").distinct().join(last, [*keys, "_b"], "left")
-              .withColumn("_carry", F.last("_last", ignorenulls=True).over(wk))
-              .select(*keys, "_b", "_carry"))
+    carry = (summary.withColumn("_carry", F.last("_blast", ignorenulls=True).over(wk))
+             .select(*keys, "_b", "_carry"))
     return (local.join(carry, [*keys, "_b"], "left")
                  .withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
-                 .drop("_b", "_local", "_carry"))
+                 .drop("_b", "_local", "_carry", "_blast"))
 
 
 def running_peak(deltas: DataFrame, keys: Sequence[str], ts: str, delta: str, tie: str,
