@@ -99,4 +99,15 @@ def run_query(spark: SparkSession, sql: str, biz_date: str, biz_hour_text: str |
         raise ValueError(row["error"])
     if strict and row["unresolved"]:
         raise ValueError("SQL contains undeclared variables: " + ", ".join(sorted(row["unresolved"])))
-    return spark.sql(row["text"])
+    if not row["unresolved"]:
+        return spark.sql(row["text"])
+    # Kept placeholders must reach the statement verbatim: Spark's own
+    # ``${...}`` substitution would turn unknown names into empty strings, so
+    # it is switched off for this parse only (spark.sql parses eagerly).
+    key = "spark.sql.variable.substitute"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return spark.sql(row["text"])
+    finally:
+        spark.conf.set(key, before)

@@ -84,3 +84,16 @@ def test_render_is_idempotent(spark):
     (r1,) = _render(spark, [("select '${dt}', '${date-3}', '${prj.x}'", "20260301", None)])
     (r2,) = _render(spark, [(r1["text"], "20260301", None)])
     assert r2["text"] == r1["text"]
+
+
+def test_run_query_strict_and_lenient(spark):
+    from batchwright.functions.bizdate import run_query
+    r = run_query(spark, "SELECT '${dt}' AS d, '${dt-1}' AS y", "20260613").first()
+    assert (r["d"], r["y"]) == ("20260613", "20260612")
+    with pytest.raises(ValueError, match="undeclared"):
+        run_query(spark, "SELECT '${x}' AS v", "20260613")
+    with pytest.raises(ValueError, match="requires --biz-hour"):
+        run_query(spark, "SELECT '${hr}' AS h", "20260613")
+    kept = run_query(spark, "SELECT '${x}' AS v, '${dt}' AS d", "20260613", strict=False).first()
+    assert (kept["v"], kept["d"]) == ("${x}", "20260613")
+    assert spark.conf.get("spark.sql.variable.substitute", "true") == "true"
