@@ -2,18 +2,24 @@
 
 For each left row: the right row with the same keys and the greatest
 ``right_ts <= left_ts``; among equal ``right_ts`` the smallest ``tie`` (the
-first one stored) wins.  Left rows without such a row keep NULLs.
-
-Plan, chosen so a hot key does not land in one task:
-
-1. left and right rows are unioned and bucketed by time (day by default);
-   a window over (keys, bucket) ordered by (ts, right-before-left, tie desc)
-   carries the last right value forward to each left row with
-   ``last_value(ignore nulls)``: one shuffle, no row multiplication;
-2. for matches in earlier buckets, the last right value of each (keys,
-   bucket) comes from the same window; one summary row per (keys, bucket)
-   is carried across buckets with a window per key over those few rows;
-3. the carried value fills left rows that found nothing in their own bucket.
+first one stored) wins.  Left rows without such a row keep NULLs, and so do
+left rows whose time is NULL.
+
+Plan, chosen so a hot key does not land in one task and the big inputs are
+shuffled once:
+
+1. carry (small): the last right value of each (keys, time bucket), a
+   partial aggregation with ``max_by``, and the (keys, bucket) pairs that hold
+   left rows, a partial ``distinct``.  A window per key over these summary
+   rows (at most one per key and bucket) gives every left bucket the last
+   right value of all *earlier* buckets;
+2. that carried value enters the main input as one synthetic right row at
+   the start of its bucket;
+3. main: left rows, right rows and carry rows are unioned and a window over
+   (keys, bucket) ordered by (ts, right-before-left, tie desc) takes the last
+   right value up to each left row with ``last_value(ignore nulls)``.  This
+   is the only shuffle of the big inputs; rows are never multiplied and no
+   join follows.
 
 A key with a third of all rows spreads over its buckets; only one (key,
 bucket) pair is ever sorted by one task.
@@ -30,7 +36,7 @@ _BUCKETS = {"day": "DAY", "hour": "HOUR", "month": "MONTH", "year": "YEAR", "wee
 
 
 def _bucket(ts: Column, bucket: str) -> Column:
-    return F.date_trunc(_BUCKETS[bucket], ts.cast("timestamp_ntz"))
+    return F.date_trunc(_BUCKETS[bucket], ts.cast("timestamp_ntz")).cast("timestamp_ntz")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str,
@@ -43,49 +49,51 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts:
     tie_col = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
     val = F.struct(F.col(right_ts).alias("_rts"), *[F.col(c) for c in right_cols])
 
-    r = right.select(*[F.col(k) for k in keys],
-                     F.col(right_ts).cast("timestamp_ntz").alias("_t"),
-                     F.lit(0).alias("_kind"), tie_col.alias("_tie"),
-                     val.alias("_val"), F.lit(None).alias("_left"))
-    lstruct = F.struct(*[F.col(c) for c in lcols])
+    r = (right.select(*[F.col(k) for k in keys],
+                      F.col(right_ts).cast("timestamp_ntz").alias("_t"),
+                      F.lit(0).alias("_kind"), tie_col.alias("_tie"), val.alias("_val"))
+              .filter(F.col("_t").isNotNull())
+              .withColumn("_b", _bucket(F.col("_t"), bucket)))
     l_ = left.select(*[F.col(k) for k in keys],
                      F.col(left_ts).cast("timestamp_ntz").alias("_t"),
-                     F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_tie"),
-                     F.lit(None).cast(r.schema["_val"].dataType).alias("_val"),
-                     lstruct.alias("_left"))
-    r = r.withColumn("_left", F.lit(None).cast(l_.schema["_left"].dataType))
-    both = r.unionByName(l_).withColumn("_b", _bucket(F.col("_t"), bucket))
-
-    # 1. within (keys, bucket): the running last right value for each row,
-    #    and the bucket's final right value, from one window operator (one
-    #    shuffle of left and right; each input is read once).
-    spec = Window.partitionBy(*keys, "_b").orderBy(
-        F.col("_t").asc(), F.col("_kind").asc(), F.col("_tie").desc())
-    running = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    windowed = (both
-                .withColumn("_hit", F.last("_val", ignorenulls=True).over(running))
-                .withColumn("_blast", F.last("_val", ignorenulls=True).over(whole)))
-    in_bucket = windowed.filter(F.col("_kind") == 1).select(*keys, "_b", "_left", "_hit")
-
-    # 2. one row per (keys, bucket) -- grouped on the window's partitioning, so
-    #    no further shuffle -- then carried across buckets per key: only these
-    #    summary rows (at most one per key and bucket) meet in one window.
-    summary = (windowed.groupBy(*keys, "_b")
-               .agg(F.first("_blast", ignorenulls=True).alias("_blast"),
-                    F.max(F.when((F.col("_kind") == 1) & F.col("_hit").isNull(), True)).alias("_need")))
-    wb = (Window.partitionBy(*keys).orderBy("_b")
+                     F.lit(1).alias("_kind"), F.struct(*[F.col(c) for c in lcols]).alias("_left"))
+    l_ = l_.withColumn("_b", _bucket(F.col("_t"), bucket))
+    val_type = r.schema["_val"].dataType
+    left_type = l_.schema["_left"].dataType
+
+    # 1. carry from earlier buckets, computed on summary rows only.  The last
+    #    right row of a bucket is the greatest (ts, tie NULL last, -tie), the
+    #    same row the main window's order puts last.
+    last_order = F.struct(F.col("_t"), F.col("_tie").isNull(), -F.col("_tie"))
+    r_last = (r.groupBy(*keys, "_b").agg(F.max_by("_val", last_order).alias("_last"))
+               .withColumn("_k", F.lit(0)))
+    l_buckets = (l_.filter(F.col("_t").isNotNull()).select(*keys, "_b").distinct()
+                   .withColumn("_k", F.lit(1)).withColumn("_last", F.lit(None).cast(val_type)))
+    wk = (Window.partitionBy(*keys).orderBy(F.col("_b").asc(), F.col("_k").desc())
           .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (summary.withColumn("_carry", F.last("_blast", ignorenulls=True).over(wb))
-             .filter(F.col("_need") & F.col("_carry").isNotNull())
-             .select(*keys, "_b", "_carry"))
-
-    # 3. fill from earlier buckets
-    out = in_bucket.join(carry, [*keys, "_b"], "left")
-    hit = F.coalesce(F.col("_hit"), F.col("_carry"))
+    carry = (r_last.unionByName(l_buckets)
+             .withColumn("_carry", F.last("_last", ignorenulls=True).over(wk))
+             .filter((F.col("_k") == 1) & F.col("_carry").isNotNull()))
+
+    # 2. one synthetic right row per left bucket, sorted before every real row
+    synth = carry.select(*keys, F.col("_b").alias("_t"), F.lit(-1).alias("_kind"),
+                         F.lit(None).cast("long").alias("_tie"), F.col("_carry").alias("_val"),
+                         F.lit(None).cast(left_type).alias("_left"), "_b")
+    r = r.withColumn("_left", F.lit(None).cast(left_type))
+    l_ = (l_.withColumn("_tie", F.lit(None).cast("long"))
+            .withColumn("_val", F.lit(None).cast(val_type)))
+    cols = [*keys, "_t", "_kind", "_tie", "_val", "_left", "_b"]
+    both = r.select(*cols).unionByName(l_.select(*cols)).unionByName(synth.select(*cols))
+
+    # 3. the one shuffle of the big inputs: partitioned by (keys, bucket)
+    spec = (Window.partitionBy(*keys, "_b")
+            .orderBy(F.col("_t").asc(), F.col("_kind").asc(), F.col("_tie").desc())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = (both.withColumn("_hit", F.last("_val", ignorenulls=True).over(spec))
+               .filter(F.col("_kind") == 1))
     return out.select(*[F.col("_left")[c].alias(c) for c in lcols],
-                      *[hit[c].alias(c) for c in right_cols],
-                      hit["_rts"].alias(f"matched_{right_ts}"))
+                      *[F.col("_hit")[c].alias(c) for c in right_cols],
+                      F.col("_hit")["_rts"].alias(f"matched_{right_ts}"))
 
 
 def lock_versions(instances: DataFrame, versions: DataFrame, bucket: str = "day") -> DataFrame:

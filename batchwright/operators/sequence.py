@@ -10,7 +10,10 @@ the bucket borders with a small per-(key, bucket) summary:
 * ``running_peak``: the maximum of a running sum of +1/-1 deltas, E6.
 
 The summaries hold one row per (key, bucket), so the cross-bucket windows
-see at most the number of buckets per key (days in the history).
+see at most the number of buckets per key (days in the history).  For lag
+and forward fill, the value carried over from earlier buckets enters the
+main window as one synthetic row at the start of its bucket, so the input
+is shuffled and sorted once and no join follows the main window.
 """
 
 from __future__ import annotations
@@ -28,25 +31,30 @@ def bucket_of(ts: str | Column, bucket: str = "day") -> Column:
     return F.date_trunc(_UNITS[bucket], c.cast("timestamp_ntz"))
 
 
+def _with_carry(b: DataFrame, carry: DataFrame, value: str) -> DataFrame:
+    """Real rows (``_syn`` 1) plus one synthetic row (``_syn`` 0) holding the
+    carried value in ``value`` for every bucket in ``carry``."""
+    synth = carry.select(*[c for c in carry.columns if c != "_carry"],
+                         F.col("_carry").alias(value), F.lit(0).alias("_syn"))
+    return b.withColumn("_syn", F.lit(1)).unionByName(synth, allowMissingColumns=True)
+
+
 def previous_value(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str,
                    out: str = "prev", bucket: str = "day") -> DataFrame:
     """Adds ``out`` = ``value`` of the previous row of the same key in
     (ts, tie) order; NULL for the first row of a key."""
     keys = list(keys)
     b = df.withColumn("_b", bucket_of(ts, bucket))
-    w = Window.partitionBy(*keys, "_b").orderBy(F.col(ts), F.col(tie))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # one window: in-bucket lag, first-row flag, and the bucket's last value
-    local = (b.withColumn("_rn", F.row_number().over(w))
-              .withColumn("_lag", F.lag(value).over(w))
-              .withColumn("_blast", F.last(value).over(whole)))
-    # one row per (key, bucket), grouped on the window's partitioning
-    summary = local.groupBy(*keys, "_b").agg(F.first("_blast").alias("_blast"))
+    # last value of each (key, bucket): partial aggregation; then per key the
+    # previous bucket's last value for every bucket but the first
+    last = b.groupBy(*keys, "_b").agg(F.max_by(F.col(value), F.struct(F.col(ts), F.col(tie))).alias("_last"))
     wk = Window.partitionBy(*keys).orderBy("_b")
-    carry = summary.withColumn("_carry", F.lag("_blast").over(wk)).select(*keys, "_b", "_carry")
-    return (local.join(carry, [*keys, "_b"], "left")
-                 .withColumn(out, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag")))
-                 .drop("_b", "_rn", "_lag", "_carry", "_blast"))
+    carry = (last.withColumn("_carry", F.lag("_last").over(wk))
+                 .withColumn("_rn", F.row_number().over(wk))
+                 .filter(F.col("_rn") > 1).select(*keys, "_b", "_carry"))
+    w = Window.partitionBy(*keys, "_b").orderBy(F.col("_syn"), F.col(ts), F.col(tie))
+    return (_with_carry(b, carry, value).withColumn(out, F.lag(value).over(w))
+            .filter(F.col("_syn") == 1).drop("_b", "_syn"))
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str,
@@ -54,19 +62,17 @@ def forward_fill(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: s
     """Adds ``out`` = last non-NULL ``value`` at or before the current row."""
     keys = list(keys)
     b = df.withColumn("_b", bucket_of(ts, bucket))
-    w = Window.partitionBy(*keys, "_b").orderBy(F.col(ts), F.col(tie))
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    local = (b.withColumn("_local", F.last(value, ignorenulls=True).over(running))
-              .withColumn("_blast", F.last(value, ignorenulls=True).over(whole)))
-    summary = local.groupBy(*keys, "_b").agg(F.first("_blast", ignorenulls=True).alias("_blast"))
+    v = F.col(value)
+    last = b.groupBy(*keys, "_b").agg(
+        F.max_by(v, F.when(v.isNotNull(), F.struct(F.col(ts), F.col(tie)))).alias("_last"))
     wk = (Window.partitionBy(*keys).orderBy("_b")
           .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (summary.withColumn("_carry", F.last("_blast", ignorenulls=True).over(wk))
-             .select(*keys, "_b", "_carry"))
-    return (local.join(carry, [*keys, "_b"], "left")
-                 .withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
-                 .drop("_b", "_local", "_carry", "_blast"))
+    carry = (last.withColumn("_carry", F.last("_last", ignorenulls=True).over(wk))
+                 .filter(F.col("_carry").isNotNull()).select(*keys, "_b", "_carry"))
+    w = (Window.partitionBy(*keys, "_b").orderBy(F.col("_syn"), F.col(ts), F.col(tie))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (_with_carry(b, carry, value).withColumn(out, F.last(value, ignorenulls=True).over(w))
+            .filter(F.col("_syn") == 1).drop("_b", "_syn"))
 
 
 def running_peak(deltas: DataFrame, keys: Sequence[str], ts: str, delta: str, tie: str,

@@ -57,6 +57,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Local data is small: without this AQE merges a rebalance before a
+        # partitioned write into one or two tasks, which then open every
+        # partition's file one after another.  Cluster sizes: CLUSTER_CONF.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", str(64 << 10))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -66,3 +66,18 @@ def test_running_peak(spark, runs):
             run += d[2]
             best = max(best, run)
         assert got[k] == best
+
+
+def test_as_of_null_times_never_match(spark):
+    t = BASE + dt.timedelta(days=3)
+    rdf = spark.createDataFrame(
+        [("k", None, "vnull", 0), ("k", BASE, "v0", 1), ("k", BASE + dt.timedelta(days=1), "v1", 2),
+         ("k", BASE + dt.timedelta(days=1), "v1b", 1)],
+        "k string, eff timestamp_ntz, value string, seq long")
+    ldf = spark.createDataFrame([(1, "k", None), (2, "k", t), (3, "k", BASE - dt.timedelta(hours=1)),
+                                 (4, "other", t)], "id long, k string, at timestamp_ntz")
+    got = {r["id"]: (r["value"], r["matched_eff"])
+           for r in as_of_join(ldf, rdf, ["k"], "at", "eff", ["value"], tie="seq").collect()}
+    # id 2: two rows share the latest time; the smaller seq (stored first) wins
+    assert got == {1: (None, None), 2: ("v1b", BASE + dt.timedelta(days=1)), 3: (None, None),
+                   4: (None, None)}
