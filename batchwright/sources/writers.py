@@ -110,5 +110,10 @@ def expired(df: DataFrame, ts: str, days: int, as_of: str) -> DataFrame:
 def insert_into(df: DataFrame, table: str, overwrite: bool = False) -> None:
     """A3/A5 on a catalog table: ``INSERT [OVERWRITE] INTO table`` semantics,
     columns matched by position (``insertInto``), so the select order is the
-    contract."""
-    df.write.insertInto(table, overwrite=overwrite)
+    contract.  Rows of a partitioned table are rebalanced on its partition
+    columns first, as in the path writers."""
+    target = df.sparkSession.catalog.listColumns(table)
+    # columns match by position, so the table's partition columns are fed by
+    # the select's columns at the same positions
+    cols = [df.columns[i] for i, c in enumerate(target) if c.isPartition and i < len(df.columns)]
+    _clustered(df, cols).write.insertInto(table, overwrite=overwrite)
