@@ -10,6 +10,8 @@ that order.  No Python runs per row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,10 @@ CATALOG = [
 ]
 PROJECT_PREFIX = "prj."
 
+# Error text of a blocked bake and of a strict render.
+BAKE_BLOCKED = "publish blocked - unknown placeholders: "
+UNDECLARED = "SQL contains undeclared variables: "
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -45,13 +51,28 @@ def placeholder_name(p: Column) -> Column:
     return p.substr(F.lit(3), F.length(p) - F.lit(3))
 
 
+def _literal_text(body: str) -> str:
+    return re.sub(r"\\(.)", r"\1", body)
+
+
+def _catalog_test(p: Column, pattern: str) -> Column:
+    """Full match of ``p`` against one catalog pattern.  A pattern without
+    regex operators is plain text and compares by equality; otherwise its
+    literal prefix is checked first, so the regex only runs on candidates."""
+    body = pattern[1:-1]  # the catalog patterns are anchored ^...$
+    if not re.search(r"[\[\](){}|*+?.^$]", re.sub(r"\\.", "", body)):
+        return p == F.lit(_literal_text(body))
+    prefix = _literal_text(re.match(r"(?:\\.|[^\\\[\](){}|*+?.^$])*", body).group(0))
+    return p.startswith(prefix) & p.rlike(pattern)
+
+
 def match_catalog(p: Column) -> Column:
     """Name of the first catalog variable whose pattern fully matches the
     placeholder, NULL when none does.  The catalog is a fixed list, so the
     match is a CASE chain inside the projection: no join, no shuffle."""
     expr = None
     for name, pattern, _ in CATALOG:
-        cond = p.rlike(pattern)
+        cond = _catalog_test(p, pattern)
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr
 
@@ -155,46 +176,67 @@ def bake(scripts: DataFrame, variables: DataFrame, id_col: str = "script_id",
     ``var_versions`` (``name=version`` pairs sorted by name, each once) and
     ``unresolved`` (sorted, comma-joined).
 
-    Plan: placeholders are exploded (a few per script), the project ones are
-    resolved with the time-bucketed as-of join, the per-script results are
-    collected (bounded by the distinct placeholders of one script) and joined
-    back to the scripts once, where ``aggregate`` applies them in order.
+    Plan: only the project placeholders are exploded (a few per script) and
+    resolved with the time-bucketed as-of join; their results are collected
+    per script (bounded by the distinct placeholders of one script) and
+    joined back to the scripts once, where ``aggregate`` applies them in
+    order of first appearance.  Runtime placeholders never leave their row:
+    the undeclared ones are found in the final projection.
     """
     from batchwright.operators.asof import as_of_join
 
-    ph = (scripts.select(id_col, project_col, at_col,
-                         F.posexplode(placeholders(text_col)).alias("pos", "placeholder"))
-          .withColumn("name", placeholder_name(F.col("placeholder"))))
-    prj = ph.filter(F.col("name").startswith(PROJECT_PREFIX))
-    other = ph.filter(~F.col("name").startswith(PROJECT_PREFIX))
+    def is_project(p: Column) -> Column:
+        return placeholder_name(p).startswith(PROJECT_PREFIX)
+
+    prj = (scripts.select(id_col, project_col, at_col,
+                          F.posexplode(F.filter(placeholders(text_col), is_project)).alias("pos", "placeholder"))
+           .withColumn("name", placeholder_name(F.col("placeholder"))))
     resolved = as_of_join(prj, variables.withColumnRenamed("project_id", project_col),
                           keys=[project_col, "name"], left_ts=at_col, right_ts="effective_at",
                           right_cols=["value", "version"], tie="seq", bucket=bucket)
-    resolved = resolved.select(
-        id_col, "pos", "placeholder", "name", "value", "version",
-        F.col("value").isNull().alias("missing"))
-    runtime = other.select(
-        id_col, "pos", "placeholder", "name",
-        F.lit(None).cast("string").alias("value"), F.lit(None).cast("int").alias("version"),
-        match_catalog(F.col("placeholder")).isNull().alias("missing"))
-    per_script = (resolved.unionByName(runtime)
-                  .groupBy(id_col)
-                  .agg(F.array_sort(F.collect_list(F.struct(
-                       "pos", "placeholder", "name", "value", "version", "missing"))).alias("items")))
+    per_script = (resolved.groupBy(id_col)
+                  .agg(F.array_sort(F.collect_list(F.struct("pos", "placeholder", "name", "value", "version")))
+                       .alias("items")))
     per_script = per_script.select(
         id_col,
         F.filter("items", lambda x: x["value"].isNotNull()).alias("repl"),
-        failures(F.transform(F.filter("items", lambda x: x["missing"]),
-                             lambda x: x["placeholder"])).alias("unresolved"),
+        F.transform(F.filter("items", lambda x: x["value"].isNull()), lambda x: x["placeholder"]).alias("_missing"),
         F.array_join(F.array_sort(F.transform(
             F.filter("items", lambda x: x["version"].isNotNull()),
             lambda x: F.concat(x["name"], F.lit("="), x["version"].cast("string")))), ",").alias("var_versions"),
     )
     out = scripts.join(per_script, id_col, "left")
+    undeclared = F.filter(placeholders(text_col), lambda p: ~is_project(p) & match_catalog(p).isNull())
+    empty = F.array().cast("array<string>")
     baked = F.aggregate(F.coalesce(F.col("repl"), F.array().cast(
-        "array<struct<pos:int,placeholder:string,name:string,value:string,version:int,missing:boolean>>")),
+        "array<struct<pos:int,placeholder:string,name:string,value:string,version:int>>")),
         F.col(text_col), lambda acc, x: F.replace(acc, x["placeholder"], x["value"]))
-    return (out.withColumn("unresolved", F.coalesce(F.col("unresolved"), F.lit("")))
+    return (out.withColumn("unresolved", failures(F.concat(F.coalesce(F.col("_missing"), empty), undeclared)))
                .withColumn("var_versions", F.coalesce(F.col("var_versions"), F.lit("")))
                .withColumn("baked", F.when(F.col("unresolved") == "", baked))
-               .drop("repl"))
+               .drop("repl", "_missing"))
+
+
+def preview(scripts: DataFrame, variables: DataFrame, biz_date: str | Column = "biz_date",
+            hour: str | Column | None = "biz_hour", id_col: str = "script_id",
+            text_col: str = "text", **bake_kw) -> DataFrame:
+    """H14 then H13: the text a run would execute, from the same functions the
+    run uses, so preview and run agree character for character.
+
+    Baking is blocked by any unresolved placeholder.  Rendering is strict: a
+    missing or invalid input wins (first in placeholder order), then any
+    undeclared placeholder left in the baked text (a baked value may bring
+    placeholders of its own; catalog ones are rendered).
+
+    Returns (id, preview, error): ``preview`` is NULL exactly when ``error``
+    is set.
+    """
+    baked = bake(scripts, variables, id_col=id_col, text_col=text_col, **bake_kw)
+    r = render(F.col("baked"), biz_date, hour)
+    error = (F.when(F.col("unresolved") != "", F.concat(F.lit(BAKE_BLOCKED), F.col("unresolved")))
+              .when(F.col("_r.error").isNotNull(), F.col("_r.error"))
+              .when(F.size("_r.unresolved") > 0,
+                    F.concat(F.lit(UNDECLARED), failures(F.col("_r.unresolved")))))
+    return (baked.select(id_col, "unresolved", r.alias("_r"))
+                 .select(id_col, error.alias("error"), F.col("_r.text").alias("_text"))
+                 .select(id_col, F.when(F.col("error").isNull(), F.col("_text")).alias("preview"), "error"))

@@ -647,3 +647,26 @@ ORACLES["insert_overwrite_partition"] = """
 SELECT event_id AS id,
   CASE WHEN dt = '20240115' AND hr = '03' THEN '20240114' ELSE 'init' END AS prev_dt, dt, hr
 FROM (SELECT event_id, strftime(ts, '%Y%m%d') AS dt, strftime(ts, '%H') AS hr FROM events) e"""
+
+ORACLES["preview_templates"] = with_(PROJECT_VARIABLES, SCRIPTS, AS_OF_SCRIPT, """
+b AS (
+  SELECT s.script_id, s.biz_hour, s.dd, s.k40, s.k7,
+    replace(s.text, '${prj.p' || s.k5 || '}', l.value) AS baked,
+    array_to_string(list_sort(list_filter([
+        CASE WHEN s.event_id % 9 = 0 THEN '${dt-0' || CAST(s.event_id % 3 AS VARCHAR) || '}' END,
+        CASE WHEN l.value IS NULL THEN '${prj.p' || s.k5 || '}' END,
+        CASE WHEN s.event_id % 9 <> 0 AND s.event_id % 11 = 0 THEN '${unknown_' || s.event_type || '}' END],
+      lambda x: x IS NOT NULL)), ', ') AS unresolved
+  FROM scripts s JOIN look l ON l.script_id = s.script_id AND l.rn = 1)""") + """
+SELECT script_id,
+  CASE WHEN unresolved = '' AND biz_hour IS NOT NULL THEN
+    replace(replace(replace(replace(replace(replace(baked,
+      '${dt}', strftime(dd, '%Y%m%d')),
+      '${hr}', biz_hour),
+      '${dt-' || CAST(k40 AS VARCHAR) || '}', strftime(dd - k40, '%Y%m%d')),
+      '${date-' || CAST(k7 AS VARCHAR) || '}', strftime(dd - k7, '%Y-%m-%d')),
+      '${month}', strftime(dd, '%Y%m')),
+      '${date}', strftime(dd, '%Y-%m-%d')) END AS preview,
+  CASE WHEN unresolved <> '' THEN 'publish blocked - unknown placeholders: ' || unresolved
+       WHEN biz_hour IS NULL THEN 'variable ${hr} requires --biz-hour' END AS error
+FROM b"""

@@ -146,6 +146,12 @@ def q_bake_templates(spark, sf_dir):
     return TM.bake(sc, variables).select("script_id", "baked", "var_versions", "unresolved")
 
 
+@register("preview_templates")
+def q_preview_templates(spark, sf_dir):
+    variables = S.project_variables(load(spark, sf_dir, "orders"))
+    return TM.preview(_scripts(spark, sf_dir), variables)
+
+
 @register("unresolved_vars")
 def q_unresolved_vars(spark, sf_dir):
     baked = q_bake_templates(spark, sf_dir)

@@ -89,3 +89,36 @@ def test_ready_needs_every_upstream_succeeded(spark):
     got = {r["task_id"]: r["state"] for r in LC.ready(inst, deps).filter(F.col("biz_date") == d(2026, 6, 13)).collect()}
     assert got == {"A": "submitting", "B": "submitting", "C": "waiting_dependency",
                    "D": "submitting", "E": "waiting_dependency"}
+
+
+def test_preview_bakes_then_renders(spark):
+    from batchwright.functions.templates import preview
+    sc = spark.createDataFrame([
+        (1, "p1", D(2026, 6, 14), "20260614", "03", "select '${dt-1}', '${hr}' from ${prj.db}.t"),
+        (2, "p1", D(2026, 6, 14), "20260614", "03", "select * from ${prj.late}"),
+        (3, "p1", D(2026, 6, 14), "20260614", None, "select '${hr}'"),
+        (4, "p1", D(2026, 6, 14), "20260614", "03", "${prj.dated}"),
+        (5, "p1", D(2026, 6, 14), "20260614", "03", "${prj.nested}"),
+        (6, "p1", D(2026, 6, 14), "20260614", None, "${prj.nested} ${hr}"),
+    ], "script_id long, project_id string, at timestamp_ntz, biz_date string, biz_hour string, text string")
+    vars_ = spark.createDataFrame([("p1", "prj.dated", "db_${dt}", 1, D(2026, 1, 1), 9)], VAR_SCHEMA)
+    out = {r["script_id"]: r for r in preview(sc, _vars(spark).unionByName(vars_)).collect()}
+    assert out[1]["preview"] == "select '20260613', '03' from warehouse_v2.t" and out[1]["error"] is None
+    assert out[2]["preview"] is None and out[2]["error"] == "publish blocked - unknown placeholders: ${prj.late}"
+    assert out[3]["preview"] is None and out[3]["error"] == "variable ${hr} requires --biz-hour"
+    # a catalog placeholder inside a baked value is rendered by the preview;
+    # a project one is not baked again, so the strict render rejects it,
+    # unless a missing input comes first
+    assert out[4]["preview"] == "db_20260614"
+    assert out[5]["preview"] is None and out[5]["error"] == "SQL contains undeclared variables: ${prj.db}"
+    assert out[6]["error"] == "variable ${hr} requires --biz-hour"
+
+
+def test_catalog_match_literal_and_parameterised(spark):
+    from batchwright.functions.templates import match_catalog
+    cases = ["${dt}", "${date}", "${month}", "${hr}", "${dt-0}", "${dt-7}", "${dt-07}", "${date-365}",
+             "${date-}", "${dt-1abc}", "${DT}", "${dtx}", "${prj.a}"]
+    want = ["dt", "date", "month", "hr", "dt-N", "dt-N", None, "date-N", None, None, None, None, None]
+    df = spark.createDataFrame([(c,) for c in cases], "p string")
+    got = [r[0] for r in df.select(match_catalog(F.col("p"))).collect()]
+    assert got == want
