@@ -30,6 +30,10 @@ CATALOG = [
     ("hr", r"^\$\{hr\}$", "biz_hour"),
 ]
 PROJECT_PREFIX = "prj."
+# The placeholders of SCAN_PATTERN whose name starts with PROJECT_PREFIX.
+# Tokens never overlap or contain "$", so this finds exactly those, in the
+# same order; its literal start lets the regex engine skip ahead.
+PROJECT_SCAN_PATTERN = r"\$\{prj\.[A-Za-z0-9_.\-]*\}"
 
 # Error text of a blocked bake and of a strict render.
 BAKE_BLOCKED = "publish blocked - unknown placeholders: "
@@ -188,8 +192,8 @@ def bake(scripts: DataFrame, variables: DataFrame, id_col: str = "script_id",
     def is_project(p: Column) -> Column:
         return placeholder_name(p).startswith(PROJECT_PREFIX)
 
-    prj = (scripts.select(id_col, project_col, at_col,
-                          F.posexplode(F.filter(placeholders(text_col), is_project)).alias("pos", "placeholder"))
+    found = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PROJECT_SCAN_PATTERN), 0))
+    prj = (scripts.select(id_col, project_col, at_col, F.posexplode(found).alias("pos", "placeholder"))
            .withColumn("name", placeholder_name(F.col("placeholder"))))
     resolved = as_of_join(prj, variables.withColumnRenamed("project_id", project_col),
                           keys=[project_col, "name"], left_ts=at_col, right_ts="effective_at",

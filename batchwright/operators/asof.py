@@ -6,44 +6,42 @@ first one stored) wins.  Left rows without such a row keep NULLs, and so do
 left rows whose time is NULL.
 
 Plan, chosen so a hot key does not land in one task and the big inputs are
-shuffled once:
+shuffled once (buckets come from ``sequence.with_buckets``: fixed time slots,
+with any (keys, bucket) over ``max_rows`` rows cut into time slices):
 
 1. carry (small): the last right value of each (keys, time bucket), a
    partial aggregation with ``max_by``, and the (keys, bucket) pairs that hold
    left rows, a partial ``distinct``.  A window per key over these summary
    rows (at most one per key and bucket) gives every left bucket the last
    right value of all *earlier* buckets;
-2. that carried value enters the main input as one synthetic right row at
-   the start of its bucket;
+2. that carried value enters the main input as one synthetic right row with
+   a NULL time, which sorts it first in its bucket;
 3. main: left rows, right rows and carry rows are unioned and a window over
    (keys, bucket) ordered by (ts, right-before-left, tie desc) takes the last
    right value up to each left row with ``last_value(ignore nulls)``.  This
    is the only shuffle of the big inputs; rows are never multiplied and no
    join follows.
 
-A key with a third of all rows spreads over its buckets; only one (key,
-bucket) pair is ever sorted by one task.
+A key with a third of all rows spreads over its buckets, and a bucket with
+a third of all rows over its slices; one task sorts at most one slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKETS = {"day": "DAY", "hour": "HOUR", "month": "MONTH", "year": "YEAR", "week": "WEEK"}
-
-
-def _bucket(ts: Column, bucket: str) -> Column:
-    return F.date_trunc(_BUCKETS[bucket], ts.cast("timestamp_ntz")).cast("timestamp_ntz")
+from batchwright.operators.sequence import MAX_BUCKET_ROWS, with_buckets
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str,
                right_ts: str, right_cols: Sequence[str], tie: str | None = None,
-               bucket: str = "day") -> DataFrame:
+               bucket: str | int = "day", max_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """Left columns plus ``right_cols`` (and ``right_ts`` as
-    ``matched_<right_ts>``) of the active right row.  ``tie`` must be numeric."""
+    ``matched_<right_ts>``) of the active right row.  ``tie`` must be numeric.
+    ``bucket`` / ``max_rows``: time slots of the split (``with_buckets``)."""
     keys = list(keys)
     lcols = left.columns
     tie_col = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
@@ -52,12 +50,11 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts:
     r = (right.select(*[F.col(k) for k in keys],
                       F.col(right_ts).cast("timestamp_ntz").alias("_t"),
                       F.lit(0).alias("_kind"), tie_col.alias("_tie"), val.alias("_val"))
-              .filter(F.col("_t").isNotNull())
-              .withColumn("_b", _bucket(F.col("_t"), bucket)))
+              .filter(F.col("_t").isNotNull()))
     l_ = left.select(*[F.col(k) for k in keys],
                      F.col(left_ts).cast("timestamp_ntz").alias("_t"),
                      F.lit(1).alias("_kind"), F.struct(*[F.col(c) for c in lcols]).alias("_left"))
-    l_ = l_.withColumn("_b", _bucket(F.col("_t"), bucket))
+    r, l_ = with_buckets([r, l_], keys, "_t", bucket, max_rows)
     val_type = r.schema["_val"].dataType
     left_type = l_.schema["_left"].dataType
 
@@ -67,7 +64,7 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts:
     last_order = F.struct(F.col("_t"), F.col("_tie").isNull(), -F.col("_tie"))
     r_last = (r.groupBy(*keys, "_b").agg(F.max_by("_val", last_order).alias("_last"))
                .withColumn("_k", F.lit(0)))
-    l_buckets = (l_.filter(F.col("_t").isNotNull()).select(*keys, "_b").distinct()
+    l_buckets = (l_.filter(F.col("_b").isNotNull()).select(*keys, "_b").distinct()
                    .withColumn("_k", F.lit(1)).withColumn("_last", F.lit(None).cast(val_type)))
     wk = (Window.partitionBy(*keys).orderBy(F.col("_b").asc(), F.col("_k").desc())
           .rowsBetween(Window.unboundedPreceding, -1))
@@ -75,8 +72,9 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts:
              .withColumn("_carry", F.last("_last", ignorenulls=True).over(wk))
              .filter((F.col("_k") == 1) & F.col("_carry").isNotNull()))
 
-    # 2. one synthetic right row per left bucket, sorted before every real row
-    synth = carry.select(*keys, F.col("_b").alias("_t"), F.lit(-1).alias("_kind"),
+    # 2. one synthetic right row per left bucket; its NULL time sorts it
+    #    before every real row of the bucket (real rows there have a time)
+    synth = carry.select(*keys, F.lit(None).cast("timestamp_ntz").alias("_t"), F.lit(0).alias("_kind"),
                          F.lit(None).cast("long").alias("_tie"), F.col("_carry").alias("_val"),
                          F.lit(None).cast(left_type).alias("_left"), "_b")
     r = r.withColumn("_left", F.lit(None).cast(left_type))
@@ -87,7 +85,7 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts:
 
     # 3. the one shuffle of the big inputs: partitioned by (keys, bucket)
     spec = (Window.partitionBy(*keys, "_b")
-            .orderBy(F.col("_t").asc(), F.col("_kind").asc(), F.col("_tie").desc())
+            .orderBy(F.col("_t").asc_nulls_first(), F.col("_kind").asc(), F.col("_tie").desc())
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = (both.withColumn("_hit", F.last("_val", ignorenulls=True).over(spec))
                .filter(F.col("_kind") == 1))
@@ -96,7 +94,7 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts:
                       F.col("_hit")["_rts"].alias(f"matched_{right_ts}"))
 
 
-def lock_versions(instances: DataFrame, versions: DataFrame, bucket: str = "day") -> DataFrame:
+def lock_versions(instances: DataFrame, versions: DataFrame, bucket: str | int = "day") -> DataFrame:
     """The version each instance runs.
 
     ``instances``: (attempt_id, instance_id, task_id, created_at, explicit_version).

@@ -23,12 +23,54 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_UNITS = {"day": "DAY", "hour": "HOUR", "month": "MONTH", "year": "YEAR"}
-
-
-def bucket_of(ts: str | Column, bucket: str = "day") -> Column:
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_trunc(_UNITS[bucket], c.cast("timestamp_ntz"))
+# Fixed lengths of the time buckets, in seconds.  A bucket is only a unit of
+# partitioning, so it needs a fixed length, not a calendar meaning.
+_UNITS = {"hour": 3600, "day": 86400, "week": 7 * 86400}
+# A (key, bucket) with more rows than this is cut into equal time slices.
+MAX_BUCKET_ROWS = 2_000_000
+_OVERSPLIT = 4
+
+
+def _micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 of the wall-clock time: computed on
+    TIMESTAMP_NTZ, so no session time zone takes part."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            ts.cast("timestamp_ntz"))
+
+
+def with_buckets(frames: Sequence[DataFrame], keys: Sequence[str], ts: str, bucket: str | int = "day",
+                 max_rows: int = MAX_BUCKET_ROWS) -> list[DataFrame]:
+    """Adds ``_b`` (a long that grows with time inside a key) to every frame.
+
+    Buckets are fixed time slots (``bucket`` a name in ``_UNITS`` or a length
+    in seconds); ``_b`` is the slot start in microseconds.  A (keys, bucket)
+    holding more than ``max_rows`` rows over all frames is cut into equal
+    time slices over the span its rows cover, ``_OVERSPLIT`` times more than
+    the row count needs, so uneven times still give slices of about
+    ``max_rows`` rows or fewer (rows sharing one instant cannot be cut).  The
+    table of cut buckets has at most (total rows / ``max_rows``) rows, a bound
+    that holds at any input size, so it is broadcast.
+    """
+    keys = list(keys)
+    length = (_UNITS[bucket] if isinstance(bucket, str) else int(bucket)) * 1_000_000
+    based = [f.withColumn("_us", _micros(F.col(ts)))
+              .withColumn("_b", F.col("_us") - F.pmod(F.col("_us"), F.lit(length)))
+             for f in frames]
+    slots = based[0].select(*keys, "_b", "_us")
+    for f in based[1:]:
+        slots = slots.unionByName(f.select(*keys, "_b", "_us"))
+    parts = F.ceil(F.col("_n") / max_rows) * _OVERSPLIT
+    heavy = (slots.filter(F.col("_b").isNotNull()).groupBy(*keys, "_b")
+             .agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
+             .filter(F.col("_n") > max_rows)
+             .select(*keys, "_b", "_lo", F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts).alias("_w")))
+    out = []
+    for f in based:
+        off = F.col("_us") - F.col("_lo")
+        sliced = F.col("_lo") + off - F.pmod(off, F.col("_w"))
+        out.append(f.join(F.broadcast(heavy), [*keys, "_b"], "left")
+                    .withColumn("_b", F.coalesce(sliced, F.col("_b"))).drop("_us", "_lo", "_w"))
+    return out
 
 
 def _with_carry(b: DataFrame, carry: DataFrame, value: str) -> DataFrame:
@@ -40,11 +82,12 @@ def _with_carry(b: DataFrame, carry: DataFrame, value: str) -> DataFrame:
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str,
-                   out: str = "prev", bucket: str = "day") -> DataFrame:
+                   out: str = "prev", bucket: str | int = "day",
+                   max_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """Adds ``out`` = ``value`` of the previous row of the same key in
     (ts, tie) order; NULL for the first row of a key."""
     keys = list(keys)
-    b = df.withColumn("_b", bucket_of(ts, bucket))
+    [b] = with_buckets([df], keys, ts, bucket, max_rows)
     # last value of each (key, bucket): partial aggregation; then per key the
     # previous bucket's last value for every bucket but the first
     last = b.groupBy(*keys, "_b").agg(F.max_by(F.col(value), F.struct(F.col(ts), F.col(tie))).alias("_last"))
@@ -58,10 +101,11 @@ def previous_value(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value:
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str,
-                 out: str = "filled", bucket: str = "day") -> DataFrame:
+                 out: str = "filled", bucket: str | int = "day",
+                 max_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """Adds ``out`` = last non-NULL ``value`` at or before the current row."""
     keys = list(keys)
-    b = df.withColumn("_b", bucket_of(ts, bucket))
+    [b] = with_buckets([df], keys, ts, bucket, max_rows)
     v = F.col(value)
     last = b.groupBy(*keys, "_b").agg(
         F.max_by(v, F.when(v.isNotNull(), F.struct(F.col(ts), F.col(tie)))).alias("_last"))
@@ -76,12 +120,12 @@ def forward_fill(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: s
 
 
 def running_peak(deltas: DataFrame, keys: Sequence[str], ts: str, delta: str, tie: str,
-                 bucket: str = "day") -> DataFrame:
+                 bucket: str | int = "day", max_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """Per key: the maximum of the running sum of ``delta`` in (ts, delta, tie)
     order (at equal times -1 comes before +1, so an end and a start at the
     same instant do not overlap)."""
     keys = list(keys)
-    b = deltas.withColumn("_b", bucket_of(ts, bucket))
+    [b] = with_buckets([deltas], keys, ts, bucket, max_rows)
     w = (Window.partitionBy(*keys, "_b").orderBy(F.col(ts), F.col(delta), F.col(tie))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = (b.withColumn("_run", F.sum(delta).over(w))

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from batchwright.operators.asof import as_of_join
-from batchwright.operators.sequence import forward_fill, previous_value, running_peak
+from batchwright.operators.sequence import MAX_BUCKET_ROWS, forward_fill, previous_value, running_peak, with_buckets
 
 BASE = dt.datetime(2024, 1, 1)
 SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
@@ -24,7 +24,11 @@ def test_as_of_matches_brute_force(spark, right, left):
     l_rows = [(i, k, t) for i, (k, t) in enumerate(left)]
     rdf = spark.createDataFrame(r_rows, "k string, eff timestamp_ntz, value string, seq long")
     ldf = spark.createDataFrame(l_rows, "id long, k string, at timestamp_ntz")
-    got = {r["id"]: r["value"] for r in as_of_join(ldf, rdf, ["k"], "at", "eff", ["value"], tie="seq").collect()}
+    runs = [{r["id"]: r["value"] for r in as_of_join(ldf, rdf, ["k"], "at", "eff", ["value"], tie="seq",
+                                                     max_rows=m).collect()} for m in (MAX_BUCKET_ROWS, 2)]
+    # max_rows=2 cuts every busy (key, day) into time slices
+    assert runs[0] == runs[1]
+    got = runs[0]
     for i, k, at in l_rows:
         cands = [x for x in r_rows if x[0] == k and x[1] <= at]
         want = None
@@ -41,6 +45,8 @@ def test_previous_and_forward_fill(spark, rows):
     df = spark.createDataFrame(data, "k string, ts timestamp_ntz, tie long, v string")
     prev = {r["tie"]: r["prev"] for r in previous_value(df, ["k"], "ts", "tie", "v").collect()}
     fill = {r["tie"]: r["filled"] for r in forward_fill(df, ["k"], "ts", "tie", "v").collect()}
+    assert prev == {r["tie"]: r["prev"] for r in previous_value(df, ["k"], "ts", "tie", "v", max_rows=2).collect()}
+    assert fill == {r["tie"]: r["filled"] for r in forward_fill(df, ["k"], "ts", "tie", "v", max_rows=2).collect()}
     for k in {d[0] for d in data}:
         seq = sorted([d for d in data if d[0] == k], key=lambda d: (d[1], d[2]))
         last = None
@@ -60,6 +66,7 @@ def test_running_peak(spark, runs):
         deltas.append((k, t + dt.timedelta(hours=hours), -1, i))
     df = spark.createDataFrame(deltas, "k string, t timestamp_ntz, d int, id long")
     got = {r["k"]: r["peak_running"] for r in running_peak(df, ["k"], "t", "d", "id").collect()}
+    assert got == {r["k"]: r["peak_running"] for r in running_peak(df, ["k"], "t", "d", "id", max_rows=2).collect()}
     for k in {d[0] for d in deltas}:
         run = best = 0
         for d in sorted([d for d in deltas if d[0] == k], key=lambda d: (d[1], d[2], d[3])):
@@ -81,3 +88,14 @@ def test_as_of_null_times_never_match(spark):
     # id 2: two rows share the latest time; the smaller seq (stored first) wins
     assert got == {1: (None, None), 2: ("v1b", BASE + dt.timedelta(days=1)), 3: (None, None),
                    4: (None, None)}
+
+
+def test_hot_bucket_is_cut_into_ordered_slices(spark):
+    rows = [("hot", BASE + dt.timedelta(minutes=7 * i)) for i in range(100)] + [("cold", BASE)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz")
+    [b] = with_buckets([df], ["k"], "t", "day", max_rows=10)
+    got = sorted((r["t"], r["_b"]) for r in b.filter("k = 'hot'").collect())
+    slots = [x[1] for x in got]
+    assert len(set(slots)) >= 10 and slots == sorted(slots)
+    assert all(sum(1 for s in slots if s == x) <= 12 for x in set(slots))
+    assert b.filter("k = 'cold'").first()["_b"] == int((BASE - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)

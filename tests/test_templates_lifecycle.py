@@ -122,3 +122,14 @@ def test_catalog_match_literal_and_parameterised(spark):
     df = spark.createDataFrame([(c,) for c in cases], "p string")
     got = [r[0] for r in df.select(match_catalog(F.col("p"))).collect()]
     assert got == want
+
+
+def test_project_scan_equals_filtered_full_scan(spark):
+    from batchwright.functions.templates import PROJECT_SCAN_PATTERN, placeholders, placeholder_name
+    texts = ["${prj.a} ${dt} ${prj.b}${prj.a}", "$${prj.x}} ${prj.} ${prj-a} ${ prj.a} ${prj.a.b-c}",
+             "${x${prj.y}", "no placeholders", "${Prj.z} ${prj.z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    full = F.filter(placeholders("t"), lambda p: placeholder_name(p).startswith("prj."))
+    fast = F.array_distinct(F.regexp_extract_all(F.col("t"), F.lit(PROJECT_SCAN_PATTERN), 0))
+    for r in df.select(full.alias("a"), fast.alias("b")).collect():
+        assert r["a"] == r["b"]
