@@ -6,14 +6,14 @@ first one stored) wins.  Left rows without such a row keep NULLs, and so do
 left rows whose time is NULL.
 
 Plan, chosen so a hot key does not land in one task and the big inputs are
-shuffled once (buckets come from ``sequence.with_buckets``: fixed time slots,
+shuffled once (buckets come from ``sequence.bucketed``: fixed time slots,
 with any (keys, bucket) over ``max_rows`` rows cut into time slices):
 
-1. carry (small): the last right value of each (keys, time bucket), a
-   partial aggregation with ``max_by``, and the (keys, bucket) pairs that hold
-   left rows, a partial ``distinct``.  A window per key over these summary
-   rows (at most one per key and bucket) gives every left bucket the last
-   right value of all *earlier* buckets;
+1. carry (small): the last right value of each (keys, time bucket) and
+   whether left rows are there, from one partial aggregation (``max_by``,
+   ``max``) that also counts rows for the bucket split.  A window per key
+   over these summary rows (at most one per key and bucket) gives every left
+   bucket the last right value of all *earlier* buckets;
 2. that carried value enters the main input as one synthetic right row with
    a NULL time, which sorts it first in its bucket;
 3. main: left rows, right rows and carry rows are unioned and a window over
@@ -33,7 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchwright.operators.sequence import MAX_BUCKET_ROWS, with_buckets
+from batchwright.operators.sequence import MAX_BUCKET_ROWS, bucketed
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str,
@@ -54,23 +54,20 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts:
     l_ = left.select(*[F.col(k) for k in keys],
                      F.col(left_ts).cast("timestamp_ntz").alias("_t"),
                      F.lit(1).alias("_kind"), F.struct(*[F.col(c) for c in lcols]).alias("_left"))
-    r, l_ = with_buckets([r, l_], keys, "_t", bucket, max_rows)
+    # 1. carry from earlier buckets, computed on summary rows only: per
+    #    (keys, bucket) the last right value -- the greatest (ts, tie NULL
+    #    last, -tie), the row the main window's order puts last -- and
+    #    whether left rows are there; one partial aggregation for both.
+    last_order = F.struct(F.col("_t"), F.col("_tie").isNull(), -F.col("_tie"))
+    aggs = [F.max_by("_val", F.when(F.col("_kind") == 0, last_order)).alias("_last"),
+            F.max(F.col("_kind") == 1).alias("_has_left")]
+    (r, l_), summary = bucketed([r, l_], keys, "_t", bucket, max_rows, aggs)
     val_type = r.schema["_val"].dataType
     left_type = l_.schema["_left"].dataType
-
-    # 1. carry from earlier buckets, computed on summary rows only.  The last
-    #    right row of a bucket is the greatest (ts, tie NULL last, -tie), the
-    #    same row the main window's order puts last.
-    last_order = F.struct(F.col("_t"), F.col("_tie").isNull(), -F.col("_tie"))
-    r_last = (r.groupBy(*keys, "_b").agg(F.max_by("_val", last_order).alias("_last"))
-               .withColumn("_k", F.lit(0)))
-    l_buckets = (l_.filter(F.col("_b").isNotNull()).select(*keys, "_b").distinct()
-                   .withColumn("_k", F.lit(1)).withColumn("_last", F.lit(None).cast(val_type)))
-    wk = (Window.partitionBy(*keys).orderBy(F.col("_b").asc(), F.col("_k").desc())
+    wk = (Window.partitionBy(*keys).orderBy("_b")
           .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (r_last.unionByName(l_buckets)
-             .withColumn("_carry", F.last("_last", ignorenulls=True).over(wk))
-             .filter((F.col("_k") == 1) & F.col("_carry").isNotNull()))
+    carry = (summary.withColumn("_carry", F.last("_last", ignorenulls=True).over(wk))
+             .filter(F.col("_has_left") & F.col("_carry").isNotNull()))
 
     # 2. one synthetic right row per left bucket; its NULL time sorts it
     #    before every real row of the bucket (real rows there have a time)

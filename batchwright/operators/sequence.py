@@ -38,39 +38,60 @@ def _micros(ts: Column) -> Column:
                             ts.cast("timestamp_ntz"))
 
 
-def with_buckets(frames: Sequence[DataFrame], keys: Sequence[str], ts: str, bucket: str | int = "day",
-                 max_rows: int = MAX_BUCKET_ROWS) -> list[DataFrame]:
-    """Adds ``_b`` (a long that grows with time inside a key) to every frame.
+def bucketed(frames: Sequence[DataFrame], keys: Sequence[str], ts: str, bucket: str | int = "day",
+             max_rows: int = MAX_BUCKET_ROWS, aggs: Sequence[Column] = ()) -> tuple[list[DataFrame], DataFrame | None]:
+    """Adds ``_b`` (a long that grows with time inside a key) to every frame,
+    and returns ``aggs`` per (keys, ``_b``) over all frames (None without aggs).
 
     Buckets are fixed time slots (``bucket`` a name in ``_UNITS`` or a length
     in seconds); ``_b`` is the slot start in microseconds.  A (keys, bucket)
     holding more than ``max_rows`` rows over all frames is cut into equal
     time slices over the span its rows cover, ``_OVERSPLIT`` times more than
     the row count needs, so uneven times still give slices of about
-    ``max_rows`` rows or fewer (rows sharing one instant cannot be cut).  The
-    table of cut buckets has at most (total rows / ``max_rows``) rows, a bound
-    that holds at any input size, so it is broadcast.
+    ``max_rows`` rows or fewer (rows sharing one instant cannot be cut).
+
+    A partial aggregation per (keys, bucket) gives the summaries of the uncut
+    buckets; only the rows of cut buckets are aggregated again, per slice.
+    The row counts come from a count/min/max aggregate over key and time
+    columns only (Catalyst plans it apart from the summary).  The table of
+    cut buckets has at most (total rows / ``max_rows``) rows, a bound that
+    holds at any input size, so it is broadcast; when it is empty AQE drops
+    the broadcast joins and the per-slice branch at run time.
     """
     keys = list(keys)
     length = (_UNITS[bucket] if isinstance(bucket, str) else int(bucket)) * 1_000_000
     based = [f.withColumn("_us", _micros(F.col(ts)))
               .withColumn("_b", F.col("_us") - F.pmod(F.col("_us"), F.lit(length)))
              for f in frames]
-    slots = based[0].select(*keys, "_b", "_us")
+    rows = based[0]
     for f in based[1:]:
-        slots = slots.unionByName(f.select(*keys, "_b", "_us"))
+        rows = rows.unionByName(f, allowMissingColumns=True)
+    rows = rows.filter(F.col("_b").isNotNull())
+    base = rows.groupBy(*keys, "_b").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"), *aggs)
     parts = F.ceil(F.col("_n") / max_rows) * _OVERSPLIT
-    heavy = (slots.filter(F.col("_b").isNotNull()).groupBy(*keys, "_b")
-             .agg(F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-             .filter(F.col("_n") > max_rows)
+    heavy = (base.filter(F.col("_n") > max_rows)
              .select(*keys, "_b", "_lo", F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts).alias("_w")))
-    out = []
-    for f in based:
+
+    def cut(f: DataFrame, how: str) -> DataFrame:
         off = F.col("_us") - F.col("_lo")
         sliced = F.col("_lo") + off - F.pmod(off, F.col("_w"))
-        out.append(f.join(F.broadcast(heavy), [*keys, "_b"], "left")
-                    .withColumn("_b", F.coalesce(sliced, F.col("_b"))).drop("_us", "_lo", "_w"))
-    return out
+        return (f.join(F.broadcast(heavy), [*keys, "_b"], how)
+                 .withColumn("_b", F.coalesce(sliced, F.col("_b"))).drop("_us", "_lo", "_w"))
+
+    out = [cut(f, "left") for f in based]
+    if not aggs:
+        return out, None
+    names = base.columns[len(keys) + 4:]
+    light = base.filter(F.col("_n") <= max_rows).select(*keys, "_b", *names)
+    sliced = cut(rows, "inner").groupBy(*keys, "_b").agg(*aggs)
+    return out, light.unionByName(sliced)
+
+
+def with_buckets(frames: Sequence[DataFrame], keys: Sequence[str], ts: str, bucket: str | int = "day",
+                 max_rows: int = MAX_BUCKET_ROWS) -> list[DataFrame]:
+    """``bucketed`` without summaries."""
+    return bucketed(frames, keys, ts, bucket, max_rows)[0]
 
 
 def _with_carry(b: DataFrame, carry: DataFrame, value: str) -> DataFrame:
@@ -87,14 +108,14 @@ def previous_value(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value:
     """Adds ``out`` = ``value`` of the previous row of the same key in
     (ts, tie) order; NULL for the first row of a key."""
     keys = list(keys)
-    [b] = with_buckets([df], keys, ts, bucket, max_rows)
-    # last value of each (key, bucket): partial aggregation; then per key the
-    # previous bucket's last value for every bucket but the first
-    last = b.groupBy(*keys, "_b").agg(F.max_by(F.col(value), F.struct(F.col(ts), F.col(tie))).alias("_last"))
+    # last value of each (key, bucket); then per key the previous bucket's
+    # last value for every bucket but the first
+    last = F.max_by(F.col(value), F.struct(F.col(ts), F.col(tie))).alias("_last")
+    [b], summary = bucketed([df], keys, ts, bucket, max_rows, [last])
     wk = Window.partitionBy(*keys).orderBy("_b")
-    carry = (last.withColumn("_carry", F.lag("_last").over(wk))
-                 .withColumn("_rn", F.row_number().over(wk))
-                 .filter(F.col("_rn") > 1).select(*keys, "_b", "_carry"))
+    carry = (summary.withColumn("_carry", F.lag("_last").over(wk))
+                    .withColumn("_rn", F.row_number().over(wk))
+                    .filter(F.col("_rn") > 1).select(*keys, "_b", "_carry"))
     w = Window.partitionBy(*keys, "_b").orderBy(F.col("_syn"), F.col(ts), F.col(tie))
     return (_with_carry(b, carry, value).withColumn(out, F.lag(value).over(w))
             .filter(F.col("_syn") == 1).drop("_b", "_syn"))
@@ -105,14 +126,13 @@ def forward_fill(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: s
                  max_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """Adds ``out`` = last non-NULL ``value`` at or before the current row."""
     keys = list(keys)
-    [b] = with_buckets([df], keys, ts, bucket, max_rows)
     v = F.col(value)
-    last = b.groupBy(*keys, "_b").agg(
-        F.max_by(v, F.when(v.isNotNull(), F.struct(F.col(ts), F.col(tie)))).alias("_last"))
+    last = F.max_by(v, F.when(v.isNotNull(), F.struct(F.col(ts), F.col(tie)))).alias("_last")
+    [b], summary = bucketed([df], keys, ts, bucket, max_rows, [last])
     wk = (Window.partitionBy(*keys).orderBy("_b")
           .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (last.withColumn("_carry", F.last("_last", ignorenulls=True).over(wk))
-                 .filter(F.col("_carry").isNotNull()).select(*keys, "_b", "_carry"))
+    carry = (summary.withColumn("_carry", F.last("_last", ignorenulls=True).over(wk))
+                    .filter(F.col("_carry").isNotNull()).select(*keys, "_b", "_carry"))
     w = (Window.partitionBy(*keys, "_b").orderBy(F.col("_syn"), F.col(ts), F.col(tie))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (_with_carry(b, carry, value).withColumn(out, F.last(value, ignorenulls=True).over(w))
