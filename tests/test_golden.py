@@ -97,3 +97,29 @@ def test_run_query_strict_and_lenient(spark):
     kept = run_query(spark, "SELECT '${x}' AS v, '${dt}' AS d", "20260613", strict=False).first()
     assert (kept["v"], kept["d"]) == ("${x}", "20260613")
     assert spark.conf.get("spark.sql.variable.substitute", "true") == "true"
+
+
+def test_errors_follow_placeholder_order_and_gating(spark):
+    rows = [
+        ("a ${dt-1000000} b", "20260613", "03"),        # offset beyond 0001-01-01
+        ("${date-99999999999}", "20260613", "03"),      # N does not fit an int
+        ("${dt}", None, "03"),                          # date missing
+        ("${hr} ${dt-1000000}", "20260613", None),      # hour error comes first
+        ("${dt-1000000} ${hr}", "20260613", None),      # offset error comes first
+        ("${hr} only", None, "03"),                     # no date needed: renders
+        ("${month} ${x}", "2026-06-13", "03"),          # malformed date
+        ("${dt-01} ${dt-3}", "20260613", None),         # undeclared kept, no error
+    ]
+    out = _render(spark, rows)
+    assert [r["error"] for r in out] == [
+        "date offset out of range in ${dt-1000000}",
+        "date offset out of range in ${date-99999999999}",
+        "variable ${dt} requires --biz-date",
+        "variable ${hr} requires --biz-hour",
+        "date offset out of range in ${dt-1000000}",
+        None,
+        "invalid biz_date 2026-06-13",
+        None,
+    ]
+    assert [r["text"] for r in out][5:] == ["03 only", None, "${dt-01} 20260610"]
+    assert out[7]["unresolved"] == ["${dt-01}"]
