@@ -99,3 +99,14 @@ def test_hot_bucket_is_cut_into_ordered_slices(spark):
     assert len(set(slots)) >= 10 and slots == sorted(slots)
     assert all(sum(1 for s in slots if s == x) <= 12 for x in set(slots))
     assert b.filter("k = 'cold'").first()["_b"] == int((BASE - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
+
+
+def test_bucket_lengths_hour_and_seconds(spark):
+    rows = [("k", BASE + dt.timedelta(minutes=m)) for m in (0, 59, 60, 61, 600)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz")
+    base_us = int((BASE - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
+    [h] = with_buckets([df], ["k"], "t", "hour")
+    assert sorted(r["_b"] for r in h.collect()) == [base_us, base_us, base_us + 3600 * 10**6,
+                                                    base_us + 3600 * 10**6, base_us + 36000 * 10**6]
+    [s] = with_buckets([df], ["k"], "t", 1800)
+    assert len({r["_b"] for r in s.collect()}) == 4

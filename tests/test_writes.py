@@ -77,3 +77,19 @@ def test_append_partition_and_rows(spark):
     t = W.read_table(spark, path, partition_cols=["dt", "m"])
     assert sorted(r["id"] for r in t.collect()) == [1, 2]
     assert {r["dt"] for r in t.collect()} == {"20260613"}
+
+
+def test_insert_into_partitioned_table_by_position(spark):
+    import uuid
+    table = f"bw_t_{uuid.uuid4().hex[:10]}"
+    path = scratch_path(spark, table)
+    spark.sql(f"CREATE TABLE {table} (id BIGINT, v STRING, dt STRING, hr STRING) "
+              f"USING parquet PARTITIONED BY (dt, hr) LOCATION '{path}'")
+    # names differ from the table's: only positions count
+    rows = spark.createDataFrame([(1, "a", "20260613", "01"), (2, "b", "20260613", "02"),
+                                  (3, "c", "20260614", "01")], "k long, x string, day string, hour string")
+    W.insert_into(rows, table, overwrite=True)
+    W.insert_into(rows.filter("k = 2").withColumn("x", F.lit("B")), table, overwrite=False)
+    got = sorted(tuple(r) for r in spark.table(table).collect())
+    assert got == [(1, "a", "20260613", "01"), (2, "B", "20260613", "02"), (2, "b", "20260613", "02"),
+                   (3, "c", "20260614", "01")]
