@@ -195,6 +195,18 @@ def run_metrics(runs: DataFrame, by: str = "tenant_id", duration: str = "duratio
     return base.join(pct, by, "left")
 
 
+def publish_metrics(pubs: DataFrame, by: str = "project_id", duration: str = "duration_ms",
+                    outcome: str = "outcome") -> DataFrame:
+    """Publish requests, published ones, publish success rate and exact
+    P50/P95/P99 of publish time per group."""
+    base = (pubs.groupBy(by)
+            .agg(F.count(F.lit(1)).alias("n_publishes"),
+                 F.count(F.when(F.col(outcome) == "published", 1)).alias("n_published"))
+            .withColumn("success_rate", F.col("n_published") / F.col("n_publishes")))
+    pct = exact_percentiles(pubs, [by], duration, [0.5, 0.95, 0.99], ["p50_ms", "p95_ms", "p99_ms"])
+    return base.join(pct, by, "left")
+
+
 def duration_histogram(runs: DataFrame, by: str = "tenant_id", duration: str = "duration_s",
                        lo: float = 0.0, hi: float = 3600.0, buckets: int = 12) -> DataFrame:
     """Count of runs per duration bucket (``width_bucket``)."""

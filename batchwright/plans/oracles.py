@@ -670,3 +670,33 @@ SELECT script_id,
   CASE WHEN unresolved <> '' THEN 'publish blocked - unknown placeholders: ' || unresolved
        WHEN biz_hour IS NULL THEN 'variable ${hr} requires --biz-hour' END AS error
 FROM b"""
+
+PUBLISHES = """
+publishes AS (
+  SELECT o_orderkey AS publish_id, CAST(o_custkey AS VARCHAR) AS task_id,
+    CAST(o_custkey % 10 AS VARCHAR) AS project_id, o_orderdate AS requested_at,
+    CAST(floor(o_totalprice) AS BIGINT) % 9000 AS duration_ms,
+    CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'published' END AS outcome
+  FROM orders)"""
+
+ORACLES["publish_metrics"] = with_(PUBLISHES) + """,
+hist AS (SELECT project_id, duration_ms, count(*) AS c FROM publishes GROUP BY 1, 2),
+cum AS (SELECT *, sum(c) OVER (PARTITION BY project_id ORDER BY duration_ms ROWS UNBOUNDED PRECEDING) AS cm,
+          sum(c) OVER (PARTITION BY project_id) AS n FROM hist),
+pct AS (SELECT project_id,
+          min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.5) THEN duration_ms END) AS p50_ms,
+          min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.95) THEN duration_ms END) AS p95_ms,
+          min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.99) THEN duration_ms END) AS p99_ms
+        FROM cum GROUP BY project_id),
+base AS (SELECT project_id, count(*) AS n_publishes,
+           count(CASE WHEN outcome = 'published' THEN 1 END) AS n_published FROM publishes GROUP BY 1)
+SELECT base.project_id, n_publishes, n_published, n_published / n_publishes AS success_rate,
+  p50_ms, p95_ms, p99_ms
+FROM base LEFT JOIN pct ON pct.project_id = base.project_id"""
+
+ORACLES["publish_histogram"] = with_(PUBLISHES) + """
+SELECT project_id,
+  CAST(CASE WHEN duration_ms < 0 THEN 0 WHEN duration_ms >= 10000 THEN 11
+            ELSE floor(duration_ms / 1000) + 1 END AS BIGINT) AS bucket,
+  count(*) AS n_publishes
+FROM publishes GROUP BY 1, 2"""

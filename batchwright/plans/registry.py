@@ -479,6 +479,18 @@ def q_trigger_latency(spark, sf_dir):
     return LC.trigger_latency(S.triggers(load(spark, sf_dir, "events")))
 
 
+@register("publish_metrics")
+def q_publish_metrics(spark, sf_dir):
+    return LC.publish_metrics(S.publishes(load(spark, sf_dir, "orders")))
+
+
+@register("publish_histogram")
+def q_publish_histogram(spark, sf_dir):
+    pubs = S.publishes(load(spark, sf_dir, "orders"))
+    return (LC.duration_histogram(pubs, by="project_id", duration="duration_ms", hi=10000.0, buckets=10)
+            .withColumnRenamed("n_runs", "n_publishes"))
+
+
 @register("run_histogram")
 def q_run_histogram(spark, sf_dir):
     return LC.duration_histogram(_runs(spark, sf_dir))

@@ -154,6 +154,20 @@ def task_versions(orders: DataFrame) -> DataFrame:
     )
 
 
+def publishes(orders: DataFrame) -> DataFrame:
+    """Publish requests from orders: one per order; project = o_custkey mod 10,
+    requested at o_orderdate, publish time floor(o_totalprice) mod 9000 ms,
+    outcome failed for status P, else published."""
+    return orders.select(
+        F.col("o_orderkey").alias("publish_id"),
+        F.col("o_custkey").cast("string").alias("task_id"),
+        (F.col("o_custkey") % 10).cast("string").alias("project_id"),
+        F.col("o_orderdate").alias("requested_at"),
+        (F.floor("o_totalprice") % 9000).alias("duration_ms"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("failed")).otherwise(F.lit("published")).alias("outcome"),
+    )
+
+
 def load_all(spark, sf_dir: str, *names: str) -> list[DataFrame]:
     return [load(spark, sf_dir, n) for n in names]
 

@@ -99,3 +99,15 @@ def test_company_dim_semantics(spark):
     # b2 and b3 both map to D2 with the same update_time; insert_time ties; company_id desc -> b3
     assert rows["D2"]["company_name"] == "nb3" and rows["D2"]["isadd"] == "-1"
     assert rows["D9"]["key_no"] is None and rows["D9"]["dates"] == "2026-06-13 00:00:00"
+
+
+def test_publish_metrics_nearest_rank(spark):
+    from batchwright.operators.lifecycle import publish_metrics
+    rows = [("p", d, "published") for d in range(1, 101)] + [("p", 5000, "failed"), ("q", 7, "failed")]
+    df = spark.createDataFrame(rows, "project_id string, duration_ms long, outcome string")
+    got = {r["project_id"]: r for r in publish_metrics(df).collect()}
+    p = got["p"]
+    assert (p["n_publishes"], p["n_published"]) == (101, 100)
+    # nearest rank over 101 values 1..100, 5000: ceil(0.5*101)=51 -> 51; ceil(0.95*101)=96 -> 96; 100 -> 100
+    assert (p["p50_ms"], p["p95_ms"], p["p99_ms"]) == (51, 96, 100)
+    assert got["q"]["success_rate"] == 0.0 and got["q"]["p99_ms"] == 7
