@@ -227,6 +227,18 @@ def retry_stats(events: DataFrame, key: str = "instance_id", limit: int = 2) ->
             .withColumn("recovered", (F.col("n_failures") > 0) & F.col("succeeded")))
 
 
+def retry_summary(stats: DataFrame, by: str | None = None) -> DataFrame:
+    """Over ``retry_stats`` rows: instances with a failure, how many of
+    them later succeeded (retry success rate, target > 30 %) and how many
+    exhausted their retry budget."""
+    aggs = [F.count(F.when(F.col("n_failures") > 0, 1)).alias("n_failed"),
+            F.count(F.when(F.col("recovered"), 1)).alias("n_recovered"),
+            F.count(F.when(F.col("exhausted"), 1)).alias("n_exhausted")]
+    g = stats.groupBy(by).agg(*aggs) if by else stats.agg(*aggs)
+    return g.withColumn("retry_success_rate",
+                        F.when(F.col("n_failed") > 0, F.col("n_recovered") / F.col("n_failed")))
+
+
 def coverage(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     """Share of rows where ``col`` is present."""
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.count(col).alias("n_present")]

@@ -700,3 +700,16 @@ SELECT project_id,
             ELSE floor(duration_ms / 1000) + 1 END AS BIGINT) AS bucket,
   count(*) AS n_publishes
 FROM publishes GROUP BY 1, 2"""
+
+ORACLES["retry_success"] = with_(INSTANCE_EVENTS) + """,
+s AS (SELECT instance_id, count(CASE WHEN state = 'submitting' THEN 1 END) AS n_attempts,
+        count(CASE WHEN state IN ('failed', 'submit_failed') THEN 1 END) AS n_failures,
+        coalesce(bool_or(state = 'succeeded'), false) AS succeeded
+      FROM instance_events GROUP BY instance_id)
+SELECT count(CASE WHEN n_failures > 0 THEN 1 END) AS n_failed,
+  count(CASE WHEN n_failures > 0 AND succeeded THEN 1 END) AS n_recovered,
+  count(CASE WHEN greatest(n_attempts - 1, 0) >= 2 AND NOT succeeded THEN 1 END) AS n_exhausted,
+  CASE WHEN count(CASE WHEN n_failures > 0 THEN 1 END) > 0
+       THEN count(CASE WHEN n_failures > 0 AND succeeded THEN 1 END) / count(CASE WHEN n_failures > 0 THEN 1 END)
+  END AS retry_success_rate
+FROM s"""

@@ -423,6 +423,11 @@ def q_retry_stats(spark, sf_dir):
     return LC.retry_stats(_ievents(spark, sf_dir))
 
 
+@register("retry_success")
+def q_retry_success(spark, sf_dir):
+    return LC.retry_summary(LC.retry_stats(_ievents(spark, sf_dir)))
+
+
 @register("trace_coverage")
 def q_trace_coverage(spark, sf_dir):
     parsed = LG.parse_log(S.log_lines(load(spark, sf_dir, "events")).select("line"))
