@@ -713,3 +713,11 @@ SELECT count(CASE WHEN n_failures > 0 THEN 1 END) AS n_failed,
        THEN count(CASE WHEN n_failures > 0 AND succeeded THEN 1 END) / count(CASE WHEN n_failures > 0 THEN 1 END)
   END AS retry_success_rate
 FROM s"""
+
+ORACLES["task_policy"] = "WITH policy AS (" + ORACLES["policy_check"] + """)
+SELECT task_id, count(*) AS n_keys,
+  array_to_string(list_sort(list_distinct(list(
+    CASE WHEN verdict <> 'accepted' THEN key || ': ' || verdict END))), ', ') AS rejected,
+  array_to_string(list_sort(list_distinct(list(
+    CASE WHEN verdict <> 'accepted' THEN key || ': ' || verdict END))), ', ') = '' AS accepted
+FROM policy GROUP BY task_id"""

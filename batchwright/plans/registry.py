@@ -161,7 +161,7 @@ def q_unresolved_vars(spark, sf_dir):
 
 # ---------------------------------------------------------------- policy, logs
 from batchwright.functions import logs as LG  # noqa: E402
-from batchwright.operators.policy import policy_check  # noqa: E402
+from batchwright.operators.policy import policy_check, task_policy  # noqa: E402
 
 
 @register("policy_check")
@@ -169,6 +169,11 @@ def q_policy_check(spark, sf_dir):
     return policy_check(S.conf_rows(load(spark, sf_dir, "part")))
 
 
+@register("task_policy")
+def q_task_policy(spark, sf_dir):
+    return task_policy(S.conf_rows(load(spark, sf_dir, "part")))
+
+
 @register("log_parse")
 def q_log_parse(spark, sf_dir):
     lines = S.log_lines(load(spark, sf_dir, "events")).select("event_id", "line")
