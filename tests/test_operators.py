@@ -111,3 +111,13 @@ def test_publish_metrics_nearest_rank(spark):
     # nearest rank over 101 values 1..100, 5000: ceil(0.5*101)=51 -> 51; ceil(0.95*101)=96 -> 96; 100 -> 100
     assert (p["p50_ms"], p["p95_ms"], p["p99_ms"]) == (51, 96, 100)
     assert got["q"]["success_rate"] == 0.0 and got["q"]["p99_ms"] == 7
+
+
+def test_run_metrics_counts_null_durations_but_not_in_percentiles(spark):
+    from batchwright.operators.lifecycle import run_metrics
+    rows = [("t", 10, "succeeded"), ("t", 20, "failed"), ("t", None, "succeeded"), ("u", None, "failed")]
+    df = spark.createDataFrame(rows, "tenant_id string, duration_s long, state string")
+    got = {r["tenant_id"]: r for r in run_metrics(df).collect()}
+    assert (got["t"]["n_runs"], got["t"]["n_succeeded"]) == (3, 2)
+    assert (got["t"]["p50_s"], got["t"]["p99_s"]) == (10, 20)
+    assert got["u"]["n_runs"] == 1 and got["u"]["p50_s"] is None and got["u"]["success_rate"] == 0.0
