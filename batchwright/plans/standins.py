@@ -168,10 +168,6 @@ def publishes(orders: DataFrame) -> DataFrame:
     )
 
 
-def load_all(spark, sf_dir: str, *names: str) -> list[DataFrame]:
-    return [load(spark, sf_dir, n) for n in names]
-
-
 def scripts(events: DataFrame) -> DataFrame:
     """SQL templates, one per event: runtime placeholders (``${dt}``, ``${hr}``,
     ``${dt-K}`` with K = event_id mod 40, ``${date-K}``, ``${month}``,

@@ -14,7 +14,6 @@ repartitioning and move no data to the driver.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -152,6 +151,3 @@ def read_version(spark: SparkSession, root: str, env: str, name: str, version: s
         raise VerificationFailed(f"version not verified: {path}")
     return spark.read.parquet(f"{path}/data")
 
-
-def manifest_json(meta: Mapping) -> str:
-    return json.dumps(dict(meta), ensure_ascii=False, sort_keys=True)
