@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchwright.sources.tables import load
 
 # Instance state for each event type of the events table.
 EVENT_STATE = {
