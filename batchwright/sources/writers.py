@@ -21,7 +21,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 
 def _clustered(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -76,13 +76,26 @@ def append_partition(df: DataFrame, path: str, spec: Mapping[str, str],
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
                partition_cols: Sequence[str] = ()) -> DataFrame:
-    """Read a path table; partition columns are declared as strings."""
-    if schema is None and partition_cols:
-        data = spark.read.parquet(path)
-        fields = [f for f in data.schema.fields if f.name not in partition_cols]
-        schema = StructType(fields + [StructField(c, StringType(), True) for c in partition_cols])
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path)
+    """Read a path table with its partition columns as strings.
+
+    Partition type inference is switched off for this read only (Spark
+    resolves the file listing and partition values while ``parquet()`` is
+    called), so values like ``03`` or ``20260613`` keep their text.  The
+    table is listed once.  ``partition_cols`` documents the expected
+    partition columns; every partition column comes back as a string."""
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        df = spark.read.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    missing = [c for c in partition_cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path} has no partition columns {missing}")
+    return df
 
 
 def month_of(ts: str | Column) -> Column:

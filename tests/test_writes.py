@@ -93,3 +93,14 @@ def test_insert_into_partitioned_table_by_position(spark):
     got = sorted(tuple(r) for r in spark.table(table).collect())
     assert got == [(1, "a", "20260613", "01"), (2, "B", "20260613", "02"), (2, "b", "20260613", "02"),
                    (3, "c", "20260614", "01")]
+
+
+def test_read_table_keeps_partition_text(spark):
+    path = scratch_path(spark, "t-text")
+    df = spark.createDataFrame([(1, "20260613", "03"), (2, "20260613", "10")], "id long, dt string, hr string")
+    W.overwrite_table(df, path, partition_cols=["dt", "hr"])
+    back = W.read_table(spark, path, partition_cols=["dt", "hr"])
+    assert dict(back.dtypes) == {"id": "bigint", "dt": "string", "hr": "string"}
+    assert sorted(r["hr"] for r in back.collect()) == ["03", "10"]
+    # the session setting is left as it was
+    assert spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == "true"
