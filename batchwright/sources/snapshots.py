@@ -144,10 +144,14 @@ def read_manifest(spark: SparkSession, root: str, env: str, name: str, version:
 
 def read_version(spark: SparkSession, root: str, env: str, name: str, version: str) -> DataFrame:
     """A10: the data of one version; missing -> error; a version whose
-    manifest says ``failed`` is refused."""
+    manifest says ``failed``, is corrupt or holds more than one row is refused."""
     path = version_path(root, env, name, version)
-    status = read_manifest(spark, root, env, name, version).select("status").first()
-    if status is None or status["status"] != "ok":
+    # a manifest is exactly one row: reading two parses past the first, so a
+    # second (or corrupt) line is caught too
+    rows = read_manifest(spark, root, env, name, version).select("status").limit(2).collect()
+    if len(rows) != 1:
+        raise VerificationFailed(f"manifest must hold one row: {path}")
+    if rows[0]["status"] != "ok":
         raise VerificationFailed(f"version not verified: {path}")
     return spark.read.parquet(f"{path}/data")
 

@@ -104,3 +104,14 @@ def test_read_table_keeps_partition_text(spark):
     assert sorted(r["hr"] for r in back.collect()) == ["03", "10"]
     # the session setting is left as it was
     assert spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == "true"
+
+
+def test_corrupt_manifest_is_refused(spark):
+    import os
+    root = scratch_path(spark, "t-corrupt")
+    SN.write_version(_docs(spark), root, "dev", "task-1", "v1", text_col="text")
+    manifest_dir = SN.version_path(root, "dev", "task-1", "v1").replace("file:", "") + "/_manifest"
+    with open(os.path.join(manifest_dir, "part-corrupt.json"), "w") as fh:
+        fh.write("not json\n")
+    with pytest.raises(Exception):
+        SN.read_version(spark, root, "dev", "task-1", "v1")
