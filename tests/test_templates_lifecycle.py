@@ -133,3 +133,19 @@ def test_project_scan_equals_filtered_full_scan(spark):
     fast = F.array_distinct(F.regexp_extract_all(F.col("t"), F.lit(PROJECT_SCAN_PATTERN), 0))
     for r in df.select(full.alias("a"), fast.alias("b")).collect():
         assert r["a"] == r["b"]
+
+
+def test_bake_versions_once_runtime_only_and_unknown_names(spark):
+    vars_ = spark.createDataFrame([("p1", "prj.x", "vx", 4, D(2026, 1, 1), 1),
+                                   ("p1", "prj.y", "vy", 7, D(2026, 1, 1), 2)], VAR_SCHEMA)
+    sc = spark.createDataFrame([
+        (1, "p1", D(2026, 6, 14), "${prj.x} ${prj.y} ${prj.x}"),
+        (2, "p1", D(2026, 6, 14), "SELECT '${dt}', '${hr}'"),
+        (3, "p1", D(2026, 6, 14), "SELECT ${prj-foo}"),
+        (4, "p1", D(2026, 6, 14), "SELECT ${prj.nope}"),
+    ], "script_id long, project_id string, at timestamp_ntz, text string")
+    out = {r["script_id"]: r for r in bake(sc, vars_).collect()}
+    assert (out[1]["baked"], out[1]["var_versions"]) == ("vx vy vx", "prj.x=4,prj.y=7")
+    assert (out[2]["baked"], out[2]["var_versions"], out[2]["unresolved"]) == ("SELECT '${dt}', '${hr}'", "", "")
+    assert out[3]["baked"] is None and out[3]["unresolved"] == "${prj-foo}"
+    assert out[4]["baked"] is None and out[4]["unresolved"] == "${prj.nope}"
