@@ -155,6 +155,36 @@ def render(text: str | Column, biz_date: str | Column, hour: str | Column | None
         acc["unresolved"].alias("unresolved"), acc["error"].alias("error")))
 
 
+def render_error(text: str | Column, biz_date: str | Column, hour: str | Column | None = None) -> Column:
+    """H13's error alone: ``render(...)["error"]``, computed without building
+    the rendered text.  The per-placeholder check runs only on rows where an
+    error is possible at all (a date or hour missing or invalid, or an
+    ``${dt-N}`` / ``${date-N}`` offset past 0001-01-01); other rows cost one
+    scan for offsets.  For lint reports, where errors are rare."""
+    t = _c(text)
+    dtxt = _c(biz_date)
+    h = F.lit(None).cast("string") if hour is None else _c(hour)
+    d = parse_biz_date(dtxt)
+    patterns = {name: pattern for name, pattern, _ in CATALOG}
+
+    def first_error(p: Column) -> Column:
+        var = match_catalog(p)
+        n = F.when(var == "dt-N", _offset(p, "dt-N")).when(var == "date-N", _offset(p, "date-N"))
+        return _error(p, var, n, dtxt, d, h)
+
+    def out_of_range(p: Column) -> Column:
+        cond = F.lit(False)
+        for name in ("dt-N", "date-N"):
+            cond = cond | (_catalog_test(p, patterns[name]) & ~_fits(d, _offset(p, name)))
+        return F.coalesce(cond, F.lit(False))
+
+    ph = placeholders(t)
+    possible = (dtxt.isNull() | d.isNull() | h.isNull() | biz_hour(h).isNull()
+                | F.exists(ph, out_of_range))
+    return F.when(possible, F.aggregate(ph, F.lit(None).cast("string"),
+                                        lambda acc, p: F.coalesce(acc, first_error(p))))
+
+
 def failures(arr: Column, sep: str = ", ") -> Column:
     """D3: sorted, de-duplicated, comma-joined list (empty string when none)."""
     return F.array_join(F.array_sort(F.array_distinct(arr)), sep)

@@ -472,7 +472,9 @@ def q_lint_report(spark, sf_dir):
     unresolved = q_unresolved_vars(spark, sf_dir).select(
         F.lit("script").alias("subject_type"), F.col("script_id").cast("string").alias("subject_id"),
         F.lit("unresolved_variable").alias("rule"), F.col("placeholder").alias("detail"))
-    rendered = q_render_templates(spark, sf_dir).filter(F.col("error").isNotNull()).select(
+    errors = _scripts(spark, sf_dir).select(
+        "script_id", TM.render_error("text", "biz_date", "biz_hour").alias("error"))
+    rendered = errors.filter(F.col("error").isNotNull()).select(
         F.lit("script").alias("subject_type"), F.col("script_id").cast("string").alias("subject_id"),
         F.lit("render_error").alias("rule"), F.col("error").alias("detail"))
     conf = q_policy_check(spark, sf_dir).filter(F.col("verdict") != "accepted").select(

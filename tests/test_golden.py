@@ -123,3 +123,18 @@ def test_errors_follow_placeholder_order_and_gating(spark):
     ]
     assert [r["text"] for r in out][5:] == ["03 only", None, "${dt-01} 20260610"]
     assert out[7]["unresolved"] == ["${dt-01}"]
+
+
+def test_render_error_equals_render_struct_error(spark):
+    from batchwright.functions.templates import render_error
+    rows = [("a ${dt-1000000} b", "20260613", "03"), ("${date-99999999999}", "20260613", "03"),
+            ("${dt}", None, "03"), ("${hr} ${dt-1000000}", "20260613", None),
+            ("${dt-1000000} ${hr}", "20260613", None), ("${hr} only", None, "03"),
+            ("${month} ${x}", "2026-06-13", "03"), ("${dt-01} ${dt-3}", "20260613", None),
+            ("${hr}", "20260613", "24"), ("$${dt}}{${hr}", "19991231", "23"), (None, "20260613", "01"),
+            ("${dt-739779} ${dt-739780}", "20260613", "01"), ("no vars", None, None), ("${dt}", "20260613", "03")]
+    df = spark.createDataFrame(rows, "text string, biz_date string, biz_hour string")
+    got = df.select(render("text", "biz_date", "biz_hour")["error"].alias("a"),
+                    render_error("text", "biz_date", "biz_hour").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+    assert sum(r["a"] is not None for r in got) == 8
