@@ -110,3 +110,25 @@ def test_bucket_lengths_hour_and_seconds(spark):
                                                     base_us + 3600 * 10**6, base_us + 36000 * 10**6]
     [s] = with_buckets([df], ["k"], "t", 1800)
     assert len({r["_b"] for r in s.collect()}) == 4
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.sampled_from(["hot", "hot", "a", "b"]),
+                               st.one_of(st.none(), st.integers(0, 30))), min_size=1, max_size=60))
+def test_exact_percentiles_match_nearest_rank(spark, rows):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from batchwright.operators.lifecycle import exact_percentiles
+    df = spark.createDataFrame(rows, "g string, v long")
+    ps = [0.01, 0.5, 0.95, 0.99, 1.0]
+    names = ["p1", "p50", "p95", "p99", "p100"]
+    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", ps, names,
+                                                counts={"n": F.lit(True)}).collect()}
+    for g in {r[0] for r in rows}:
+        vals = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g]["n"] == sum(1 for k, _ in rows if k == g)
+        for p, nm in zip(ps, names):
+            want = vals[max(math.ceil(p * len(vals)), 1) - 1] if vals else None
+            assert got[g][nm] == want
