@@ -132,3 +132,25 @@ def test_exact_percentiles_match_nearest_rank(spark, rows):
         for p, nm in zip(ps, names):
             want = vals[max(math.ceil(p * len(vals)), 1) - 1] if vals else None
             assert got[g][nm] == want
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b"]), times,
+                               st.sampled_from(["pending", "running", "failed", "succeeded"])),
+                     min_size=1, max_size=50))
+def test_trigger_dedupe_and_current_state_match_brute_force(spark, rows):
+    from batchwright.operators.dedup import current_state, dedupe_triggers
+    data = [(i, k, t, s) for i, (k, t, s) in enumerate(rows)]
+    trig = spark.createDataFrame(
+        [(i, k, "20240101", "schedule", BASE, t) for i, k, t, _ in data],
+        "instance_id long, task_id string, biz_date string, trigger_source string, "
+        "scheduled_at timestamp_ntz, created_at timestamp_ntz")
+    got = {r["instance_id"]: r["first_instance_id"] for r in dedupe_triggers(trig).collect()}
+    ev = spark.createDataFrame([(i, k, t, s) for i, k, t, s in data],
+                               "event_id long, instance_id string, ts timestamp_ntz, state string")
+    cur = {r["instance_id"]: r["current_state"] for r in current_state(ev).collect()}
+    for k in {d[1] for d in data}:
+        group = [d for d in data if d[1] == k]
+        first = min(group, key=lambda d: (d[2], d[0]))[0]
+        assert all(got[d[0]] == first for d in group)
+        assert cur[k] == max(group, key=lambda d: (d[2], d[0]))[3]
