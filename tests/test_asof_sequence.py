@@ -154,3 +154,22 @@ def test_trigger_dedupe_and_current_state_match_brute_force(spark, rows):
         first = min(group, key=lambda d: (d[2], d[0]))[0]
         assert all(got[d[0]] == first for d in group)
         assert cur[k] == max(group, key=lambda d: (d[2], d[0]))[3]
+
+
+@SETTINGS
+@given(a=st.dictionaries(st.integers(0, 20), st.one_of(st.none(), st.integers(0, 3)), max_size=15),
+       b=st.dictionaries(st.integers(0, 20), st.one_of(st.none(), st.integers(0, 3)), max_size=15))
+def test_reconcile_and_compare_runs_match_sets(spark, a, b):
+    from batchwright.operators.lifecycle import compare_runs, reconcile
+    da = spark.createDataFrame(list(a.items()), "k long, v long")
+    db = spark.createDataFrame(list(b.items()), "k long, v long")
+    rec = {r["k"]: r["status"] for r in reconcile(da, db, ["k"]).collect()}
+    assert rec == {k: ("both" if k in a and k in b else "unsynced" if k in a else "orphan") for k in {*a, *b}}
+    cmp = {r["k"]: (r["status"], r["changed_cols"]) for r in compare_runs(da, db, ["k"], ["v"]).collect()}
+    for k in {*a, *b}:
+        if k not in b:
+            assert cmp[k] == ("only_old", "")
+        elif k not in a:
+            assert cmp[k] == ("only_new", "")
+        else:  # NULL equals NULL
+            assert cmp[k] == (("same", "") if a[k] == b[k] else ("changed", "v"))
