@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from batchwright.llm import bpe, dac, decontaminate, langid, quality, secrets, topk
+from batchwright.llm import bpe, chat, dac, decontaminate, jaccard, langid, quality, secrets, topk, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op3_dac_tokens": dac.op3_dac_tokens,
+    "op4_chat_rotation": chat.op4_chat_rotation,
     "op5_language_id": langid.op5_language_id,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_quality": quality.op8_quality,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
-ORACLES = {**topk.ORACLES}
+ORACLES = {**chat.ORACLES, **topk.ORACLES}
