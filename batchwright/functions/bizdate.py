@@ -72,16 +72,25 @@ def backfill(df: DataFrame, start: str | Column, end: str | Column,
              version: str | Column | None = None, out: str = "biz_date") -> DataFrame:
     """One row per day in [start, end] (DATE columns or ``yyyyMMdd``
     text) for each input row, with the chosen version (NULL = the currently
-    published one, resolved at lock time)."""
+    published one, resolved at lock time).  A range whose end is before its
+    start, or that lacks one of them, has no days (``backfill_error`` names it)."""
     s = parse_biz_date(start) if isinstance(start, str) and start.isdigit() else _c(start)
     e = parse_biz_date(end) if isinstance(end, str) and end.isdigit() else _c(end)
     v = F.lit(None).cast("string") if version is None else _c(version).cast("string")
-    return (df.withColumn("_day", F.explode(F.sequence(s, e, F.expr("INTERVAL 1 DAY"))))
+    days = F.when(s <= e, F.sequence(s, F.greatest(s, e), F.expr("INTERVAL 1 DAY")))
+    return (df.withColumn("_day", F.explode(days))
               .withColumn(out, dt(F.col("_day")))
               .withColumn("version_choice", v)
               .drop("_day"))
 
 
+def backfill_error(start: str | Column, end: str | Column) -> Column:
+    """H18 for a backfill range: what is wrong with it, NULL when nothing is."""
+    s, e = _c(start), _c(end)
+    return (F.when(s.isNull() | e.isNull(), F.lit("range lacks a start or an end"))
+             .when(e < s, F.concat(F.lit("range ends "), date_text(e), F.lit(" before its start "), date_text(s))))
+
+
 def run_query(spark: SparkSession, sql: str, biz_date: str, biz_hour_text: str | None = None,
               strict: bool = True) -> DataFrame:
     """Render the runtime placeholders of one SQL text for (date, hour) and

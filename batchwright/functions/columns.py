@@ -1,9 +1,7 @@
-"""Column helpers used by the dimension job."""
+"""Column helpers used by the dimension job."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,18 +20,6 @@ def null_as(type_name: str) -> Column:
     return F.lit(None).cast(type_name)
 
 
-def to_strings(mapping: Iterable[tuple[str | Column, str]]) -> list[Column]:
-    """Cast each source column to STRING under its target name.
-
-    ``mapping`` is an ordered list of (source column or expression, target name).
-    """
-    out = []
-    for src, name in mapping:
-        c = F.col(src) if isinstance(src, str) else src
-        out.append(c.cast("string").alias(name))
-    return out
-
-
 def change_flag(is_del: str | Column, insert_time: str | Column, update_time: str | Column) -> Column:
     """B9/H2: '-1' when deleted, '1' when inserted and updated on the same day,
     otherwise '0' (NULL dates fall through to '0')."""
@@ -51,8 +37,3 @@ def load_stamp(as_of: str | None) -> Column:
     if as_of is None:
         return F.current_timestamp().cast("string")
     return F.lit(as_of).cast("timestamp").cast("string")
-
-
-def ordered(df_cols: Sequence[str]) -> list[Column]:
-    """Explicit ordered projection (positional inserts depend on it)."""
-    return [F.col(c) for c in df_cols]

@@ -4,13 +4,14 @@
 A catalog of tasks times a backfill range is millions of rendered scripts, so
 scripts are a column of a table and every step is a native expression:
 ``regexp_extract_all`` finds placeholders, ``array_distinct`` keeps their
-first-appearance order, and ``aggregate`` replaces them one after another in
-that order.  No Python runs per row.
+first-appearance order, and ``replace`` puts in their values.  No Python runs
+per row.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,10 @@ PROJECT_SCAN_PATTERN = r"\$\{prj\.[A-Za-z0-9_.\-]*\}"
 # Error text of a blocked bake and of a strict render.
 BAKE_BLOCKED = "publish blocked - unknown placeholders: "
 UNDECLARED = "SQL contains undeclared variables: "
+# Error texts of this library for inputs that a placeholder needs.
+NO_DATE, BAD_DATE = "no business date for ", "not a business date: "
+NO_HOUR, BAD_HOUR = "no business hour for ", "not a business hour (00 to 23): "
+FAR_OFFSET = "date offset out of range in "
 
 
 def _c(x: str | Column) -> Column:
@@ -91,27 +96,33 @@ def _fits(d: Column, n: Column) -> Column:
     return n.isNotNull() & (n <= F.datediff(d, F.lit("0001-01-01").cast("date")))
 
 
-def _value(p: Column, var: Column, n: Column, d: Column, h: Column) -> Column:
-    return (F.when(var == "dt", dt(d))
-             .when(var == "date", date_text(d))
-             .when(var == "month", month(d))
-             .when((var == "dt-N") & _fits(d, n), dt(d, n))
-             .when((var == "date-N") & _fits(d, n), date_text(d, n))
-             .when(var == "hr", biz_hour(h)))
-
-
 def _error(p: Column, var: Column, n: Column, date_text_col: Column, d: Column, h: Column) -> Column:
     needs_date = var.isin("dt", "date", "month", "dt-N", "date-N")
     return (F.when(needs_date & date_text_col.isNull(),
-                   F.concat(F.lit("variable "), p, F.lit(" requires --biz-date")))
+                   F.concat(F.lit(NO_DATE), p))
              .when(needs_date & d.isNull(),
-                   F.concat(F.lit("invalid biz_date "), date_text_col))
+                   F.concat(F.lit(BAD_DATE), date_text_col))
              .when(var.isin("dt-N", "date-N") & ~_fits(d, n),
-                   F.concat(F.lit("date offset out of range in "), p))
+                   F.concat(F.lit(FAR_OFFSET), p))
              .when((var == "hr") & h.isNull(),
-                   F.concat(F.lit("variable "), p, F.lit(" requires --biz-hour")))
+                   F.concat(F.lit(NO_HOUR), p))
              .when((var == "hr") & biz_hour(h).isNull(),
-                   F.concat(F.lit("biz_hour must be HH 00-23, got "), h)))
+                   F.concat(F.lit(BAD_HOUR), h)))
+
+
+# The catalog's parameterised variables as they stand in a text.
+OFFSET_SCAN_PATTERN = r"\$\{(?:dt|date)-(?:[1-9][0-9]*|0)\}"
+
+
+def _with_offsets(t: Column, out: Column, d: Column) -> Column:
+    """``out`` with every ``${dt-N}`` and ``${date-N}`` of ``t`` replaced that has a value."""
+    found = F.array_distinct(F.regexp_extract_all(t, F.lit(OFFSET_SCAN_PATTERN), 0))
+
+    def value(p: Column) -> Column:
+        n = F.regexp_extract(p, r"([0-9]+)", 1).try_cast("int")
+        return F.when(_fits(d, n), F.when(p.startswith("${dt-"), dt(d, n)).otherwise(date_text(d, n)))
+
+    return F.aggregate(found, out, lambda acc, p: F.replace(acc, p, F.coalesce(value(p), p)))
 
 
 def render(text: str | Column, biz_date: str | Column, hour: str | Column | None = None) -> Column:
@@ -124,43 +135,30 @@ def render(text: str | Column, biz_date: str | Column, hour: str | Column | None
       * ``error``: the first configuration error in placeholder order (a
         required input missing or invalid); ``text`` is NULL then.
 
-    One ``aggregate`` fold over the distinct placeholders does the matching,
-    the value, the error and the replacement; every sub-expression appears
-    once, because Spark does not share common sub-expressions inside lambdas.
+    Values are digits and dashes, so no replacement can make or break another
+    placeholder and their order is free: the four fixed names are chained
+    ``replace`` calls, and only the ``-N`` ones need a fold over what the text
+    holds.
     """
     t = _c(text)
     dtxt = _c(biz_date)
     h = F.lit(None).cast("string") if hour is None else _c(hour)
-    items = F.transform(placeholders(t), lambda p: F.struct(
-        p.alias("p"), match_catalog(p).alias("var")))
-    items = F.transform(items, lambda x: F.struct(
-        x["p"].alias("p"), x["var"].alias("var"),
-        F.when(x["var"] == "dt-N", _offset(x["p"], "dt-N"))
-         .when(x["var"] == "date-N", _offset(x["p"], "date-N")).alias("n")))
-    init = F.struct(t.alias("text"), F.array().cast("array<string>").alias("unresolved"),
-                    F.lit(None).cast("string").alias("error"), parse_biz_date(dtxt).alias("d"))
-
-    def step(acc, x):
-        val = _value(x["p"], x["var"], x["n"], acc["d"], h)
-        err = _error(x["p"], x["var"], x["n"], dtxt, acc["d"], h)
-        return F.struct(
-            F.coalesce(F.replace(acc["text"], x["p"], val), acc["text"]).alias("text"),
-            F.when(x["var"].isNull(), F.concat(acc["unresolved"], F.array(x["p"])))
-             .otherwise(acc["unresolved"]).alias("unresolved"),
-            F.coalesce(acc["error"], err).alias("error"),
-            acc["d"].alias("d"))
-
-    return F.aggregate(items, init, step, lambda acc: F.struct(
-        F.when(acc["error"].isNull(), acc["text"]).alias("text"),
-        acc["unresolved"].alias("unresolved"), acc["error"].alias("error")))
+    d = parse_biz_date(dtxt)
+    out = t
+    for name, value in (("dt", dt(d)), ("date", date_text(d)), ("month", month(d)), ("hr", biz_hour(h))):
+        p = F.lit(f"${{{name}}}")
+        out = F.replace(out, p, F.coalesce(value, p))
+    error = render_error(text, biz_date, hour)
+    return F.struct(F.when(error.isNull(), _with_offsets(t, out, d)).alias("text"),
+                    F.filter(placeholders(t), lambda p: match_catalog(p).isNull()).alias("unresolved"),
+                    error.alias("error"))
 
 
 def render_error(text: str | Column, biz_date: str | Column, hour: str | Column | None = None) -> Column:
-    """H13's error alone: ``render(...)["error"]``, computed without building
-    the rendered text.  The per-placeholder check runs only on rows where an
+    """H13's error alone.  The per-placeholder check runs only on rows where an
     error is possible at all (a date or hour missing or invalid, or an
     ``${dt-N}`` / ``${date-N}`` offset past 0001-01-01); other rows cost one
-    scan for offsets.  For lint reports, where errors are rare."""
+    scan for offsets."""
     t = _c(text)
     dtxt = _c(biz_date)
     h = F.lit(None).cast("string") if hour is None else _c(hour)
@@ -198,9 +196,43 @@ def scan(scripts: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .withColumn("is_project", placeholder_name(F.col("placeholder")).startswith(PROJECT_PREFIX)))
 
 
+def is_project(p: Column) -> Column:
+    return placeholder_name(p).startswith(PROJECT_PREFIX)
+
+
+def undeclared(text: str | Column) -> Column:
+    """C4 within a row: runtime placeholders that the catalog does not declare."""
+    return F.filter(placeholders(text), lambda p: ~is_project(p) & match_catalog(p).isNull())
+
+
+def resolve(scripts: DataFrame, variables: DataFrame, ids: Sequence[str], text_col: str = "text",
+            project_col: str = "project_id", at_col: str = "at", max_rows: int | None = None) -> DataFrame:
+    """The project placeholders of every script row with the value active at its
+    time: (ids, project, at, pos, placeholder, name, value, version).  Only the
+    ids and placeholders are shuffled, never a text."""
+    from batchwright.operators.asof import as_of_join
+
+    found = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PROJECT_SCAN_PATTERN), 0))
+    keep = dict.fromkeys([*ids, project_col, at_col])
+    prj = (scripts.select(*keep, F.posexplode(found).alias("pos", "placeholder"))
+           .withColumn("name", placeholder_name(F.col("placeholder"))))
+    return as_of_join(prj, variables.withColumnRenamed("project_id", project_col),
+                      keys=[project_col, "name"], left_ts=at_col, right_ts="effective_at",
+                      right_cols=["value", "version"], tie="seq", **({"max_rows": max_rows} if max_rows else {}))
+
+
+def unresolved(scripts: DataFrame, variables: DataFrame, id_col: str = "script_id", text_col: str = "text",
+               **options) -> DataFrame:
+    """C4: (id, placeholder) for every placeholder of a script row that nothing
+    resolves; no join back to the scripts and no text in a shuffle."""
+    missing = resolve(scripts, variables, [id_col], text_col, **options).where("value is null")
+    return missing.select(id_col, "placeholder").unionByName(
+        scripts.select(id_col, F.explode(undeclared(text_col)).alias("placeholder")))
+
+
 def bake(scripts: DataFrame, variables: DataFrame, id_col: str = "script_id",
          text_col: str = "text", project_col: str = "project_id", at_col: str = "at",
-         bucket: str = "day") -> DataFrame:
+         max_rows: int | None = None) -> DataFrame:
     """H14 + D2 + D3 + C4: replace project variables (``${prj.*}``) with the
     value active at ``at`` for the script's project; keep runtime placeholders.
 
@@ -210,45 +242,38 @@ def bake(scripts: DataFrame, variables: DataFrame, id_col: str = "script_id",
     ``var_versions`` (``name=version`` pairs sorted by name, each once) and
     ``unresolved`` (sorted, comma-joined).
 
+    Every row is baked for itself, so one script at two times (a backfill) gets
+    two texts.  A row is known by its id, project, time and a hash of its text;
+    rows equal in all of these have equal results.
+
     Plan: only the project placeholders are exploded (a few per script) and
-    resolved with the time-bucketed as-of join; their results are collected
-    per script (bounded by the distinct placeholders of one script) and
-    joined back to the scripts once, where ``aggregate`` applies them in
-    order of first appearance.  Runtime placeholders never leave their row:
-    the undeclared ones are found in the final projection.
+    resolved; their results are collected per row (bounded by its distinct
+    placeholders) and joined back to the scripts once, where ``aggregate``
+    applies them in order of first appearance.  Runtime placeholders never
+    leave their row: the undeclared ones are found in the final projection.
     """
-    from batchwright.operators.asof import as_of_join
-
-    def is_project(p: Column) -> Column:
-        return placeholder_name(p).startswith(PROJECT_PREFIX)
-
-    found = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PROJECT_SCAN_PATTERN), 0))
-    prj = (scripts.select(id_col, project_col, at_col, F.posexplode(found).alias("pos", "placeholder"))
-           .withColumn("name", placeholder_name(F.col("placeholder"))))
-    resolved = as_of_join(prj, variables.withColumnRenamed("project_id", project_col),
-                          keys=[project_col, "name"], left_ts=at_col, right_ts="effective_at",
-                          right_cols=["value", "version"], tie="seq", bucket=bucket)
-    per_script = (resolved.groupBy(id_col)
-                  .agg(F.array_sort(F.collect_list(F.struct("pos", "placeholder", "name", "value", "version")))
-                       .alias("items")))
-    per_script = per_script.select(
-        id_col,
+    key = F.struct(F.col(id_col), F.col(project_col), F.col(at_col), F.xxhash64(text_col))
+    rows = scripts.withColumn("_row", key)
+    resolved = resolve(rows, variables, ["_row"], text_col, project_col, at_col, max_rows)
+    per_row = resolved.groupBy("_row").agg(F.array_sort(F.collect_set(
+        F.struct("pos", "placeholder", "name", "value", "version"))).alias("items"))
+    per_row = per_row.select(
+        F.col("_row").alias("_of"),
         F.filter("items", lambda x: x["value"].isNotNull()).alias("repl"),
         F.transform(F.filter("items", lambda x: x["value"].isNull()), lambda x: x["placeholder"]).alias("_missing"),
         F.array_join(F.array_sort(F.transform(
             F.filter("items", lambda x: x["version"].isNotNull()),
             lambda x: F.concat(x["name"], F.lit("="), x["version"].cast("string")))), ",").alias("var_versions"),
     )
-    out = scripts.join(per_script, id_col, "left")
-    undeclared = F.filter(placeholders(text_col), lambda p: ~is_project(p) & match_catalog(p).isNull())
+    out = rows.join(per_row, F.col("_row").eqNullSafe(F.col("_of")), "left")
     empty = F.array().cast("array<string>")
     baked = F.aggregate(F.coalesce(F.col("repl"), F.array().cast(
         "array<struct<pos:int,placeholder:string,name:string,value:string,version:int>>")),
         F.col(text_col), lambda acc, x: F.replace(acc, x["placeholder"], x["value"]))
-    return (out.withColumn("unresolved", failures(F.concat(F.coalesce(F.col("_missing"), empty), undeclared)))
+    return (out.withColumn("unresolved", failures(F.concat(F.coalesce(F.col("_missing"), empty), undeclared(text_col))))
                .withColumn("var_versions", F.coalesce(F.col("var_versions"), F.lit("")))
                .withColumn("baked", F.when(F.col("unresolved") == "", baked))
-               .drop("repl", "_missing"))
+               .drop("repl", "_missing", "_row", "_of"))
 
 
 def preview(scripts: DataFrame, variables: DataFrame, biz_date: str | Column = "biz_date",

@@ -33,12 +33,6 @@ def latest_by(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Colum
               .drop(rank_col))
 
 
-def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The earliest row per key (ascending ``order``), e.g. the first
-    instance of a repeated trigger or the first result of a retried publish."""
-    return latest_by(df, keys, [F.col(c).asc_nulls_first() for c in order])
-
-
 def dedupe_triggers(triggers: DataFrame,
                     keys: Sequence[str] = ("task_id", "biz_date", "trigger_source", "scheduled_at"),
                     order: Sequence[str] = ("created_at", "instance_id")) -> DataFrame:
@@ -46,13 +40,17 @@ def dedupe_triggers(triggers: DataFrame,
     created instance; every repeat reports which instance it maps to.
 
     Returns one row per trigger row with ``first_instance_id`` and
-    ``is_duplicate``.  The first instance per key is found with a
+    ``is_duplicate``; NULL equals NULL in the key (a manual trigger has no
+    scheduled time).  The first instance per key is found with a
     partial-aggregated ``min_by`` (no sort of the hot key), then joined back.
     """
-    firsts = (triggers.groupBy(*keys)
+    firsts = (triggers.groupBy(*[F.col(k).alias(f"_{k}") for k in keys])
               .agg(F.min_by(F.col("instance_id"), F.struct(*[F.col(c) for c in order]))
                    .alias("first_instance_id")))
-    out = triggers.join(firsts, list(keys), "inner")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = triggers.join(firsts, same).drop(*[f"_{k}" for k in keys])
     return out.withColumn("is_duplicate", F.col("instance_id") != F.col("first_instance_id"))
 
 

@@ -1,19 +1,17 @@
 """Ordered per-key operators that stay parallel when one key is huge.
 
-A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of a key to
-one task.  These helpers partition by (key, time bucket) instead and repair
-the bucket borders with a small per-(key, bucket) summary:
-
 * ``previous_value``: the value of the previous row in (ts, tie) order
   (``lag``), E3;
 * ``forward_fill``: the last non-NULL value up to the current row, E5;
 * ``running_peak``: the maximum of a running sum of +1/-1 deltas, E6.
 
-The summaries hold one row per (key, bucket), so the cross-bucket windows
-see at most the number of buckets per key (days in the history).  For lag
-and forward fill, the value carried over from earlier buckets enters the
-main window as one synthetic row at the start of its bucket, so the input
-is shuffled and sorted once and no join follows the main window.
+A key of at most ``max_rows`` rows is handled by one plain window: one shuffle
+and one sort.  Only keys above that are cut into slots (``slotted``), and only
+their slots have a summary, from which the value carried over from earlier
+slots is computed and enters the window as one synthetic row per slot.  NULL
+keys are keys like any other: nothing is matched by ``=``.
+
+A NULL time comes first, before all times, in the order of the tie.
 """
 
 from __future__ import annotations
@@ -22,12 +20,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from batchwright.session import scratch_path
 
-# Fixed lengths of the time buckets, in seconds.  A bucket is only a unit of
-# partitioning, so it needs a fixed length, not a calendar meaning.
-_UNITS = {"hour": 3600, "day": 86400, "week": 7 * 86400}
-# A (key, bucket) with more rows than this is cut into equal time slices.
-MAX_BUCKET_ROWS = 2_000_000
+# A key, or a slot of a key, with more rows than this is cut.
+MAX_ROWS = 2_000_000
+# Keys (or slots) cut at one level, at most: the largest ones.  This bounds the
+# broadcast of their limits at any input size; results don't depend on it.
+MAX_CUT = 100_000
 _OVERSPLIT = 4
 
 
@@ -38,116 +39,139 @@ def _micros(ts: Column) -> Column:
                             ts.cast("timestamp_ntz"))
 
 
-def bucketed(frames: Sequence[DataFrame], keys: Sequence[str], ts: str, bucket: str | int = "day",
-             max_rows: int = MAX_BUCKET_ROWS, aggs: Sequence[Column] = ()) -> tuple[list[DataFrame], DataFrame | None]:
-    """Adds ``_b`` (a long that grows with time inside a key) to every frame,
-    and returns ``aggs`` per (keys, ``_b``) over all frames (None without aggs).
-
-    Buckets are fixed time slots (``bucket`` a name in ``_UNITS`` or a length
-    in seconds); ``_b`` is the slot start in microseconds.  A (keys, bucket)
-    holding more than ``max_rows`` rows over all frames is cut into equal
-    time slices over the span its rows cover, ``_OVERSPLIT`` times more than
-    the row count needs, so uneven times still give slices of about
-    ``max_rows`` rows or fewer (rows sharing one instant cannot be cut).
-
-    A partial aggregation per (keys, bucket) gives the summaries of the uncut
-    buckets; only the rows of cut buckets are aggregated again, per slice.
-    The row counts come from a count/min/max aggregate over key and time
-    columns only (Catalyst plans it apart from the summary).  The table of
-    cut buckets has at most (total rows / ``max_rows``) rows, a bound that
-    holds at any input size, so it is broadcast; when it is empty AQE drops
-    the broadcast joins and the per-slice branch at run time.
+def _number(df: DataFrame, col: str) -> Column | None:
+    """A number that orders as the column does, or None."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return _micros(F.col(col))
+    return F.col(col).cast("long") if isinstance(kind, T.IntegralType) else None
+
+
+def _above(rows: DataFrame, by: Sequence[str], value: str, max_rows: int) -> DataFrame | None:
+    """Limits of the groups of more than ``max_rows`` rows: (by, _lo, _w), None without any.
+
+    One partial aggregation over key and order columns.  The groups found, at
+    most ``MAX_CUT``, are written once, so the plan that uses them reads a
+    small table instead of counting again.
+    """
+    spark = rows.sparkSession
+    found = (rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+             .where((F.col("_n") > max_rows) & (F.col("_hi") > F.col("_lo")))
+             .orderBy(F.desc("_n")).limit(MAX_CUT)
+             .select(*by, "_lo", F.ceil((F.col("_hi") - F.col("_lo") + 1)
+                                        / (F.ceil(F.col("_n") / max_rows) * _OVERSPLIT)).alias("_w")))
+    path = scratch_path(spark, "slots")
+    found.coalesce(1).write.parquet(path)
+    out = spark.read.schema(found.schema).parquet(path)
+    return None if out.isEmpty() else out
+
+
+def slotted(frames: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str],
+            max_rows: int = MAX_ROWS) -> tuple[list[DataFrame], bool]:
+    """Adds ``_b`` to every frame: a struct that grows with ``order`` inside a
+    key, NULL for keys that are not cut; and tells whether any key is.
+
+    The first level cuts a key's span of ``order[0]`` into equal slots, the
+    second cuts slots that are still too large by their own span, and further
+    levels cut those by the other columns of ``order`` (numbers or times;
+    others cannot be cut).  All frames must have the keys and the order columns.
     """
     keys = list(keys)
-    length = (_UNITS[bucket] if isinstance(bucket, str) else int(bucket)) * 1_000_000
-    based = [f.withColumn("_us", _micros(F.col(ts)))
-              .withColumn("_b", F.col("_us") - F.pmod(F.col("_us"), F.lit(length)))
-             for f in frames]
-    rows = based[0]
-    for f in based[1:]:
-        rows = rows.unionByName(f, allowMissingColumns=True)
-    rows = rows.filter(F.col("_b").isNotNull())
-    base = rows.groupBy(*keys, "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_us").alias("_lo"), F.max("_us").alias("_hi"), *aggs)
-    parts = F.ceil(F.col("_n") / max_rows) * _OVERSPLIT
-    heavy = (base.filter(F.col("_n") > max_rows)
-             .select(*keys, "_b", "_lo", F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts).alias("_w")))
-
-    def cut(f: DataFrame, how: str) -> DataFrame:
-        off = F.col("_us") - F.col("_lo")
-        sliced = F.col("_lo") + off - F.pmod(off, F.col("_w"))
-        return (f.join(F.broadcast(heavy), [*keys, "_b"], how)
-                 .withColumn("_b", F.coalesce(sliced, F.col("_b"))).drop("_us", "_lo", "_w"))
-
-    out = [cut(f, "left") for f in based]
-    if not aggs:
-        return out, None
-    names = base.columns[len(keys) + 4:]
-    light = base.filter(F.col("_n") <= max_rows).select(*keys, "_b", *names)
-    sliced = cut(rows, "inner").groupBy(*keys, "_b").agg(*aggs)
-    return out, light.unionByName(sliced)
-
-
-def with_buckets(frames: Sequence[DataFrame], keys: Sequence[str], ts: str, bucket: str | int = "day",
-                 max_rows: int = MAX_BUCKET_ROWS) -> list[DataFrame]:
-    """``bucketed`` without summaries."""
-    return bucketed(frames, keys, ts, bucket, max_rows)[0]
+    levels = [order[0], *order]
+    done: list[str] = []
+    none = F.lit(None).cast("long")
+    for i, col in enumerate(levels):
+        name = f"_s{i}"
+        values = [_number(f, col) for f in frames]
+        big = None
+        if all(v is not None for v in values) and (not i or done):
+            narrow = [f.select(*keys, *done, v.alias("_v"), *(["_cut"] if done else []))
+                      for f, v in zip(frames, values)]
+            rows = narrow[0]
+            for f in narrow[1:]:
+                rows = rows.unionByName(f)
+            big = _above(rows.where("_cut") if done else rows, [*keys, *done], "_v", max_rows)
+        if big is None:
+            if not i:
+                return [f.withColumn("_b", F.lit(None).cast("struct<_s0:bigint>")) for f in frames], False
+            continue
+        by = [*keys, *done]
+        limits = F.broadcast(big.select(*[F.col(c).alias(f"_k{j}") for j, c in enumerate(by)], "_lo", "_w"))
+        for n, (f, v) in enumerate(zip(frames, values)):
+            same = F.lit(True)
+            for j, c in enumerate(by):
+                same = same & F.col(c).eqNullSafe(F.col(f"_k{j}"))
+            off = v - F.col("_lo")
+            f = f.join(limits, same, "left").withColumn(name, F.when(
+                F.col("_lo").isNotNull(), F.col("_lo") + off - F.pmod(off, F.col("_w"))).otherwise(none))
+            if not done:
+                f = f.withColumn("_cut", F.col("_lo").isNotNull())
+            frames = [*frames[:n], f.drop("_lo", "_w", *[f"_k{j}" for j in range(len(by))]), *frames[n + 1:]]
+        done.append(name)
+    return [f.withColumn("_b", F.when(F.col("_cut"), F.struct(*done))).drop("_cut", *done) for f in frames], True
 
 
 def _with_carry(b: DataFrame, carry: DataFrame, value: str) -> DataFrame:
     """Real rows (``_syn`` 1) plus one synthetic row (``_syn`` 0) holding the
-    carried value in ``value`` for every bucket in ``carry``."""
+    carried value in ``value`` for every slot in ``carry``."""
     synth = carry.select(*[c for c in carry.columns if c != "_carry"],
                          F.col("_carry").alias(value), F.lit(0).alias("_syn"))
     return b.withColumn("_syn", F.lit(1)).unionByName(synth, allowMissingColumns=True)
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str,
-                   out: str = "prev", bucket: str | int = "day",
-                   max_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
+                   out: str = "prev", max_rows: int = MAX_ROWS) -> DataFrame:
     """Adds ``out`` = ``value`` of the previous row of the same key in
     (ts, tie) order; NULL for the first row of a key."""
     keys = list(keys)
-    # last value of each (key, bucket); then per key the previous bucket's
-    # last value for every bucket but the first
-    last = F.max_by(F.col(value), F.struct(F.col(ts), F.col(tie))).alias("_last")
-    [b], summary = bucketed([df], keys, ts, bucket, max_rows, [last])
+    [b], cut = slotted([df], keys, [ts, tie], max_rows)
+    if not cut:
+        return b.drop("_b").withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(ts, tie)))
+    # the last value of each slot; then per key that of the slot before
+    last = F.max_by(F.struct(F.col(value)), F.struct(F.col(ts), F.col(tie))).alias("_last")
     wk = Window.partitionBy(*keys).orderBy("_b")
-    carry = (summary.withColumn("_carry", F.lag("_last").over(wk))
-                    .withColumn("_rn", F.row_number().over(wk))
-                    .filter(F.col("_rn") > 1).select(*keys, "_b", "_carry"))
+    carry = (b.where("_b is not null").groupBy(*keys, "_b").agg(last)
+             .withColumn("_carry", F.lag("_last").over(wk))
+             .where(F.col("_carry").isNotNull()).select(*keys, "_b", F.col("_carry")[value].alias("_carry")))
     w = Window.partitionBy(*keys, "_b").orderBy(F.col("_syn"), F.col(ts), F.col(tie))
     return (_with_carry(b, carry, value).withColumn(out, F.lag(value).over(w))
             .filter(F.col("_syn") == 1).drop("_b", "_syn"))
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str,
-                 out: str = "filled", bucket: str | int = "day",
-                 max_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
+                 out: str = "filled", max_rows: int = MAX_ROWS) -> DataFrame:
     """Adds ``out`` = last non-NULL ``value`` at or before the current row."""
     keys = list(keys)
+    [b], cut = slotted([df], keys, [ts, tie], max_rows)
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    if not cut:
+        w = Window.partitionBy(*keys).orderBy(ts, tie).rowsBetween(*so_far)
+        return b.drop("_b").withColumn(out, F.last(value, ignorenulls=True).over(w))
     v = F.col(value)
     last = F.max_by(v, F.when(v.isNotNull(), F.struct(F.col(ts), F.col(tie)))).alias("_last")
-    [b], summary = bucketed([df], keys, ts, bucket, max_rows, [last])
-    wk = (Window.partitionBy(*keys).orderBy("_b")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (summary.withColumn("_carry", F.last("_last", ignorenulls=True).over(wk))
-                    .filter(F.col("_carry").isNotNull()).select(*keys, "_b", "_carry"))
-    w = (Window.partitionBy(*keys, "_b").orderBy(F.col("_syn"), F.col(ts), F.col(tie))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (b.where("_b is not null").groupBy(*keys, "_b").agg(last)
+             .withColumn("_carry", F.last("_last", ignorenulls=True).over(wk))
+             .where(F.col("_carry").isNotNull()).select(*keys, "_b", "_carry"))
+    w = Window.partitionBy(*keys, "_b").orderBy(F.col("_syn"), F.col(ts), F.col(tie)).rowsBetween(*so_far)
     return (_with_carry(b, carry, value).withColumn(out, F.last(value, ignorenulls=True).over(w))
             .filter(F.col("_syn") == 1).drop("_b", "_syn"))
 
 
 def running_peak(deltas: DataFrame, keys: Sequence[str], ts: str, delta: str, tie: str,
-                 bucket: str | int = "day", max_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
+                 max_rows: int = MAX_ROWS) -> DataFrame:
     """Per key: the maximum of the running sum of ``delta`` in (ts, delta, tie)
     order (at equal times -1 comes before +1, so an end and a start at the
     same instant do not overlap)."""
     keys = list(keys)
-    [b] = with_buckets([deltas], keys, ts, bucket, max_rows)
+    [b], cut = slotted([deltas], keys, [ts, delta, tie], max_rows)
     w = (Window.partitionBy(*keys, "_b").orderBy(F.col(ts), F.col(delta), F.col(tie))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if not cut:
+        w = (Window.partitionBy(*keys).orderBy(F.col(ts), F.col(delta), F.col(tie))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return (b.withColumn("_run", F.sum(delta).over(w))
+                .groupBy(*keys).agg(F.max("_run").cast("long").alias("peak_running")))
     local = (b.withColumn("_run", F.sum(delta).over(w))
               .groupBy(*keys, "_b").agg(F.max("_run").alias("_peak"), F.sum(delta).alias("_total")))
     wk = (Window.partitionBy(*keys).orderBy("_b")

@@ -52,8 +52,6 @@ BASE_CASTS = [
     ("scope", "scope"), ("phone_number", "phone_number"), ("update_time", "updated_date"),
 ]
 
-DEFAULT_STAMP = "2026-06-13 00:00:00"
-
 
 def dedup_mapping(mid: DataFrame) -> DataFrame:
     """Step 2: present ids only, latest row per v2_company_id."""
@@ -65,7 +63,7 @@ def dedup_mapping(mid: DataFrame) -> DataFrame:
     )
 
 
-def build(base: DataFrame, mid: DataFrame, as_of: str | None = DEFAULT_STAMP) -> DataFrame:
+def build(base: DataFrame, mid: DataFrame, as_of: str | None = None) -> DataFrame:
     b = base.filter(F.col("company_type_code") == F.lit("01")).alias("base")
     m = dedup_mapping(mid).alias("mid")
     joined = b.join(m, F.col("base.company_id") == F.col("mid.v2_company_id"), "inner")
@@ -90,7 +88,7 @@ def build(base: DataFrame, mid: DataFrame, as_of: str | None = DEFAULT_STAMP) ->
     return deduped.select(*OUTPUT_COLUMNS)
 
 
-def company_dim(spark: SparkSession, sf_dir: str, as_of: str | None = DEFAULT_STAMP) -> DataFrame:
+def company_dim(spark: SparkSession, sf_dir: str, as_of: str | None = None) -> DataFrame:
     """Whole job over the stand-in tables (orders as base, lineitem as mapping)."""
     return build(company_base(load(spark, sf_dir, "orders")),
                  company_mapping(load(spark, sf_dir, "lineitem")), as_of)

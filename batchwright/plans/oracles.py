@@ -93,9 +93,19 @@ task_versions AS (
     o_orderkey AS version_id,
     o_orderdate AS baked_at,
     CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'superseded'
-      ELSE 'rolled_back' END AS status
+      ELSE 'baked' END AS status
   FROM orders)"""
 
+# The published pointer's moves: a publish at its own time, whatever became of
+# the version since, and a rollback (after a publish of the same instant).
+HISTORY = TASK_VERSIONS + """,
+history AS (
+  SELECT task_id, baked_at AS moved_at, 0 AS rank, version_id AS id, version_id, 'publish' AS kind
+  FROM task_versions WHERE status <> 'baked'
+  UNION ALL
+  SELECT CAST(o_custkey AS VARCHAR), o_orderdate + INTERVAL 300 DAY, 1, o_orderkey, o_orderkey, 'rollback'
+  FROM orders WHERE o_orderpriority = '5-LOW' AND o_orderstatus <> 'P')"""
+
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
@@ -160,18 +170,18 @@ ORACLES: dict[str, str] = {
 
 SCRIPTS = r"""
 scripts AS (
-  SELECT event_id AS script_id, CAST(user_id AS VARCHAR) AS project_id,
+  SELECT event_id // 2 AS script_id, CAST(user_id AS VARCHAR) AS project_id,
     CAST(ts - INTERVAL 26 YEAR AS TIMESTAMP) AS "at",
     strftime(ts, '%Y%m%d') AS biz_date,
     CASE WHEN event_id % 13 = 0 THEN NULL ELSE strftime(ts, '%H') END AS biz_hour,
     event_id, event_type, ts, CAST(ts AS DATE) AS dd,
     CAST(event_id % 40 AS INTEGER) AS k40, CAST(event_id % 7 AS INTEGER) AS k7,
     CAST(event_id % 5 + 1 AS VARCHAR) AS k5,
-    'INSERT OVERWRITE TABLE t_' || event_type || ' PARTITION (dt=''${dt}'', hr=''${hr}'') SELECT '
-      || CAST(event_id AS VARCHAR) || ' AS id, ''${dt-' || CAST(event_id % 40 AS VARCHAR)
-      || '}'' AS prev_dt, ''${date-' || CAST(event_id % 7 AS VARCHAR)
-      || '}'' AS d2, ''${month}'' AS m, ''${date}'' AS biz, ''${prj.p' || CAST(event_id % 5 + 1 AS VARCHAR)
-      || '}'' AS v FROM staging WHERE dt = ''${dt}''' || tail AS text,
+    'SELECT count(*) AS n, ''${month}'' AS in_month, ''${date}'' AS on_day, ''${prj.p'
+      || CAST(event_id % 5 + 1 AS VARCHAR) || '}'' AS owner FROM clicks_' || event_type
+      || ' WHERE day BETWEEN ''${dt-' || CAST(event_id % 40 AS VARCHAR) || '}'' AND ''${dt}'' AND since >= ''${date-'
+      || CAST(event_id % 7 AS VARCHAR) || '}'' AND hour = ''${hr}'' AND batch <> ''${dt}'' AND event = '
+      || CAST(event_id AS VARCHAR) || tail AS text,
     tail
   FROM (SELECT *, CASE WHEN event_id % 9 = 0 THEN ' -- ${dt-0' || CAST(event_id % 3 AS VARCHAR) || '}'
                        WHEN event_id % 11 = 0 THEN ' /* ${unknown_' || event_type || '} */'
@@ -186,8 +196,8 @@ ph AS (
 
 AS_OF_SCRIPT = """
 look AS (
-  SELECT s.script_id, v.value, v.version,
-    row_number() OVER (PARTITION BY s.script_id
+  SELECT s.event_id, v.value, v.version,
+    row_number() OVER (PARTITION BY s.event_id
       ORDER BY v.effective_at DESC NULLS LAST, v.seq ASC NULLS LAST) AS rn
   FROM scripts s LEFT JOIN project_variables v
     ON v.project_id = s.project_id AND v.name = 'prj.p' || s.k5 AND v.effective_at <= s."at")"""
@@ -234,7 +244,7 @@ FROM (
   SELECT CAST(c_custkey AS VARCHAR) AS task_id,
     DATE '2026-06-01' + CAST(c_custkey % 5 AS INTEGER) AS s,
     CASE WHEN c_acctbal < 0 THEN 'v' || CAST(c_custkey AS VARCHAR) END AS version_choice,
-    unnest(range(0, c_nationkey % 7 + 1)) AS k
+    unnest(range(0, c_nationkey % 7)) AS k
   FROM customer) c""",
 
     "variable_as_of": with_(PROJECT_VARIABLES, VARIABLE_LOOKUPS) + """
@@ -247,7 +257,7 @@ SELECT lookup_id, project_id, name, "at", value, version, matched_effective_at F
     ON v.project_id = l.project_id AND v.name = l.name AND v.effective_at <= l."at") t
 WHERE rn = 1""",
 
-    "version_lock": with_(TASK_VERSIONS, """
+    "version_lock": with_(HISTORY, """
 inst AS (
   SELECT event_id AS attempt_id,
     CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d') AS instance_id,
@@ -261,9 +271,8 @@ firsts AS (
 look AS (
   SELECT f.instance_id, f.explicit_version, p.version_id,
     row_number() OVER (PARTITION BY f.instance_id
-      ORDER BY p.baked_at DESC NULLS LAST, p.version_id ASC NULLS LAST) AS rn
-  FROM firsts f LEFT JOIN (SELECT * FROM task_versions WHERE status = 'published') p
-    ON p.task_id = f.task_id AND p.baked_at <= f.created_at)""") + """
+      ORDER BY p.moved_at DESC NULLS LAST, p.rank DESC NULLS LAST, p.id DESC NULLS LAST) AS rn
+  FROM firsts f LEFT JOIN history p ON p.task_id = f.task_id AND p.moved_at <= f.created_at)""") + """
 SELECT i.instance_id, i.attempt_id, i.task_id, i.created_at, i.explicit_version,
   coalesce(l.explicit_version, l.version_id) AS locked_version,
   CASE WHEN l.explicit_version IS NOT NULL THEN 'explicit'
@@ -297,7 +306,7 @@ SELECT script_id,
   CASE WHEN event_id % 9 = 0 THEN '${dt-0' || CAST(event_id % 3 AS VARCHAR) || '}, ${prj.p' || k5 || '}'
        WHEN event_id % 11 = 0 THEN '${prj.p' || k5 || '}, ${unknown_' || event_type || '}'
        ELSE '${prj.p' || k5 || '}' END AS unresolved,
-  CASE WHEN biz_hour IS NULL THEN 'variable ${hr} requires --biz-hour' END AS error
+  CASE WHEN biz_hour IS NULL THEN 'no business hour for ${hr}' END AS error
 FROM scripts""",
 
     "bake_templates": with_(PROJECT_VARIABLES, SCRIPTS, AS_OF_SCRIPT) + """
@@ -310,7 +319,7 @@ SELECT s.script_id,
       CASE WHEN l.value IS NULL THEN '${prj.p' || s.k5 || '}' END,
       CASE WHEN s.event_id % 9 <> 0 AND s.event_id % 11 = 0 THEN '${unknown_' || s.event_type || '}' END],
     lambda x: x IS NOT NULL)), ', ') AS unresolved
-FROM scripts s JOIN look l ON l.script_id = s.script_id AND l.rn = 1""",
+FROM scripts s JOIN look l ON l.event_id = s.event_id AND l.rn = 1""",
 
     "unresolved_vars": with_(PROJECT_VARIABLES, SCRIPTS, AS_OF_SCRIPT) + """
 SELECT script_id, '${dt-0' || CAST(event_id % 3 AS VARCHAR) || '}' AS placeholder
@@ -320,7 +329,7 @@ SELECT script_id, '${unknown_' || event_type || '}' FROM scripts
 WHERE event_id % 9 <> 0 AND event_id % 11 = 0
 UNION ALL
 SELECT s.script_id, '${prj.p' || s.k5 || '}' FROM scripts s
-JOIN look l ON l.script_id = s.script_id AND l.rn = 1 WHERE l.value IS NULL""",
+JOIN look l ON l.event_id = s.event_id AND l.rn = 1 WHERE l.value IS NULL""",
 })
 
 from batchwright.plans.standins import CONF_KEYS as _CONF_KEYS  # noqa: E402  (input data, not logic)
@@ -442,7 +451,7 @@ triggers AS (
   SELECT event_id AS instance_id, 'task-' || CAST(user_id % 20 AS VARCHAR) AS task_id,
     strftime(ts, '%Y%m%d') AS biz_date,
     CASE WHEN event_type = 'signup' THEN 'backfill' ELSE 'schedule' END AS trigger_source,
-    date_trunc('hour', ts) AS scheduled_at, ts AS created_at,
+    CASE WHEN event_type <> 'signup' THEN date_trunc('hour', ts) END AS scheduled_at, ts AS created_at,
     CAST(user_id % 10 AS VARCHAR) AS tenant_id
   FROM events)"""
 
@@ -465,12 +474,15 @@ GROUP BY 1, 2, 3""",
 SELECT instance_id, arg_max(state, (ts, event_id)) AS current_state, count(*) AS n_events
 FROM instance_events GROUP BY instance_id""",
 
-    "published_pointer": with_(TASK_VERSIONS) + """
-SELECT task_id, version_id, baked_at, status,
-  last_value(CASE WHEN status IN ('published', 'rolled_back') THEN version_id END IGNORE NULLS)
-    OVER (PARTITION BY task_id ORDER BY baked_at, version_id
-          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pointer
-FROM task_versions""",
+    "published_pointer": with_(HISTORY, """
+steps AS (
+  SELECT * FROM history
+  UNION ALL SELECT task_id, baked_at, 0, version_id, version_id, 'bake' FROM task_versions WHERE status = 'baked')""") + """
+SELECT s.task_id, s.moved_at AS event_at, s.kind, s.version_id,
+  arg_max(h.version_id, (h.moved_at, h.rank, h.id)) AS pointer
+FROM steps s LEFT JOIN history h
+  ON h.task_id = s.task_id AND (h.moved_at, h.rank, h.id) <= (s.moved_at, s.rank, s.id)
+GROUP BY s.task_id, s.moved_at, s.kind, s.version_id, s.rank, s.id""",
 
     "peak_running": with_(RUNS) + """
 SELECT tenant_id, CAST(max(running) AS BIGINT) AS peak_running FROM (
@@ -518,34 +530,50 @@ FROM need n LEFT JOIN inst u ON u.task_id = n.upstream_id AND u.biz_date = n.uda
 GROUP BY n.task_id, n.biz_date""",
 
     "registry_reconcile": """
-WITH a AS (SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey % 7 <> 0),
-b AS (SELECT DISTINCT CASE WHEN o_orderkey % 11 = 0 THEN o_custkey + 100000 ELSE o_custkey END AS key
-      FROM orders WHERE o_orderpriority = '1-URGENT')
+WITH a AS (SELECT nullif(c_custkey, 7) AS key, count(*) AS n FROM customer GROUP BY 1),
+b AS (SELECT CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_orderkey % 11 = 0 THEN o_custkey + 100000
+                  ELSE o_custkey END AS key, count(*) AS n FROM orders GROUP BY 1)
 SELECT coalesce(a.key, b.key) AS key,
-  CASE WHEN a.key IS NOT NULL AND b.key IS NOT NULL THEN 'both'
-       WHEN a.key IS NOT NULL THEN 'unsynced' ELSE 'orphan' END AS status
-FROM a FULL OUTER JOIN b ON a.key = b.key""",
+  CASE WHEN a.n IS NULL THEN 'orphan' WHEN b.n IS NULL THEN 'unsynced' ELSE 'both' END AS status,
+  coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b
+FROM a FULL OUTER JOIN b ON a.key IS NOT DISTINCT FROM b.key""",
 
     "run_compare": """
-WITH a AS (SELECT l_orderkey, sum(l_quantity) AS qty, count(*) AS n FROM lineitem GROUP BY 1),
-b AS (SELECT l_orderkey, CASE WHEN l_orderkey % 10 = 0 THEN qty + 1 ELSE qty END AS qty, n
-      FROM a WHERE l_orderkey % 17 <> 0
-      UNION ALL SELECT l_orderkey + 1000000, qty, n FROM a WHERE l_orderkey % 23 = 0)
-SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey,
-  CASE WHEN a.l_orderkey IS NULL THEN 'only_new' WHEN b.l_orderkey IS NULL THEN 'only_old'
-       WHEN a.qty IS DISTINCT FROM b.qty OR a.n IS DISTINCT FROM b.n THEN 'changed' ELSE 'same' END AS status,
-  CASE WHEN a.l_orderkey IS NOT NULL AND b.l_orderkey IS NOT NULL
-         AND (a.qty IS DISTINCT FROM b.qty OR a.n IS DISTINCT FROM b.n)
-       THEN concat_ws(',', CASE WHEN a.n IS DISTINCT FROM b.n THEN 'n' END,
-                           CASE WHEN a.qty IS DISTINCT FROM b.qty THEN 'qty' END)
-       ELSE '' END AS changed_cols
-FROM a FULL OUTER JOIN b ON a.l_orderkey = b.l_orderkey""",
+WITH x AS (SELECT CASE WHEN l_returnflag <> 'R' THEN l_orderkey END AS k, l_linenumber AS line, l_partkey AS part,
+             nullif(l_linestatus, 'O') AS mode FROM lineitem),
+y AS (SELECT CASE WHEN k % 13 = 0 THEN k + 1000000 ELSE k END AS k, line,
+        CASE WHEN k % 10 = 0 THEN part + 1 ELSE part END AS part,
+        CASE WHEN k % 15 = 0 THEN NULL ELSE mode END AS mode FROM x),
+a AS (SELECT k, line, count(*) AS n, list_sort(list(CAST(part AS VARCHAR))) AS part,
+        list_sort(list(coalesce(mode, '-'))) AS mode FROM x GROUP BY 1, 2),
+b AS (SELECT k, line, count(*) AS n, list_sort(list(CAST(part AS VARCHAR))) AS part,
+        list_sort(list(coalesce(mode, '-'))) AS mode FROM y GROUP BY 1, 2),
+j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.line, b.line) AS line, coalesce(a.n, 0) AS n_old, coalesce(b.n, 0) AS n_new,
+        concat_ws(',', CASE WHEN a.n <> b.n THEN '*' END, CASE WHEN a.mode <> b.mode THEN 'mode' END,
+                  CASE WHEN a.part <> b.part THEN 'part' END) AS diff
+      FROM a FULL OUTER JOIN b ON a.k IS NOT DISTINCT FROM b.k AND a.line = b.line)
+SELECT k, line, CASE WHEN n_old = 0 THEN 'only_new' WHEN n_new = 0 THEN 'only_old'
+    WHEN diff <> '' THEN 'changed' ELSE 'same' END AS status, diff AS changed_cols, n_old, n_new
+FROM j""",
+
+    "run_compare_repeated": """
+WITH a AS (SELECT l_orderkey AS k, count(*) AS n, list_sort(list(l_partkey)) AS part FROM lineitem GROUP BY 1),
+b AS (SELECT CASE WHEN l_partkey % 50 <> 0 THEN l_orderkey END AS k, count(*) AS n, list_sort(list(l_partkey)) AS part
+      FROM lineitem GROUP BY 1),
+j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS n_old, coalesce(b.n, 0) AS n_new,
+        concat_ws(',', CASE WHEN a.n <> b.n THEN '*' END, CASE WHEN a.part <> b.part THEN 'part' END) AS diff
+      FROM a FULL OUTER JOIN b ON a.k IS NOT DISTINCT FROM b.k)
+SELECT k, CASE WHEN n_old = 0 THEN 'only_new' WHEN n_new = 0 THEN 'only_old'
+    WHEN diff <> '' THEN 'changed' ELSE 'same' END AS status, diff AS changed_cols, n_old, n_new
+FROM j""",
 
     "lineage_walk": """
-SELECT e.event_id, e.event_id AS version_id, 'r' || CAST(o.o_orderkey AS VARCHAR) AS draft_revision_id,
-  o.o_custkey AS task_id, c.c_nationkey AS project_id, n.n_name AS project_name
-FROM events e LEFT JOIN orders o ON o.o_orderkey = e.event_id
-LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+SELECT e.event_id, e.event_id AS version_id, 'r' || CAST(v.o_orderkey AS VARCHAR) AS draft_revision_id,
+  'author-' || CAST(d.o_custkey % 100 AS VARCHAR) AS author,
+  d.o_custkey AS task_id, c.c_nationkey AS project_id, n.n_name AS project_name
+FROM events e LEFT JOIN orders v ON v.o_orderkey = e.event_id
+LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority <> '1-URGENT') d ON d.o_orderkey = v.o_orderkey
+LEFT JOIN customer c ON c.c_custkey = d.o_custkey
 LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey""",
 
     "trace_rows": with_(LOG_LINES, RUNS) + """
@@ -553,31 +581,33 @@ SELECT 'trace-' || instance_id AS trace_id, ts, 'driver' AS layer, line AS detai
 UNION ALL SELECT trace_id, ts, 'instance', state FROM instance_events
 UNION ALL SELECT trace_id, ended_at, 'run', 'ended ' || state FROM runs WHERE ended_at IS NOT NULL""",
 
-    "run_metrics": with_(RUNS) + """,
-hist AS (SELECT tenant_id, duration_s, count(*) AS c FROM runs GROUP BY 1, 2),
-cum AS (SELECT *, sum(c) OVER (PARTITION BY tenant_id ORDER BY duration_s ROWS UNBOUNDED PRECEDING) AS cm,
-          sum(c) OVER (PARTITION BY tenant_id) AS n FROM hist),
-pct AS (SELECT tenant_id,
-          min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.5) THEN duration_s END) AS p50_s,
-          min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.95) THEN duration_s END) AS p95_s,
-          min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.99) THEN duration_s END) AS p99_s
-        FROM cum GROUP BY tenant_id),
-base AS (SELECT tenant_id, count(*) AS n_runs,
-           count(CASE WHEN state = 'succeeded' THEN 1 END) AS n_succeeded FROM runs GROUP BY 1)
-SELECT base.tenant_id, n_runs, n_succeeded, n_succeeded / n_runs AS success_rate, p50_s, p95_s, p99_s
-FROM base LEFT JOIN pct ON pct.tenant_id = base.tenant_id""",
-
-    "retry_stats": with_(INSTANCE_EVENTS) + """
-SELECT instance_id, n_attempts, n_failures, succeeded,
+    "run_metrics": with_(RUNS) + """
+SELECT tenant_id, count(*) AS n_runs, count(*) FILTER (WHERE state = 'succeeded') AS n_succeeded,
+  count(*) FILTER (WHERE state = 'succeeded') / count(*) AS success_rate,
+  quantile_disc(duration_s, 0.5) AS p50_s, quantile_disc(duration_s, 0.95) AS p95_s, quantile_disc(duration_s, 0.99) AS p99_s
+FROM runs GROUP BY tenant_id""",
+
+    "retry_stats": with_(INSTANCE_EVENTS) + """,
+again AS (
+  SELECT DISTINCT f.instance_id FROM instance_events f JOIN instance_events g
+    ON g.instance_id = f.instance_id AND f.state IN ('failed', 'submit_failed') AND g.state = 'succeeded'
+   AND (g.ts, g.event_id) > (f.ts, f.event_id))
+SELECT t.instance_id, n_attempts, n_failures, succeeded,
   greatest(n_attempts - 1, 0) AS retries,
   greatest(n_attempts - 1, 0) >= 2 AND NOT succeeded AS exhausted,
-  n_failures > 0 AND succeeded AS recovered
+  again.instance_id IS NOT NULL AS recovered
 FROM (SELECT instance_id, count(CASE WHEN state = 'submitting' THEN 1 END) AS n_attempts,
         count(CASE WHEN state IN ('failed', 'submit_failed') THEN 1 END) AS n_failures,
         coalesce(bool_or(state = 'succeeded'), false) AS succeeded
-      FROM instance_events GROUP BY instance_id) t""",
+      FROM instance_events GROUP BY instance_id) t LEFT JOIN again ON again.instance_id = t.instance_id""",
 
     "trace_coverage": with_(LOG_LINES) + """
+SELECT 'task-' || CAST(user_id % 10 AS VARCHAR) AS task_id, count(DISTINCT instance_id) AS n_instances,
+  count(DISTINCT CASE WHEN contains(line, 'trace_id=trace-') THEN instance_id END) AS n_present,
+  count(DISTINCT CASE WHEN contains(line, 'trace_id=trace-') THEN instance_id END) / count(DISTINCT instance_id) AS coverage
+FROM log_lines GROUP BY 1""",
+
+    "application_coverage": with_(LOG_LINES) + """
 SELECT 'task-' || CAST(user_id % 10 AS VARCHAR) AS task_id, count(*) AS n_rows,
   count(CASE WHEN event_type <> 'signup' THEN 1 END) AS n_present,
   count(CASE WHEN event_type <> 'signup' THEN 1 END) / count(*) AS coverage
@@ -593,13 +623,47 @@ SELECT o_custkey AS task_id, o_orderstatus AS revision, o_orderpriority AS idem_
 FROM orders GROUP BY 1, 2, 3""",
 
     "audit_diff": """
-SELECT event_id AS id, 'k' AS field, json_extract_string(props, '$.k') AS before,
-  CASE WHEN event_id % 6 = 0 THEN NULL
-       ELSE CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) + 1 AS VARCHAR) END AS after,
-  CASE WHEN event_id % 6 = 0 THEN 'removed' ELSE 'changed' END AS change
-FROM events WHERE event_id % 6 = 0 OR event_id % 4 = 0
-UNION ALL
-SELECT event_id, 't', NULL, event_type, 'added' FROM events""",
+WITH texts AS (
+  SELECT event_id AS id,
+    CASE WHEN event_id % 14 = 0 THEN '{"k": null}' WHEN event_id % 15 = 0 THEN NULL ELSE props END AS b,
+    CASE WHEN event_id % 6 = 0 THEN '{"t": "' || event_type || '"}'
+         WHEN event_id % 10 = 0 THEN '{"k": null, "t": "' || event_type || '"}'
+         WHEN event_id % 21 = 0 THEN '{"k": '
+         WHEN event_id % 4 = 0 THEN '{"k": ' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) + 1 AS VARCHAR)
+           || ', "t": "' || event_type || '"}'
+         ELSE '{"k": ' || json_extract_string(props, '$.k') || ', "t": "' || event_type || '"}' END AS a
+  FROM events),
+judged AS (SELECT *, coalesce(NOT json_valid(b), false) OR coalesce(NOT json_valid(a), false) AS bad FROM texts),
+sides AS (
+  SELECT id, coalesce(CAST(b AS JSON), '{}') AS b, coalesce(CAST(a AS JSON), '{}') AS a FROM judged WHERE NOT bad),
+fields AS (
+  SELECT *, unnest(list_distinct(list_concat(json_keys(b), json_keys(a)))) AS field FROM sides),
+rows AS (
+  SELECT id, field, json_extract_string(b, '$.' || field) AS before, json_extract_string(a, '$.' || field) AS after,
+    CASE WHEN NOT list_contains(json_keys(b), field) THEN 'added'
+         WHEN NOT list_contains(json_keys(a), field) THEN 'removed'
+         WHEN json_extract_string(b, '$.' || field) IS DISTINCT FROM json_extract_string(a, '$.' || field) THEN 'changed'
+    END AS change
+  FROM fields)
+SELECT id, field, before, after, change FROM rows WHERE change IS NOT NULL
+UNION ALL SELECT id, NULL, b, a, 'malformed' FROM judged WHERE bad""",
+
+    "adapter_metrics": """
+SELECT 'call-' || event_type AS operation, count(*) AS n_calls,
+  count(*) FILTER (WHERE value < 1 OR value IS NULL OR (event_type = 'error' AND value > 45)) AS n_errors,
+  count(*) FILTER (WHERE value < 1 OR value IS NULL OR (event_type = 'error' AND value > 45)) / count(*) AS error_rate
+FROM events GROUP BY 1""",
+
+    "instance_by_app_id": """
+SELECT event_id AS instance_id, 'task-' || CAST(user_id % 20 AS VARCHAR) AS task_id, 'application_3' AS application_id
+FROM events WHERE user_id % 10 = 3""",
+
+    "partition_overwrite_empty": """
+SELECT event_id, event_type, value, strftime(ts, '%Y%m%d') AS dt, strftime(ts, '%H') AS hr
+FROM events WHERE NOT (strftime(ts, '%Y%m%d') = '20240115' AND strftime(ts, '%H') = '03')""",
+
+    "pruned_day": """
+SELECT event_type, count(*) AS n_events FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15' GROUP BY 1""",
 })
 
 ORACLES["lint_report"] = with_(PROJECT_VARIABLES, SCRIPTS, AS_OF_SCRIPT) + """,
@@ -611,30 +675,30 @@ unresolved AS (
   WHERE event_id % 9 <> 0 AND event_id % 11 = 0
   UNION ALL
   SELECT s.script_id, '${prj.p' || s.k5 || '}' FROM scripts s
-  JOIN look l ON l.script_id = s.script_id AND l.rn = 1 WHERE l.value IS NULL),
+  JOIN look l ON l.event_id = s.event_id AND l.rn = 1 WHERE l.value IS NULL),
 policy AS (""" + ORACLES["policy_check"] + """),
 segs AS (""" + ORACLES["valid_segments"] + """)
 SELECT 'script' AS subject_type, CAST(script_id AS VARCHAR) AS subject_id,
   'unresolved_variable' AS rule, placeholder AS detail FROM unresolved
 UNION ALL
-SELECT 'script', CAST(script_id AS VARCHAR), 'render_error', 'variable ${hr} requires --biz-hour'
+SELECT 'script', CAST(script_id AS VARCHAR), 'render_error', 'no business hour for ${hr}'
 FROM scripts WHERE biz_hour IS NULL
 UNION ALL
 SELECT 'task', task_id, 'conf_rejected', key || ': ' || verdict FROM policy WHERE verdict <> 'accepted'
 UNION ALL
-SELECT 'page', CAST(page_id AS VARCHAR), 'bad_segment', segment FROM segs WHERE NOT ok"""
+SELECT 'page', CAST(page_id AS VARCHAR), 'bad_segment', segment FROM segs WHERE NOT ok
+UNION ALL
+SELECT 'backfill', CAST(c_custkey AS VARCHAR), 'bad_range', 'range ends '
+  || strftime(DATE '2026-06-01' + CAST(c_custkey % 5 AS INTEGER) - 1, '%Y-%m-%d') || ' before its start '
+  || strftime(DATE '2026-06-01' + CAST(c_custkey % 5 AS INTEGER), '%Y-%m-%d')
+FROM customer WHERE c_nationkey % 7 = 0"""
 
 ORACLES["trigger_latency"] = with_(TRIGGERS) + """,
 lat AS (SELECT tenant_id, (epoch_us(created_at) - epoch_us(scheduled_at)) // 1000000 AS latency_s
-        FROM triggers),
-hist AS (SELECT tenant_id, latency_s, count(*) AS c FROM lat GROUP BY 1, 2),
-cum AS (SELECT *, sum(c) OVER (PARTITION BY tenant_id ORDER BY latency_s ROWS UNBOUNDED PRECEDING) AS cm,
-          sum(c) OVER (PARTITION BY tenant_id) AS n FROM hist)
-SELECT tenant_id, CAST(max(n) AS BIGINT) AS n_triggers,
-  min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.5) THEN latency_s END) AS p50_s,
-  min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.95) THEN latency_s END) AS p95_s,
-  min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.99) THEN latency_s END) AS p99_s
-FROM cum GROUP BY tenant_id"""
+        FROM triggers)
+SELECT tenant_id, count(*) AS n_triggers, quantile_disc(latency_s, 0.5) AS p50_s,
+  quantile_disc(latency_s, 0.95) AS p95_s, quantile_disc(latency_s, 0.99) AS p99_s
+FROM lat GROUP BY tenant_id"""
 
 ORACLES["run_histogram"] = with_(RUNS) + """
 SELECT tenant_id,
@@ -644,20 +708,20 @@ SELECT tenant_id,
 FROM runs GROUP BY 1, 2"""
 
 ORACLES["insert_overwrite_partition"] = """
-SELECT event_id AS id,
-  CASE WHEN dt = '20240115' AND hr = '03' THEN '20240114' ELSE 'init' END AS prev_dt, dt, hr
-FROM (SELECT event_id, strftime(ts, '%Y%m%d') AS dt, strftime(ts, '%H') AS hr FROM events) e"""
+SELECT event_id AS click_id,
+  CASE WHEN day = '20240115' AND hour = '03' THEN 'reload of 2024-01-15' ELSE 'first load' END AS note, day, hour
+FROM (SELECT event_id, strftime(ts, '%Y%m%d') AS day, strftime(ts, '%H') AS hour FROM events) e"""
 
 ORACLES["preview_templates"] = with_(PROJECT_VARIABLES, SCRIPTS, AS_OF_SCRIPT, """
 b AS (
-  SELECT s.script_id, s.biz_hour, s.dd, s.k40, s.k7,
+  SELECT s.script_id, s.event_id, s.biz_hour, s.dd, s.k40, s.k7,
     replace(s.text, '${prj.p' || s.k5 || '}', l.value) AS baked,
     array_to_string(list_sort(list_filter([
         CASE WHEN s.event_id % 9 = 0 THEN '${dt-0' || CAST(s.event_id % 3 AS VARCHAR) || '}' END,
         CASE WHEN l.value IS NULL THEN '${prj.p' || s.k5 || '}' END,
         CASE WHEN s.event_id % 9 <> 0 AND s.event_id % 11 = 0 THEN '${unknown_' || s.event_type || '}' END],
       lambda x: x IS NOT NULL)), ', ') AS unresolved
-  FROM scripts s JOIN look l ON l.script_id = s.script_id AND l.rn = 1)""") + """
+  FROM scripts s JOIN look l ON l.event_id = s.event_id AND l.rn = 1)""") + """
 SELECT script_id,
   CASE WHEN unresolved = '' AND biz_hour IS NOT NULL THEN
     replace(replace(replace(replace(replace(replace(baked,
@@ -668,7 +732,7 @@ SELECT script_id,
       '${month}', strftime(dd, '%Y%m')),
       '${date}', strftime(dd, '%Y-%m-%d')) END AS preview,
   CASE WHEN unresolved <> '' THEN 'publish blocked - unknown placeholders: ' || unresolved
-       WHEN biz_hour IS NULL THEN 'variable ${hr} requires --biz-hour' END AS error
+       WHEN biz_hour IS NULL THEN 'no business hour for ${hr}' END AS error
 FROM b"""
 
 PUBLISHES = """
@@ -679,20 +743,12 @@ publishes AS (
     CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'published' END AS outcome
   FROM orders)"""
 
-ORACLES["publish_metrics"] = with_(PUBLISHES) + """,
-hist AS (SELECT project_id, duration_ms, count(*) AS c FROM publishes GROUP BY 1, 2),
-cum AS (SELECT *, sum(c) OVER (PARTITION BY project_id ORDER BY duration_ms ROWS UNBOUNDED PRECEDING) AS cm,
-          sum(c) OVER (PARTITION BY project_id) AS n FROM hist),
-pct AS (SELECT project_id,
-          min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.5) THEN duration_ms END) AS p50_ms,
-          min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.95) THEN duration_ms END) AS p95_ms,
-          min(CASE WHEN cm >= ceil(CAST(n AS BIGINT) * 0.99) THEN duration_ms END) AS p99_ms
-        FROM cum GROUP BY project_id),
-base AS (SELECT project_id, count(*) AS n_publishes,
-           count(CASE WHEN outcome = 'published' THEN 1 END) AS n_published FROM publishes GROUP BY 1)
-SELECT base.project_id, n_publishes, n_published, n_published / n_publishes AS success_rate,
-  p50_ms, p95_ms, p99_ms
-FROM base LEFT JOIN pct ON pct.project_id = base.project_id"""
+ORACLES["publish_metrics"] = with_(PUBLISHES) + """
+SELECT project_id, count(*) AS n_publishes, count(*) FILTER (WHERE outcome = 'published') AS n_published,
+  count(*) FILTER (WHERE outcome = 'published') / count(*) AS success_rate,
+  quantile_disc(duration_ms, 0.5) AS p50_ms, quantile_disc(duration_ms, 0.95) AS p95_ms,
+  quantile_disc(duration_ms, 0.99) AS p99_ms
+FROM publishes GROUP BY project_id"""
 
 ORACLES["publish_histogram"] = with_(PUBLISHES) + """
 SELECT project_id,
@@ -701,17 +757,11 @@ SELECT project_id,
   count(*) AS n_publishes
 FROM publishes GROUP BY 1, 2"""
 
-ORACLES["retry_success"] = with_(INSTANCE_EVENTS) + """,
-s AS (SELECT instance_id, count(CASE WHEN state = 'submitting' THEN 1 END) AS n_attempts,
-        count(CASE WHEN state IN ('failed', 'submit_failed') THEN 1 END) AS n_failures,
-        coalesce(bool_or(state = 'succeeded'), false) AS succeeded
-      FROM instance_events GROUP BY instance_id)
+ORACLES["retry_success"] = "WITH s AS (" + ORACLES["retry_stats"] + """)
 SELECT count(CASE WHEN n_failures > 0 THEN 1 END) AS n_failed,
-  count(CASE WHEN n_failures > 0 AND succeeded THEN 1 END) AS n_recovered,
-  count(CASE WHEN greatest(n_attempts - 1, 0) >= 2 AND NOT succeeded THEN 1 END) AS n_exhausted,
+  count(CASE WHEN recovered THEN 1 END) AS n_recovered, count(CASE WHEN exhausted THEN 1 END) AS n_exhausted,
   CASE WHEN count(CASE WHEN n_failures > 0 THEN 1 END) > 0
-       THEN count(CASE WHEN n_failures > 0 AND succeeded THEN 1 END) / count(CASE WHEN n_failures > 0 THEN 1 END)
-  END AS retry_success_rate
+       THEN count(CASE WHEN recovered THEN 1 END) / count(CASE WHEN n_failures > 0 THEN 1 END) END AS retry_success_rate
 FROM s"""
 
 ORACLES["task_policy"] = "WITH policy AS (" + ORACLES["policy_check"] + """)

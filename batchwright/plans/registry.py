@@ -16,6 +16,9 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 
+# The load stamp of the checked query; jobs stamp the time they run at.
+LOAD_STAMP = "2026-06-13 00:00:00"
+
 
 def register(name: str):
     def deco(fn: QueryFn) -> QueryFn:
@@ -26,7 +29,7 @@ def register(name: str):
 
 @register("company_dim")
 def q_company_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _company_dim.company_dim(spark, sf_dir)
+    return _company_dim.company_dim(spark, sf_dir, as_of=LOAD_STAMP)
 
 
 # ---------------------------------------------------------------- dedup, flags
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from batchwright.functions import bizdate as BD  # noqa: E402
 from batchwright.functions import templates as TM  # noqa: E402
 from batchwright.functions.columns import change_flag  # noqa: E402
-from batchwright.operators.asof import as_of_join, lock_versions  # noqa: E402
+from batchwright.operators.asof import as_of_join, lock_versions, publish_history  # noqa: E402
 from batchwright.plans import standins as S  # noqa: E402
 from batchwright.sources.tables import load  # noqa: E402
 
@@ -61,28 +64,38 @@ def q_biz_date_cols(spark, sf_dir):
 
 
 DATED_SQL = """
-SELECT event_type, '${dt}' AS biz_dt, '${dt-1}' AS prev_dt, '${date}' AS biz_date,
-  '${hr}' AS biz_hr, count(*) AS n_events,
-  count(CASE WHEN date_format(ts, 'yyyyMMdd') = '${dt}' THEN 1 END) AS n_on_day,
-  count(CASE WHEN date_format(ts, 'yyyyMMdd') = '${dt-1}' THEN 1 END) AS n_prev_day
-FROM events GROUP BY event_type
+SELECT event_type, '${{dt}}' AS biz_dt, '${{dt-1}}' AS prev_dt, '${{date}}' AS biz_date,
+  '${{hr}}' AS biz_hr, count(*) AS n_events,
+  count(CASE WHEN date_format(ts, 'yyyyMMdd') = '${{dt}}' THEN 1 END) AS n_on_day,
+  count(CASE WHEN date_format(ts, 'yyyyMMdd') = '${{dt-1}}' THEN 1 END) AS n_prev_day
+FROM {view} GROUP BY event_type
 """
 
 
 @register("dated_query")
 def q_dated_query(spark, sf_dir):
-    load(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return BD.run_query(spark, DATED_SQL, "20240115", "03")
+    import uuid
+    view = f"events_{uuid.uuid4().hex[:12]}"
+    load(spark, sf_dir, "events").createOrReplaceTempView(view)
+    try:  # the plan keeps what the view stands for
+        return BD.run_query(spark, DATED_SQL.format(view=view), "20240115", "03")
+    finally:
+        spark.catalog.dropTempView(view)
 
 
-@register("backfill_dates")
-def q_backfill_dates(spark, sf_dir):
+def _backfills(spark, sf_dir):
     c = load(spark, sf_dir, "customer")
     start = F.date_add(F.lit("2026-06-01").cast("date"), (F.col("c_custkey") % 5).cast("int"))
-    end = F.date_add(start, (F.col("c_nationkey") % 7).cast("int"))
+    # some ranges end the day before they start
+    end = F.date_add(start, (F.col("c_nationkey") % 7 - 1).cast("int"))
     version = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("v"), F.col("c_custkey").cast("string")))
-    df = c.select(F.col("c_custkey").cast("string").alias("task_id"),
-                  start.alias("s"), end.alias("e"), version.alias("v"))
+    return c.select(F.col("c_custkey").cast("string").alias("task_id"),
+                    start.alias("s"), end.alias("e"), version.alias("v"))
+
+
+@register("backfill_dates")
+def q_backfill_dates(spark, sf_dir):
+    df = _backfills(spark, sf_dir)
     return BD.backfill(df, F.col("s"), F.col("e"), F.col("v")).select("task_id", "biz_date", "version_choice")
 
 
@@ -106,8 +119,9 @@ def _attempts(events):
 
 @register("version_lock")
 def q_version_lock(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders")
     return lock_versions(_attempts(load(spark, sf_dir, "events")),
-                         S.task_versions(load(spark, sf_dir, "orders")))
+                         publish_history(S.task_versions(orders), S.rollbacks(orders)))
 
 
 # ---------------------------------------------------------------- templates
@@ -154,9 +168,7 @@ def q_preview_templates(spark, sf_dir):
 
 @register("unresolved_vars")
 def q_unresolved_vars(spark, sf_dir):
-    baked = q_bake_templates(spark, sf_dir)
-    return (baked.filter(F.col("unresolved") != "")
-            .select("script_id", F.explode(F.split("unresolved", ", ")).alias("placeholder")))
+    return TM.unresolved(_scripts(spark, sf_dir), S.project_variables(load(spark, sf_dir, "orders")))
 
 
 # ---------------------------------------------------------------- policy, logs
@@ -259,13 +271,32 @@ def q_partition_overwrite(spark, sf_dir):
     ev = _events_dt_hr(spark, sf_dir)
     path = scratch_path(spark, "partition_overwrite")
     W.overwrite_table(ev, path, partition_cols=["dt", "hr"])
-    slot = BD.for_date(ev, "20240115").filter(F.col("hr") == "03")
+    slot = BD.for_date(W.read_table(spark, path), "20240115").filter(F.col("hr") == "03")
     replacement = slot.select("event_id", F.upper("event_type").alias("event_type"),
                               (F.col("value") * 2).alias("value"))
     W.overwrite_partition(replacement, path, {"dt": "20240115", "hr": "03"})
     return W.read_table(spark, path, partition_cols=["dt", "hr"])
 
 
+@register("partition_overwrite_empty")
+def q_partition_overwrite_empty(spark, sf_dir):
+    """A4: an hour whose reload is empty holds nothing afterwards."""
+    path = scratch_path(spark, "partition_overwrite_empty")
+    W.overwrite_table(_events_dt_hr(spark, sf_dir), path, partition_cols=["dt", "hr"])
+    none = W.read_table(spark, path).where("dt = '20240115' and hr = '03' and value < 0")
+    W.overwrite_partition(none.select("event_id", "event_type", "value"), path, {"dt": "20240115", "hr": "03"})
+    return W.read_table(spark, path, partition_cols=["dt", "hr"])
+
+
+@register("pruned_day")
+def q_pruned_day(spark, sf_dir):
+    """B10 on a partitioned table: one business date reads one day's folders."""
+    path = scratch_path(spark, "pruned_day")
+    W.overwrite_table(_events_dt_hr(spark, sf_dir).drop("hr"), path, partition_cols=["dt"])
+    day = BD.for_date(W.read_table(spark, path, partition_cols=["dt"]), "20240115")
+    return day.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"))
+
+
 @register("partition_append")
 def q_partition_append(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
@@ -326,7 +357,8 @@ def q_current_state(spark, sf_dir):
 
 @register("published_pointer")
 def q_published_pointer(spark, sf_dir):
-    return LC.published_pointer(S.task_versions(load(spark, sf_dir, "orders")))
+    orders = load(spark, sf_dir, "orders")
+    return LC.published_pointer(S.task_versions(orders), S.rollbacks(orders))
 
 
 @register("peak_running")
@@ -355,10 +387,18 @@ def q_instance_filter(spark, sf_dir):
             .select("instance_id", "task_id", "tenant_id", "created_at"))
 
 
+@register("instance_by_app_id")
+def q_instance_by_app_id(spark, sf_dir):
+    t = S.triggers(load(spark, sf_dir, "events"))
+    return (LC.instances(t.withColumn("application_id", F.concat(F.lit("application_"), F.col("tenant_id"))),
+                         app_id="application_3").select("instance_id", "task_id", "application_id"))
+
+
 def _day_instances(spark, sf_dir):
-    ev = load(spark, sf_dir, "events")
-    return (ev.groupBy(F.col("user_id").alias("task_id"), F.to_date("ts").alias("biz_date"))
-              .agg(F.bool_or(F.col("event_type") == "purchase").alias("ok")))
+    """One row per attempt; a task has many attempts on a day."""
+    return load(spark, sf_dir, "events").select(
+        F.col("user_id").alias("task_id"), F.to_date("ts").alias("biz_date"),
+        F.when(F.col("event_type") != "view", F.col("event_type") == "purchase").alias("ok"))
 
 
 @register("dependency_ready")
@@ -374,35 +414,48 @@ def q_dependency_ready(spark, sf_dir):
 
 @register("registry_reconcile")
 def q_registry_reconcile(spark, sf_dir):
-    a = load(spark, sf_dir, "customer").filter(F.col("c_custkey") % 7 != 0).select(F.col("c_custkey").alias("key"))
-    o = load(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
-    b = o.select(F.when(F.col("o_orderkey") % 11 == 0, F.col("o_custkey") + 100000)
-                  .otherwise(F.col("o_custkey")).alias("key"))
+    a = load(spark, sf_dir, "customer").select(F.nullif(F.col("c_custkey"), F.lit(7)).alias("key"))
+    b = load(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit(None))
+         .when(F.col("o_orderkey") % 11 == 0, F.col("o_custkey") + 100000)
+         .otherwise(F.col("o_custkey")).alias("key"))
     return LC.reconcile(a, b, ["key"])
 
 
 @register("run_compare")
 def q_run_compare(spark, sf_dir):
+    """Two runs of one job over lineitem: the order is the key, missing for
+    returned lines and repeated for the others; the second run changed some."""
     li = load(spark, sf_dir, "lineitem")
-    a = li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n"))
-    b = (a.filter(F.col("l_orderkey") % 17 != 0)
-          .withColumn("qty", F.when(F.col("l_orderkey") % 10 == 0, F.col("qty") + 1).otherwise(F.col("qty"))))
-    new = a.filter(F.col("l_orderkey") % 23 == 0).withColumn("l_orderkey", F.col("l_orderkey") + 1000000)
-    return LC.compare_runs(a, b.unionByName(new), ["l_orderkey"], ["qty", "n"])
+    key = F.when(F.col("l_returnflag") != "R", F.col("l_orderkey"))
+    a = li.select(key.alias("k"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
+                  F.nullif(F.col("l_linestatus"), F.lit("O")).alias("mode"))
+    b = a.select(F.when(F.col("k") % 13 == 0, F.col("k") + 1000000).otherwise(F.col("k")).alias("k"), "line",
+                 F.when(F.col("k") % 10 == 0, F.col("part") + 1).otherwise(F.col("part")).alias("part"),
+                 F.when(F.col("k") % 15 == 0, F.lit(None)).otherwise(F.col("mode")).alias("mode"))
+    return LC.compare_runs(a, b, ["k", "line"], ["part", "mode"])
+
+
+@register("run_compare_repeated")
+def q_run_compare_repeated(spark, sf_dir):
+    """The same with the order alone as key: most keys repeat on both sides."""
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("part"))
+    b = li.select(F.when(F.col("part") % 50 == 0, F.lit(None)).otherwise(F.col("k")).alias("k"), "part")
+    return LC.compare_runs(li, b, ["k"], ["part"])
 
 
 @register("lineage_walk")
 def q_lineage_walk(spark, sf_dir):
     inst = load(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("version_id"))
-    versions = load(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("task_id"),
-        F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("draft_revision_id"))
+    orders = load(spark, sf_dir, "orders")
+    versions = orders.select(F.col("o_orderkey").alias("version_id"),
+                             F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("draft_revision_id"))
     tasks = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"),
                                                    F.col("c_nationkey").alias("project_id"))
     projects = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("project_id"),
                                                     F.col("n_name").alias("project_name"))
-    return LC.lineage(inst, versions, tasks, projects).select(
-        "event_id", "version_id", "draft_revision_id", "task_id", "project_id", "project_name")
+    return LC.lineage(inst, versions, S.drafts(orders), tasks, projects).select(
+        "event_id", "version_id", "draft_revision_id", "author", "task_id", "project_id", "project_name")
 
 
 @register("trace_rows")
@@ -435,10 +488,21 @@ def q_retry_success(spark, sf_dir):
 
 @register("trace_coverage")
 def q_trace_coverage(spark, sf_dir):
+    parsed = LG.parse_log(S.log_lines(load(spark, sf_dir, "events")).select("line"))
+    return LC.instance_coverage(parsed.select("task_id", "instance_id", "trace_id"), by="task_id")
+
+
+@register("application_coverage")
+def q_application_coverage(spark, sf_dir):
     parsed = LG.parse_log(S.log_lines(load(spark, sf_dir, "events")).select("line"))
     return LC.coverage(parsed, "application_id", by="task_id")
 
 
+@register("adapter_metrics")
+def q_adapter_metrics(spark, sf_dir):
+    return LC.adapter_metrics(S.adapter_calls(load(spark, sf_dir, "events")))
+
+
 @register("daily_counts")
 def q_daily_counts(spark, sf_dir):
     return LC.daily_counts(_ievents(spark, sf_dir))
@@ -455,15 +519,19 @@ def q_first_publish(spark, sf_dir):
 
 @register("audit_diff")
 def q_audit_diff(spark, sf_dir):
+    """Keys that change, go, come, turn to null and back; and broken texts."""
     ev = load(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
     t = F.concat(F.lit('"t": "'), F.col("event_type"), F.lit('"}'))
+    before = (F.when(F.col("event_id") % 14 == 0, F.lit('{"k": null}'))
+               .when(F.col("event_id") % 15 == 0, F.lit(None)).otherwise(F.col("props")))
     after = (F.when(F.col("event_id") % 6 == 0, F.concat(F.lit("{"), t))
+              .when(F.col("event_id") % 10 == 0, F.concat(F.lit('{"k": null, '), t))
+              .when(F.col("event_id") % 21 == 0, F.lit('{"k": '))
               .when(F.col("event_id") % 4 == 0,
                     F.concat(F.lit('{"k": '), (k.cast("int") + 1).cast("string"), F.lit(", "), t))
               .otherwise(F.concat(F.lit('{"k": '), k, F.lit(", "), t)))
-    audit = ev.select(F.col("event_id").alias("id"), F.col("props").alias("before_json"),
-                      after.alias("after_json"))
+    audit = ev.select(F.col("event_id").alias("id"), before.alias("before_json"), after.alias("after_json"))
     return LC.audit_diff(audit)
 
 
@@ -483,7 +551,11 @@ def q_lint_report(spark, sf_dir):
     segs = q_valid_segments(spark, sf_dir).filter(~F.col("ok")).select(
         F.lit("page").alias("subject_type"), F.col("page_id").cast("string").alias("subject_id"),
         F.lit("bad_segment").alias("rule"), F.col("segment").alias("detail"))
-    return unresolved.unionByName(rendered).unionByName(conf).unionByName(segs)
+    ranges = _backfills(spark, sf_dir).select("task_id", BD.backfill_error("s", "e").alias("error")) \
+        .filter(F.col("error").isNotNull()).select(
+            F.lit("backfill").alias("subject_type"), F.col("task_id").alias("subject_id"),
+            F.lit("bad_range").alias("rule"), F.col("error").alias("detail"))
+    return unresolved.unionByName(rendered).unionByName(conf).unionByName(segs).unionByName(ranges)
 
 
 @register("trigger_latency")
@@ -509,24 +581,32 @@ def q_run_histogram(spark, sf_dir):
 
 
 INSERT_PARTITION_SQL = (
-    "INSERT OVERWRITE TABLE {table} PARTITION (dt='${{dt}}', hr='${{hr}}') "
-    "SELECT id, '${{dt-1}}' AS prev_dt FROM staging WHERE dt='${{dt}}' AND hr='${{hr}}'")
+    "INSERT OVERWRITE TABLE {table} PARTITION (day='${{dt}}', hour='${{hr}}') "
+    "SELECT click_id, concat('reload of ', '${{date}}') FROM {source} WHERE on_day = '${{date}}' AND at_hour = '${{hr}}'")
 
 
 @register("insert_overwrite_partition")
 def q_insert_overwrite_partition(spark, sf_dir):
-    """A4 + U2 through SQL text: a catalog table partitioned by (dt, hr) is
-    loaded from the whole staging table, then one static partition is
-    replaced by a rendered INSERT OVERWRITE ... PARTITION statement."""
+    """A4 + U2 through SQL text: a catalog table partitioned by (day, hour) is
+    loaded from all events, then one static partition is replaced by a rendered
+    INSERT OVERWRITE ... PARTITION statement.  Table and view have names of
+    their own and are dropped again; the result reads the files."""
     import uuid
     ev = load(spark, sf_dir, "events")
-    staging = ev.select(F.col("event_id").alias("id"), F.date_format("ts", "yyyyMMdd").alias("dt"),
-                        F.date_format("ts", "HH").alias("hr"))
-    staging.createOrReplaceTempView("staging")
-    table = f"bw_demo_{uuid.uuid4().hex[:12]}"
+    name = uuid.uuid4().hex[:12]
+    table, source = f"clicks_{name}", f"clicks_in_{name}"
+    clicks = ev.select(F.col("event_id").alias("click_id"), F.date_format("ts", "yyyy-MM-dd").alias("on_day"),
+                       F.date_format("ts", "HH").alias("at_hour"))
+    clicks.createOrReplaceTempView(source)
     path = scratch_path(spark, table)
-    spark.sql(f"CREATE TABLE {table} (id BIGINT, prev_dt STRING, dt STRING, hr STRING) "
-              f"USING parquet PARTITIONED BY (dt, hr) LOCATION '{path}'")
-    W.insert_into(staging.select("id", F.lit("init").alias("prev_dt"), "dt", "hr"), table, overwrite=True)
-    BD.run_query(spark, INSERT_PARTITION_SQL.format(table=table), "20240115", "03")
-    return spark.table(table)
+    spark.sql(f"CREATE TABLE {table} (click_id BIGINT, note STRING, day STRING, hour STRING) "
+              f"USING parquet PARTITIONED BY (day, hour) LOCATION '{path}'")
+    try:
+        W.insert_into(clicks.select("click_id", F.lit("first load").alias("note"),
+                                    F.replace("on_day", F.lit("-"), F.lit("")).alias("day"),
+                                    F.col("at_hour").alias("hour")), table, overwrite=True)
+        BD.run_query(spark, INSERT_PARTITION_SQL.format(table=table, source=source), "20240115", "03")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.catalog.dropTempView(source)
+    return W.read_table(spark, path, partition_cols=["day", "hour"])

@@ -142,14 +142,48 @@ def runs(events: DataFrame) -> DataFrame:
 
 def task_versions(orders: DataFrame) -> DataFrame:
     """Task versions from orders: task = o_custkey, version = o_orderkey,
-    baked_at = o_orderdate, status F published, O superseded, P rolled_back."""
+    baked_at = o_orderdate, status F published, O superseded, P baked (never
+    published)."""
     return orders.select(
         F.col("o_custkey").cast("string").alias("task_id"),
         F.col("o_orderkey").alias("version_id"),
         F.col("o_orderdate").alias("baked_at"),
         F.when(F.col("o_orderstatus") == "F", F.lit("published"))
          .when(F.col("o_orderstatus") == "O", F.lit("superseded"))
-         .otherwise(F.lit("rolled_back")).alias("status"),
+         .otherwise(F.lit("baked")).alias("status"),
+    )
+
+
+def rollbacks(orders: DataFrame) -> DataFrame:
+    """Rollbacks from orders: the pointer of the task goes back to a version of
+    lowest priority 300 days after it was published."""
+    return orders.where((F.col("o_orderpriority") == "5-LOW") & F.col("o_orderstatus").isin("F", "O")).select(
+        F.col("o_custkey").cast("string").alias("task_id"),
+        F.timestamp_add("DAY", F.lit(300), F.col("o_orderdate")).alias("rolled_at"),
+        F.col("o_orderkey").alias("version_id"),
+        F.col("o_orderkey").alias("rollback_id"),
+    )
+
+
+def drafts(orders: DataFrame) -> DataFrame:
+    """Draft revisions from orders (draft_revision_id, task_id, author); an
+    urgent order's draft is gone, so its lineage breaks there."""
+    return orders.select(
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("r"), F.col("o_orderkey").cast("string"))).alias("draft_revision_id"),
+        F.col("o_custkey").alias("task_id"),
+        F.concat(F.lit("author-"), (F.col("o_custkey") % 100).cast("string")).alias("author"),
+    )
+
+
+def adapter_calls(events: DataFrame) -> DataFrame:
+    """Scheduler-adapter calls, one per event: operation by event type, the
+    outcome missing where ``value`` is below 1, a timeout for errors above 45."""
+    return events.select(
+        F.col("event_id").alias("call_id"),
+        F.concat(F.lit("call-"), F.col("event_type")).alias("operation"),
+        F.when((F.col("event_type") == "error") & (F.col("value") > 45), F.lit("timeout"))
+         .when(F.col("value") >= 1, F.lit("ok")).alias("outcome"),
     )
 
 
@@ -171,22 +205,22 @@ def scripts(events: DataFrame) -> DataFrame:
     """SQL templates, one per event: runtime placeholders (``${dt}``, ``${hr}``,
     ``${dt-K}`` with K = event_id mod 40, ``${date-K}``, ``${month}``,
     ``${date}``), one project variable ``${prj.pK}`` and, for some rows, an
-    undeclared placeholder in a comment.  project = user_id, at = ts moved back
-    26 years, biz_date/hour from ts; biz_hour is missing for every 13th id."""
+    undeclared placeholder in a comment.  Two events share a script id, at
+    their own times.  project = user_id, at = ts moved back 26 years,
+    biz_date/hour from ts; biz_hour is missing for every 13th id."""
     eid = F.col("event_id")
     s = lambda c: c.cast("string")
     text = F.concat(
-        F.lit("INSERT OVERWRITE TABLE t_"), F.col("event_type"),
-        F.lit(" PARTITION (dt='${dt}', hr='${hr}') SELECT "), s(eid),
-        F.lit(" AS id, '${dt-"), s(eid % 40), F.lit("}' AS prev_dt, '${date-"), s(eid % 7),
-        F.lit("}' AS d2, '${month}' AS m, '${date}' AS biz, '${prj.p"), s(eid % 5 + 1),
-        F.lit("}' AS v FROM staging WHERE dt = '${dt}'"),
+        F.lit("SELECT count(*) AS n, '${month}' AS in_month, '${date}' AS on_day, '${prj.p"), s(eid % 5 + 1),
+        F.lit("}' AS owner FROM clicks_"), F.col("event_type"),
+        F.lit(" WHERE day BETWEEN '${dt-"), s(eid % 40), F.lit("}' AND '${dt}' AND since >= '${date-"), s(eid % 7),
+        F.lit("}' AND hour = '${hr}' AND batch <> '${dt}' AND event = "), s(eid),
         F.when(eid % 9 == 0, F.concat(F.lit(" -- ${dt-0"), s(eid % 3), F.lit("}")))
          .when(eid % 11 == 0, F.concat(F.lit(" /* ${unknown_"), F.col("event_type"), F.lit("} */")))
          .otherwise(F.lit("")),
     )
     return events.select(
-        eid.alias("script_id"),
+        F.floor(eid / 2).alias("script_id"),
         s(F.col("user_id")).alias("project_id"),
         (F.col("ts") - F.expr("INTERVAL 26 YEARS")).cast("timestamp_ntz").alias("at"),
         F.date_format("ts", "yyyyMMdd").alias("biz_date"),
@@ -248,14 +282,15 @@ def log_lines(events: DataFrame) -> DataFrame:
 
 def triggers(events: DataFrame) -> DataFrame:
     """Trigger/instance rows: task by user_id mod 20, source backfill for
-    signups else schedule, scheduled at the hour of ts, one instance per event."""
+    signups else schedule, scheduled at the hour of ts (a manual trigger, the
+    backfill, has no scheduled time), one instance per event."""
     u = F.col("user_id")
     return events.select(
         F.col("event_id").alias("instance_id"),
         F.concat(F.lit("task-"), (u % 20).cast("string")).alias("task_id"),
         F.date_format("ts", "yyyyMMdd").alias("biz_date"),
         F.when(F.col("event_type") == "signup", F.lit("backfill")).otherwise(F.lit("schedule")).alias("trigger_source"),
-        F.date_trunc("HOUR", F.col("ts")).alias("scheduled_at"),
+        F.when(F.col("event_type") != "signup", F.date_trunc("HOUR", F.col("ts"))).alias("scheduled_at"),
         F.col("ts").alias("created_at"),
         (u % 10).cast("string").alias("tenant_id"),
         F.concat(F.lit("application_"), F.col("event_id").cast("string"), F.lit("_"), u.cast("string")).alias("application_id"),

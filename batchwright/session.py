@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
@@ -39,6 +40,17 @@ def apply_cluster_conf(spark: SparkSession, overrides: dict | None = None) -> Sp
     return spark
 
 
+def configured_master() -> str | None:
+    """The master that the launcher or a running session has set, if any."""
+    active = SparkSession.getActiveSession()
+    return active.sparkContext.master if active else SparkConf().get("spark.master", None)
+
+
+def is_local(master: str) -> bool:
+    """One machine, one process: its temporary folder is all executors' folder too."""
+    return master == "local" or master.startswith("local[")
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "batchwright", extra: dict | None = None) -> SparkSession:
     """Session with the settings the library assumes.
@@ -46,10 +58,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     * AQE on (coalescing, skew-join splitting) so partition counts adapt at run time.
     * Session zone pinned to UTC: business dates never depend on the machine zone.
     * Spark UI off: nothing listens on a port besides Spark's own RPC.
+
+    A master that the launcher has set (``spark-submit --master``, a running
+    session) is kept; local threads are the choice only where nothing is set.
+    On a cluster ``CLUSTER_CONF`` is applied, and ``extra`` over it.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
+    given = master or configured_master()
+    if given and not is_local(given):
+        builder = SparkSession.builder.appName(app_name)
+        if master:
+            builder = builder.master(master)
+        if shuffle_partitions:
+            extra = {"spark.sql.shuffle.partitions": str(shuffle_partitions), **(extra or {})}
+        return apply_cluster_conf(builder.getOrCreate(), extra)
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
+        SparkSession.builder.master(given or f"local[{cpus}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -73,7 +97,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; set a fresh one only when unset."""
+    """The cluster's shared checkpoint folder; a fresh local one only where it is
+    unset and the master is local."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
@@ -81,6 +106,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         if current:
             sc.setCheckpointDir(current)
     if not current:
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="batchwright-ckpt-")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir() or current

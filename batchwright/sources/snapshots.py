@@ -139,7 +139,9 @@ def read_manifest(spark: SparkSession, root: str, env: str, name: str, version:
         raise FileNotFoundError(f"no manifest at {path}")
     raw = spark.read.text(f"{path}/_manifest")
     parsed = raw.select(F.from_json("value", MANIFEST_SCHEMA, {"mode": "FAILFAST"}).alias("m")).select("m.*")
-    return parsed.fillna({"draft_revision_id": "", "baked_by": "", "byte_size": 0})
+    none = F.create_map().cast(MANIFEST_SCHEMA["project_var_versions"].dataType)
+    return parsed.fillna({"draft_revision_id": "", "baked_by": "", "byte_size": 0}).withColumn(
+        "project_var_versions", F.coalesce("project_var_versions", none))
 
 
 def read_version(spark: SparkSession, root: str, env: str, name: str, version: str) -> DataFrame:

@@ -4,8 +4,8 @@
   given order (a positional INSERT depends on it).
 * ``overwrite_partition``: replace exactly the partitions present in the
   data (dynamic partition overwrite, set on this writer only, never globally);
-  a static spec such as {'dt': '20260613', 'hr': '03'} is added as literal
-  columns first, so only that one partition is replaced.
+  a static spec such as {'dt': '20260613', 'hr': '03'} replaces that one
+  partition, also by an empty load.
 * ``append_rows`` / ``append_partition``: append, optionally into a static
   partition spec.
 * ``archive_by_month`` / ``expired``: month-partitioned storage and age-based
@@ -17,6 +17,7 @@ back with an explicit schema so they are never re-inferred as numbers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,14 @@ def _with_spec(df: DataFrame, spec: Mapping[str, str]) -> DataFrame:
     return df
 
 
+# Characters that Spark writes as %XX in the name of a partition folder.
+_ESCAPED = re.compile(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]")
+
+
+def _escaped(value: str) -> str:
+    return _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", value)
+
+
 def overwrite_table(df: DataFrame, path: str, columns: Sequence[str] | None = None,
                     partition_cols: Sequence[str] = ()) -> None:
     """A3: replace the whole table with ``df`` (columns in ``columns`` order),
@@ -51,12 +60,31 @@ def overwrite_table(df: DataFrame, path: str, columns: Sequence[str] | None = No
 
 def overwrite_partition(df: DataFrame, path: str, spec: Mapping[str, str] | None = None,
                         partition_cols: Sequence[str] = ()) -> None:
-    """A4: replace only the partitions the data covers."""
+    """A4: replace only the partitions the data covers.
+
+    A spec that names every partition column replaces exactly that partition,
+    with nothing if ``df`` is empty, as ``INSERT OVERWRITE ... PARTITION``
+    does.  Dynamic mode replaces what it has rows for, so after an empty load
+    the partition's old files are still there, and are then removed."""
     spec = dict(spec or {})
     cols = list(partition_cols) or list(spec)
+    exact = bool(spec) and set(spec) == set(cols)
+    spark = df.sparkSession
+    folder = "/".join([path, *(f"{c}={_escaped(str(spec[c]))}" for c in cols)]) if exact else path
+    before = _files(spark, folder) if exact else set()
     out = _clustered(_with_spec(df, spec), cols)
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*cols).parquet(path))
+    if exact and before & _files(spark, folder):
+        hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def _files(spark: SparkSession, folder: str) -> set[str]:
+    """Names of the files of one partition's folder."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {f.getPath().getName() for f in fs.listStatus(hpath)} if fs.exists(hpath) else set()
 
 
 def append_rows(df: DataFrame, path: str, partition_cols: Sequence[str] = ()) -> None:

@@ -1,5 +1,5 @@
-"""As-of join and the bucketed sequence helpers against brute-force loops,
-on random data that includes one hot key spanning many buckets."""
+"""As-of join and the ordered helpers against brute-force loops, on random data
+with a hot key, NULL keys and NULL times, and for any bound on rows per slot."""
 
 import datetime as dt
 
@@ -7,13 +7,19 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from batchwright.operators.asof import as_of_join
-from batchwright.operators.sequence import MAX_BUCKET_ROWS, forward_fill, previous_value, running_peak, with_buckets
+from batchwright.operators.sequence import MAX_ROWS, forward_fill, previous_value, running_peak, slotted
 
 BASE = dt.datetime(2024, 1, 1)
-SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+BOUNDS = (MAX_ROWS, 1, 3)
 
-times = st.integers(min_value=0, max_value=96).map(lambda h: BASE + dt.timedelta(hours=h))
-keys = st.sampled_from(["hot", "hot", "hot", "a", "b"])
+times = st.one_of(st.none(), st.integers(min_value=0, max_value=96).map(lambda h: BASE + dt.timedelta(hours=h)))
+keys = st.sampled_from(["hot", "hot", "hot", "a", None, None])
+
+
+def at(t):
+    """NULL times come first."""
+    return (t is not None, t)
 
 
 @SETTINGS
@@ -24,18 +30,14 @@ def test_as_of_matches_brute_force(spark, right, left):
     l_rows = [(i, k, t) for i, (k, t) in enumerate(left)]
     rdf = spark.createDataFrame(r_rows, "k string, eff timestamp_ntz, value string, seq long")
     ldf = spark.createDataFrame(l_rows, "id long, k string, at timestamp_ntz")
-    runs = [{r["id"]: r["value"] for r in as_of_join(ldf, rdf, ["k"], "at", "eff", ["value"], tie="seq",
-                                                     max_rows=m).collect()} for m in (MAX_BUCKET_ROWS, 2)]
-    # max_rows=2 cuts every busy (key, day) into time slices
-    assert runs[0] == runs[1]
-    got = runs[0]
-    for i, k, at in l_rows:
-        cands = [x for x in r_rows if x[0] == k and x[1] <= at]
-        want = None
-        if cands:
-            best_t = max(c[1] for c in cands)
-            want = min((c for c in cands if c[1] == best_t), key=lambda c: c[3])[2]
-        assert got[i] == want
+    want = {}
+    for i, k, t in l_rows:
+        found = [x for x in r_rows if t is not None and x[0] == k and x[1] is not None and x[1] <= t]
+        best = max((c[1] for c in found), default=None)
+        want[i] = min((c for c in found if c[1] == best), key=lambda c: c[3])[2] if found else None
+    for m in BOUNDS:
+        got = as_of_join(ldf, rdf, ["k"], "at", "eff", ["value"], tie="seq", max_rows=m).collect()
+        assert len(got) == len(l_rows) and {r["id"]: r["value"] for r in got} == want
 
 
 @SETTINGS
@@ -43,36 +45,37 @@ def test_as_of_matches_brute_force(spark, right, left):
 def test_previous_and_forward_fill(spark, rows):
     data = [(k, t, i, v) for i, (k, t, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "k string, ts timestamp_ntz, tie long, v string")
-    prev = {r["tie"]: r["prev"] for r in previous_value(df, ["k"], "ts", "tie", "v").collect()}
-    fill = {r["tie"]: r["filled"] for r in forward_fill(df, ["k"], "ts", "tie", "v").collect()}
-    assert prev == {r["tie"]: r["prev"] for r in previous_value(df, ["k"], "ts", "tie", "v", max_rows=2).collect()}
-    assert fill == {r["tie"]: r["filled"] for r in forward_fill(df, ["k"], "ts", "tie", "v", max_rows=2).collect()}
+    want_prev, want_fill = {}, {}
     for k in {d[0] for d in data}:
-        seq = sorted([d for d in data if d[0] == k], key=lambda d: (d[1], d[2]))
-        last = None
-        for j, d in enumerate(seq):
-            assert prev[d[2]] == (seq[j - 1][3] if j else None)
-            if d[3] is not None:
-                last = d[3]
-            assert fill[d[2]] == last
+        last = before = None
+        for d in sorted([d for d in data if d[0] == k], key=lambda d: (at(d[1]), d[2])):
+            want_prev[d[2]], before = before, d[3]
+            last = d[3] if d[3] is not None else last
+            want_fill[d[2]] = last
+    for m in BOUNDS:
+        prev = {r["tie"]: r["prev"] for r in previous_value(df, ["k"], "ts", "tie", "v", max_rows=m).collect()}
+        fill = {r["tie"]: r["filled"] for r in forward_fill(df, ["k"], "ts", "tie", "v", max_rows=m).collect()}
+        assert prev == want_prev and fill == want_fill
 
 
 @SETTINGS
-@given(runs=st.lists(st.tuples(keys, times, st.integers(0, 30)), min_size=1, max_size=30))
+@given(runs=st.lists(st.tuples(keys, times.filter(lambda t: t is not None), st.integers(0, 30)), min_size=1, max_size=30))
 def test_running_peak(spark, runs):
     deltas = []
     for i, (k, t, hours) in enumerate(runs):
         deltas.append((k, t, 1, i))
         deltas.append((k, t + dt.timedelta(hours=hours), -1, i))
     df = spark.createDataFrame(deltas, "k string, t timestamp_ntz, d int, id long")
-    got = {r["k"]: r["peak_running"] for r in running_peak(df, ["k"], "t", "d", "id").collect()}
-    assert got == {r["k"]: r["peak_running"] for r in running_peak(df, ["k"], "t", "d", "id", max_rows=2).collect()}
+    want = {}
     for k in {d[0] for d in deltas}:
         run = best = 0
         for d in sorted([d for d in deltas if d[0] == k], key=lambda d: (d[1], d[2], d[3])):
             run += d[2]
             best = max(best, run)
-        assert got[k] == best
+        want[k] = best
+    for m in BOUNDS:
+        got = running_peak(df, ["k"], "t", "d", "id", max_rows=m).collect()
+        assert {r["k"]: r["peak_running"] for r in got} == want
 
 
 def test_as_of_null_times_never_match(spark):
@@ -90,26 +93,18 @@ def test_as_of_null_times_never_match(spark):
                    4: (None, None)}
 
 
-def test_hot_bucket_is_cut_into_ordered_slices(spark):
-    rows = [("hot", BASE + dt.timedelta(minutes=7 * i)) for i in range(100)] + [("cold", BASE)]
-    df = spark.createDataFrame(rows, "k string, t timestamp_ntz")
-    [b] = with_buckets([df], ["k"], "t", "day", max_rows=10)
-    got = sorted((r["t"], r["_b"]) for r in b.filter("k = 'hot'").collect())
-    slots = [x[1] for x in got]
-    assert len(set(slots)) >= 10 and slots == sorted(slots)
-    assert all(sum(1 for s in slots if s == x) <= 12 for x in set(slots))
-    assert b.filter("k = 'cold'").first()["_b"] == int((BASE - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
-
-
-def test_bucket_lengths_hour_and_seconds(spark):
-    rows = [("k", BASE + dt.timedelta(minutes=m)) for m in (0, 59, 60, 61, 600)]
-    df = spark.createDataFrame(rows, "k string, t timestamp_ntz")
-    base_us = int((BASE - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
-    [h] = with_buckets([df], ["k"], "t", "hour")
-    assert sorted(r["_b"] for r in h.collect()) == [base_us, base_us, base_us + 3600 * 10**6,
-                                                    base_us + 3600 * 10**6, base_us + 36000 * 10**6]
-    [s] = with_buckets([df], ["k"], "t", 1800)
-    assert len({r["_b"] for r in s.collect()}) == 4
+def test_large_keys_are_cut_into_ordered_slots(spark):
+    # an outlier far from the rest, a crowd at one instant, and a small key
+    rows = [("hot", BASE + dt.timedelta(minutes=7 * i), i) for i in range(100)] + [("hot", dt.datetime(1970, 1, 1), -1)]
+    rows += [("hot", BASE + dt.timedelta(days=2), 1000 + i) for i in range(60)] + [("cold", BASE, 5), ("cold", None, 6)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, id long")
+    [b], cut = slotted([df], ["k"], ["t", "id"], max_rows=10)
+    got = sorted((r["t"], r["id"], tuple(-2**63 if x is None else x for x in r["_b"])) for r in b.filter("k = 'hot'").collect())
+    slots = [x[2] for x in got]
+    assert cut and len(got) == 161 and slots == sorted(slots)
+    assert max(slots.count(x) for x in set(slots)) <= 13
+    assert b.filter("k = 'cold' and _b is null").count() == 2
+    assert not slotted([df], ["k"], ["t", "id"], max_rows=1000)[1]
 
 
 @SETTINGS
@@ -135,17 +130,18 @@ def test_exact_percentiles_match_nearest_rank(spark, rows):
 
 
 @SETTINGS
-@given(rows=st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b"]), times,
+@given(rows=st.lists(st.tuples(keys, times.filter(lambda t: t is not None),
                                st.sampled_from(["pending", "running", "failed", "succeeded"])),
                      min_size=1, max_size=50))
 def test_trigger_dedupe_and_current_state_match_brute_force(spark, rows):
     from batchwright.operators.dedup import current_state, dedupe_triggers
     data = [(i, k, t, s) for i, (k, t, s) in enumerate(rows)]
     trig = spark.createDataFrame(
-        [(i, k, "20240101", "schedule", BASE, t) for i, k, t, _ in data],
+        [(i, k, "20240101", "schedule", None if k == "a" else BASE, t) for i, k, t, _ in data],
         "instance_id long, task_id string, biz_date string, trigger_source string, "
         "scheduled_at timestamp_ntz, created_at timestamp_ntz")
     got = {r["instance_id"]: r["first_instance_id"] for r in dedupe_triggers(trig).collect()}
+    assert len(got) == len(data)
     ev = spark.createDataFrame([(i, k, t, s) for i, k, t, s in data],
                                "event_id long, instance_id string, ts timestamp_ntz, state string")
     cur = {r["instance_id"]: r["current_state"] for r in current_state(ev).collect()}
@@ -156,20 +152,26 @@ def test_trigger_dedupe_and_current_state_match_brute_force(spark, rows):
         assert cur[k] == max(group, key=lambda d: (d[2], d[0]))[3]
 
 
+sides = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 6)), st.one_of(st.none(), st.integers(0, 2))), max_size=12)
+
+
 @SETTINGS
-@given(a=st.dictionaries(st.integers(0, 20), st.one_of(st.none(), st.integers(0, 3)), max_size=15),
-       b=st.dictionaries(st.integers(0, 20), st.one_of(st.none(), st.integers(0, 3)), max_size=15))
-def test_reconcile_and_compare_runs_match_sets(spark, a, b):
+@given(a=sides, b=sides)
+def test_reconcile_and_compare_runs_match_lists(spark, a, b):
     from batchwright.operators.lifecycle import compare_runs, reconcile
-    da = spark.createDataFrame(list(a.items()), "k long, v long")
-    db = spark.createDataFrame(list(b.items()), "k long, v long")
-    rec = {r["k"]: r["status"] for r in reconcile(da, db, ["k"]).collect()}
-    assert rec == {k: ("both" if k in a and k in b else "unsynced" if k in a else "orphan") for k in {*a, *b}}
-    cmp = {r["k"]: (r["status"], r["changed_cols"]) for r in compare_runs(da, db, ["k"], ["v"]).collect()}
-    for k in {*a, *b}:
-        if k not in b:
-            assert cmp[k] == ("only_old", "")
-        elif k not in a:
-            assert cmp[k] == ("only_new", "")
-        else:  # NULL equals NULL
-            assert cmp[k] == (("same", "") if a[k] == b[k] else ("changed", "v"))
+    da, db = (spark.createDataFrame(x, "k long, v long") for x in (a, b))
+    old, new = ({k: sorted((v for q, v in x if q == k), key=repr) for k, _ in x} for x in (a, b))
+    rec = reconcile(da, db, ["k"]).collect()
+    assert {r["k"]: (r["status"], r["n_a"], r["n_b"]) for r in rec} == {
+        k: ("both" if k in old and k in new else "unsynced" if k in old else "orphan",
+            len(old.get(k, ())), len(new.get(k, ()))) for k in {*old, *new}}
+    cmp = compare_runs(da, db, ["k"], ["v"]).collect()
+    assert len(rec) == len(cmp) == len({*old, *new})
+    for r in cmp:
+        x, y = old.get(r["k"]), new.get(r["k"])
+        assert (r["n_old"], r["n_new"]) == (len(x or ()), len(y or ()))
+        if y is None or x is None:
+            assert (r["status"], r["changed_cols"]) == ("only_old" if y is None else "only_new", "")
+        else:  # NULL equals NULL; a repeated key compares its values as a multiset
+            changed = ["*"] * (len(x) != len(y)) + ["v"] * (x != y)
+            assert (r["status"], r["changed_cols"]) == ("changed" if changed else "same", ",".join(changed))

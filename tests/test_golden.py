@@ -60,18 +60,18 @@ def test_not_a_placeholder_is_ignored(spark):
 @pytest.mark.parametrize("hour", ["24", "3", "ab"])
 def test_bad_hour_rejected(spark, hour):
     (r,) = _render(spark, [("${hr}", "20260613", hour)])
-    assert r["text"] is None and "biz_hour" in r["error"]
+    assert r["text"] is None and r["error"] == f"not a business hour (00 to 23): {hour}"
 
 
 def test_missing_hour_is_an_error(spark):
     (r,) = _render(spark, [("${dt} ${hr}", "20260613", None)])
-    assert r["text"] is None and r["error"] == "variable ${hr} requires --biz-hour"
+    assert r["text"] is None and r["error"] == "no business hour for ${hr}"
 
 
 @pytest.mark.parametrize("date", ["2026-06-13", "2026061", "20261340"])
 def test_bad_date_rejected(spark, date):
     (r,) = _render(spark, [("${dt}", date, None)])
-    assert r["text"] is None and r["error"].startswith("invalid biz_date")
+    assert r["text"] is None and r["error"].startswith("not a business date: ")
 
 
 def test_first_catalog_match_wins(spark):
@@ -92,7 +92,7 @@ def test_run_query_strict_and_lenient(spark):
     assert (r["d"], r["y"]) == ("20260613", "20260612")
     with pytest.raises(ValueError, match="undeclared"):
         run_query(spark, "SELECT '${x}' AS v", "20260613")
-    with pytest.raises(ValueError, match="requires --biz-hour"):
+    with pytest.raises(ValueError, match="no business hour"):
         run_query(spark, "SELECT '${hr}' AS h", "20260613")
     kept = run_query(spark, "SELECT '${x}' AS v, '${dt}' AS d", "20260613", strict=False).first()
     assert (kept["v"], kept["d"]) == ("${x}", "20260613")
@@ -114,11 +114,11 @@ def test_errors_follow_placeholder_order_and_gating(spark):
     assert [r["error"] for r in out] == [
         "date offset out of range in ${dt-1000000}",
         "date offset out of range in ${date-99999999999}",
-        "variable ${dt} requires --biz-date",
-        "variable ${hr} requires --biz-hour",
+        "no business date for ${dt}",
+        "no business hour for ${hr}",
         "date offset out of range in ${dt-1000000}",
         None,
-        "invalid biz_date 2026-06-13",
+        "not a business date: 2026-06-13",
         None,
     ]
     assert [r["text"] for r in out][5:] == ["03 only", None, "${dt-01} 20260610"]

@@ -115,3 +115,27 @@ def test_corrupt_manifest_is_refused(spark):
         fh.write("not json\n")
     with pytest.raises(Exception):
         SN.read_version(spark, root, "dev", "task-1", "v1")
+
+
+def test_empty_load_empties_its_partition(spark):
+    path = scratch_path(spark, "t-empty")
+    df = spark.createDataFrame([(1, "20260611", "a/b"), (2, "20260612", "a/b")], "id long, dt string, hr string")
+    W.overwrite_table(df, path, partition_cols=["dt", "hr"])
+    W.overwrite_partition(df.select("id").where("false"), path, {"dt": "20260611", "hr": "a/b"})
+    back = W.read_table(spark, path, partition_cols=["dt", "hr"])
+    assert [tuple(r) for r in back.collect()] == [(2, "20260612", "a/b")]
+    # as the statement on a catalog table does
+    import uuid
+    table, where = f"bw_t_{uuid.uuid4().hex[:10]}", scratch_path(spark, "t-empty-table")
+    spark.sql(f"CREATE TABLE {table} (id BIGINT, dt STRING) USING parquet PARTITIONED BY (dt) LOCATION '{where}'")
+    W.insert_into(df.select("id", "dt"), table, overwrite=True)
+    spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (dt='20260611') SELECT id FROM range(5) WHERE id < 0")
+    assert [r["id"] for r in spark.table(table).collect()] == [2]
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_manifest_without_versions_reads_an_empty_map(spark):
+    root = scratch_path(spark, "t-map")
+    path = SN.version_path(root, "dev", "t", "v1")
+    SN._write_manifest(spark, path, {"env": "dev", "task_id": "t", "version_id": "v1", "status": "ok"})
+    assert SN.read_manifest(spark, root, "dev", "t", "v1").first()["project_var_versions"] == {}
