@@ -121,11 +121,11 @@ WITH t AS (
   FROM t JOIN (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system') s USING (conv_id)
 ), placed AS (
   SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, speaker
-    ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM seg
+    ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM seg
 )
 SELECT conv_id, speaker, min(turn) - (min(turn) % 256) AS part_turn, CAST(0 AS BIGINT) AS part_slice, count(*) AS n_turns,
   string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
-  coalesce(string_agg(CAST(CAST(at AS BIGINT) + length(head) AS VARCHAR) || ':' || CAST(CAST(at AS BIGINT) + length(head) + length(text) + 10 AS VARCHAR), ','
+  coalesce(string_agg(CAST(CAST(begun AS BIGINT) + length(head) AS VARCHAR) || ':' || CAST(CAST(begun AS BIGINT) + length(head) + length(text) + 10 AS VARCHAR), ','
     ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE own), '') AS spans
 FROM placed GROUP BY conv_id, speaker
 """}
