@@ -110,22 +110,24 @@ def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "spans", F.expr("array_join(transform(spans, x -> concat_ws(':', x.start, x.end)), ',')"))
 
 
-#: Every conversation of the tables fits one part, so the SQL knows no other.
+#: No turn number of the tables has more than LIMIT rows, so the SQL only knows parts by range.
 ORACLES = {"op4_chat_rotation": """
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(replace(text, '<|im_', '< |im_'), '') AS text
+  SELECT DISTINCT conv_id, turn, turn - turn % 256 AS part_turn, coalesce(role, 'unknown') AS role,
+    coalesce(replace(text, '<|im_', '< |im_'), '') AS text
   FROM conversations
 ), seg AS (
   SELECT t.*, s.speaker, t.role = s.speaker AS own, '<|im_start|>' || CASE WHEN t.role = 'system' THEN 'system'
     WHEN t.role = s.speaker THEN 'assistant' ELSE 'user name=' || regexp_replace(t.role, '[\\s<>|]+', '_', 'g') END || chr(10) AS head
   FROM t JOIN (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system') s USING (conv_id)
 ), placed AS (
-  SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, speaker
+  SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, speaker, part_turn
     ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM seg
 )
-SELECT conv_id, speaker, min(turn) - (min(turn) % 256) AS part_turn, CAST(0 AS BIGINT) AS part_slice, count(*) AS n_turns,
+SELECT conv_id, speaker, part_turn, CAST(0 AS BIGINT) AS part_slice, count(*) AS n_turns,
   string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
-  coalesce(string_agg(CAST(CAST(begun AS BIGINT) + length(head) AS VARCHAR) || ':' || CAST(CAST(begun AS BIGINT) + length(head) + length(text) + 10 AS VARCHAR), ','
+  coalesce(string_agg(CAST(CAST(begun AS BIGINT) + length(head) AS VARCHAR) || ':'
+    || CAST(CAST(begun AS BIGINT) + length(head) + length(text) + 10 AS VARCHAR), ','
     ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE own), '') AS spans
-FROM placed GROUP BY conv_id, speaker
+FROM placed GROUP BY conv_id, speaker, part_turn
 """}

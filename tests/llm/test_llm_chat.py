@@ -1,6 +1,7 @@
 import re
 
 import duckdb
+import pytest
 
 from batchwright.llm import chat as C
 
@@ -83,10 +84,12 @@ def test_one_turn_number_with_many_rows(spark):
     assert {f"text {i}" for i in range(60)} <= set(re.findall(r"text \d+", " ".join(r["text"] for r in got)))
 
 
-def test_query_equals_its_sql_and_is_native(spark):
+@pytest.mark.parametrize("lengthen", [1, 60])
+def test_query_equals_its_sql_and_is_native(spark, lengthen, tmp_path):
     con = duckdb.connect()
-    con.execute(f"create view conversations as select * from '{SMALL}/conversations.parquet'")
-    df = C.op4_chat_rotation(spark, SMALL)
+    con.execute(f"create view conversations as select conv_id, turn * {lengthen} as turn, role, text from '{SMALL}/conversations.parquet'")
+    con.execute(f"copy conversations to '{tmp_path}/conversations.parquet'")
+    df = C.op4_chat_rotation(spark, str(tmp_path))
     res = con.execute(C.ORACLES["op4_chat_rotation"])
     names = [d[0] for d in res.description]
     assert sorted(map(repr, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(repr, map(tuple, res.fetchall())))
