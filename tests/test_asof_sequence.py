@@ -10,7 +10,7 @@ from batchwright.operators.asof import as_of_join
 from batchwright.operators.sequence import MAX_ROWS, forward_fill, previous_value, running_peak, slotted
 
 BASE = dt.datetime(2024, 1, 1)
-SETTINGS = settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 BOUNDS = (MAX_ROWS, 1, 3)
 
 times = st.one_of(st.none(), st.integers(min_value=0, max_value=96).map(lambda h: BASE + dt.timedelta(hours=h)))
