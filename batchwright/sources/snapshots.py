@@ -96,6 +96,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Take a version that does not exist yet; of two writers at once, one gets
+    it (the file system creates the claim file only if it is not there)."""
+    if _exists(spark, path):
+        return False
+    jvm = spark.sparkContext._jvm
+    claim = jvm.org.apache.hadoop.fs.Path(f"{path}/_claim")
+    return claim.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(claim)
+
+
 def _write_manifest(spark: SparkSession, path: str, meta: Mapping) -> None:
     row = spark.createDataFrame([tuple(meta.get(f.name) for f in MANIFEST_SCHEMA.fields)],
                                 MANIFEST_SCHEMA)
@@ -112,7 +122,7 @@ def write_version(df: DataFrame, root: str, env: str, name: str, version: str,
     """
     spark = df.sparkSession
     path = version_path(root, env, name, version)
-    if _exists(spark, path):
+    if not _claim(spark, path):
         raise VersionConflict(f"version exists: {path}")
     # The digest of what is sent is observed during the write itself (one
     # pass over the source); the digest of what landed is a second,

@@ -139,3 +139,11 @@ def test_manifest_without_versions_reads_an_empty_map(spark):
     path = SN.version_path(root, "dev", "t", "v1")
     SN._write_manifest(spark, path, {"env": "dev", "task_id": "t", "version_id": "v1", "status": "ok"})
     assert SN.read_manifest(spark, root, "dev", "t", "v1").first()["project_var_versions"] == {}
+
+
+def test_a_version_is_claimed_once(spark):
+    root = scratch_path(spark, "t-claim")
+    path = SN.version_path(root, "dev", "t", "v1")
+    assert SN._claim(spark, path) and not SN._claim(spark, path)
+    with pytest.raises(SN.VersionConflict):
+        SN.write_version(_docs(spark), root, "dev", "t", "v1")
