@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ END_ID = 1
 MAX_IDS = 1 << 24   # ids after which a task starts another file
 SLICE = 1 << 20     # ids that a reader holds at once, unless one document has more
 BLOCK = 512
-MEMO = 1 << 19
+MEMO = 1 << 20      # stretches whose ids a worker remembers
 MAGIC = b"DAC1"
 
 
@@ -157,35 +158,51 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-#: The worker's tokenizer and memo, by application and vocabulary.
-TOKENIZERS: dict[str, tuple] = {}
+class Memo(dict):
+    """Stretch of a text without space or line feed, its ASCII letters lowered,
+    to its ids as bytes; started anew when full."""
+
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, part: bytes) -> bytes:
+        # the library parts a letter from a full stop or comma too, so the word is shared
+        if part[-1:] in (b".", b",") and part[-2:-1].isalpha():
+            out = self[part[:-1]] + self[part[-1:]]
+        else:
+            out = self.encode(part.decode()) if part else b""
+        if len(self) >= MEMO:
+            self.clear()
+        self[part] = out
+        return out
+
+
+#: The worker's memo, by application and vocabulary.
+MEMOS: dict[str, Memo] = {}
 
 
 def id_bytes(name: str, vocabulary: str, text: str, by_spaces: bool) -> bytes:
     """Ids of a text as little-endian 32-bit integers.
 
-    ``by_spaces``: for vocabularies whose tokens never cross a space or line
-    feed and that drop both; each stretch between them is then encoded once.
+    ``by_spaces``: for vocabularies of lower-case words whose tokens never cross
+    a space or line feed, and that drop both; each stretch between them is then
+    encoded once.  Else the whole text goes to the library.
     """
-    if name not in TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        TOKENIZERS.clear()
-        t = Tokenizer.from_str(vocabulary)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
-        TOKENIZERS[name] = t, {"": b""}
-    t, memo = TOKENIZERS[name]
-    parts = text.replace("\n", " ").split(" ") if by_spaces else [text]
-    new = set(parts).difference(memo)
-    if new:
-        if len(memo) >= MEMO:
-            memo.clear()
-            new = set(parts)
-        new = list(new)
-        for part, e in zip(new, t.encode_batch(new, add_special_tokens=False)):
-            memo[part] = np.array(e.ids, "<u4").tobytes()
-    return b"".join(map(memo.__getitem__, parts))
+    if name not in MEMOS:
+        MEMOS.clear()
+        MEMOS[name] = Memo(vocabulary)
+    memo = MEMOS[name]
+    if not by_spaces:
+        return memo.encode(text)
+    return b"".join(map(memo.__getitem__, text.encode().lower().replace(b"\n", b" ").split(b" ")))
 
 
 def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID, by_spaces: bool = False,
