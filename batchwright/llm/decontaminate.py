@@ -158,12 +158,15 @@ def union(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Automaton]:
+def count_blocks(items: DataFrame, block_words: int) -> int:
+    # a word and its separator are two bytes at least
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, math.ceil(total / 2 / block_words))
+
+
+def blocks(items: DataFrame, n: int, window: int) -> Iterator[Automaton]:
     """One automaton per block; each block's items are collected on their own."""
     items = texts(items, "item_id").where(F.col("text").isNotNull())
-    # separators are single bytes, so there are at most so many words as half the bytes
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / 2 / block_words))
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) == k).collect()
         got = [("null" if r[0] is None else str(r[0]), words_of(r[1].encode())) for r in rows]
@@ -214,7 +217,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         return map_batches(df, run, f"doc_id {kind}, " + "text string, " * text + CARRIED)
 
     waiting = None
-    for a in blocks(items, window, block_words):
+    for a in blocks(items, count_blocks(items, block_words), window):
         if waiting is not None:
             df = stored(one_pass(df, waiting, True), "decontaminate")
         waiting = spark.sparkContext.broadcast(a)
@@ -259,11 +262,10 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", window
                coverage: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows, with all their columns, of documents that are not contaminated."""
     spark = docs.sparkSession
-    sets = list(blocks(items, window, block_words))
-    if len(sets) > 1:  # coverage needs the hits of all blocks together
+    if count_blocks(items, block_words) > 1:  # coverage needs the hits of all blocks together
         bad = verdict(matches(docs, items, text_col=text_col, window=window, block_words=block_words), coverage)
         return docs.join(bad.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti")
-    shared = spark.sparkContext.broadcast(sets[0])
+    shared = spark.sparkContext.broadcast(next(blocks(items, 1, window)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = shared.value
