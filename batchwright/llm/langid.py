@@ -99,8 +99,12 @@ def scaled(rows: np.ndarray) -> np.ndarray:
 
 def fit(train: DataFrame, dim: int = DIM, bound: int = BOUND) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes from (doc_id, text, lang)."""
-    counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang"))
-    sample = train.join(counts, "lang").where(share(["doc_id"], 5) < F.lit(float(bound)) / F.col("of_lang"))
+    counts = train.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # a checked number of rows, so the texts need not move by language
+    shares = train.sparkSession.createDataFrame([(r[0], min(1.0, bound / r[1])) for r in counts], "lang string, part double")
+    sample = train.join(F.broadcast(shares), "lang").where(share(["doc_id"], 5) < F.col("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -121,11 +125,8 @@ def fit(train: DataFrame, dim: int = DIM, bound: int = BOUND) -> tuple[list[str]
                                              ["lang", "dim", "value"])
 
     parts = map_batches(sample.select("lang", "text"), run, "lang string, dim bigint, value bigint")
-    got = parts.groupBy("lang", "dim").agg(F.sum("value").alias("value")) \
-        .limit(MAX_LANGUAGES * dim + 1).toPandas()
+    got = parts.groupBy("lang", "dim").agg(F.sum("value").alias("value")).toPandas()
     langs = sorted(got["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     out = np.zeros((len(langs), dim))
     out[got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), got["dim"].to_numpy(int)] = got["value"]
     out = scaled(out)
