@@ -36,6 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ HASHES = ROWS * BANDS
 STEP = 32
 TOLERANCE = 1e-9
 TILE_TEXTS, TILE_SHINGLES = 1024, 1 << 20
+TASK_TEXTS = 4096       # texts of tiles in one task, about
+BITS, BITMAP = 1 << 26, 1 << 15  # of the members' bitmap, and of one of its parts
 MEMO = 1 << 19
 CHUNK = 512
 
@@ -243,6 +246,37 @@ def tile_links(pdf: pd.DataFrame, bi: int, bj: int, words: int, threshold: float
     return pd.DataFrame({"rep": reps[has], "n_links": links[has], "root": reps[[root(x) for x in has.tolist()]]})
 
 
+def id_bitmap(ids: DataFrame) -> Broadcast:
+    """Hashed ids (first column) as a bitmap of ``BITS`` bits: of one size whatever the input."""
+    at = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(BITS)) + 1  # Spark's bitmaps count from 1
+    maps = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros((BITS // BITMAP, BITMAP // 8), np.uint8)
+    for bucket, own in maps.collect():  # at most BITS / BITMAP rows
+        bits[bucket - 1] = np.frombuffer(own, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bits.ravel())
+
+
+def by_bitmap(docs: DataFrame, bitmap: Broadcast, hit: bool) -> DataFrame:
+    """The rows whose doc_id is in the bitmap (all whose id was put in, and by
+    chance a few others), or the rows that are not, those without an id included.
+
+    So texts that a join cannot need are never shuffled.
+    """
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS))
+    place = F.when(F.col("doc_id").isNotNull(), place).otherwise(-1)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = bitmap.value
+        for b in batches:
+            at = b.column(len(columns)).to_numpy()
+            found = (own[at >> 3] >> (at & 7) & 1).astype(bool) & (at >= 0)
+            yield b.filter(pa.array(found == hit)).select(columns)
+
+    return map_batches(docs.withColumn("_place_in_bitmap", place), run, docs.schema)
+
+
 def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, id_col: str = "doc_id",
          text_col: str = "text", tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """(doc_id, class_id, n_links) of every row."""
@@ -268,13 +302,17 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, id_c
         F.ceil(F.count(F.lit(1)) / tile_texts), F.ceil(F.sum("n_shingles") / tile_shingles)).alias("blocks"))
     dealt = member.join(size, "component").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = docs.join(dealt, docs["doc_id"] == dealt["rep"]).select(
+    found_docs = by_bitmap(docs, id_bitmap(member.select("rep")), True)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(member.count() / TASK_TEXTS))
+    tiles = found_docs.join(dealt.hint("merge"), found_docs["doc_id"] == dealt["rep"]).select(
         "component", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
         "block", "rep", "copies", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return tile_links(pdf, int(key[1]), int(key[2]), words, threshold)
 
+    # comparing costs far more than its bytes tell, so the number of tasks follows the texts
+    tiles = tiles.repartition(n, "component", "bi", "bj")
     found = stored(tiles.groupBy("component", "bi", "bj").applyInPandas(run, "rep bigint, n_links bigint, root bigint"),
                    "jaccard-links")
     roots = components(found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b")))
@@ -292,11 +330,13 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, id_c
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows, with all their columns, of each class's smallest id, once each;
     rows without an id, or without words, all stay unless they repeat an id."""
-    found = join(docs.select("doc_id", "text"), **options)
-    gone = found.where("doc_id <> class_id").select("doc_id")
+    found = stored(join(docs.select("doc_id", "text"), **options), "jaccard-result")
+    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")) \
         .where("n > 1").select("doc_id")
-    kept = docs.join(gone.distinct(), "doc_id", "left_anti")
+    bitmap = id_bitmap(gone)
+    kept = by_bitmap(docs, bitmap, False).unionByName(
+        by_bitmap(docs, bitmap, True).join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns))
     if not again.isEmpty():
         kept = kept.join(again, "doc_id", "left_anti").unionByName(
             kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -305,3 +345,26 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+ORACLES = {"op7_ngram_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[j:j + k - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS j FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 5 * c >= 4 * (nx.n + ny.n - c)
+), reach(x, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT links.y, reach.root FROM reach JOIN links ON links.x = reach.x WHERE reach.root < links.y
+), degree AS (
+  SELECT x, count(*) AS n_links FROM links GROUP BY x
+)
+SELECT r.x AS doc_id, min(r.root) AS class_id, coalesce(any_value(g.n_links), 0) AS n_links
+FROM reach r LEFT JOIN degree g ON g.x = r.x GROUP BY r.x
+"""}
