@@ -17,4 +17,4 @@ QUERIES = {
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
-ORACLES = {**chat.ORACLES, **topk.ORACLES}
+ORACLES = {**chat.ORACLES, **decontaminate.ORACLES, **jaccard.ORACLES, **topk.ORACLES}
