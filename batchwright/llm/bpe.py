@@ -163,13 +163,20 @@ class Encoder:
 
         self.split = regex.compile(vocabulary.pattern).findall
         self.memo = Memo(vocabulary)
-        self.token = vocabulary.token
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.split(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+def bytes_of(ids: bytes, token: list[bytes]) -> bytes:
+    return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: ids take more room than their texts."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 #: The worker's encoder by the name of the vocabulary.
@@ -206,7 +213,7 @@ def encode(df: DataFrame, vocab: Shared, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
-        for b in batches:
+        for b in pieces(batches):
             ids = pa.array([enc.encode(t) for t in strings(b)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
 
@@ -218,9 +225,9 @@ def decode(df: DataFrame, vocab: Shared) -> DataFrame:
     """Adds ``decoded``, the bytes that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab)
-        for b in batches:
-            out = pa.array([enc.decode(x) for x in b.column("ids").to_pylist()], pa.binary())
+        token = vocab.value.token
+        for b in pieces(batches):
+            out = pa.array([bytes_of(x, token) for x in b.column("ids").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), out], ["doc_id", "ids", "decoded"])
 
     return map_batches(df.select("doc_id", "ids"), run,
