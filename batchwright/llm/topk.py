@@ -8,7 +8,8 @@ tasks), then by query.
 
 Components are floor(256 * x) as integers, so that products and sums are exact:
 in 32-bit floats while no sum can reach 2^24, in 64-bit ones up to 2^53, and
-else in Python integers, where a score beyond 64 bits is held at the limit.
+else in Python integers, where scores beyond 64 bits are held at the limit and
+tie there.
 
 Rows whose vector is null, or holds null, NaN or infinite components, take no
 part, nor do rows without an id.  A vector is compared only with vectors of
@@ -93,9 +94,10 @@ class Best:
         else:
             exact = np.array([[int(v) for v in r] for r in ask], object) @ \
                 np.array([[int(v) for v in r] for r in tile], object).T
+            exact = np.clip(exact, -LIMIT - 1, LIMIT)
             at = np.array([sorted(range(len(own)), key=lambda j: (bool(same[i, j]), -row[j], j))[:k]
                            for i, row in enumerate(exact)])
-            got = np.clip(np.take_along_axis(exact, at, 1), -LIMIT - 1, LIMIT)
+            got = np.take_along_axis(exact, at, 1)
         return got, own[at], ~np.take_along_axis(same, at, 1)
 
     def _merge(self, score: np.ndarray, ids: np.ndarray, there: np.ndarray) -> None:
@@ -140,7 +142,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
                      pa.array(t.found[q, j]), pa.array(t.score[q, j].astype(np.int64))],
                     ["query_id", "task_group", "vec_id", "score"])
 
-        got = map_batches(rows, run, "query_id bigint, task_group bigint, vec_id bigint, score bigint")
+        got = map_batches(rows, run, "query_id bigint, task_group bigint, vec_id bigint, score bigint", 4 * TILE_ROWS)
         best = [F.desc("score"), F.asc("vec_id")]
         step = got.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "task_group").orderBy(*best)))
         last = step.where(F.col("rank") <= k).withColumn(
@@ -159,10 +161,10 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES = {"op9_exact_topk": """
 WITH ints AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
   FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
