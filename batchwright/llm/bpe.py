@@ -8,7 +8,7 @@ A text is split by the vocabulary's pattern; each match is encoded on its own:
    heap of adjacent pairs, by rank and then place, yields the next merge.
 
 Both results enter a memo of matches, kept by the Python worker from one task
-to the next and started anew at ``MEMO`` entries.  It saves time only.
+to the next, of at most twice ``MEMO`` entries.  It saves time only.
 
 Ids are little-endian unsigned 32-bit integers in one binary column.  Null
 text counts as empty and gives no ids; every input row gives one output row.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import map_batches, strings, table, texts
+from batchwright.llm.common import kept, map_batches, strings, table, texts
 
-MEMO = 1 << 19
+MEMO = 1 << 18
 RANKS = "byte_bpe_50k.tiktoken"
 
 MASK = (1 << 64) - 1
@@ -140,18 +141,23 @@ class Vocabulary:
 
 
 class Memo(dict):
-    """Match to the bytes of its ids."""
+    """Match to the bytes of its ids, in two generations: a full one becomes the
+    old one, from which matches that occur again return."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, match: str) -> bytes:
-        piece = match.encode()
-        one = self.vocabulary.whole.get(piece)
-        ids = self.vocabulary.merge(piece) if one is None else [one]
-        out = np.array(ids, "<u4").tobytes()
+        out = self.old.get(match)
+        if out is None:
+            piece = match.encode()
+            one = self.vocabulary.whole.get(piece)
+            ids = self.vocabulary.merge(piece) if one is None else [one]
+            out = array("I", ids).tobytes()
         if len(self) >= MEMO:
+            self.old = dict(self)
             self.clear()
         self[match] = out
         return out
@@ -172,22 +178,8 @@ def bytes_of(ids: bytes, token: list[bytes]) -> bytes:
     return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows, few at a time: ids take more room than their texts."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
-#: The worker's encoder by the name of the vocabulary.
-ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(shared) -> Encoder:
-    if shared.name not in ENCODERS:
-        ENCODERS.clear()
-        ENCODERS[shared.name] = Encoder(shared.value)
-    return ENCODERS[shared.name]
+def encoder(shared: Shared) -> Encoder:
+    return kept(shared.name, lambda: Encoder(shared.value))
 
 
 class Shared:
@@ -213,7 +205,7 @@ def encode(df: DataFrame, vocab: Shared, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocab)
-        for b in pieces(batches):
+        for b in batches:
             ids = pa.array([enc.encode(t) for t in strings(b)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
 
@@ -226,7 +218,7 @@ def decode(df: DataFrame, vocab: Shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = vocab.value.token
-        for b in pieces(batches):
+        for b in batches:
             out = pa.array([bytes_of(x, token) for x in b.column("ids").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), out], ["doc_id", "ids", "decoded"])
 

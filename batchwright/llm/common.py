@@ -45,10 +45,31 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                schema: str | T.StructType) -> DataFrame:
+                schema: str | T.StructType, rows: int = 1024) -> DataFrame:
+    """``fn`` over the partitions, which sees at most ``rows`` rows at once:
+    Python objects take several times the room of a batch."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(pieces(batches, rows)), schema)
+
+
+#: What the Python worker keeps from one task to the next, for one operator.
+KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """The worker's cache of that name.  Asking for another operator's cache
+    drops it, so a worker that serves many operators holds one cache."""
+    if name not in KEPT:
+        KEPT.clear()
+        KEPT[name] = make()
+    return KEPT[name]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import map_batches, stored, strings, table, texts
+from batchwright.llm.common import kept, map_batches, stored, strings, table, texts
 from batchwright.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -185,10 +185,6 @@ class Memo(dict):
         return out
 
 
-#: The worker's memo, by application and vocabulary.
-MEMOS: dict[str, Memo] = {}
-
-
 def id_bytes(name: str, vocabulary: str, text: str, by_spaces: bool) -> bytes:
     """Ids of a text as little-endian 32-bit integers.
 
@@ -196,10 +192,7 @@ def id_bytes(name: str, vocabulary: str, text: str, by_spaces: bool) -> bytes:
     a space or line feed, and that drop both; each stretch between them is then
     encoded once.  Else the whole text goes to the library.
     """
-    if name not in MEMOS:
-        MEMOS.clear()
-        MEMOS[name] = Memo(vocabulary)
-    memo = MEMOS[name]
+    memo = kept(name, lambda: Memo(vocabulary))
     if not by_spaces:
         return memo.encode(text)
     return b"".join(map(memo.__getitem__, text.encode().lower().replace(b"\n", b" ").split(b" ")))

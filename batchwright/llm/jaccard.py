@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import map_batches, ship, stored, strings, table, texts
+from batchwright.llm.common import kept, map_batches, ship, stored, strings, table, texts
 from batchwright.llm.components import components
 
 WORDS = 5
@@ -52,7 +52,7 @@ TOLERANCE = 1e-9
 TILE_TEXTS, TILE_SHINGLES = 1024, 1 << 20
 TASK_TEXTS = 4096       # texts of tiles in one task, about
 BITS, BITMAP = 1 << 26, 1 << 15  # of the members' bitmap, and of one of its parts
-MEMO = 1 << 19
+MEMO = 1 << 17
 CHUNK = 512
 
 #: Digits, ASCII letters and all bytes beyond ASCII make up words.
@@ -72,9 +72,6 @@ class WordHash(dict):
         return out
 
 
-HASH_OF = WordHash()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(33))) * MIX[0]
@@ -87,7 +84,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     found = text.lower().encode("utf-8", "surrogatepass").translate(WORD_BYTES).split()
     if not found:
         return np.zeros(0, np.uint64)
-    h = np.array(list(map(HASH_OF.__getitem__, found)), np.uint64)
+    h = np.array(list(map(kept("jaccard", WordHash).__getitem__, found)), np.uint64)
     size = min(words, len(h))
     n = len(h) - size + 1
     out = np.full(n, size, np.uint64)
@@ -335,12 +332,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")) \
         .where("n > 1").select("doc_id")
     bitmap = id_bitmap(gone)
-    kept = by_bitmap(docs, bitmap, False).unionByName(
+    stay = by_bitmap(docs, bitmap, False).unionByName(
         by_bitmap(docs, bitmap, True).join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns))
     if not again.isEmpty():
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(
-            kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(docs.columns)
+        stay = stay.join(again, "doc_id", "left_anti").unionByName(
+            stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return stay.select(docs.columns)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

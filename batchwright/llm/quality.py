@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchwright.llm.common import id_fold, labelled_sample, map_batches, strings, table, texts
+from batchwright.llm.common import id_fold, kept, labelled_sample, map_batches, strings, table, texts
 
 DIM = 1 << 18
 BOUND = 6000
 EPOCHS = 3
-MEMO = 1 << 19
+MEMO = 1 << 18
 SORTS = 4  # of features
 SCALE = 8.0
 
@@ -63,9 +63,6 @@ class Tokens(dict):
         return out
 
 
-TOKENS = Tokens()
-
-
 def slots(x: np.ndarray, sort: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ np.uint64(sort * 0x51ED27)) * A
@@ -75,7 +72,7 @@ def slots(x: np.ndarray, sort: int) -> np.ndarray:
 
 def features(text: str) -> list[np.ndarray]:
     """Places of the features, by sort, with repetitions."""
-    x = np.array(list(map(TOKENS.__getitem__, TOKEN.findall(text))), np.uint64)
+    x = np.array(list(map(kept("quality", Tokens).__getitem__, TOKEN.findall(text))), np.uint64)
     if not len(x):
         return []
     word, kind = x >> np.uint64(12), x & np.uint64(4095)

@@ -42,7 +42,7 @@ MIN_TOXIC = 4           # toxic training texts that hold a cue, at least
 MIN_ODDS = 8.0          # how much likelier a cue is in toxic texts, at least
 BEGINNINGS = (4, 5, 6)  # letters of word beginnings
 REACH = 4               # tokens around a cue in a training window
-MEMO = 1 << 19
+MEMO = 1 << 17
 POWERS = 64
 SPAN_AT = 0.5
 
