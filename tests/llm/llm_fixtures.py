@@ -1,3 +1,5 @@
+"""Fixtures that the operators' tests import."""
+
 import pytest
 
 LONG = "one two three four five six seven eight nine ten " * 4000
@@ -29,8 +31,3 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(odd_docs):
     return odd_docs.where("false")
-
-
-def same_rows(a, b):
-    key = lambda r: repr(tuple(r))
-    return sorted(a, key=key) == sorted(b, key=key)

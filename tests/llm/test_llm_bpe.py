@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from batchwright.llm import bpe as B
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 PAIRS = B.read_ranks(public_tokenizers.path(B.RANKS))

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from batchwright.llm import dac as X
 from batchwright.session import scratch_path
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path(X.VOCABULARY)

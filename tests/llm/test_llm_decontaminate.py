@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from batchwright.llm import decontaminate as D
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 LETTERS = st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=30)

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from batchwright.llm import jaccard as J
 from batchwright.llm.components import components
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 

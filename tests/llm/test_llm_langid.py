@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from batchwright.llm import langid as L
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 MEDIUM = "/root/testdata/sf0.01"
 

@@ -3,6 +3,7 @@ import numpy as np
 import corpus_pipeline as P
 from batchwright.llm import bpe, decontaminate, jaccard, secrets, toxicity
 from batchwright.llm.common import table
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 

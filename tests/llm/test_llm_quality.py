@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from batchwright.llm import quality as Q
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 MEDIUM = "/root/testdata/sf0.01"
 

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from batchwright.llm import secrets as S
+from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 WORDS = S.automaton()
 SMALL = "/root/testdata/sf0.01"
