@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchwright.llm.common import map_batches, stored, table, texts, utf8
 
@@ -37,7 +38,8 @@ WORD_BYTES = bytes(
 #: The same words in the text as it stands, for their offsets.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-CARRIED = "n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<string>"
+CARRIED = T.StructType().add("n_words", T.LongType()).add("hits", T.ArrayType(
+    T.StructType().add("start", T.LongType()).add("end", T.LongType()))).add("items", T.ArrayType(T.StringType()))
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -202,7 +204,6 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     df = texts(docs, id_col, text_col).selectExpr(
         "doc_id", "text", "cast(0 as bigint) n_words",
         "cast(null as array<struct<start:bigint,end:bigint>>) hits", "cast(null as array<string>) items")
-    kind = df.schema["doc_id"].dataType.simpleString()
 
     def one_pass(df: DataFrame, automaton: Broadcast, text: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +215,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                          "items": pa.array([x[2] for x in got], pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-        return map_batches(df, run, f"doc_id {kind}, " + "text string, " * text + CARRIED)
+        own = [df.schema[c] for c in (["doc_id", "text"] if text else ["doc_id"])]
+        return map_batches(df, run, T.StructType(own + CARRIED.fields))
 
     waiting = None
     for a in blocks(items, count_blocks(items, block_words), window):
@@ -260,24 +262,15 @@ def remove_spans(docs: DataFrame, items: DataFrame, min_words: int = WINDOW, cov
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = WINDOW,
                coverage: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows, with all their columns, of documents that are not contaminated."""
-    spark = docs.sparkSession
-    if count_blocks(items, block_words) > 1:  # coverage needs the hits of all blocks together
-        bad = verdict(matches(docs, items, text_col=text_col, window=window, block_words=block_words), coverage)
-        return docs.join(bad.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti")
-    shared = spark.sparkContext.broadcast(next(blocks(items, 1, window)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = shared.value
-        for b in batches:
-            keep = []
-            for data in utf8(b, text_col):
-                words = words_of(data)
-                n_hit = sum(e - s for s, e in a.stream(words)[0])
-                keep.append(not (n_hit and coverage * n_hit >= len(words)))
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return map_batches(docs, run, docs.schema)
+    """The rows, with all their columns, of documents that are not contaminated.
+
+    Each row goes by its own text, whatever ids are null or repeated: the other
+    columns pass through all blocks with the text, in the place of the id."""
+    others = [c for c in docs.columns if c != text_col] or [text_col]
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in others]).alias("row"), docs[f"`{text_col}`"].alias("text"))
+    found = matches(rows, items, "row", window=window, block_words=block_words, keep_text=True)
+    return verdict(found, coverage).where("not contaminated").select(
+        *[F.col("text").alias(c) if c == text_col else F.col("doc_id").getField(c).alias(c) for c in docs.columns])
 
 
 def brute_force(words: list[bytes], items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> tuple[int, str]:

@@ -83,3 +83,23 @@ def test_query(spark):
         r = rows[d["doc_id"]]
         assert (r["n_hit"], r["items_sha256"]) == (n, digest)
         assert r["contaminated"] == (n > 0 and 20 * n >= r["n_words"])
+
+
+def test_keep_clean_goes_by_row_whatever_the_blocks(spark):
+    docs, items, raw, own = fixture(spark)
+    named = [("null" if i is None else str(i), D.words_of((t or "").encode())) for i, t in own]
+    rows = [(None if i % 3 == 0 else i % 4, t, f"row {i}", i) for i, t in raw] + [(None, None, "null text", 99)]
+    want = set()
+    for row in rows:
+        words = D.words_of((row[1] or "").encode())
+        n = D.brute_force(words, named)[0]
+        if not (n and 20 * n >= len(words)):
+            want.add(row)
+    bad = {r[0] for r in set(rows) - want}
+    assert None in bad and bad & {r[0] for r in want}
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string, items string, `n.words` int")
+    for block_words in (200_000, 150):
+        got = D.keep_clean(odd, items, block_words=block_words)
+        assert got.columns == odd.columns
+        kept = got.collect()
+        assert len(kept) == len(want) and {tuple(r) for r in kept} == want
