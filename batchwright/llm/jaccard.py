@@ -3,7 +3,8 @@
 Two texts are linked when the Jaccard similarity of their sets of five-word
 shingles is at least 0.8 (words lower-cased; a shorter text is one shingle).
 
-1. Texts with equal sets form a class; only its smallest id goes on.
+1. Texts with equal sets (by 128-bit digest) form a class with a number of its
+   own; one text goes on for it, that of the smallest id and text hash.
 2. MinHash values of a class, six at a time, name ``BANDS`` buckets.  A pair at
    exactly the threshold shares none of them with a chance of 1e-7, and a more
    similar one with far less.  Edges from a bucket's smallest member to the
@@ -14,7 +15,7 @@ shingles is at least 0.8 (words lower-cased; a shorter text is one shingle).
    posterior probability (uniform prior) that it reaches the threshold falls
    below ``TOLERANCE``.  What stays is verified by exact set intersection.
 4. A tile emits, for each text, its number of links (counting copies) and the
-   smallest member that it reaches there: never a list of pairs.  Components of
+   first class that it reaches there: never a list of pairs.  Components of
    those edges are the result's classes.
 
 Result: one row per input row: doc_id, class_id (smallest doc_id of the
@@ -23,7 +24,7 @@ connected texts), n_links (other documents at or above the threshold).
 Null texts, and texts without words, have no shingles: they are in a class of
 their own, without links.  A null doc_id has a null class and no links, and
 takes no part.  Rows that repeat a doc_id count as documents of their own with
-that id.
+that id; their texts are told apart by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchwright.llm.common import kept, map_batches, ship, stored, strings, table, texts
@@ -115,7 +116,7 @@ def buckets(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, hi, lo, n_shingles, bands): the digest of the set, its size and buckets."""
+    """(doc_id, text_hash, hi, lo, n_shingles, bands): the digest of the set, its size and buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,12 +134,13 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             bands = buckets(np.stack(own)) if own else np.zeros((0, BANDS), np.int64)
             ends = np.concatenate([[0], np.cumsum(~none * BANDS)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(keys[:, 0], mask=none), pa.array(keys[:, 1], mask=none),
+                [b.column("doc_id"), b.column("text_hash"), pa.array(keys[:, 0], mask=none), pa.array(keys[:, 1], mask=none),
                  pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))],
-                ["doc_id", "hi", "lo", "n_shingles", "bands"])
+                ["doc_id", "text_hash", "hi", "lo", "n_shingles", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs, run, f"doc_id {kind}, hi bigint, lo bigint, n_shingles bigint, bands array<bigint>")
+    return map_batches(docs, run, f"doc_id {kind}, text_hash bigint, hi bigint, lo bigint, n_shingles bigint, "
+                                  "bands array<bigint>")
 
 
 def needed(threshold: float, tolerance: float = TOLERANCE) -> dict[int, int]:
@@ -222,10 +224,10 @@ def compare(all_texts: list[str], block: np.ndarray, bi: int, bj: int, words: in
 
 
 def tile_links(pdf: pd.DataFrame, bi: int, bj: int, words: int, threshold: float) -> pd.DataFrame:
-    """(rep, n_links, root) of a tile's texts that have links in it."""
-    pdf = pdf.drop_duplicates("rep").sort_values("rep")
-    reps, copies = pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
-    links, parent = np.zeros(len(reps), np.int64), list(range(len(reps)))
+    """(cls, n_links, root) of a tile's classes that have links in it."""
+    pdf = pdf.drop_duplicates("cls").sort_values("cls")
+    own, copies = pdf["cls"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
+    links, parent = np.zeros(len(own), np.int64), list(range(len(own)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -237,15 +239,19 @@ def tile_links(pdf: pd.DataFrame, bi: int, bj: int, words: int, threshold: float
         np.add.at(links, j, copies[i])
         for x, y in zip(i.tolist(), j.tolist()):
             x, y = root(x), root(y)
-            if x != y:  # texts are sorted by id, so the smaller place is the smaller id
+            if x != y:  # sorted by class, so the smaller place is the smaller number
                 parent[max(x, y)] = min(x, y)
     has = np.flatnonzero(links)
-    return pd.DataFrame({"rep": reps[has], "n_links": links[has], "root": reps[[root(x) for x in has.tolist()]]})
+    return pd.DataFrame({"cls": own[has], "n_links": links[has], "root": own[[root(x) for x in has.tolist()]]})
+
+
+def place_in_bitmap(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k).cast("long") for k in keys]), F.lit(BITS))
 
 
 def id_bitmap(ids: DataFrame) -> Broadcast:
-    """Hashed ids (first column) as a bitmap of ``BITS`` bits: of one size whatever the input."""
-    at = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(BITS)) + 1  # Spark's bitmaps count from 1
+    """Hashed ids (all columns) as a bitmap of ``BITS`` bits: of one size whatever the input."""
+    at = place_in_bitmap(ids.columns) + 1  # Spark's bitmaps count from 1
     maps = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")) \
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     bits = np.zeros((BITS // BITMAP, BITMAP // 8), np.uint8)
@@ -254,14 +260,13 @@ def id_bitmap(ids: DataFrame) -> Broadcast:
     return ids.sparkSession.sparkContext.broadcast(bits.ravel())
 
 
-def by_bitmap(docs: DataFrame, bitmap: Broadcast, hit: bool) -> DataFrame:
-    """The rows whose doc_id is in the bitmap (all whose id was put in, and by
+def by_bitmap(docs: DataFrame, bitmap: Broadcast, hit: bool, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The rows whose keys are in the bitmap (all whose keys were put in, and by
     chance a few others), or the rows that are not, those without an id included.
 
     So texts that a join cannot need are never shuffled.
     """
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITS))
-    place = F.when(F.col("doc_id").isNotNull(), place).otherwise(-1)
+    place = F.when(F.col("doc_id").isNotNull(), place_in_bitmap(list(keys))).otherwise(-1)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,69 +279,93 @@ def by_bitmap(docs: DataFrame, bitmap: Broadcast, hit: bool) -> DataFrame:
     return map_batches(docs.withColumn("_place_in_bitmap", place), run, docs.schema)
 
 
-def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, id_col: str = "doc_id",
-         text_col: str = "text", tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row."""
+def linked(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, id_col: str = "doc_id",
+           text_col: str = "text", tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """(doc_id, text_hash, class_id, class_hash, n_links) of every row: ``class_id``
+    and ``class_hash`` are the smallest doc_id, text_hash of the connected texts."""
     ship(docs.sparkSession)
-    docs = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")) \
+        .withColumn("text_hash", F.xxhash64("text"))
     sketch = stored(sketches(docs, words), "jaccard-sketches")
+    # the number stands for the digest: one id can have texts of several classes
     classes = stored(
         sketch.where("hi is not null and doc_id is not null").groupBy("hi", "lo").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"),
-            F.first("bands").alias("bands")), "jaccard-classes")
+            F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("copies"),
+            F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")).select(
+            F.monotonically_increasing_id().alias("cls"), "hi", "lo", "rep.*", "copies", "n_shingles", "bands"),
+        "jaccard-classes")
 
     # candidate components
-    placed = classes.select("rep", F.explode("bands").alias("bucket"))
-    heads = placed.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = placed.join(heads, "bucket").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    placed = classes.select("cls", F.explode("bands").alias("bucket"))
+    heads = placed.groupBy("bucket").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = placed.join(heads, "bucket").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
     near = components(edges)
-    member = near.union(near.select("root", "root").distinct()).toDF("rep", "component") \
-        .join(classes.select("rep", "copies", "n_shingles"), "rep")
+    member = near.union(near.select("root", "root").distinct()).toDF("cls", "component") \
+        .join(classes.select("cls", "doc_id", "text_hash", "copies", "n_shingles"), "cls")
     member = stored(member, "jaccard-members")
 
     # tiles: block by block of each component
     size = member.groupBy("component").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / tile_texts), F.ceil(F.sum("n_shingles") / tile_shingles)).alias("blocks"))
-    dealt = member.join(size, "component").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")) \
+    dealt = member.join(size, "component").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    found_docs = by_bitmap(docs, id_bitmap(member.select("rep")), True)
+    key = ("doc_id", "text_hash")
+    found_docs = by_bitmap(docs, id_bitmap(member.select(*key)), True, key)
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(member.count() / TASK_TEXTS))
-    tiles = found_docs.join(dealt.hint("merge"), found_docs["doc_id"] == dealt["rep"]).select(
+    tiles = found_docs.join(dealt.hint("merge"), list(key)).select(
         "component", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
-        "block", "rep", "copies", F.coalesce("text", F.lit("")).alias("text"))
+        "block", "cls", "copies", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return tile_links(pdf, int(key[1]), int(key[2]), words, threshold)
 
     # comparing costs far more than its bytes tell, so the number of tasks follows the texts
     tiles = tiles.repartition(n, "component", "bi", "bj")
-    found = stored(tiles.groupBy("component", "bi", "bj").applyInPandas(run, "rep bigint, n_links bigint, root bigint"),
+    found = stored(tiles.groupBy("component", "bi", "bj").applyInPandas(run, "cls bigint, n_links bigint, root bigint"),
                    "jaccard-links")
-    roots = components(found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-
-    result = classes.select("hi", "lo", "rep", "copies").join(links, "rep", "left") \
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("hi", "lo", F.coalesce("root", "rep").alias("class_id"),
+    roots = components(found.where("root <> cls").select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    links = found.groupBy("cls").agg(F.sum("n_links").alias("n_links"))
+
+    # a component of classes goes by its smallest id
+    joined = roots.union(roots.select("root", "root").distinct()).toDF("cls", "root")
+    tops = joined.join(classes.select("cls", "doc_id", "text_hash"), "cls").groupBy("root").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("top"))
+    tops = joined.join(tops, "root").select("cls", "top")
+    result = classes.select("cls", "hi", "lo", F.struct("doc_id", "text_hash").alias("rep"), "copies") \
+        .join(links, "cls", "left").join(tops, "cls", "left") \
+        .select("hi", "lo", F.coalesce("top", "rep").alias("top"),
                 (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    return sketch.select("doc_id", "hi", "lo").join(result, ["hi", "lo"], "left").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
+    has_id = F.col("doc_id").isNotNull()
+    return sketch.select("doc_id", "text_hash", "hi", "lo").join(result, ["hi", "lo"], "left").select(
+        "doc_id", "text_hash", F.when(has_id, F.coalesce("top.doc_id", "doc_id")).alias("class_id"),
+        F.when(has_id, F.coalesce("top.text_hash", "text_hash")).alias("class_hash"),
+        F.when(has_id, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
+
+
+def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, id_col: str = "doc_id",
+         text_col: str = "text", tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row."""
+    return linked(docs, words, threshold, id_col, text_col, tile_texts, tile_shingles) \
+        .select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows, with all their columns, of each class's smallest id, once each;
-    rows without an id, or without words, all stay unless they repeat an id."""
-    found = stored(join(docs.select("doc_id", "text"), **options), "jaccard-result")
-    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")) \
-        .where("n > 1").select("doc_id")
+    """The rows, with all their columns, of the smallest id (and text hash) of
+    connected texts, once each; rows without an id all stay, and rows without
+    words stay unless they repeat both id and text."""
+    key = ("doc_id", "_text_hash")
+    found = stored(linked(docs.select("doc_id", "text"), **options), "jaccard-result") \
+        .where("doc_id is not null").withColumnRenamed("text_hash", "_text_hash")
+    gone = found.where("doc_id <> class_id or _text_hash <> class_hash").select(*key).distinct()
+    again = found.where("doc_id = class_id and _text_hash = class_hash").groupBy(*key) \
+        .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
     bitmap = id_bitmap(gone)
-    stay = by_bitmap(docs, bitmap, False).unionByName(
-        by_bitmap(docs, bitmap, True).join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns))
+    stay = by_bitmap(rows, bitmap, False, key).unionByName(
+        by_bitmap(rows, bitmap, True, key).join(gone.hint("merge"), list(key), "left_anti").select(rows.columns))
     if not again.isEmpty():
-        stay = stay.join(again, "doc_id", "left_anti").unionByName(
-            stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        stay = stay.join(again, list(key), "left_anti").unionByName(
+            stay.join(again, list(key), "left_semi").dropDuplicates(list(key)))
     return stay.select(docs.columns)
 
 

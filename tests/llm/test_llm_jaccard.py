@@ -118,3 +118,24 @@ def test_bitmap_loses_no_member(spark):
     assert own <= {r[0] for r in hit} and len(hit) < len(own) + 20
     assert sorted(r["text"] for r in hit + rest) == sorted(r["text"] for r in docs.collect())
     assert J.by_bitmap(docs, J.id_bitmap(ids.where("false")), True).count() == 0
+
+
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_repeated_ids_are_documents_of_their_own(spark, tile):
+    first, second = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, first), (1, second), (1, second), (2, first), (3, second + " b60"), (4, "c d e"), (4, None), (4, "..."),
+            (0, second + " b60 b61")] + [(10 + i % 9, t) for i, t in corpus(5, 80)]
+    sets = [frozenset(J.shingles(t or "").tolist()) for _, t in rows]
+    link = [[a != b and bool(x) and 5 * len(x & y) >= 4 * len(x | y) for b, y in enumerate(sets)] for a, x in enumerate(sets)]
+    part = list(range(len(rows)))
+    for _ in rows:
+        part = [min([part[a], *(part[b] for b in range(len(rows)) if link[a][b])]) for a in range(len(rows))]
+    lowest = {p: min(rows[a][0] for a in range(len(rows)) if part[a] == p) for p in part}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = J.join(df, tile_texts=tile).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == \
+        sorted((rows[a][0], lowest[part[a]], sum(link[a])) for a in range(len(rows)))
+    kept = [tuple(r) for r in J.keep_one(df, tile_texts=tile).collect()]
+    place = {row: part[a] for a, row in enumerate(rows)}
+    assert sorted(place[r] for r in kept) == sorted(set(part))
+    assert all(r[0] == lowest[place[r]] for r in kept)
