@@ -159,8 +159,9 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class Memo(dict):
-    """Stretch of a text without space or line feed, its ASCII letters lowered,
-    to its ids as bytes; started anew when full."""
+    """Stretch of a text without space or line feed, its ASCII letters lowered
+    (unless it spells an added token in some case), to its ids as bytes; started
+    anew when full."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -168,7 +169,8 @@ class Memo(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the library looks for these in the text as it stands, before it lowers letters
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -188,6 +190,8 @@ class Memo(dict):
 def id_bytes(name: str, vocabulary: str, text: str, by_spaces: bool) -> bytes:
     """Ids of a text as little-endian 32-bit integers.
 
+    An added token's string in a text is that token, as the library has it.
+
     ``by_spaces``: for vocabularies of lower-case words whose tokens never cross
     a space or line feed, and that drop both; each stretch between them is then
     encoded once.  Else the whole text goes to the library.
@@ -195,7 +199,12 @@ def id_bytes(name: str, vocabulary: str, text: str, by_spaces: bool) -> bytes:
     memo = kept(name, lambda: Memo(vocabulary))
     if not by_spaces:
         return memo.encode(text)
-    return b"".join(map(memo.__getitem__, text.encode().lower().replace(b"\n", b" ").split(b" ")))
+    raw = text.encode().replace(b"\n", b" ")
+    low = raw.lower()
+    parts = low.split(b" ")
+    if any(x in low for x in memo.added):
+        parts = [r if any(x in p for x in memo.added) else p for r, p in zip(raw.split(b" "), parts)]
+    return b"".join(map(memo.__getitem__, parts))
 
 
 def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID, by_spaces: bool = False,

@@ -88,3 +88,33 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert all(len(r["ids"]) == 4 for r in got if r["doc_id"] in (2, 3))
     folder = scratch_path(spark, "dac-test")
     assert X.read(X.write(no_docs, PATH, folder), folder).count() == 0
+
+
+LITERALS = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>.", "Go<|endoftext|>On,",
+            "<|ENDOFTEXT|><|endoftext|>", "<|endoftext", "Word.", " ", "\n", "\u0301", "\u2003", "19's"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(LITERALS), max_size=12))
+def test_added_tokens_as_the_library_has_them(parts):
+    text = "".join(parts)
+    want = UNTOUCHED.encode(text, add_special_tokens=False).ids
+    for by_spaces in (True, False):
+        assert np.frombuffer(X.id_bytes("t", VOCABULARY, text, by_spaces), "<u4").tolist() == want
+
+
+UNTOUCHED = Tokenizer.from_file(PATH)
+
+
+def test_added_tokens_in_files(spark):
+    rows = [(1, "One <|endoftext|> two"), (2, "a<|STARTOFTEXT|>b <|startoftext|>"), (3, "three")]
+    folder = scratch_path(spark, "dac-test")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in X.read(X.write(docs, PATH, folder, by_spaces=True), folder).collect())
+    start, want = 0, []
+    for doc_id, text in rows:
+        ids = [*UNTOUCHED.encode(text, add_special_tokens=False).ids, 1]
+        want.append((doc_id, start, np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert [(i, s, bytes(d)) for i, s, d in got] == want
+    assert 49407 in np.frombuffer(got[0][2], "<u4") and 49406 in np.frombuffer(got[1][2], "<u4")
