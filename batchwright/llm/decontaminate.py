@@ -6,7 +6,7 @@ stretch ending there that occurs inside some item.  Where that length reaches
 ``window`` words, those words are hit, and the state shortened to ``window``
 words names the items.  Items shorter than a window count as one window.
 
-Items are dealt by hash into blocks of about ``block_words`` words, and only
+Items, once each, are dealt by hash into blocks of about ``block_words`` words, and only
 one block's automaton is broadcast at a time.  With more than one block the
 documents pass once per block, and carry along the hits found so far.
 
@@ -167,8 +167,7 @@ def count_blocks(items: DataFrame, block_words: int) -> int:
 
 
 def blocks(items: DataFrame, n: int, window: int) -> Iterator[Automaton]:
-    """One automaton per block; each block's items are collected on their own."""
-    items = texts(items, "item_id").where(F.col("text").isNotNull())
+    """One automaton per block of (doc_id, text); each block's items are collected on their own."""
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) == k).collect()
         got = [("null" if r[0] is None else str(r[0]), words_of(r[1].encode())) for r in rows]
@@ -218,6 +217,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         own = [df.schema[c] for c in (["doc_id", "text"] if text else ["doc_id"])]
         return map_batches(df, run, T.StructType(own + CARRIED.fields))
 
+    # a repeated item would fall into one block as often as it is there
+    items = stored(texts(items, "item_id").where(F.col("text").isNotNull()).distinct(), "decontaminate-items")
     waiting = None
     for a in blocks(items, count_blocks(items, block_words), window):
         if waiting is not None:

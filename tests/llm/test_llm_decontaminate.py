@@ -103,3 +103,24 @@ def test_keep_clean_goes_by_row_whatever_the_blocks(spark):
         assert got.columns == odd.columns
         kept = got.collect()
         assert len(kept) == len(want) and {tuple(r) for r in kept} == want
+
+
+def test_repeated_items_are_collected_once(spark, monkeypatch):
+    docs, items, raw, own = fixture(spark)
+    sizes = []
+
+    init = D.Automaton.__init__
+
+    def counting(self, named, window):
+        sizes.append(len(named))
+        init(self, named, window)
+
+    def result(rows):
+        sizes.clear()
+        got = D.matches(docs, spark.createDataFrame(rows, items.schema), block_words=150).collect()
+        return sorted((r["doc_id"], r["n_words"], repr(r["hits"]), r["items"]) for r in got), list(sizes)
+
+    monkeypatch.setattr(D.Automaton, "__init__", counting)
+    once = result(own)
+    assert len(once[1]) > 1 and sum(once[1]) == len({r for r in own if r[1] is not None})
+    assert result(own + own[:1] * 400) == once
