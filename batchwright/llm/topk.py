@@ -14,7 +14,8 @@ tie there.
 Rows whose vector is null, or holds null, NaN or infinite components, take no
 part, nor do rows without an id.  A vector is compared only with vectors of
 its own length; empty vectors take no part.  Rows that repeat a vec_id: as
-candidates each counts; as queries the smallest vector stands for all.
+candidates each counts; as queries the smallest of those vectors that take part
+stands for all.
 """
 
 from __future__ import annotations
@@ -115,7 +116,10 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     """(query_id, rank, vec_id, score): for each query the k best rows with another id."""
     spark = candidates.sparkSession
     rows = candidates.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding"))
-    asked = queries.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("vec_id")) \
+    # as in vectors(): not empty, and all components finite
+    takes_part = (F.size(vec_col) > 0) & F.forall(
+        vec_col, lambda x: F.abs(x.cast("double") * 256) < F.lit(float("inf")))
+    asked = queries.where(F.col(id_col).isNotNull() & takes_part).groupBy(F.col(id_col).alias("vec_id")) \
         .agg(F.min(vec_col).alias("embedding"))
     n = max(1, math.ceil(queries.count() / block_queries))
     lists = None

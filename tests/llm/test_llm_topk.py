@@ -66,3 +66,18 @@ def test_query_equals_its_sql(spark):
     con.execute(f"create view embeddings as select * from '{SMALL}/embeddings.parquet'")
     want = con.execute(K.ORACLES["op9_exact_topk"]).fetchall()
     assert sorted(tuple(r) for r in K.op9_exact_topk(spark, SMALL).collect()) == sorted(want) and want
+
+
+def test_a_repeated_query_id_goes_by_its_valid_vectors(spark):
+    inf, nan = float("inf"), float("nan")
+    odd = [(1, []), (1, [None, 1.0]), (1, [-inf, 0.0]), (1, [nan, nan]), (1, None)]
+    valid = [(1, [1.0, 0.5]), (1, [2.0, 0.0])]
+    rest = [(2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [])]
+
+    def found(rows):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        return sorted(tuple(r) for r in K.search(df, df.where("vec_id = 1")).collect())
+
+    want = found(valid + rest)
+    assert [r[2] for r in want] == [2, 3]
+    assert found(odd + valid + rest) == want
