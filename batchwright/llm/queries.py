@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from batchwright.llm import bpe, chat, dac, decontaminate, jaccard, langid, quality, secrets, topk, toxicity
+from batchwright.llm import bpe, chat, dac, decontaminate, importance, jaccard, langid, quality, secrets, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op12_importance": importance.op12_importance,
 }
 
-ORACLES = {**chat.ORACLES, **decontaminate.ORACLES, **jaccard.ORACLES, **topk.ORACLES}
+ORACLES = {**chat.ORACLES, **decontaminate.ORACLES, **importance.ORACLES, **jaccard.ORACLES, **topk.ORACLES}
