@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from batchwright.llm import bpe, chat, dac, decontaminate, importance, jaccard, langid, quality, secrets, topk, toxicity
+from batchwright.llm import (
+    bpe, chat, dac, decontaminate, importance, jaccard, langid, lexical, quality, secrets, topk, toxicity)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +17,8 @@ QUERIES = {
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_secret_scan": secrets.op10_secret_scan,
     "op12_importance": importance.op12_importance,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 
-ORACLES = {**chat.ORACLES, **decontaminate.ORACLES, **importance.ORACLES, **jaccard.ORACLES, **topk.ORACLES}
+ORACLES = {**chat.ORACLES, **decontaminate.ORACLES, **importance.ORACLES, **jaccard.ORACLES,
+           **lexical.ORACLES, **topk.ORACLES}
