@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from batchwright.llm import (
-    bpe, chat, dac, decontaminate, importance, jaccard, langid, lexical, quality, secrets, topk, toxicity)
+    bpe, chat, dac, decontaminate, importance, jaccard, langid, lexical, pii, quality, secrets, topk, toxicity)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_exact_topk": topk.op9_exact_topk,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_pii": pii.op11_pii,
     "op12_importance": importance.op12_importance,
     "op13_lexical_search": lexical.op13_lexical_search,
 }
