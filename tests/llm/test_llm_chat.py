@@ -40,7 +40,7 @@ def joined(rows):
         if conv is None:
             out += [(conv, speaker, r["text"], [(s["start"], s["end"]) for s in r["spans"]]) for r in own]
             continue
-        own.sort(key=lambda r: (r["part_turn"] is not None, r["part_turn"], r["part_slice"]))
+        own.sort(key=lambda r: (r["part"], r["part_slice"]))
         text, spans = "", []
         for r in own:
             spans += [(s["start"] + len(text), s["end"] + len(text)) for s in r["spans"]]
@@ -50,7 +50,7 @@ def joined(rows):
 
 
 def check(spark, rows, **options):
-    got = C.rotate(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as speaker", "1 as part_turn", "2 as t"), **options)
+    got = C.rotate(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as speaker", "1 as part", "2 as t"), **options)
     want = sorted(((conv, speaker, *v) for (conv, _, speaker), v in brute(rows).items()), key=repr)
     assert joined(got.collect()) == want
     return got
@@ -72,9 +72,30 @@ def test_odd_rows(spark):
 
 def test_large_conversations_in_parts(spark):
     rows = [(9, i, ("ann", "bob", "cy")[i % 3], f"turn {i}") for i in range(50)] + ODD + [(8, 0, "ann", f"only {i % 3}") for i in range(30)]
-    got = check(spark, rows, turns_range=8, limit=10)
+    got = check(spark, rows, limit=10)
     assert max(r["n_turns"] for r in got.collect()) <= 10
-    assert got.where("conv_id = 9").select("part_turn").distinct().count() == 7
+    assert got.where("conv_id = 9").select("part").distinct().count() == 5
+
+
+@pytest.mark.parametrize("turns", [(255, 256), (None, 1), (1718000000, 1718000060, 1718009999), tuple(range(300)), (-5, 0, 1 << 60)])
+def test_a_dialogue_below_the_limit_is_one_row_per_speaker(spark, turns):
+    rows = [(1, t, ("ann", "bob")[i % 2], f"text {i}") for i, t in enumerate(turns)]
+    got = check(spark, rows).collect()
+    assert [(r["part"], r["part_slice"], r["n_turns"]) for r in got] == [(0, 0, len(turns))] * 2
+
+
+def test_parts_hold_bounded_rows_and_give_the_whole_in_order(spark):
+    """Turns of one to four rows and one of twenty, sparse numbers: every part but
+    the slices of the crowded turn holds less than the limit and one turn's rows."""
+    rows = [(7, 1000 * i, f"s{j}", f"text {i} {j}") for i in range(40) for j in range(1 + i % 4)]
+    check(spark, rows, limit=9)
+    got = C.rotate(spark.createDataFrame(rows + [(7, 19500, "s0", f"crowd {k}") for k in range(20)], SCHEMA), limit=9).collect()
+    assert max(r["n_turns"] for r in got) < 9 + 4
+    parts = sorted((r["part"], r["part_slice"], r["text"]) for r in got if r["speaker"] == "s0")
+    said = re.findall(r"text (\d+) \d", "".join(t for *_, t in parts))
+    assert [int(x) for x in said] == sorted(int(x) for x in said) and len(said) == len(rows)
+    crowd = {p for p, _, t in parts if "crowd" in t}
+    assert len(crowd) == 1 and all("text" not in t for p, _, t in parts if p in crowd)
 
 
 def test_one_turn_number_with_many_rows(spark):
