@@ -104,12 +104,16 @@ def share(cols: list[str], seed: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, seed: int) -> DataFrame:
     """About ``bound`` labelled texts, or all if there are fewer: (doc_id, text, label).
 
-    A row is taken when a hash of its id falls below bound / count, so the
-    sample is the same however the rows are partitioned.  Its ids are at most
-    a little more than ``bound``, which makes broadcasting them safe.
+    An id is taken when a hash of it falls below bound / count, so the sample is
+    the same however the rows are partitioned.  Its ids are at most a little more
+    than ``bound``, which makes broadcasting them safe.  An id with several
+    labels has the largest.  Rows that repeat id and text count once; ids may
+    still stand on many texts, so rows are then taken by a hash of id and text,
+    about 2 * ``bound`` of them at most.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()) \
-        .select("doc_id", F.col(label).cast("int").alias("label"))
+        .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     n = usable.count()
-    ids = usable.where(share(["doc_id"], seed) < F.lit(min(1.0, bound / max(1, n)))).dropDuplicates(["doc_id"])
-    return texts(docs).join(F.broadcast(ids), "doc_id")
+    ids = usable.where(share(["doc_id"], seed) < F.lit(min(1.0, bound / max(1, n))))
+    rows = stored(texts(docs).join(F.broadcast(ids), "doc_id").dropDuplicates(), "labelled")
+    return rows.where(share(["doc_id", "text"], seed + 1) < F.lit(min(1.0, 2 * bound / max(1, rows.count()))))

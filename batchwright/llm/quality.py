@@ -42,6 +42,7 @@ A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint6
 
 
 def token_class(token: str) -> int:
+    """Fixed classes for kinds of words; a run of symbols goes by a hash of its first four."""
     if not (token[0].isalnum() or token[0] == "_"):
         return 16 + xxhash.xxh32_intdigest(token[:4].encode("utf-8", "surrogatepass")) % 1000
     if token.isdigit():

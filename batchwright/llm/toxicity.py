@@ -5,17 +5,23 @@ and word beginnings that are far likelier in toxic than in other training
 texts, are counted over the training texts; a token of a toxic text with a
 cue is labelled toxic, all other tokens are not.  The field has two states,
 the cues as features, and transitions; its weights are fitted to those labels
-by gradient steps on windows around cues and at the beginnings of texts.
+by gradient steps on windows around cues and at the beginnings of texts.  A text
+with more than ``PLACES`` words with cues gives the windows of that many of
+them, taken by a hash of their places, so from all of its length.
 
 Scoring runs forward-backward over whole texts.  Tokens without a cue share
 one transfer matrix, so a gap of k of them is that matrix to the k-th power:
 the chain's cost is that of its cues, and marginals stay exact.  The expected
 number of toxic tokens and the largest marginal give the document's score,
 through a logistic function fitted to the training labels.  Tokens whose
-marginal reaches ``span_at`` are the offending spans, as code-point offsets.
+marginal reaches ``span_at`` are the offending spans, as code-point offsets:
+words with cues, and words between two of those that are at most ``BETWEEN``
+apart, whose marginals are computed as well.  The expectation counts words with
+cues.
 
 Training takes about ``BOUND`` labelled texts (all, where there are fewer),
-chosen by a hash of the id; exact copies count once.
+chosen by a hash of the id; exact copies count once, and an id with several
+labels has the largest.
 
 Null and empty texts have no cue, and score as a text without any.  With no
 toxic training text every score is 0.  Every input row gives one output row.
@@ -31,13 +37,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchwright.llm.common import id_fold, labelled_sample, map_batches, stored, strings, table, texts
 
 BOUND = 12_000          # labelled training texts, about
-MAX_CUES = 4096
+MAX_CUES = 4096         # size of the model
+PLACES = 8              # windows around cues of one training text, at most
+BETWEEN = 8             # words from one offending cue to the next that a span may cover
 MIN_TOXIC = 4           # toxic training texts that hold a cue, at least
 MIN_ODDS = 8.0          # how much likelier a cue is in toxic texts, at least
 BEGINNINGS = (4, 5, 6)  # letters of word beginnings
@@ -180,6 +189,18 @@ class Scorer:
         p = self.marginals(len(words), at, evidence)
         return sum(p), max(p), list(zip(at, p))
 
+    def covered(self, text: str, cues: list[tuple[int, float]], span_at: float) -> list[tuple[int, float]]:
+        """Places and marginals of the offending words with cues and of the words between near ones."""
+        hot = [(i, p) for i, p in cues if p >= span_at]
+        extra = [j for (a, _), (b, _) in zip(hot, hot[1:]) if b - a <= BETWEEN for j in range(a + 1, b)]
+        if not extra:
+            return hot
+        words = words_of(text)
+        at, evidence = self.active(words)
+        both = dict.fromkeys(extra, 0.0) | dict(zip(at, evidence))
+        places = sorted(both)
+        return [(i, p) for i, p in zip(places, self.marginals(len(words), places, [both[i] for i in places])) if p >= span_at]
+
     def score(self, expected: float, top: float) -> float:
         if self.f.score is None:
             return 0.0
@@ -226,8 +247,8 @@ def windows(sample: DataFrame, cues: list[str]) -> list[tuple[list[int], list[li
                 words = words_of(t)
                 own = [[number[c] for c in cue_names(w) if c in number] for w in words]
                 hits = [i for i, x in enumerate(own) if x]
-                taken = [0, *hits[:8]] if words else []
-                for i in taken:
+                taken = [0, *sorted(sorted(hits, key=lambda i: xxhash.xxh32_intdigest(i.to_bytes(8, "little")))[:PLACES])]
+                for i in taken if words else ():
                     lo, hi = max(0, i - REACH), min(len(words), i + REACH + 1)
                     out.append(([int(label == 1 and bool(x)) for x in own[lo:hi]], own[lo:hi]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.list_(pa.int8())),
@@ -348,7 +369,7 @@ def score(df: DataFrame, model: Field, span_at: float = SPAN_AT, id_col: str = "
             for t in strings(b):
                 expected, top, cues = s.read(t)
                 scores.append(s.score(expected, top))
-                spans.append(spans_of(t, cues, span_at))
+                spans.append(spans_of(t, s.covered(t, cues, span_at), span_at))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, kind)],
                                              ["doc_id", "score", "spans"])
 

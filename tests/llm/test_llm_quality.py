@@ -26,6 +26,32 @@ def test_ftrl_separates_and_l1_leaves_zeros():
     assert m.weights[0] > 0.5 > -0.5 > m.weights[1] and not m.weights[30:].any()
 
 
+def test_ftrl_equals_a_loop_over_coordinates():
+    """The update written out for one coordinate at a time, in plain numbers."""
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4), int(rng.random() < 0.5)) for _ in range(60)]
+    alpha, beta, l1, l2, dim = 0.5, 1.0, 0.02, 0.1, 12
+    z, n = [0.0] * (dim + 1), [0.0] * (dim + 1)
+
+    def weight(i):
+        if i == dim:
+            return -z[i] * alpha / (beta + math.sqrt(n[i]))
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for at, value, label in rows:
+            x = {**dict(zip(at.tolist(), value.tolist())), dim: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    m = Q.ftrl(rows, dim=dim, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(m.weights, [weight(i) for i in range(dim)], atol=1e-12) and math.isclose(m.bias, weight(dim), rel_tol=1e-9)
+
+
 def test_held_out_accuracy(spark):
     rows = Q.op8_quality(spark, MEDIUM)
     labels = spark.read.parquet(f"{MEDIUM}/labels.parquet").select("doc_id", "quality")

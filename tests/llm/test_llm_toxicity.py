@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from batchwright.llm import toxicity as X
+from batchwright.llm.common import labelled_sample
 from llm_fixtures import no_docs, odd_docs  # noqa: F401
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -91,3 +92,43 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = X.fit(train, labels.where("toxic = 0"))
     assert {r["score"] for r in X.score(odd_docs, none).collect()} == {0.0}
     assert {r["score"] for r in X.score(odd_docs, X.fit(train, labels.where("false"))).collect()} == {0.0}
+
+
+def test_sample_is_bounded_and_free_of_order(spark):
+    """One id on many texts, labels that contradict each other, any order and partitions."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(7, f"copy {i}") for i in range(3000)] + [(7, "text 7")] * 50,
+                                 "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(300)] + [(7, 1), (8, 1), (8, 0)], "doc_id bigint, toxic int")
+    want = None
+    for d, lab in ((docs, labels), (docs.repartition(7), labels.orderBy(F.desc("toxic"))), (docs.orderBy(F.desc("text")), labels.repartition(3))):
+        got = sorted(map(tuple, labelled_sample(d, lab, "toxic", 100, 1).collect()))
+        assert got == (want or got) and len(got) < 300
+        want = got
+    whole = {(i, y) for i, _, y in map(tuple, labelled_sample(docs, labels, "toxic", 10_000, 1).collect())}
+    assert len(whole) == 300 and {(7, 1), (8, 1)} <= whole and {y for i, y in whole if i not in (7, 8)} == {0}
+
+
+def test_windows_come_from_the_whole_text(spark):
+    words = ["calm"] * 2000
+    for i in range(0, 2000, 20):
+        words[i] = "vile"
+    sample = spark.createDataFrame([(1, " ".join(words))], "label int, text string")
+    rows = X.windows(sample, ["vile"])
+    assert len(rows) == X.PLACES + 1
+    # a cue of the second half alone is seen too
+    late = spark.createDataFrame([(1, " ".join(["vile"] * 500 + ["worse"] * 500))], "label int, text string")
+    assert any(1 in own for _, cues in X.windows(late, ["vile", "worse"]) for own in cues)
+
+
+def test_spans_cover_words_between_offending_cues():
+    f = X.Field({"vile": 6.0, "mean": 6.0}, -1.0, np.zeros(2), np.array([[2.0, -2.0], [-2.0, 2.0]]), (0.0, 0.0, 0.0))
+    s = X.Scorer(f)
+    text = "you vile and mean one. " + "calm words here " * 10 + "vile"
+    cues = s.read(text)[2]
+    got = s.covered(text, cues, 0.5)
+    n = len(X.words_of(text))
+    at, evidence = s.active(X.words_of(text))
+    exact = brute_marginals(f, [6.0 if w in (b"vile", b"mean") else None for w in X.words_of(text)[:6]])
+    assert [text[x["start"]:x["end"]] for x in X.spans_of(text, got, 0.5)] == ["vile", "and", "mean", "vile"]
+    assert abs(dict(got)[2] - s.marginals(n, sorted({*at, 2}), [0.0 if i == 2 else 6.0 for i in sorted({*at, 2})])[1]) < 1e-12
+    assert exact[2] > 0.5
