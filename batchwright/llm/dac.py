@@ -17,8 +17,8 @@ its documents to one or more files in that order.  Files get unique names, and
 the manifest, written last, lists those of the attempts that succeeded; so a
 lost executor costs repeated work and perhaps a file that nobody reads.
 
-Null text counts as empty.  Rows that repeat a document id are all kept, next
-to each other.  An empty table gives an empty manifest and no rows.
+Ids are integers.  Null text counts as empty.  Rows that repeat a document id
+are all kept, next to each other, in the order of a hash of the text.  An empty table gives an empty manifest and no rows.
 """
 
 from __future__ import annotations
@@ -44,7 +44,9 @@ END_ID = 1
 MAX_IDS = 1 << 24   # ids after which a task starts another file
 SLICE = 1 << 20     # ids that a reader holds at once, unless one document has more
 BLOCK = 512
-MEMO = 1 << 20      # stretches whose ids a worker remembers
+MEMO = 48 << 20     # bytes that a worker uses to remember the ids of stretches, about
+MEMO_BYTES = 64     # of a stretch that is remembered
+ENTRY = 180         # bytes of an entry besides its stretch and ids, about
 MAGIC = b"DAC1"
 
 
@@ -170,6 +172,7 @@ class Memo(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
         # the library looks for these in the text as it stands, before it lowers letters
+        self.room = MEMO
         self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
@@ -181,9 +184,12 @@ class Memo(dict):
             out = self[part[:-1]] + self[part[-1:]]
         else:
             out = self.encode(part.decode()) if part else b""
-        if len(self) >= MEMO:
-            self.clear()
-        self[part] = out
+        if len(part) <= MEMO_BYTES:
+            self.room -= ENTRY + len(part) + len(out)
+            if self.room < 0:
+                self.clear()
+                self.room = MEMO
+            self[part] = out
         return out
 
 
@@ -246,7 +252,8 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID, b
     store, root = store_of(folder)
     store.create_dir(root, recursive=True)
     src = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    src = src.repartitionByRange(F.asc_nulls_first("doc_id")) \
+    # by id and then hash, so that texts that share an id spread over tasks
+    src = src.repartitionByRange(F.asc_nulls_first("doc_id"), F.xxhash64("text")) \
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     files = stored(map_batches(src, run, "part bigint, seq bigint, path string, n_docs bigint, n_ids bigint"),
                    "dac-manifest")

@@ -20,12 +20,6 @@ with open(PATH, encoding="utf-8") as file:
     VOCABULARY = file.read()
 
 
-def whole_texts():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
-
-
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 2 ** 32 - 1) | st.integers(0, 70_000) | st.integers(0, 255), max_size=1500),
        st.data())
@@ -54,7 +48,7 @@ def test_stretches_between_spaces_encode_as_the_whole(text):
         assert np.frombuffer(X.id_bytes("t", VOCABULARY, text, by_spaces), "<u4").tolist() == want
 
 
-TOKENIZER = whole_texts()
+TOKENIZER = Tokenizer.from_file(PATH)
 
 
 def expected(rows):
