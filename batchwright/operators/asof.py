@@ -11,8 +11,7 @@ left row with ``last_value(ignore nulls)``: one shuffle of each input, rows are
 never multiplied and no join follows.  Keys of more than ``max_rows`` rows are
 first cut into slots (``sequence.slotted``): there, the last right value of all
 *earlier* slots enters a slot as one synthetic row, computed from one partial
-aggregation over the rows of such keys alone.  Left rows of one instant need no
-order among them, so even those are spread over slots by a hash.
+aggregation over the rows of such keys alone.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@
 * ``running_peak``: the maximum of a running sum of +1/-1 deltas, E6.
 
 A key of at most ``max_rows`` rows is handled by one plain window: one shuffle
-and one sort.  Only keys above that are cut into slots (``slotted``), and only
+and one sort.  Only keys above that are cut into slots (``slotted``), whatever
+the types of the order columns and however many rows share an instant, and only
 their slots have a summary, from which the value carried over from earlier
 slots is computed and enters the window as one synthetic row per slot.  NULL
 keys are keys like any other: nothing is matched by ``=``.
@@ -18,97 +19,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from batchwright.session import scratch_path
 
-# A key, or a slot of a key, with more rows than this is cut.
+# A key with more rows than this is cut.
 MAX_ROWS = 2_000_000
-# Keys (or slots) cut at one level, at most: the largest ones.  This bounds the
-# broadcast of their limits at any input size; results don't depend on it.
-MAX_CUT = 100_000
 _OVERSPLIT = 4
 
 
-def _micros(ts: Column) -> Column:
-    """Microseconds since 1970-01-01 of the wall-clock time: computed on
-    TIMESTAMP_NTZ, so no session time zone takes part."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                            ts.cast("timestamp_ntz"))
-
-
-def _number(df: DataFrame, col: str) -> Column | None:
-    """A number that orders as the column does, or None."""
-    kind = df.schema[col].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return _micros(F.col(col))
-    return F.col(col).cast("long") if isinstance(kind, T.IntegralType) else None
-
-
-def _above(rows: DataFrame, by: Sequence[str], value: str, max_rows: int) -> DataFrame | None:
-    """Limits of the groups of more than ``max_rows`` rows: (by, _lo, _w), None without any.
-
-    One partial aggregation over key and order columns.  The groups found, at
-    most ``MAX_CUT``, are written once, so the plan that uses them reads a
-    small table instead of counting again.
-    """
-    spark = rows.sparkSession
-    found = (rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-             .where((F.col("_n") > max_rows) & (F.col("_hi") > F.col("_lo")))
-             .orderBy(F.desc("_n")).limit(MAX_CUT)
-             .select(*by, "_lo", F.ceil((F.col("_hi") - F.col("_lo") + 1)
-                                        / (F.ceil(F.col("_n") / max_rows) * _OVERSPLIT)).alias("_w")))
-    path = scratch_path(spark, "slots")
-    found.coalesce(1).write.parquet(path)
-    out = spark.read.schema(found.schema).parquet(path)
-    return None if out.isEmpty() else out
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slotted(frames: Sequence[DataFrame], keys: Sequence[str], order: Sequence[str],
             max_rows: int = MAX_ROWS) -> tuple[list[DataFrame], bool]:
-    """Adds ``_b`` to every frame: a struct that grows with ``order`` inside a
+    """Adds ``_b`` to every frame: a number that grows with ``order`` inside a
     key, NULL for keys that are not cut; and tells whether any key is.
 
-    The first level cuts a key's span of ``order[0]`` into equal slots, the
-    second cuts slots that are still too large by their own span, and further
-    levels cut those by the other columns of ``order`` (numbers or times;
-    others cannot be cut).  All frames must have the keys and the order columns.
+    Only the rows of keys above the bound move: they are range-partitioned by
+    key, the order columns (of any type that sorts, NULLs first) and their place
+    in the input, and written with the number of their partition, which is the
+    slot.  So a key is cut wherever its rows lie: at one instant, without times,
+    over any span.  Ranges come from a sample of the rows, so a slot holds about
+    ``max_rows`` / 4 rows.  All frames must have the keys and the order columns.
+
+    Keys above the bound are at most as many as rows / ``max_rows``, so their
+    table is small at any size and is broadcast.
     """
-    keys = list(keys)
-    levels = [order[0], *order]
-    done: list[str] = []
-    none = F.lit(None).cast("long")
-    for i, col in enumerate(levels):
-        name = f"_s{i}"
-        values = [_number(f, col) for f in frames]
-        big = None
-        if all(v is not None for v in values) and (not i or done):
-            narrow = [f.select(*keys, *done, v.alias("_v"), *(["_cut"] if done else []))
-                      for f, v in zip(frames, values)]
-            rows = narrow[0]
-            for f in narrow[1:]:
-                rows = rows.unionByName(f)
-            big = _above(rows.where("_cut") if done else rows, [*keys, *done], "_v", max_rows)
-        if big is None:
-            if not i:
-                return [f.withColumn("_b", F.lit(None).cast("struct<_s0:bigint>")) for f in frames], False
-            continue
-        by = [*keys, *done]
-        limits = F.broadcast(big.select(*[F.col(c).alias(f"_k{j}") for j, c in enumerate(by)], "_lo", "_w"))
-        for n, (f, v) in enumerate(zip(frames, values)):
-            same = F.lit(True)
-            for j, c in enumerate(by):
-                same = same & F.col(c).eqNullSafe(F.col(f"_k{j}"))
-            off = v - F.col("_lo")
-            f = f.join(limits, same, "left").withColumn(name, F.when(
-                F.col("_lo").isNotNull(), F.col("_lo") + off - F.pmod(off, F.col("_w"))).otherwise(none))
-            if not done:
-                f = f.withColumn("_cut", F.col("_lo").isNotNull())
-            frames = [*frames[:n], f.drop("_lo", "_w", *[f"_k{j}" for j in range(len(by))]), *frames[n + 1:]]
-        done.append(name)
-    return [f.withColumn("_b", F.when(F.col("_cut"), F.struct(*done))).drop("_cut", *done) for f in frames], True
+    keys, order = list(keys), list(order)
+    rows = frames[0].select(*keys)
+    for f in frames[1:]:
+        rows = rows.unionByName(f.select(*keys))
+    large = _written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows).coalesce(1), "large")
+    total = large.agg(F.sum("_n")).first()[0]
+    if not total:
+        return [f.withColumn("_b", F.lit(None).cast("int")) for f in frames], False
+    names = F.broadcast(large.select(*[F.col(c).alias(f"_k{j}") for j, c in enumerate(keys)]))
+    same = F.lit(True)
+    for j, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{j}"))
+    moved = None
+    for i, f in enumerate(frames):
+        one = f.join(names, same, "left_semi").select(
+            *keys, *order, F.lit(i).alias("_frame"), F.struct(*f.columns).alias(f"_row{i}"))
+        moved = one if moved is None else moved.unionByName(one, allowMissingColumns=True)
+    parts = -(-total // max_rows) * _OVERSPLIT
+    slots = _written(moved.withColumn("_place", F.monotonically_increasing_id())
+                     .repartitionByRange(parts, *keys, *order, "_place")
+                     .withColumn("_b", F.spark_partition_id()), "slots")
+    return [f.join(names, same, "left_anti").withColumn("_b", F.lit(None).cast("int")).unionByName(
+        slots.where(F.col("_frame") == i).select(f"_row{i}.*", "_b")) for i, f in enumerate(frames)], True
 
 
 def _with_carry(b: DataFrame, carry: DataFrame, value: str) -> DataFrame:

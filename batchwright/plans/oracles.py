@@ -463,6 +463,29 @@ _LEGAL = """(prev_state, state) IN (
   ('failed', 'submitting'))"""
 
 
+# One event after another: a rejected one leaves the state as it was.
+_REPLAY = "WITH RECURSIVE " + INSTANCE_EVENTS.strip() + """,
+numbered AS (
+  SELECT event_id, instance_id, state, row_number() OVER (PARTITION BY instance_id ORDER BY ts, event_id) AS n
+  FROM instance_events),
+edges(a, b) AS (VALUES
+  ('start', 'pending'), ('pending', 'waiting_dependency'), ('pending', 'submitting'),
+  ('waiting_dependency', 'submitting'), ('waiting_dependency', 'killed'),
+  ('submitting', 'submit_failed'), ('submitting', 'running'), ('running', 'succeeded'),
+  ('running', 'failed'), ('running', 'killed'), ('submit_failed', 'submitting'),
+  ('failed', 'submitting')),
+walk AS (
+  SELECT event_id, instance_id, state, n, 'start' AS from_state, coalesce(state = 'pending', false) AS legal,
+    CASE WHEN state = 'pending' THEN 'pending' ELSE 'start' END AS true_state
+  FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT x.event_id, x.instance_id, x.state, x.n, w.true_state,
+    EXISTS (SELECT 1 FROM edges e WHERE e.a = w.true_state AND e.b = x.state),
+    CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.a = w.true_state AND e.b = x.state) THEN x.state ELSE w.true_state END
+  FROM walk w JOIN numbered x ON x.instance_id = w.instance_id AND x.n = w.n + 1)
+"""
+
+
 ORACLES.update({
     "transition_audit": with_(INSTANCE_EVENTS) + """
 SELECT prev_state, state, """ + _LEGAL + """ AS legal, count(*) AS n
@@ -474,6 +497,14 @@ GROUP BY 1, 2, 3""",
 SELECT instance_id, arg_max(state, (ts, event_id)) AS current_state, count(*) AS n_events
 FROM instance_events GROUP BY instance_id""",
 
+    "state_replay": _REPLAY + """
+SELECT event_id, instance_id, from_state, state, legal, true_state FROM walk""",
+
+    "true_state": _REPLAY + """
+SELECT instance_id, arg_max(true_state, n) AS true_state, count(*) AS n_events,
+  count(CASE WHEN NOT legal THEN 1 END) AS n_rejected
+FROM walk GROUP BY instance_id""",
+
     "published_pointer": with_(HISTORY, """
 steps AS (
   SELECT * FROM history

@@ -335,6 +335,7 @@ def q_month_archive(spark, sf_dir):
 # ---------------------------------------------------------------- task metadata audits
 from batchwright.operators import lifecycle as LC  # noqa: E402
 from batchwright.operators.dedup import current_state, dedupe_triggers, first_result  # noqa: E402
+from batchwright.operators.replay import replay, true_states  # noqa: E402
 
 
 def _ievents(spark, sf_dir):
@@ -355,6 +356,18 @@ def q_current_state(spark, sf_dir):
     return current_state(_ievents(spark, sf_dir))
 
 
+@register("state_replay")
+def q_state_replay(spark, sf_dir):
+    """Every event's verdict against the instance's true state."""
+    return replay(_ievents(spark, sf_dir), LC.LEGAL_EDGES).select(
+        "event_id", "instance_id", "from_state", "state", "legal", "true_state")
+
+
+@register("true_state")
+def q_true_state(spark, sf_dir):
+    return true_states(replay(_ievents(spark, sf_dir), LC.LEGAL_EDGES))
+
+
 @register("published_pointer")
 def q_published_pointer(spark, sf_dir):
     orders = load(spark, sf_dir, "orders")

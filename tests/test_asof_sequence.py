@@ -2,9 +2,12 @@
 with a hot key, NULL keys and NULL times, and for any bound on rows per slot."""
 
 import datetime as dt
+import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from batchwright.operators.asof import as_of_join
 from batchwright.operators.sequence import MAX_ROWS, forward_fill, previous_value, running_peak, slotted
@@ -93,18 +96,77 @@ def test_as_of_null_times_never_match(spark):
                    4: (None, None)}
 
 
-def test_large_keys_are_cut_into_ordered_slots(spark):
-    # an outlier far from the rest, a crowd at one instant, and a small key
-    rows = [("hot", BASE + dt.timedelta(minutes=7 * i), i) for i in range(100)] + [("hot", dt.datetime(1970, 1, 1), -1)]
-    rows += [("hot", BASE + dt.timedelta(days=2), 1000 + i) for i in range(60)] + [("cold", BASE, 5), ("cold", None, 6)]
+CROWDS = {
+    "one instant, numeric tie": [(BASE, i) for i in range(3000)],
+    "no times at all": [(None, i) for i in range(3000)],
+    "two instants, ties of 64 bits": [(BASE + dt.timedelta(days=i % 2), (-1) ** i * (2 ** 63 - 1 - i)) for i in range(3000)],
+    "an outlier far from the rest": [(dt.datetime(1, 1, 1), -1)] + [(BASE + dt.timedelta(minutes=i), i) for i in range(2000)],
+}
+
+
+@pytest.mark.parametrize("name", CROWDS)
+@pytest.mark.parametrize("struct", [False, True])
+def test_large_keys_are_cut_wherever_their_rows_lie(spark, name, struct):
+    rows = [("hot", t, i) for t, i in CROWDS[name]] + [("cold", BASE, 5), ("cold", None, 6), (None, BASE, 7)]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, id long")
-    [b], cut = slotted([df], ["k"], ["t", "id"], max_rows=10)
-    got = sorted((r["t"], r["id"], tuple(-2**63 if x is None else x for x in r["_b"])) for r in b.filter("k = 'hot'").collect())
+    if struct:  # a tie of two fields, as in the history of publishes
+        df = df.withColumn("id", F.struct(F.lit(0).alias("rank"), F.col("id")))
+    [b], cut = slotted([df], ["k"], ["t", "id"], max_rows=100)
+    got = sorted(((at(r["t"]), tuple(r["id"]) if struct else r["id"], r["_b"]) for r in b.where("k = 'hot'").collect()))
     slots = [x[2] for x in got]
-    assert cut and len(got) == 161 and slots == sorted(slots)
-    assert max(slots.count(x) for x in set(slots)) <= 13
-    assert b.filter("k = 'cold' and _b is null").count() == 2
-    assert not slotted([df], ["k"], ["t", "id"], max_rows=1000)[1]
+    assert cut and len(got) == len(CROWDS[name]) and slots == sorted(slots)
+    assert max(slots.count(x) for x in set(slots)) <= 100
+    assert b.where("_b is null").count() == 3
+    assert not slotted([df], ["k"], ["t", "id"], max_rows=10_000)[1]
+    prev = {(r["k"], r["t"], str(r["id"])): r["prev"] for r in previous_value(df, ["k"], "t", "id", "t", max_rows=100).collect()}
+    assert prev == {(r["k"], r["t"], str(r["id"])): r["prev"] for r in previous_value(df, ["k"], "t", "id", "t").collect()}
+
+
+def test_frames_share_their_slots(spark):
+    a = spark.createDataFrame([("k", i, f"a{i}") for i in range(50)], "k string, o long, x string")
+    b = spark.createDataFrame([("k", i, 2.0 * i) for i in range(25, 90)], "k string, o long, y double")
+    (a, b), cut = slotted([a, b], ["k"], ["o"], max_rows=10)
+    assert a.columns == ["k", "o", "x", "_b"] and b.columns == ["k", "o", "y", "_b"]
+    both = sorted([(r["o"], r["_b"]) for r in a.collect()] + [(r["o"], r["_b"]) for r in b.collect()])
+    assert cut and [s for _, s in both] == sorted(s for _, s in both) and len(both) == 115
+
+
+STATES = ["pending", "submitting", "running", "succeeded", "failed", "killed", "unheard of", None]
+
+
+@pytest.mark.parametrize("max_rows, fan", [(MAX_ROWS, 256), (MAX_ROWS, 2), (20, 3)])
+def test_replay_leaves_the_state_where_a_move_is_rejected(spark, max_rows, fan):
+    from batchwright.operators.lifecycle import LEGAL_EDGES
+    from batchwright.operators.replay import replay, true_states
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "a", None]), rng.choice([None, BASE + dt.timedelta(hours=rng.randrange(60))]),
+             rng.choice(STATES[:4] * 3 + STATES)) for _ in range(150)]
+    data = [(k, t, i, s) for i, (k, t, s) in enumerate(rows)]
+    df = spark.createDataFrame(data, "instance_id string, ts timestamp_ntz, event_id long, state string")
+    want, final = {}, {}
+    for k in {d[0] for d in data}:
+        now = "start"
+        for d in sorted([d for d in data if d[0] == k], key=lambda d: (at(d[1]), d[2])):
+            legal = (now, d[3]) in LEGAL_EDGES
+            want[d[2]] = (now, legal, d[3] if legal else now)
+            now = want[d[2]][2]
+        final[k] = now
+    out = replay(df, LEGAL_EDGES, max_rows=max_rows, fan=fan)
+    assert out.columns[:4] == df.columns
+    got = out.collect()
+    assert {r["event_id"]: (r["from_state"], r["legal"], r["true_state"]) for r in got} == want and len(got) == len(data)
+    assert {r["instance_id"]: r["true_state"] for r in true_states(out).collect()} == final
+
+
+def test_a_rejected_return_to_running_is_not_undone_by_the_next_event(spark):
+    """succeeded -> running is refused, so running -> killed is refused too."""
+    from batchwright.operators.lifecycle import LEGAL_EDGES
+    from batchwright.operators.replay import replay
+    states = ["pending", "submitting", "running", "succeeded", "running", "killed"]
+    df = spark.createDataFrame([("i", BASE + dt.timedelta(hours=n), n, s) for n, s in enumerate(states)],
+                               "instance_id string, ts timestamp_ntz, event_id long, state string")
+    got = [(r["legal"], r["true_state"]) for r in replay(df, LEGAL_EDGES).orderBy("event_id").collect()]
+    assert got == [(True, s) for s in states[:4]] + [(False, "succeeded")] * 2
 
 
 @SETTINGS
