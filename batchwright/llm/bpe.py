@@ -8,7 +8,8 @@ A text is split by the vocabulary's pattern; each match is encoded on its own:
    heap of adjacent pairs, by rank and then place, yields the next merge.
 
 Both results enter a memo of matches, kept by the Python worker from one task
-to the next, of at most twice ``MEMO`` entries.  It saves time only.
+to the next, of at most about twice ``MEMO`` bytes; matches longer than
+``MEMO_LETTERS`` stay out.  It saves time only.
 
 Ids are little-endian unsigned 32-bit integers in one binary column.  Null
 text counts as empty and gives no ids; every input row gives one output row.
@@ -17,6 +18,7 @@ text counts as empty and gives no ids; every input row gives one output row.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
@@ -29,7 +31,10 @@ from pyspark.sql import functions as F
 
 from batchwright.llm.common import kept, map_batches, strings, table, texts
 
-MEMO = 1 << 18
+MEMO = 12 << 20
+MEMO_LETTERS = 64
+ENTRY = 180  # bytes of an entry besides its match and ids, about
+ROWS = 128
 RANKS = "byte_bpe_50k.tiktoken"
 
 MASK = (1 << 64) - 1
@@ -148,6 +153,7 @@ class Memo(dict):
         super().__init__()
         self.vocabulary = vocabulary
         self.old: dict[str, bytes] = {}
+        self.room = MEMO
 
     def __missing__(self, match: str) -> bytes:
         out = self.old.get(match)
@@ -156,10 +162,13 @@ class Memo(dict):
             one = self.vocabulary.whole.get(piece)
             ids = self.vocabulary.merge(piece) if one is None else [one]
             out = array("I", ids).tobytes()
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[match] = out
+        if len(match) <= MEMO_LETTERS:
+            self.room -= ENTRY + len(match) + len(out)
+            if self.room < 0:
+                self.old = dict(self)
+                self.clear()
+                self.room = MEMO
+            self[match] = out
         return out
 
 
@@ -227,10 +236,23 @@ def decode(df: DataFrame, vocab: Shared) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocab: Shared) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row."""
-    return decode(encode(docs, vocab), vocab).select(
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row: encoded
+    and decoded by one worker, a few rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(vocab)
+        token = enc.memo.vocabulary.token
+        for b in batches:
+            ids = [enc.encode(t) for t in strings(b)]
+            decoded = [hashlib.sha256(bytes_of(x, token)).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
+                                             ["doc_id", "ids", "decoded_sha256"])
+
+    src = texts(docs)
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return map_batches(src, run, f"doc_id {kind}, ids binary, decoded_sha256 string", ROWS).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+        "decoded_sha256", "ids")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
