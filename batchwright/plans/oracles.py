@@ -802,3 +802,50 @@ SELECT task_id, count(*) AS n_keys,
   array_to_string(list_sort(list_distinct(list(
     CASE WHEN verdict <> 'accepted' THEN key || ': ' || verdict END))), ', ') = '' AS accepted
 FROM policy GROUP BY task_id"""
+
+
+ORACLES.update({
+    "policy_rules": """
+WITH rules AS (
+  SELECT CAST(p_size % 10 AS VARCHAR) AS t, 'allow' AS effect, 'prefix' AS match, substr(p_name, 1, 4) AS pattern FROM part WHERE p_size % 3 <> 0
+  UNION SELECT CAST(p_size % 10 AS VARCHAR), 'allow', 'key', p_name FROM part WHERE p_size % 3 = 0
+  UNION SELECT CAST(p_size % 10 AS VARCHAR), 'deny', 'prefix', split_part(p_name, ' ', 1) || ' ' FROM part WHERE p_size % 7 = 0
+  UNION SELECT CAST(p_size % 10 AS VARCHAR), 'deny', 'key', p_name FROM part WHERE p_size % 11 = 0),
+conf AS (SELECT p_partkey, CAST(p_partkey % 10 AS VARCHAR) AS tenant_id, p_name AS key FROM part),
+hits AS (
+  SELECT c.p_partkey, r.effect FROM conf c JOIN rules r ON r.t = c.tenant_id
+    AND CASE r.match WHEN 'key' THEN r.pattern = c.key ELSE starts_with(c.key, r.pattern) END)
+SELECT p_partkey, tenant_id, key,
+  CASE WHEN EXISTS (SELECT 1 FROM hits h WHERE h.p_partkey = c.p_partkey AND effect = 'deny') THEN 'blacklisted'
+       WHEN EXISTS (SELECT 1 FROM hits h WHERE h.p_partkey = c.p_partkey) THEN 'accepted' ELSE 'not in whitelist' END AS verdict
+FROM conf c""",
+
+    "catalog_match": with_(SCRIPTS, r"""
+names AS (
+  SELECT script_id, "at", unnest(list_distinct(regexp_extract_all(text, '\$\{[A-Za-z_][A-Za-z0-9_.\-]*\}'))) AS placeholder
+  FROM scripts)""") + r"""
+SELECT script_id, "at", placeholder,
+  CASE WHEN placeholder IN ('${dt}', '${date}', '${month}', '${hr}') THEN substr(placeholder, 3, length(placeholder) - 3)
+       WHEN regexp_full_match(placeholder, '\$\{dt-([1-9][0-9]*|0)\}') THEN 'dt-N'
+       WHEN regexp_full_match(placeholder, '\$\{date-([1-9][0-9]*|0)\}') THEN 'date-N'
+       WHEN starts_with(placeholder, '${unknown_') THEN 'unknown-' || substr(placeholder, 11, length(placeholder) - 11)
+       WHEN regexp_full_match(placeholder, '\$\{prj\.p[0-9]\}') THEN 'project'
+       WHEN regexp_full_match(placeholder, '\$\{(dt|date)-0[0-9]+\}') THEN 'bad offset' END AS variable
+FROM names""",
+
+    "running_between": with_(RUNS) + """
+SELECT r.event_id, o.o_orderkey AS range_id, r.tenant_id
+FROM runs r JOIN orders o ON r.tenant_id = CAST(o.o_custkey % 10 AS VARCHAR)
+  AND r.started_at < o.o_orderdate + INTERVAL 26 YEAR + INTERVAL 30 MINUTE
+  AND coalesce(r.ended_at, TIMESTAMP '2024-02-01 00:00:00') >= o.o_orderdate + INTERVAL 26 YEAR
+  AND coalesce(r.ended_at, TIMESTAMP '2024-02-01 00:00:00') >= r.started_at""",
+
+    "concurrency_by_minute": with_(RUNS) + """
+SELECT tenant_id, minute, CAST(sum(d) OVER (PARTITION BY tenant_id ORDER BY minute) AS BIGINT) AS running
+FROM (
+  SELECT tenant_id, minute, sum(d) AS d FROM (
+    SELECT tenant_id, date_trunc('minute', started_at) AS minute, 1 AS d FROM runs
+    UNION ALL
+    SELECT tenant_id, date_trunc('minute', ended_at) + INTERVAL 1 MINUTE, -1 FROM runs WHERE ended_at IS NOT NULL) s
+  GROUP BY ALL HAVING sum(s.d) <> 0) x""",
+})

@@ -174,6 +174,7 @@ def q_unresolved_vars(spark, sf_dir):
 # ---------------------------------------------------------------- policy, logs
 from batchwright.functions import logs as LG  # noqa: E402
 from batchwright.operators.policy import policy_check, task_policy  # noqa: E402
+from batchwright.operators.rules import match_by_catalog, policy_by_rules  # noqa: E402
 
 
 @register("policy_check")
@@ -186,6 +187,42 @@ def q_task_policy(spark, sf_dir):
     return task_policy(S.conf_rows(load(spark, sf_dir, "part")))
 
 
+def policy_rules(part):
+    """Rules from parts, per tenant (p_size mod 10): the part's brand and container
+    as a prefix of names to allow, its whole name to deny, and deny prefixes."""
+    tenant = (F.col("p_size") % 10).cast("string").alias("tenant_id")
+    word = F.split("p_name", " ")
+    one = lambda effect, match, pattern, where: part.where(where).select(
+        tenant, F.lit(effect).alias("effect"), F.lit(match).alias("match"), pattern.alias("pattern"))
+    return (one("allow", "prefix", F.substring("p_name", 1, 4), F.col("p_size") % 3 != 0)
+            .unionByName(one("allow", "key", F.col("p_name"), F.col("p_size") % 3 == 0))
+            .unionByName(one("deny", "prefix", F.concat(F.get(word, F.lit(0)), F.lit(" ")), F.col("p_size") % 7 == 0))
+            .unionByName(one("deny", "key", F.col("p_name"), F.col("p_size") % 11 == 0)))
+
+
+@register("policy_rules")
+def q_policy_rules(spark, sf_dir):
+    """Every part's name as a key, under the rules of the tenant its key names."""
+    part = load(spark, sf_dir, "part")
+    conf = part.select("p_partkey", (F.col("p_partkey") % 10).cast("string").alias("tenant_id"), F.col("p_name").alias("key"))
+    return policy_by_rules(conf, policy_rules(part), by=["tenant_id"])
+
+
+@register("catalog_match")
+def q_catalog_match(spark, sf_dir):
+    """Placeholders of all scripts against a catalog that is a table: the fixed
+    variables first, then one pattern per event type and one per project variable."""
+    names = S.scripts(load(spark, sf_dir, "events")).select(
+        "script_id", "at", F.explode(TM.placeholders("text")).alias("placeholder"))
+    fixed = spark.createDataFrame([(i, n, p) for i, (n, p, _) in enumerate(TM.CATALOG)], "position int, variable string, pattern string")
+    kinds = load(spark, sf_dir, "events").select("event_type").distinct().select(
+        F.lit(100).alias("position"), F.concat(F.lit("unknown-"), "event_type").alias("variable"),
+        F.concat(F.lit(r"^\$\{unknown_"), "event_type", F.lit(r"\}$")).alias("pattern"))
+    other = spark.createDataFrame([(200, "project", r"^\$\{prj\.p[0-9]\}$"), (300, "bad offset", r"^\$\{(dt|date)-0[0-9]+\}$")],
+                                  "position int, variable string, pattern string")
+    return match_by_catalog(names, fixed.unionByName(kinds).unionByName(other))
+
+
 @register("log_parse")
 def q_log_parse(spark, sf_dir):
     lines = S.log_lines(load(spark, sf_dir, "events")).select("event_id", "line")
@@ -335,6 +372,7 @@ def q_month_archive(spark, sf_dir):
 # ---------------------------------------------------------------- task metadata audits
 from batchwright.operators import lifecycle as LC  # noqa: E402
 from batchwright.operators.dedup import current_state, dedupe_triggers, first_result  # noqa: E402
+from batchwright.operators.overlap import concurrency_by_minute, running_between  # noqa: E402
 from batchwright.operators.replay import replay, true_states  # noqa: E402
 
 
@@ -379,6 +417,22 @@ def q_peak_running(spark, sf_dir):
     return LC.peak_running(_runs(spark, sf_dir))
 
 
+@register("running_between")
+def q_running_between(spark, sf_dir):
+    """Runs that overlap the first half hour after an order of their tenant, 26 years later."""
+    ranges = load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("range_id"), (F.col("o_custkey") % 10).cast("string").alias("tenant_id"),
+        F.timestamp_add("YEAR", F.lit(26), F.col("o_orderdate")).cast("timestamp_ntz").alias("from_at"))
+    ranges = ranges.withColumn("to_at", F.timestamp_add("MINUTE", F.lit(30), F.col("from_at")).cast("timestamp_ntz"))
+    return running_between(_runs(spark, sf_dir), ranges, by=["tenant_id"], as_of="2024-02-01 00:00:00").select(
+        "event_id", "range_id", "tenant_id")
+
+
+@register("concurrency_by_minute")
+def q_concurrency_by_minute(spark, sf_dir):
+    return concurrency_by_minute(_runs(spark, sf_dir))
+
+
 @register("sla_breaches")
 def q_sla_breaches(spark, sf_dir):
     return (LC.sla_breaches(_runs(spark, sf_dir), 1800, "2024-02-01 00:00:00")
