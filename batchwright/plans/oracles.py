@@ -849,3 +849,33 @@ FROM (
     SELECT tenant_id, date_trunc('minute', ended_at) + INTERVAL 1 MINUTE, -1 FROM runs WHERE ended_at IS NOT NULL) s
   GROUP BY ALL HAVING sum(s.d) <> 0) x""",
 })
+
+
+# Step by step along the blockers, with the instances passed; a cycle's name is the
+# smallest instance from the first repeated one on.
+ORACLES["waiting_causes"] = """
+WITH RECURSIVE inst AS (
+  SELECT user_id % 20 AS t, CAST(ts AS DATE) AS d, bool_or(event_type = 'purchase' AND value > 45) AS ok FROM events GROUP BY 1, 2),
+tasks AS (SELECT DISTINCT t FROM inst),
+deps AS (
+  SELECT t, t - 1 AS up, 0 AS off FROM tasks WHERE t % 5 <> 0
+  UNION SELECT t, t, 1 FROM tasks WHERE t % 5 = 0
+  UNION SELECT t, t + 1, 0 FROM tasks WHERE t % 10 = 3
+  UNION SELECT t, t - 1, 0 FROM tasks WHERE t % 10 = 4
+  UNION SELECT t, t + 1, 0 FROM tasks WHERE t = 19),
+blocked AS (
+  SELECT i.t, i.d, min({'t': e.up, 'd': CAST(i.d - e.off AS DATE)}) AS up
+  FROM inst i JOIN deps e ON e.t = i.t LEFT JOIN inst u ON u.t = e.up AND u.d = i.d - e.off
+  WHERE NOT i.ok AND NOT coalesce(u.ok, false) GROUP BY i.t, i.d),
+walk AS (
+  SELECT t, d, up AS pos, 1 AS n, [{'t': t, 'd': d}] AS passed FROM blocked
+  UNION ALL
+  SELECT w.t, w.d, b.up, w.n + 1, list_append(w.passed, w.pos)
+  FROM walk w JOIN blocked b ON b.t = w.pos.t AND b.d = w.pos.d WHERE NOT list_contains(w.passed, w.pos)),
+ends AS (SELECT t, d, arg_max(pos, n) AS pos, max(n) AS n, arg_max(passed, n) AS passed FROM walk GROUP BY t, d)
+SELECT e.t AS task_id, e.d AS biz_date,
+  CASE WHEN list_contains(passed, e.pos) THEN 'cycle' WHEN i.t IS NULL THEN 'missing' ELSE 'failed' END AS cause,
+  CASE WHEN list_contains(passed, e.pos) THEN list_min(passed[list_position(passed, e.pos):]).t ELSE e.pos.t END AS cause_task,
+  CASE WHEN list_contains(passed, e.pos) THEN list_min(passed[list_position(passed, e.pos):]).d ELSE e.pos.d END AS cause_date,
+  CASE WHEN NOT list_contains(passed, e.pos) THEN e.n END AS depth
+FROM ends e LEFT JOIN inst i ON i.t = e.pos.t AND i.d = e.pos.d"""

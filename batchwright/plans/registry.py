@@ -374,6 +374,7 @@ from batchwright.operators import lifecycle as LC  # noqa: E402
 from batchwright.operators.dedup import current_state, dedupe_triggers, first_result  # noqa: E402
 from batchwright.operators.overlap import concurrency_by_minute, running_between  # noqa: E402
 from batchwright.operators.replay import replay, true_states  # noqa: E402
+from batchwright.operators.waiting import waiting_causes  # noqa: E402
 
 
 def _ievents(spark, sf_dir):
@@ -479,6 +480,22 @@ def q_dependency_ready(spark, sf_dir):
     return LC.ready(inst, deps)
 
 
+@register("waiting_causes")
+def q_waiting_causes(spark, sf_dir):
+    """Twenty tasks a day, each after its neighbour and after itself the day
+    before; two pairs depend on each other; purchases above 45 are successes."""
+    inst = load(spark, sf_dir, "events").select(
+        (F.col("user_id") % 20).alias("task_id"), F.to_date("ts").alias("biz_date"),
+        ((F.col("event_type") == "purchase") & (F.col("value") > 45)).alias("ok"))
+    t = inst.select("task_id").distinct()
+    dep = lambda where, up, offset: t.where(where).select(
+        "task_id", up.cast("long").alias("upstream_id"), F.lit(offset).alias("offset"))
+    task = F.col("task_id")
+    deps = (dep(task % 5 != 0, task - 1, 0).unionByName(dep(task % 5 == 0, task, 1)).unionByName(dep(task % 10 == 3, task + 1, 0))
+            .unionByName(dep(task % 10 == 4, task - 1, 0)).unionByName(dep(task == 19, task + 1, 0)))
+    return waiting_causes(inst, deps)
+
+
 @register("registry_reconcile")
 def q_registry_reconcile(spark, sf_dir):
     a = load(spark, sf_dir, "customer").select(F.nullif(F.col("c_custkey"), F.lit(7)).alias("key"))
