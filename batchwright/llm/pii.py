@@ -157,7 +157,7 @@ def graph(docs: DataFrame, found: DataFrame, text_col: str, min_support: int) ->
         .where(F.size("w") > 2)
     three = words.select(F.inline(F.expr("arrays_zip(w, slice(w, 2, size(w)), slice(w, 3, size(w)))")).alias("a", "b", "c")) \
         .where("a <> '' and c is not null and c <> ''").select(F.concat_ws(" ", "a", "b").alias("pattern"), "c")
-    others = three.join(patterns.select("pattern"), "pattern").where("not c rlike '[0-9@]'") \
+    others = three.join(patterns, "pattern", "left_semi").where("not c rlike '[0-9@]'") \
         .distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("others"))
     sizes = patterns.join(others, "pattern", "left").select(
         "pattern", (F.col("n") + F.coalesce("others", F.lit(0))).alias("followers"))
