@@ -16,6 +16,12 @@ DataFrame functions only: no Python runs on the executors.
    pattern is active from ``min_confidence`` and ``min_support`` instances with a score on.
    Scores are whole numbers and maxima, so no order of rows changes them.  Rounds
    end when the active patterns stay the same, or after ``rounds``.
+   More followers only lower a confidence, and lower confidences only lower
+   scores, so a pattern that stays inactive with some of its followers left out
+   of the count stays inactive with all of them.  Rounds therefore run with
+   the followers that hold a digit or an ``@``, then with those of a part of the
+   texts (``PARTS``), and only patterns still active are counted further; the
+   last run, over all texts, decides.
 5. *Discovery.*  Every candidate behind an active pattern becomes a span of kind
    ``context``: identifiers no expression describes, also of unseen forms.
 
@@ -66,6 +72,8 @@ MIN_DIGITS = 3
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 500
 ROUNDS = 6
+#: Followers are counted in one of so many texts, by hash, and at last in all.
+PARTS = (64, 8, 1)
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HIT = "struct<start:bigint,end:bigint,gap:string,hit:string>"
@@ -145,14 +153,21 @@ def read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.drop("text")
 
 
-def graph(docs: DataFrame, found: DataFrame, text_col: str, min_support: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (pattern, instance, seed) and, by pattern, the number of its different followers."""
+def graph(found: DataFrame, min_support: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (pattern, instance, seed) and, by pattern that ``min_support`` identifiers
+    follow, the number of its different followers with a digit or an ``@``."""
     near = found.select(F.explode("near").alias("n")).select("n.*")
     edges = stored(near.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("ident").alias("ident")),
                    "pii-edges")
-    of_pattern = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ident").cast("int")).alias("idents"))
-    patterns = stored(of_pattern.where(F.col("idents") >= min_support).select("pattern", "n"), "pii-patterns")
-    # the other followers: words without digit or @, each once behind a pattern
+    of_pattern = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("followers"), F.sum(F.col("ident").cast("int")).alias("idents"))
+    patterns = stored(of_pattern.where(F.col("idents") >= min_support).select("pattern", "followers"), "pii-patterns")
+    return edges.where("ident").drop("ident"), patterns
+
+
+def with_words(docs: DataFrame, patterns: DataFrame, text_col: str, part: int = 1) -> DataFrame:
+    """The patterns, their followers without digit or ``@`` in one of ``part`` texts counted too."""
+    if part > 1:
+        docs = docs.where(F.pmod(F.xxhash64(text_col), F.lit(part)) == 0)
     words = docs.select(F.expr(f"split(translate(`{text_col}`, '{UPPER}', '{LOWER}'), r'[{BLANK}]+', -1)").alias("w")) \
         .where(F.size("w") > 2)
     three = words.select(F.inline(F.expr("arrays_zip(w, slice(w, 2, size(w)), slice(w, 3, size(w)))")).alias("a", "b", "c")) \
@@ -160,8 +175,8 @@ def graph(docs: DataFrame, found: DataFrame, text_col: str, min_support: int) ->
     others = three.join(patterns, "pattern", "left_semi").where("not c rlike '[0-9@]'") \
         .distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("others"))
     sizes = patterns.join(others, "pattern", "left").select(
-        "pattern", (F.col("n") + F.coalesce("others", F.lit(0))).alias("followers"))
-    return edges.where("ident").drop("ident"), stored(sizes, "pii-followers")
+        "pattern", (F.col("followers") + F.coalesce("others", F.lit(0))).alias("followers"))
+    return stored(sizes, "pii-followers")
 
 
 def bootstrap(edges: DataFrame, sizes: DataFrame, min_support: int = MIN_SUPPORT,
@@ -186,11 +201,17 @@ def bootstrap(edges: DataFrame, sizes: DataFrame, min_support: int = MIN_SUPPORT
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT,
-            min_confidence: int = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, email, ip, card, phone, context) of every row: arrays of (start, end) in order."""
+            min_confidence: int = MIN_CONFIDENCE, rounds: int = ROUNDS, parts: tuple[int, ...] = PARTS) -> DataFrame:
+    """(doc_id, email, ip, card, phone, context) of every row: arrays of (start, end) in order.
+    The last of ``parts`` is 1; the others save work only."""
     found = stored(read(docs, id_col, text_col), "pii-read")
-    edges, sizes = graph(docs, found, text_col, min_support)
-    active = bootstrap(edges, sizes, min_support, min_confidence, rounds)
+    edges, patterns = graph(found, min_support)
+    active = bootstrap(edges, patterns, min_support, min_confidence, rounds)
+    for part in parts:
+        if active.isEmpty():
+            break
+        patterns_left = patterns.join(active.select("pattern"), "pattern", "left_semi")
+        active = bootstrap(edges, with_words(docs, patterns_left, text_col, part), min_support, min_confidence, rounds)
     may = F.exists("near", lambda n: n["ident"] & ~n["seed"])
     near = found.where(may).select("k1", "k2", F.explode("near").alias("n")).where("n.ident and not n.seed")
     spans = near.select("k1", "k2", "n.pattern", "n.start", "n.end").join(active.select("pattern"), "pattern") \

@@ -131,6 +131,21 @@ def test_unseen_identifiers_are_found_by_context(spark):
     assert got[12]["context"] == []
 
 
+def test_parts_change_nothing(spark):
+    """Patterns that identifiers and words follow, in numbers on both sides of the threshold."""
+    texts = list(PLANTED)
+    for k in range(12):
+        texts += [f"code p{chr(97 + k)}q is user{i}x{k}@mail.example.com" for i in range(6)]
+        texts += [f"code is {w * 3}{chr(97 + k)}" for w in "abcdefgh"[:k]]
+        texts += [f"item w{chr(97 + k)} u{i}y{k}@mail.example.com" for i in range(6)]
+        texts += [f"item w{chr(97 + k)} {w * 4}" for w in "abcdefghijkl"[:k]]
+        texts += [f"item w{chr(97 + k)} badge-{k}{k + 1}{k + 2}-x"]
+    got = [check(spark, texts, parts=parts) for parts in ((1,), (2, 1), (64, 8, 1))]
+    assert got[0] == got[1] == got[2]
+    found = [k for k in range(12) if got[0][texts.index(f"item w{chr(97 + k)} badge-{k}{k + 1}{k + 2}-x")][P.FOUND]]
+    assert found == list(range(6))  # 6000 div (7 + k) for six seeds and a badge among 7 + k followers
+
+
 def test_rounds_limit_how_far_it_goes(spark):
     docs = spark.createDataFrame(list(enumerate(PLANTED)), "doc_id bigint, text string")
     one = {r["doc_id"]: r["context"] for r in P.extract(docs, rounds=1).collect()}
