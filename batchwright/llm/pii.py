@@ -170,18 +170,18 @@ def with_words(docs: DataFrame, patterns: DataFrame, text_col: str, part: int =
     """The patterns, their followers without digit or ``@`` in one of ``part`` texts counted too."""
     if part > 1:
         docs = docs.where(F.pmod(F.xxhash64(text_col), F.lit(part)) == 0)
-    bit = F.expr(f"pmod(xxhash64(pattern), {FILTER})")
+    bit = F.expr(f"pmod(xxhash64(substring_index(pattern, ' ', 1), substring_index(pattern, ' ', -1)), {FILTER})")
     masks = dict(patterns.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("at"))
                  .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))")).collect())
     mask = ",".join(f"{masks.get(i, 0)}L" if masks.get(i, 0) > -2 ** 63 else "shiftleft(1L, 63)" for i in range(FILTER // 64))
     words = docs.select(F.expr(f"split(translate(`{text_col}`, '{UPPER}', '{LOWER}'), r'[{BLANK}]+', -1)").alias("w")) \
         .where(F.size("w") > 2)
     # few words stand behind a pattern: the filter keeps all of these and a little more, before they become rows
-    three = words.select(F.inline(F.expr(f"""filter(zip_with(
-      zip_with(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), (a, b) -> if(a = '', null, concat(a, ' ', b))),
-      slice(w, 3, size(w) - 2), (p, c) -> named_struct('pattern', p, 'c', c)),
-      x -> x.pattern is not null and x.c <> '' and getbit(get(array({mask}),
-        cast(pmod(xxhash64(x.pattern), {FILTER}) div 64 as int)), cast(pmod(xxhash64(x.pattern), 64) as int)) = 1)""")))
+    key = "xxhash64(get(w, i - 1), get(w, i))"
+    bits = f"get(array({mask}), cast(pmod({key}, {FILTER}) div 64 as int))"
+    places = f"filter(sequence(1, size(w) - 2), i -> {bits} <> 0 and getbit({bits}, cast(pmod({key}, 64) as int)) = 1)"
+    three = words.select(F.inline(F.expr(f"""transform({places}, i -> named_struct(
+      'pattern', concat(get(w, i - 1), ' ', get(w, i)), 'c', get(w, i + 1)))"""))).where("c <> '' and pattern not like ' %'")
     others = three.join(patterns, "pattern", "left_semi").where("not c rlike '[0-9@]'") \
         .distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("others"))
     sizes = patterns.join(others, "pattern", "left").select(
