@@ -16,12 +16,9 @@ DataFrame functions only: no Python runs on the executors.
    pattern is active from ``min_confidence`` and ``min_support`` instances with a score on.
    Scores are whole numbers and maxima, so no order of rows changes them.  Rounds
    end when the active patterns stay the same, or after ``rounds``.
-   More followers only lower a confidence, and lower confidences only lower
-   scores, so a pattern that stays inactive with some of its followers left out
-   of the count stays inactive with all of them.  Rounds therefore run with
-   the followers that hold a digit or an ``@``, then with those of a part of the
-   texts (``PARTS``), and only patterns still active are counted further; the
-   last run, over all texts, decides.
+   Followers without a digit or an ``@`` are counted in one pass over all texts:
+   triples of words pass a filter of ``FILTER`` bits, set by the hashes of the
+   patterns, and are made distinct and counted before they meet the patterns.
 5. *Discovery.*  Every candidate behind an active pattern becomes a span of kind
    ``context``: identifiers no expression describes, also of unseen forms.
 
@@ -72,10 +69,8 @@ MIN_DIGITS = 3
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 500
 ROUNDS = 6
-#: Followers are counted in one of so many texts, by hash, and at last in all.
-PARTS = (64, 8, 1)
 #: Bits of the filter through which words pass on their way to the patterns, in words of 64.
-FILTER = 65536
+FILTER = 1 << 18
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HIT = "struct<start:bigint,end:bigint,gap:string,hit:string>"
@@ -166,24 +161,25 @@ def graph(found: DataFrame, min_support: int) -> tuple[DataFrame, DataFrame]:
     return edges.where("ident").drop("ident"), patterns
 
 
-def with_words(docs: DataFrame, patterns: DataFrame, text_col: str, part: int = 1) -> DataFrame:
-    """The patterns, their followers without digit or ``@`` in one of ``part`` texts counted too."""
-    if part > 1:
-        docs = docs.where(F.pmod(F.xxhash64(text_col), F.lit(part)) == 0)
+def lowered(text: str) -> str:
+    """SQL: A-Z in lower case; other letters stay as they are."""
+    return f"if(octet_length({text}) = char_length({text}), lower({text}), translate({text}, '{UPPER}', '{LOWER}'))"
+
+
+def with_words(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
+    """The patterns, their followers without digit or ``@`` counted too."""
     bit = F.expr(f"pmod(xxhash64(substring_index(pattern, ' ', 1), substring_index(pattern, ' ', -1)), {FILTER})")
     masks = dict(patterns.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("at"))
                  .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))")).collect())
     mask = ",".join(f"{masks.get(i, 0)}L" if masks.get(i, 0) > -2 ** 63 else "shiftleft(1L, 63)" for i in range(FILTER // 64))
-    words = docs.select(F.expr(f"split(translate(`{text_col}`, '{UPPER}', '{LOWER}'), r'[{BLANK}]+', -1)").alias("w")) \
-        .where(F.size("w") > 2)
-    # few words stand behind a pattern: the filter keeps all of these and a little more, before they become rows
-    key = "xxhash64(get(w, i - 1), get(w, i))"
-    bits = f"get(array({mask}), cast(pmod({key}, {FILTER}) div 64 as int))"
-    places = f"filter(sequence(1, size(w) - 2), i -> {bits} <> 0 and getbit({bits}, cast(pmod({key}, 64) as int)) = 1)"
-    three = words.select(F.inline(F.expr(f"""transform({places}, i -> named_struct(
-      'pattern', concat(get(w, i - 1), ' ', get(w, i)), 'c', get(w, i + 1)))"""))).where("c <> '' and pattern not like ' %'")
-    others = three.join(patterns, "pattern", "left_semi").where("not c rlike '[0-9@]'") \
-        .distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("others"))
+    words = docs.select(F.expr(f"split({lowered(f'`{text_col}`')}, r'[{BLANK}]+', -1)").alias("w"))
+    # the outer form adds no test of its input, so texts are split once; rows it pads have no third word
+    three = words.select(F.expr("""inline_outer(arrays_zip(w, slice(w, 2, greatest(size(w) - 2, 0)),
+      slice(w, 3, greatest(size(w) - 2, 0))))""").alias("first", "second", "c"))
+    three = three.withColumn("bit", F.expr(f"cast(pmod(xxhash64(first, second), {FILTER}) as int)")) \
+        .where(f"getbit(get(array({mask}), bit div 64), bit % 64) = 1 and first <> '' and c <> '' and not c rlike '[0-9@]'")
+    others = three.select("first", "second", "c").distinct().groupBy("first", "second").agg(F.count(F.lit(1)).alias("others")) \
+        .select(F.concat_ws(" ", "first", "second").alias("pattern"), "others")
     sizes = patterns.join(others, "pattern", "left").select(
         "pattern", (F.col("followers") + F.coalesce("others", F.lit(0))).alias("followers"))
     return stored(sizes, "pii-followers")
@@ -211,17 +207,11 @@ def bootstrap(edges: DataFrame, sizes: DataFrame, min_support: int = MIN_SUPPORT
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT,
-            min_confidence: int = MIN_CONFIDENCE, rounds: int = ROUNDS, parts: tuple[int, ...] = PARTS) -> DataFrame:
-    """(doc_id, email, ip, card, phone, context) of every row: arrays of (start, end) in order.
-    The last of ``parts`` is 1; the others save work only."""
+            min_confidence: int = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, email, ip, card, phone, context) of every row: arrays of (start, end) in order."""
     found = stored(read(docs, id_col, text_col), "pii-read")
     edges, patterns = graph(found, min_support)
-    active = bootstrap(edges, patterns, min_support, min_confidence, rounds)
-    for part in parts:
-        if active.isEmpty():
-            break
-        patterns_left = patterns.join(active.select("pattern"), "pattern", "left_semi")
-        active = bootstrap(edges, with_words(docs, patterns_left, text_col, part), min_support, min_confidence, rounds)
+    active = bootstrap(edges, with_words(docs, patterns, text_col), min_support, min_confidence, rounds)
     may = F.exists("near", lambda n: n["ident"] & ~n["seed"])
     near = found.where(may).select("k1", "k2", F.explode("near").alias("n")).where("n.ident and not n.seed")
     spans = near.select("k1", "k2", "n.pattern", "n.start", "n.end").join(active.select("pattern"), "pattern") \
