@@ -879,3 +879,68 @@ SELECT e.t AS task_id, e.d AS biz_date,
   CASE WHEN list_contains(passed, e.pos) THEN list_min(passed[list_position(passed, e.pos):]).d ELSE e.pos.d END AS cause_date,
   CASE WHEN NOT list_contains(passed, e.pos) THEN e.n END AS depth
 FROM ends e LEFT JOIN inst i ON i.t = e.pos.t AND i.d = e.pos.d"""
+
+ORACLES["audit_paths"] = """
+WITH texts AS (
+  SELECT event_id AS id,
+    CASE WHEN event_id % 15 <> 0 THEN '{"run":{"k":' || user_id || ',"args":["' || event_type || '",' || (event_id % 7)
+      || ',{}]},"n":' || (event_id % 5) || ',"x.y":null}' END AS b,
+    CASE WHEN event_id % 21 = 0 THEN '{"run": ' ELSE
+      '{"n":' || (event_id % 5) || '.0,"x.y":' || CASE WHEN event_id % 6 = 0 THEN 'true' ELSE 'null' END
+      || ',"run":{"args":["' || event_type || '",'
+      || CASE event_id % 3 WHEN 0 THEN (event_id % 7 + 1)::VARCHAR WHEN 1 THEN (event_id % 7) || 'e0' ELSE (event_id % 7)::VARCHAR END
+      || CASE WHEN event_id % 11 = 0 THEN ']' ELSE ',{}]' END || ',"k":' || user_id || '}}' END AS a
+  FROM events),
+good AS (SELECT * FROM texts WHERE json_valid(a)),
+sides AS (SELECT id AS rid, TRUE AS old, b AS j FROM good WHERE b IS NOT NULL UNION ALL SELECT id, FALSE, a FROM good),
+nodes AS (SELECT s.rid, s.old, t.fullkey AS path, t.type AS kind, t.value AS v FROM sides s, json_tree(s.j) t),
+leaves AS (
+  SELECT rid, old, path,
+    CASE WHEN kind IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'number' WHEN kind = 'VARCHAR' THEN 'string' ELSE lower(coalesce(kind, 'null')) END AS type,
+    CASE WHEN kind IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(CAST(CAST(v AS DOUBLE) AS BIGINT) AS VARCHAR)
+         WHEN kind = 'VARCHAR' THEN v ->> '$' WHEN coalesce(kind, 'NULL') = 'NULL' THEN 'null' ELSE CAST(v AS VARCHAR) END AS value
+  FROM nodes WHERE coalesce(kind, 'NULL') NOT IN ('OBJECT', 'ARRAY') OR CAST(v AS VARCHAR) IN ('{}', '[]')),
+both_sides AS (
+  SELECT rid AS id, path, max(CASE WHEN old THEN type END) AS old_type, max(CASE WHEN old THEN value END) AS before,
+    max(CASE WHEN NOT old THEN type END) AS new_type, max(CASE WHEN NOT old THEN value END) AS after
+  FROM leaves GROUP BY 1, 2),
+judged AS (
+  SELECT id, path, CASE WHEN old_type IS NULL THEN 'added' WHEN new_type IS NULL THEN 'removed'
+      WHEN old_type <> new_type OR before <> after THEN 'changed' END AS change, old_type, before, new_type, after
+  FROM both_sides)
+SELECT * FROM judged WHERE change IS NOT NULL
+UNION ALL SELECT id, NULL, 'malformed', NULL, b, NULL, a FROM texts WHERE NOT json_valid(a)"""
+
+# The bucket that holds the exact value of the rank, by its middle: error 0.01.
+_MIDDLE = """CASE WHEN {0} < 1 THEN 0 ELSE round(pow(CAST(1.01 AS DOUBLE) / CAST(0.99 AS DOUBLE),
+    ceil(ln({0}) / ln(CAST(1.01 AS DOUBLE) / CAST(0.99 AS DOUBLE)))) * (2 / (CAST(1.01 AS DOUBLE) / CAST(0.99 AS DOUBLE) + 1)), 3) END"""
+
+ORACLES["range_percentiles"] = with_(RUNS) + """,
+own AS (
+  SELECT tenant_id, count(*) AS n, list_sort(list(CAST(duration_s AS DOUBLE))) AS x
+  FROM runs WHERE CAST(started_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-24' AND duration_s IS NOT NULL GROUP BY 1),
+exact AS (
+  SELECT tenant_id, n, x[CAST(ceil(CAST(0.5 AS DOUBLE) * n) AS BIGINT)] AS a, x[CAST(ceil(CAST(0.95 AS DOUBLE) * n) AS BIGINT)] AS b,
+    x[CAST(ceil(CAST(0.99 AS DOUBLE) * n) AS BIGINT)] AS c
+  FROM own)
+SELECT tenant_id, n, """ + ", ".join(f"{_MIDDLE.format(v)} AS {name}" for v, name in (("a", "p50_s"), ("b", "p95_s"), ("c", "p99_s"))) + """
+FROM exact"""
+
+ORACLES["range_instances"] = with_(INSTANCE_EVENTS) + """
+SELECT tenant_id, count(DISTINCT instance_id) AS n_distinct FROM instance_events
+WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-24' GROUP BY 1"""
+
+ORACLES["next_day_instances"] = with_(INSTANCE_EVENTS) + """,
+seen AS (SELECT DISTINCT CAST(ts AS DATE) AS day, tenant_id, instance_id FROM instance_events),
+counts AS (SELECT day, tenant_id, count(*) AS n FROM seen GROUP BY 1, 2),
+twice AS (
+  SELECT x.day, x.tenant_id, count(*) AS n FROM seen x
+  JOIN seen y ON y.instance_id = x.instance_id AND y.tenant_id = x.tenant_id AND y.day = x.day + 1 GROUP BY 1, 2)
+SELECT a.day, a.tenant_id, a.n AS n_day, coalesce(t.n, 0) AS n_both, a.n + b.n - coalesce(t.n, 0) AS n_either
+FROM counts a JOIN counts b ON b.day = a.day + 1 AND b.tenant_id = a.tenant_id
+LEFT JOIN twice t ON t.day = a.day AND t.tenant_id = a.tenant_id"""
+
+ORACLES["month_retention"] = with_(RUNS) + """
+SELECT o_orderkey AS version_id, o_orderdate, strftime(o_orderdate, '%Y%m') AS m FROM orders
+WHERE NOT coalesce(o_orderdate < TIMESTAMP '2001-01-15 12:00:00' - INTERVAL 365 DAY, false)
+  OR o_orderkey IN (SELECT event_id FROM runs WHERE ended_at IS NULL)"""

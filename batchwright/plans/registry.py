@@ -369,8 +369,20 @@ def q_month_archive(spark, sf_dir):
         F.count(F.when(W.is_expired("o_orderdate", 365, "2001-01-01 00:00:00"), 1)).alias("n_expired"))
 
 
+@register("month_retention")
+def q_month_retention(spark, sf_dir):
+    """What is left of an archive of versions after a year's retention: running instances keep theirs."""
+    path = scratch_path(spark, "month_retention")
+    W.archive_by_month(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version_id"), "o_orderdate"), "o_orderdate", path)
+    running = _runs(spark, sf_dir).where(F.col("ended_at").isNull()).select(F.col("event_id").alias("version_id"))
+    W.drop_expired(spark, path, "o_orderdate", 365, "2001-01-15 12:00:00", keep=running, keys=["version_id"])
+    return W.read_table(spark, path, partition_cols=["m"])
+
+
 # ---------------------------------------------------------------- task metadata audits
 from batchwright.operators import lifecycle as LC  # noqa: E402
+from batchwright.operators import rollups as RU  # noqa: E402
+from batchwright.operators.audit import audit_paths  # noqa: E402
 from batchwright.operators.dedup import current_state, dedupe_triggers, first_result  # noqa: E402
 from batchwright.operators.overlap import concurrency_by_minute, running_between  # noqa: E402
 from batchwright.operators.replay import replay, true_states  # noqa: E402
@@ -592,6 +604,39 @@ def q_daily_counts(spark, sf_dir):
     return LC.daily_counts(_ievents(spark, sf_dir))
 
 
+def _stored(spark, rollup, name):
+    """The daily rows written once; ranges read these instead of the runs."""
+    path = scratch_path(spark, name)
+    W.overwrite_table(rollup, path)
+    return W.read_table(spark, path)
+
+
+@register("range_percentiles")
+def q_range_percentiles(spark, sf_dir):
+    """Run times of 20 days per tenant, merged from one stored row a day."""
+    runs = _runs(spark, sf_dir).withColumn("day", F.to_date("started_at"))
+    stored = _stored(spark, RU.value_rollup(runs, ["tenant_id"], "day", "duration_s"), "value_rollup")
+    return RU.merged_percentiles(RU.between_days(stored, "2024-01-05", "2024-01-24"), ["tenant_id"],
+                                 [0.5, 0.95, 0.99], ["p50_s", "p95_s", "p99_s"])
+
+
+def _set_rollup(spark, sf_dir):
+    ev = _ievents(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    return _stored(spark, RU.set_rollup(ev, ["tenant_id"], "day", "instance_id"), "set_rollup")
+
+
+@register("range_instances")
+def q_range_instances(spark, sf_dir):
+    """Distinct instances of 20 days per tenant, merged from one stored sketch a day."""
+    return RU.merged_distinct(RU.between_days(_set_rollup(spark, sf_dir), "2024-01-05", "2024-01-24"), ["tenant_id"])
+
+
+@register("next_day_instances")
+def q_next_day_instances(spark, sf_dir):
+    """Per day and tenant: its instances, those active the next day too, and those of either day."""
+    return RU.days_apart(_set_rollup(spark, sf_dir), ["tenant_id"])
+
+
 @register("first_publish")
 def q_first_publish(spark, sf_dir):
     o = load(spark, sf_dir, "orders").select(
@@ -619,6 +664,24 @@ def q_audit_diff(spark, sf_dir):
     return LC.audit_diff(audit)
 
 
+@register("audit_paths")
+def q_audit_paths(spark, sf_dir):
+    """Nested values that change, go and come by path; other key orders and
+    number forms, which are no change; missing records and broken texts."""
+    eid = F.col("event_id")
+    s = lambda c: c.cast("string")
+    n, k = s(eid % 5), s(F.col("user_id"))
+    before = F.concat(F.lit('{"run":{"k":'), k, F.lit(',"args":["'), F.col("event_type"), F.lit('",'), s(eid % 7),
+                      F.lit(',{}]},"n":'), n, F.lit(',"x.y":null}'))
+    number = F.when(eid % 3 == 0, s(eid % 7 + 1)).when(eid % 3 == 1, F.concat(s(eid % 7), F.lit("e0"))).otherwise(s(eid % 7))
+    after = F.concat(F.lit('{"n":'), n, F.lit('.0,"x.y":'), F.when(eid % 6 == 0, F.lit("true")).otherwise(F.lit("null")),
+                     F.lit(',"run":{"args":["'), F.col("event_type"), F.lit('",'), number,
+                     F.when(eid % 11 == 0, F.lit("]")).otherwise(F.lit(",{}]")), F.lit(',"k":'), k, F.lit("}}"))
+    return audit_paths(load(spark, sf_dir, "events").select(
+        eid.alias("id"), F.when(eid % 15 != 0, before).alias("before_json"),
+        F.when(eid % 21 == 0, F.lit('{"run": ')).otherwise(after).alias("after_json")))
+
+
 @register("lint_report")
 def q_lint_report(spark, sf_dir):
     unresolved = q_unresolved_vars(spark, sf_dir).select(

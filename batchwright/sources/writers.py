@@ -8,8 +8,8 @@
   partition, also by an empty load.
 * ``append_rows`` / ``append_partition``: append, optionally into a static
   partition spec.
-* ``archive_by_month`` / ``expired``: month-partitioned storage and age-based
-  retention.
+* ``archive_by_month`` / ``expired`` / ``drop_expired``: month-partitioned
+  storage and age-based retention.
 
 Partition values are strings (``dt`` yyyyMMdd, ``hr`` HH, ``m`` yyyyMM); read
 back with an explicit schema so they are never re-inferred as numbers.
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from batchwright.session import scratch_path
+
 
 def _clustered(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Group rows by partition before a partitioned write so each partition
@@ -76,8 +78,12 @@ def overwrite_partition(df: DataFrame, path: str, spec: Mapping[str, str] | None
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*cols).parquet(path))
     if exact and before & _files(spark, folder):
-        hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+        _remove(spark, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
 def _files(spark: SparkSession, folder: str) -> set[str]:
@@ -137,10 +143,13 @@ def archive_by_month(df: DataFrame, ts: str, path: str, col: str = "m") -> None:
     overwrite_partition(df.withColumn(col, month_of(ts)), path, partition_cols=[col])
 
 
+def _limit(days: int, as_of: str) -> Column:
+    return F.lit(as_of).cast("timestamp_ntz") - F.make_interval(days=F.lit(days))
+
+
 def is_expired(ts: str, days: int, as_of: str) -> Column:
     """Older than ``days`` days before ``as_of``."""
-    limit = F.lit(as_of).cast("timestamp_ntz") - F.make_interval(days=F.lit(days))
-    return F.col(ts) < limit
+    return F.col(ts) < _limit(days, as_of)
 
 
 def expired(df: DataFrame, ts: str, days: int, as_of: str) -> DataFrame:
@@ -148,6 +157,37 @@ def expired(df: DataFrame, ts: str, days: int, as_of: str) -> DataFrame:
     return df.filter(is_expired(ts, days, as_of))
 
 
+def drop_expired(spark: SparkSession, path: str, ts: str, days: int, as_of: str, col: str = "m",
+                 keep: DataFrame | None = None, keys: Sequence[str] = ()) -> list[str]:
+    """Retention that acts on an archive of ``archive_by_month``.
+
+    Expired rows go, but for those whose ``keys`` occur in ``keep`` (what a
+    running instance still refers to; a NULL key refers to nothing).  Only the
+    months up to the one of the limit are read, of fully expired ones only
+    with ``keep``.  A month with rows left is rewritten with these; then the
+    others are dropped as folders.  Rows without a time stay.  What stays is
+    written below the checkpoint folder first, so a run that dies can be
+    repeated.  Returns the dropped months.
+    """
+    last = spark.range(1).select(month_of(_limit(days, as_of))).first()[0]
+    old = read_table(spark, path, partition_cols=[col]).where(F.col(col) <= last)
+    stays = old.where((F.col(col) == last) & ~is_expired(ts, days, as_of))
+    if keep is not None:
+        referred = keep.select(*keys).dropna().distinct()
+        stays = stays.unionByName(old.where(is_expired(ts, days, as_of)).join(referred, list(keys), "left_semi").select(*old.columns))
+    scratch = scratch_path(spark, "retention")
+    stays.write.parquet(scratch)
+    stays = spark.read.schema(stays.schema).parquet(scratch)
+    left = {r[0] for r in stays.select(col).distinct().collect()}
+    if left:
+        overwrite_partition(stays, path, partition_cols=[col])
+    months = {name[len(col) + 1:] for name in _files(spark, path) if name.startswith(f"{col}=")}
+    dropped = sorted(m for m in months - left if m.isdigit() and m <= last)
+    for m in dropped:
+        _remove(spark, f"{path}/{col}={m}")
+    return dropped
+
+
 def insert_into(df: DataFrame, table: str, overwrite: bool = False) -> None:
     """A3/A5 on a catalog table: ``INSERT [OVERWRITE] INTO table`` semantics,
     columns matched by position (``insertInto``), so the select order is the

@@ -147,3 +147,25 @@ def test_a_version_is_claimed_once(spark):
     assert SN._claim(spark, path) and not SN._claim(spark, path)
     with pytest.raises(SN.VersionConflict):
         SN.write_version(_docs(spark), root, "dev", "t", "v1")
+
+
+def test_retention_drops_months_and_keeps_what_runs(spark, tmp_path):
+    import datetime as dt
+    path = str(tmp_path / "archive")
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=3 * i)) for i in range(60)] + [(100, None)]
+    W.archive_by_month(spark.createDataFrame(rows, "id long, at timestamp_ntz"), "at", path)
+
+    def files(month):
+        return {f.name for f in (tmp_path / "archive" / f"m={month}").glob("*.parquet")}
+
+    later = {m: files(m) for m in ("202405", "202406")}
+    keep = spark.createDataFrame([(2,), (2,), (99,), (None,), (59,)], "id long")
+    for again in (False, True):
+        dropped = W.drop_expired(spark, path, "at", 30, "2024-05-10 00:00:00", keep=keep, keys=["id"])
+        assert dropped == ([] if again else ["202402", "202403"])
+        got = sorted(r["id"] for r in W.read_table(spark, path, partition_cols=["m"]).collect())
+        limit = dt.datetime(2024, 4, 10)
+        assert got == sorted(i for i, t in rows if t is None or t >= limit or i == 2)
+        assert {m: files(m) for m in later} == later and not files("202402") and files("202401")
+    assert W.drop_expired(spark, path, "at", 30, "2024-05-10 00:00:00") == ["202401"]
+    assert W.drop_expired(spark, path, "at", 3000, "2024-05-10 00:00:00") == []
