@@ -944,3 +944,18 @@ ORACLES["month_retention"] = with_(RUNS) + """
 SELECT o_orderkey AS version_id, o_orderdate, strftime(o_orderdate, '%Y%m') AS m FROM orders
 WHERE NOT coalesce(o_orderdate < TIMESTAMP '2001-01-15 12:00:00' - INTERVAL 365 DAY, false)
   OR o_orderkey IN (SELECT event_id FROM runs WHERE ended_at IS NULL)"""
+
+ORACLES["version_diff"] = """
+WITH new_orders AS (
+  SELECT CASE WHEN o_orderkey % 97 = 5 THEN o_orderkey + 100000000 ELSE o_orderkey END AS k,
+    CASE WHEN o_orderkey % 101 <> 7 THEN o_orderstatus END AS s,
+    CASE WHEN o_orderkey % 89 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS p
+  FROM orders),
+both_sides AS (
+  SELECT coalesce(o_orderkey, k) AS o_orderkey, o_orderkey IS NOT NULL AS had, k IS NOT NULL AS has,
+    o_orderstatus IS DISTINCT FROM s AS ds, o_totalprice IS DISTINCT FROM p AS dp
+  FROM orders FULL JOIN new_orders ON k = o_orderkey)
+SELECT o_orderkey, CASE WHEN NOT had THEN 'only_new' WHEN NOT has THEN 'only_old' ELSE 'changed' END AS status,
+  CASE WHEN NOT (had AND has) THEN '' WHEN ds AND dp THEN 'o_orderstatus,o_totalprice' WHEN ds THEN 'o_orderstatus' ELSE 'o_totalprice' END AS changed_cols,
+  CAST(had AS BIGINT) AS n_old, CAST(has AS BIGINT) AS n_new
+FROM both_sides WHERE NOT (had AND has) OR ds OR dp"""

@@ -387,6 +387,7 @@ from batchwright.operators.dedup import current_state, dedupe_triggers, first_re
 from batchwright.operators.overlap import concurrency_by_minute, running_between  # noqa: E402
 from batchwright.operators.replay import replay, true_states  # noqa: E402
 from batchwright.operators.waiting import waiting_causes  # noqa: E402
+from batchwright.sources import hashtree as HT  # noqa: E402
 
 
 def _ievents(spark, sf_dir):
@@ -540,6 +541,20 @@ def q_run_compare_repeated(spark, sf_dir):
     return LC.compare_runs(li, b, ["k"], ["part"])
 
 
+@register("version_diff")
+def q_version_diff(spark, sf_dir):
+    """Two stored versions of all orders, compared by their trees: some prices
+    and states changed, some keys moved."""
+    o, key = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), F.col("o_orderkey")
+    new = o.select(F.when(key % 97 == 5, key + 100000000).otherwise(key).alias("o_orderkey"),
+                   F.when(key % 101 != 7, F.col("o_orderstatus")).alias("o_orderstatus"),
+                   F.when(key % 89 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"))
+    paths = [scratch_path(spark, f"version_{n}") for n in ("old", "new")]
+    for df, path in zip((o, new), paths):
+        HT.write_tree(df, path, ["o_orderkey"])
+    return HT.compare_versions(spark, *paths, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
+
+
 @register("lineage_walk")
 def q_lineage_walk(spark, sf_dir):
     inst = load(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("version_id"))
