@@ -70,6 +70,18 @@ def test_pairs_come_once_whatever_the_bins(spark, width):
     assert sorted((r["id"], r["range_id"]) for r in out.collect()) == want and want
 
 
+def test_no_side_goes_through_the_driver(spark):
+    # small before it is cut into bins, large afterwards: an open run lies in 70,000 bins
+    runs = spark.createDataFrame([(i, "a", BASE, None) for i in range(3)], "id long, q string, started_at timestamp_ntz, ended_at timestamp_ntz")
+    ranges = spark.createDataFrame([(9, "a", BASE + dt.timedelta(days=n), BASE + dt.timedelta(days=n, hours=1)) for n in (1, 2900)],
+                                   "range_id long, q string, from_at timestamp_ntz, to_at timestamp_ntz")
+    out = running_between(runs, ranges, by=["q"])
+    assert out.count() == 6
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()  # with what was changed while it ran
+    assert "SortMergeJoin" in plan and not re.search("Broadcast|NestedLoop|Cartesian", plan), plan
+
+
 def test_concurrency_line(spark):
     at = lambda m, s=0: BASE + dt.timedelta(minutes=m, seconds=s)
     runs = [("a", at(0, 30), at(2)), ("a", at(1), at(1, 59)), ("a", at(2), None), ("b", at(5), at(5)), ("a", at(9), at(8)), ("a", None, at(3))]
