@@ -24,6 +24,7 @@ are all kept, next to each other, in the order of a hash of the text.  An empty
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from array import array
@@ -44,9 +45,11 @@ END_ID = 1
 MAX_IDS = 1 << 24   # ids after which a task starts another file
 SLICE = 1 << 20     # ids that a reader holds at once, unless one document has more
 BLOCK = 512
-MEMO = 48 << 20     # bytes that a worker uses to remember the ids of stretches, about
+MEMO = 160 << 20    # bytes that a worker uses to remember the ids of stretches, about
 MEMO_BYTES = 64     # of a stretch that is remembered
 ENTRY = 180         # bytes of an entry besides its stretch and ids, about
+MARK = "\x01"       # stands between stretches that are encoded together
+WORD = re.compile(rb"[a-z]+").fullmatch
 MAGIC = b"DAC1"
 
 
@@ -175,23 +178,47 @@ class Memo(dict):
         self.room = MEMO
         self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+        self.word = self.tokenizer.model.tokenize
+        self.by_model = not any(map(WORD, self.added))
+        # a text that becomes one id and nothing else does, if this vocabulary has it
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, part: bytes) -> bytes:
-        # the library parts a letter from a full stop or comma too, so the word is shared
-        if part[-1:] in (b".", b",") and part[-2:-1].isalpha():
-            out = self[part[:-1]] + self[part[-1:]]
-        else:
-            out = self.encode(part.decode()) if part else b""
+    def keep(self, part: bytes, out: bytes) -> None:
         if len(part) <= MEMO_BYTES:
             self.room -= ENTRY + len(part) + len(out)
             if self.room < 0:
                 self.clear()
                 self.room = MEMO
             self[part] = out
+
+    def __missing__(self, part: bytes) -> bytes:
+        # the library parts a letter from a full stop or comma too, so the word is shared
+        if part[-1:] in (b".", b",") and part[-2:-1].isalpha():
+            out = self[part[:-1]] + self[part[-1:]]
+        elif self.by_model and WORD(part):
+            out = array("I", [x.id for x in self.word(part.decode())]).tobytes()
+        else:
+            out = self.encode(part.decode()) if part else b""
+        self.keep(part, out)
         return out
 
+    def learn(self, parts: list[bytes]) -> None:
+        """Encodes the stretches that are no plain words with one call of the
+        library; they hold neither ``MARK`` nor added tokens."""
+        words = {p[:-1] if p[-1:] in (b".", b",") and p[-2:-1].isalpha() else p for p in parts}
+        new = [p for p in words if p and len(p) <= MEMO_BYTES and not WORD(p) and p not in self]
+        if len(new) < 2:
+            return
+        ids = np.array(self.tokenizer.encode(f" {MARK} ".join(p.decode() for p in new), add_special_tokens=False).ids, "<u4")
+        cuts = (4 * np.flatnonzero(ids == self.mark)).tolist()
+        data = ids.tobytes()
+        for p, x, y in zip(new, [0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True):
+            self.keep(p, data[x:y])
+
 
 def id_bytes(name: str, vocabulary: str, text: str, by_spaces: bool) -> bytes:
     """Ids of a text as little-endian 32-bit integers.
@@ -199,8 +226,9 @@ def id_bytes(name: str, vocabulary: str, text: str, by_spaces: bool) -> bytes:
     An added token's string in a text is that token, as the library has it.
 
     ``by_spaces``: for vocabularies of lower-case words whose tokens never cross
-    a space or line feed, and that drop both; each stretch between them is then
-    encoded once.  Else the whole text goes to the library.
+    a space or line feed, and that drop both, and to which letters a to z in a row
+    are one word; each stretch between spaces is then encoded once, such a word by
+    the library's model alone.  Else the whole text goes to the library.
     """
     memo = kept(name, lambda: Memo(vocabulary))
     if not by_spaces:
@@ -210,6 +238,10 @@ def id_bytes(name: str, vocabulary: str, text: str, by_spaces: bool) -> bytes:
     parts = low.split(b" ")
     if any(x in low for x in memo.added):
         parts = [r if any(x in p for x in memo.added) else p for r, p in zip(raw.split(b" "), parts)]
+    elif memo.mark is not None and MARK.encode() not in low:
+        new = [p for p in parts if p not in memo]
+        if len(new) > 1:
+            memo.learn(new)
     return b"".join(map(memo.__getitem__, parts))
 
 

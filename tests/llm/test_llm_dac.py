@@ -51,6 +51,29 @@ def test_stretches_between_spaces_encode_as_the_whole(text):
 TOKENIZER = Tokenizer.from_file(PATH)
 
 
+def test_new_stretches_take_one_call(monkeypatch):
+    memo = X.Memo(VOCABULARY)
+    calls = []
+    encode = memo.tokenizer.encode
+
+    class Counted:
+        def encode(self, text, **options):
+            calls.append(text)
+            return encode(text, **options)
+
+    monkeypatch.setattr(X, "kept", lambda name, make: memo)
+    memo.tokenizer = Counted()
+    text = "Thndhe reou, l'été déjà vu d'où 3x7 naïve-té\nandthe a\u0301b ou. 中文 don't thndhe." + " wor\u00e9d" * 30
+    for _ in range(2):
+        got = X.id_bytes("t", VOCABULARY, text, True)
+        assert np.frombuffer(got, "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    # one for all that is new and no plain word, and one for the full stop and the comma each
+    assert len(calls) <= 3, calls
+    for odd in (f"ab {X.MARK} é{X.MARK}é à{X.MARK}", "é <|endoftext|> à É", "x\x01 é à", "é" * 200 + " à ù"):
+        got = X.id_bytes("t", VOCABULARY, odd, True)
+        assert np.frombuffer(got, "<u4").tolist() == TOKENIZER.encode(odd, add_special_tokens=False).ids
+
+
 def expected(rows):
     start, out = 0, []
     for doc_id, text in rows:
