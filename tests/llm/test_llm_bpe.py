@@ -37,6 +37,35 @@ def test_long_matches(text):
     assert np.frombuffer(got, "<u4").tolist() == ORACLE.encode_ordinary(text)
 
 
+WHITE = " |  |\n|\n\n| \n|\n |\t|\u3000|\xa0|\x1c|\r\n|\x85".split("|")
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["", "a", "don't", "'s", "été.", "x1", "12", "?!", "中文", *WHITE, " ", " ", " "]), max_size=30))
+def test_stretches_between_spaces_encode_as_the_whole(parts):
+    text = "".join(parts)
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ORACLE.encode_ordinary(text)
+
+
+def test_what_the_pattern_takes_for_white_space():
+    import regex
+
+    white = regex.compile(r"\s")
+    assert not [i for i in range(0x110000) if white.match(chr(i)) and not chr(i).isspace()]
+
+
+def test_known_stretches_are_not_split_again():
+    own = B.Encoder(VOCAB)
+    text = "Thndhe reou, don't andthe\nthe été of.\nAnd so on " * 3
+    want = ORACLE.encode_ordinary(text.strip())
+    calls = []
+    split, own.stretches.split = own.stretches.split, lambda t: calls.append(t) or split(t)
+    for _ in range(2):
+        assert np.frombuffer(own.encode(text.strip()), "<u4").tolist() == want
+        n = len(calls)
+    assert n == len(set(calls)) <= 14, calls
+
+
 def test_memo_may_start_anew(monkeypatch):
     monkeypatch.setattr(B, "MEMO", 3)
     own = B.Encoder(VOCAB)
