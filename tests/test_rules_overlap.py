@@ -70,6 +70,67 @@ def test_pairs_come_once_whatever_the_bins(spark, width):
     assert sorted((r["id"], r["range_id"]) for r in out.collect()) == want and want
 
 
+def test_a_long_run_lies_in_few_nodes(spark):
+    # 4.2e9 minutes: a row, or an array element, for each would not fit
+    runs = spark.createDataFrame([(1, BASE, None), (2, dt.datetime(1902, 5, 6), BASE + dt.timedelta(minutes=90)), (3, BASE, BASE)],
+                                 "id long, started_at timestamp_ntz, ended_at timestamp_ntz")
+    at = [dt.datetime(1850, 1, 1), dt.datetime(1931, 2, 3, 4, 5), BASE, BASE + dt.timedelta(hours=1), dt.datetime(5000, 1, 1), dt.datetime(9999, 12, 31)]
+    ranges = spark.createDataFrame([(i, t, t + dt.timedelta(minutes=30)) for i, t in enumerate(at)], "range_id long, from_at timestamp_ntz, to_at timestamp_ntz")
+    out = running_between(runs, ranges, as_of="9999-12-31 23:59:59.999999", width_s=60)
+    assert sorted((r["id"], r["range_id"]) for r in out.collect()) == [(1, 2), (1, 3), (1, 4), (1, 5), (2, 1), (2, 2), (2, 3), (3, 2)]
+
+
+@pytest.mark.parametrize("width, block", [(1, 3), (60, 2), (3600, 1), (3600, 128)])
+def test_pairs_come_once_whatever_the_nodes_and_blocks(spark, width, block):
+    rng = random.Random(width + block)
+    old = dt.datetime(1969, 12, 20)  # bins before and after 1970
+    when = lambda: old + dt.timedelta(seconds=rng.randrange(0, 20 * 86400), microseconds=rng.choice([0, 0, 1, 999999]))
+    runs = []
+    for i in range(120):
+        s = rng.choice([None, when(), when(), when(), old.replace(hour=12)])
+        e = rng.choice([None, s, s + dt.timedelta(seconds=rng.choice([1, 59, 3600, 500000, 10**6, -5]), microseconds=rng.choice([0, -1, 1]))]) if s else None
+        runs.append((i // 2, rng.choice([1, None]), {"n": i % 3}, s, e))
+    runs += runs[:20]  # the same rows twice
+    ranges = [(i, rng.choice([1, None]), s, s + dt.timedelta(seconds=rng.choice([-1, 0, 1, 600, 9000, 400000])))
+              for i, s in enumerate([*(when() for _ in range(50)), *[r[3] for r in runs[:30] if r[3]], *[r[4] for r in runs[:30] if r[4]]])]
+    # the key is an int on one side and a bigint on the other; a map can't be compared
+    out = running_between(spark.createDataFrame(runs, "id long, q int, m map<string,int>, started_at timestamp_ntz, ended_at timestamp_ntz"),
+                          spark.createDataFrame(ranges, "range_id long, q long, from_at timestamp_ntz, to_at timestamp_ntz"),
+                          by=["q"], width_s=width, block_rows=block)
+    assert out.dtypes == [("id", "bigint"), ("q", "int"), ("m", "map<string,int>"), ("started_at", "timestamp_ntz"), ("ended_at", "timestamp_ntz"),
+                          ("range_id", "bigint"), ("from_at", "timestamp_ntz"), ("to_at", "timestamp_ntz")]
+    last = max(t for _, _, f, t in ranges if f < t)
+    want = sorted(str((i, q, m, s, e, r, f, t)) for i, q, m, s, e in runs for r, rq, f, t in ranges
+                  if s and f < t and q == rq and (e or last) >= s and s < t and (e or last) >= f)
+    assert sorted(str(tuple(r)) for r in out.collect()) == want and want
+
+
+def test_nothing_to_pair(spark):
+    runs = spark.createDataFrame([(1, BASE, None)], "id long, started_at timestamp_ntz, ended_at timestamp_ntz")
+    ranges = spark.createDataFrame([(1, BASE, BASE + dt.timedelta(1)), (2, BASE, BASE)], "range_id long, from_at timestamp_ntz, to_at timestamp_ntz")
+    assert running_between(runs, ranges.where("range_id > 1")).count() == 0
+    assert running_between(runs.where("id > 1"), ranges).count() == 0
+    assert running_between(runs, ranges).count() == 1
+
+
+def _rows_joined(plan):
+    """Rows out of all sort-merge joins of a plan that has run."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _rows_joined(plan.executedPlan())
+    inner = [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return (plan.metrics().apply("numOutputRows").value() if name == "SortMergeJoinExec" else 0) + sum(map(_rows_joined, inner))
+
+
+def test_pairs_of_a_full_instant_come_from_blocks(spark):
+    # 90,000 pairs in one bin: what is joined, and shuffled after it, is blocks
+    runs = spark.createDataFrame([(i, BASE, BASE) for i in range(300)], "id long, started_at timestamp_ntz, ended_at timestamp_ntz")
+    ranges = spark.createDataFrame([(i, BASE, BASE + dt.timedelta(minutes=1)) for i in range(300)], "range_id long, from_at timestamp_ntz, to_at timestamp_ntz")
+    out = running_between(runs, ranges)
+    assert len({(r["id"], r["range_id"]) for r in out.collect()}) == 90000
+    assert _rows_joined(out._jdf.queryExecution().executedPlan()) < 1500
+
+
 def test_no_side_goes_through_the_driver(spark):
     # small before it is cut into bins, large afterwards: an open run lies in 70,000 bins
     runs = spark.createDataFrame([(i, "a", BASE, None) for i in range(3)], "id long, q string, started_at timestamp_ntz, ended_at timestamp_ntz")
